@@ -9,11 +9,16 @@ F tests are not in the compared columns: DuckDB has no t or F distribution.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.columns import sig, sig_col
 from .functions.columns import sig_sql as S
-from .operators.linear import ols
+from .operators import diagnostics as diag
+from .operators.diagnostics import TEST_SCHEMA
+from .operators.linear import ols, segmented_ols
 from .sources.scan import load
 
 Q: dict = {}
@@ -36,7 +41,7 @@ def _li(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- SQL kit
 def ols1_cte(src: str, y: str, x: str, name: str = "s") -> str:
     """CTE with the sufficient statistics of a one-feature OLS fit."""
-    return (f"{name} AS (SELECT regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS b1, "
+    return (f"{name} AS (SELECT CAST(regr_count({y}, {x}) AS DOUBLE) AS n, regr_slope({y}, {x}) AS b1, "
             f"regr_intercept({y}, {x}) AS b0, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, "
             f"regr_sxy({y}, {x}) AS sxy, regr_avgx({y}, {x}) AS xbar, regr_avgy({y}, {x}) AS ybar "
             f"FROM {src})")
@@ -54,3 +59,300 @@ SELECT 'l_quantity', {S('b1')}, {S('sqrt(s2 / sxx)')}, {S('b1 / sqrt(s2 / sxx)')
 def q_ols_coefficients(spark, sf):
     fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity"])
     return fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+def ols2_cte(src: str, y: str, x1: str, x2: str, p: str = "t") -> str:
+    """CTEs {p}_f with b0, b1, b2, ssr, syy, det, s11, s22, s12, m1, m2, n for a 2-feature OLS."""
+    return (f"{p}_m AS (SELECT count(*) AS n, avg({y}) AS my, avg({x1}) AS m1, avg({x2}) AS m2, "
+            f"var_pop({x1}) * count(*) AS s11, var_pop({x2}) * count(*) AS s22, covar_pop({x1}, {x2}) * count(*) AS s12, "
+            f"covar_pop({x1}, {y}) * count(*) AS s1y, covar_pop({x2}, {y}) * count(*) AS s2y, "
+            f"var_pop({y}) * count(*) AS syy FROM {src}), "
+            f"{p}_d AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM {p}_m), "
+            f"{p}_b AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS b1, (s11 * s2y - s12 * s1y) / det AS b2 FROM {p}_d), "
+            f"{p}_f AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, syy - b1 * s1y - b2 * s2y AS ssr FROM {p}_b)")
+
+
+def norm_sf_sql(z: str) -> str:
+    """P(Z > z) in SQL with the same rational approximation as the Spark column."""
+    from .functions.columns import _HART_DEN, _HART_NUM
+    a = f"abs({z})"
+
+    def horner(cs):
+        acc = repr(cs[0])
+        for c in cs[1:]:
+            acc = f"({acc}) * {a} + {c!r}"
+        return acc
+    e = f"exp(-{a} * {a} / 2.0)"
+    near = f"{e} * ({horner(_HART_NUM)}) / ({horner(_HART_DEN)})"
+    cf = f"({a} + 0.65)"
+    for k in ("4.0", "3.0", "2.0", "1.0"):
+        cf = f"({a} + {k} / {cf})"
+    far = f"{e} / {cf} / 2.506628274631"
+    tail = f"(CASE WHEN {a} > 37.0 THEN 0.0 WHEN {a} < 7.07106781186547 THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN ({z}) > 0 THEN {tail} ELSE 1.0 - {tail} END)"
+
+
+def chi2_even_sf_sql(x: str, df: int) -> str:
+    """Survival of chi2 with even df 2m: exp(-x/2) sum_{k<m} (x/2)^k / k!."""
+    m = df // 2
+    terms = " + ".join(f"pow(({x}) / 2.0, {k}) / {math.factorial(k)}.0" for k in range(m))
+    return f"(exp(-({x}) / 2.0) * ({terms}))"
+
+
+def flag_sql(p: str) -> str:
+    return f"(CASE WHEN ({p}) >= 0.05 THEN 'PASS' WHEN ({p}) >= 0.025 THEN 'WARN' ELSE 'FAIL' END)"
+
+
+def kolmogorov_sql(lam: str) -> str:
+    return (f"(SELECT greatest(0.0, least(1.0, 2.0 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END "
+            f"* exp(-2.0 * j * j * ({lam}) * ({lam}))))) FROM range(1, 101) r(j))")
+
+
+def metrics_df(spark, pairs, name="metric") -> DataFrame:
+    return spark.createDataFrame([(k, sig(float(v))) for k, v in pairs], f"{name} string, value double")
+
+
+def tests_df(spark, rows) -> DataFrame:
+    return spark.createDataFrame(rows, TEST_SCHEMA)
+
+
+# ------------------------------------------------------------- R10, E1
+@register("ols_fit_stats", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+f AS (SELECT *, syy - b1 * sxy AS ssr FROM s),
+g AS (SELECT *, -n / 2.0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS llf, 1 - ssr / syy AS r2 FROM f)
+SELECT * FROM (VALUES ('r_squared', 0), ('adj_r_squared', 1), ('f_stat', 2), ('aic', 3), ('bic', 4),
+  ('log_likelihood', 5), ('n_obs', 6), ('n_features', 7), ('rmse', 8)) m(metric, i)
+  JOIN (SELECT {S('r2')} AS v0, {S('1 - (1 - r2) * (n - 1) / (n - 2)')} AS v1,
+        {S('r2 / ((1 - r2) / (n - 2))')} AS v2, {S('-2 * llf + 4')} AS v3, {S('-2 * llf + 2 * ln(n)')} AS v4,
+        {S('llf')} AS v5, {S('n')} AS v6, 2.0 AS v7, {S('sqrt(ssr / (n - 2))')} AS v8 FROM g) ON TRUE
+""".replace("SELECT * FROM (VALUES", "SELECT metric, CASE i WHEN 0 THEN v0 WHEN 1 THEN v1 WHEN 2 THEN v2 WHEN 3 THEN v3 "
+            "WHEN 4 THEN v4 WHEN 5 THEN v5 WHEN 6 THEN v6 WHEN 7 THEN v7 ELSE v8 END AS value FROM (VALUES"))
+def q_ols_fit_stats(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity"])
+    keep = {"r_squared", "adj_r_squared", "f_stat", "aic", "bic", "log_likelihood", "n_obs", "n_features"}
+    rows = [(m, v) for m, v in fit.stat_rows() if m in keep] + [("rmse", sig(math.sqrt(fit.sigma2)))]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+# ------------------------------------------------------------------ R1
+@register("ols_two_features", f"""
+WITH {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')},
+v AS (SELECT *, ssr / (n - 3) AS s2 FROM t_f),
+w AS (SELECT *, s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det) AS v0,
+      s2 * s22 / det AS v1, s2 * s11 / det AS v2 FROM v)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(v0)')} AS se, {S('b0 / sqrt(v0)')} AS t_stat FROM w
+UNION ALL SELECT 'l_quantity', {S('b1')}, {S('sqrt(v1)')}, {S('b1 / sqrt(v1)')} FROM w
+UNION ALL SELECT 'l_discount', {S('b2')}, {S('sqrt(v2)')}, {S('b2 / sqrt(v2)')} FROM w
+""")
+def q_ols_two_features(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"])
+    return fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+# ------------------------------------------------------------------ R2
+@register("wls_coefficients", f"""
+WITH d AS (SELECT 1.0 / l_quantity AS w, l_discount AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity > 0),
+s AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx_raw,
+      sum(w * x * y) AS sxy_raw, sum(w * y * y) AS syy_raw FROM d),
+c AS (SELECT *, sxx_raw - sx * sx / sw AS sxx, sxy_raw - sx * sy / sw AS sxy, syy_raw - sy * sy / sw AS syy,
+      sx / sw AS xbar, sy / sw AS ybar FROM s),
+f AS (SELECT *, sxy / sxx AS b1, ybar - sxy / sxx * xbar AS b0, (syy - sxy / sxx * sxy) / (n - 2) AS s2 FROM c)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (1.0 / sw + xbar * xbar / sxx))')} AS se FROM f
+UNION ALL SELECT 'l_discount', {S('b1')}, {S('sqrt(s2 / sxx)')} FROM f
+""")
+def q_wls_coefficients(spark, sf):
+    d = _li(spark, sf).withColumn("w", F.lit(1.0) / F.col("l_quantity"))
+    fit = ols(d, "l_extendedprice", ["l_discount"], weight="w")
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+# --------------------------------------------------------------- R6, R7
+def _hc_sql() -> str:
+    parts = []
+    for kind, f, corr in (("HC0", "e * e", "1.0"), ("HC1", "e * e", "n / (n - 2.0)"),
+                          ("HC2", "e * e / (1 - h)", "1.0"), ("HC3", "e * e / ((1 - h) * (1 - h))", "1.0")):
+        parts.append(f"""SELECT '{kind}' AS se_type, term, {S('sqrt(v)')} AS se FROM (
+  SELECT 'const' AS term, {corr} * (B00 * B00 * M00 + 2 * B00 * B01 * M01 + B01 * B01 * M11) AS v FROM meat_{kind}
+  UNION ALL SELECT 'l_quantity', {corr} * (B01 * B01 * M00 + 2 * B01 * B11 * M01 + B11 * B11 * M11) FROM meat_{kind})""")
+        parts[-1] = parts[-1]
+    meats = ",\n".join(
+        f"meat_{kind} AS (SELECT any_value(n) AS n, any_value(B00) AS B00, any_value(B01) AS B01, any_value(B11) AS B11, "
+        f"sum({f}) AS M00, sum({f} * x) AS M01, sum({f} * x * x) AS M11 FROM r)"
+        for kind, f in (("HC0", "e * e"), ("HC1", "e * e"), ("HC2", "e * e / (1 - h)"),
+                        ("HC3", "e * e / ((1 - h) * (1 - h))")))
+    return f"""WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+b AS (SELECT *, 1.0 / n + xbar * xbar / sxx AS B00, -xbar / sxx AS B01, 1.0 / sxx AS B11 FROM s),
+r AS (SELECT b.*, l_quantity AS x, l_extendedprice - (b0 + b1 * l_quantity) AS e,
+      1.0 / n + (l_quantity - xbar) * (l_quantity - xbar) / sxx AS h FROM lineitem, b),
+{meats}
+""" + "\nUNION ALL\n".join(parts)
+
+
+@register("ols_robust_se", _hc_sql())
+def q_ols_robust_se(spark, sf):
+    li = _li(spark, sf)
+    out = None
+    for kind in ("HC0", "HC1", "HC2", "HC3"):
+        fit = ols(li, "l_extendedprice", ["l_quantity"], se_type=kind)
+        d = spark.createDataFrame([(kind, t, sig(s)) for t, s in zip(fit.terms, fit.se)],
+                                  "se_type string, term string, se double")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+# ------------------------------------------------------------------ R9
+@register("ols_cluster_se", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+b AS (SELECT *, 1.0 / n + xbar * xbar / sxx AS B00, -xbar / sxx AS B01, 1.0 / sxx AS B11 FROM s),
+u AS (SELECT l_suppkey, sum(l_extendedprice - (b0 + b1 * l_quantity)) AS u0,
+      sum((l_extendedprice - (b0 + b1 * l_quantity)) * l_quantity) AS u1 FROM lineitem, b GROUP BY l_suppkey),
+m AS (SELECT count(*) AS g, sum(u0 * u0) AS M00, sum(u0 * u1) AS M01, sum(u1 * u1) AS M11 FROM u),
+c AS (SELECT *, g / (g - 1.0) * (n - 1.0) / (n - 2.0) AS corr FROM m, b)
+SELECT 'const' AS term, {S('sqrt(corr * (B00 * B00 * M00 + 2 * B00 * B01 * M01 + B01 * B01 * M11))')} AS se FROM c
+UNION ALL SELECT 'l_quantity', {S('sqrt(corr * (B01 * B01 * M00 + 2 * B01 * B11 * M01 + B11 * B11 * M11))')} FROM c
+""")
+def q_ols_cluster_se(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity"], se_type="cluster", cluster="l_suppkey")
+    return spark.createDataFrame([(t, sig(s)) for t, s in zip(fit.terms, fit.se)], "term string, se double")
+
+
+# ------------------------------------------------------------------ R8
+@register("ols_hac_se", f"""
+WITH {ols1_cte('events', 'value', 'user_id')},
+b AS (SELECT *, 1.0 / n + xbar * xbar / sxx AS B00, -xbar / sxx AS B01, 1.0 / sxx AS B11 FROM s),
+r AS (SELECT (value - (b0 + b1 * user_id)) AS u0, (value - (b0 + b1 * user_id)) * user_id AS u1, ts, event_id
+      FROM events, b),
+l AS (SELECT u0, u1, lag(u0) OVER (ORDER BY ts, event_id) AS v0, lag(u1) OVER (ORDER BY ts, event_id) AS v1 FROM r),
+g AS (SELECT sum(u0 * u0) + 0.5 * 2 * sum(u0 * v0) AS M00,
+             sum(u0 * u1) + 0.5 * (sum(u0 * v1) + sum(u1 * v0)) AS M01,
+             sum(u1 * u1) + 0.5 * 2 * sum(u1 * v1) AS M11 FROM l),
+c AS (SELECT * FROM g, b)
+SELECT 'const' AS term, {S('sqrt(B00 * B00 * M00 + 2 * B00 * B01 * M01 + B01 * B01 * M11)')} AS se FROM c
+UNION ALL SELECT 'user_id', {S('sqrt(B01 * B01 * M00 + 2 * B01 * B11 * M01 + B11 * B11 * M11)')} FROM c
+""")
+def q_ols_hac_se(spark, sf):
+    ev = load(spark, sf, "events")
+    fit = ols(ev, "value", ["user_id"], se_type="hac", order_by=["ts", "event_id"], maxlags=1)
+    return spark.createDataFrame([(t, sig(s)) for t, s in zip(fit.terms, fit.se)], "term string, se double")
+
+
+# ------------------------------------------------------------------ R12
+@register("segmented_ols", f"""
+WITH s AS (SELECT l_returnflag, regr_count(l_extendedprice, l_quantity) AS n, regr_slope(l_extendedprice, l_quantity) AS b1,
+      regr_intercept(l_extendedprice, l_quantity) AS b0, regr_sxx(l_extendedprice, l_quantity) AS sxx,
+      regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy,
+      regr_avgx(l_extendedprice, l_quantity) AS xbar FROM lineitem GROUP BY l_returnflag),
+f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT l_returnflag, 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (1.0 / n + xbar * xbar / sxx))')} AS se,
+       CAST(n AS BIGINT) AS n_obs FROM f
+UNION ALL SELECT l_returnflag, 'l_quantity', {S('b1')}, {S('sqrt(s2 / sxx)')}, CAST(n AS BIGINT) FROM f
+""")
+def q_segmented_ols(spark, sf):
+    return segmented_ols(_li(spark, sf), "l_extendedprice", ["l_quantity"], ["l_returnflag"]).select(
+        "l_returnflag", "term", "coefficient", "se", "n_obs")
+
+
+# ------------------------------------------------------------------ A1
+@register("breusch_pagan", f"""
+WITH {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')},
+r AS (SELECT pow(l_extendedprice - (b0 + b1 * l_quantity + b2 * l_discount), 2) AS e2, l_quantity, l_discount
+      FROM lineitem, t_f),
+{ols2_cte('r', 'e2', 'l_quantity', 'l_discount', 'a')},
+z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
+SELECT 'breusch_pagan' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+       {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
+""")
+def q_breusch_pagan(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
+    return tests_df(spark, [diag.breusch_pagan(li, fit)])
+
+
+# ------------------------------------------------------------------ A2
+@register("white_test", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT pow(l_extendedprice - (b0 + b1 * l_quantity), 2) AS e2, l_quantity AS x1, l_quantity * l_quantity AS x2
+      FROM lineitem, s),
+{ols2_cte('r', 'e2', 'x1', 'x2', 'a')},
+z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
+SELECT 'white' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+       {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
+""")
+def q_white_test(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    return tests_df(spark, [diag.white(li, fit)])
+
+
+# ------------------------------------------------------------------ A6
+@register("jarque_bera", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
+m AS (SELECT count(*) AS n, avg(e) AS mu FROM r),
+c AS (SELECT any_value(n) AS n, avg(pow(e - mu, 2)) AS c2, avg(pow(e - mu, 3)) AS c3, avg(pow(e - mu, 4)) AS c4 FROM r, m),
+j AS (SELECT n / 6.0 * (pow(c3 / pow(c2, 1.5), 2) + pow(c4 / (c2 * c2) - 3, 2) / 4) AS jb FROM c)
+SELECT 'jarque_bera' AS test, {S('jb')} AS statistic, 2.0 AS df, {S('exp(-jb / 2)')} AS p_value,
+       {flag_sql('exp(-jb / 2)')} AS flag FROM j
+""")
+def q_jarque_bera(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    return tests_df(spark, [diag.jarque_bera(li, fit)])
+
+
+# ------------------------------------------------------------------ A3
+@register("durbin_watson", f"""
+WITH {ols1_cte('events', 'value', 'user_id')},
+r AS (SELECT value - (b0 + b1 * user_id) AS e, ts, event_id FROM events, s),
+l AS (SELECT e, lag(e) OVER (ORDER BY ts, event_id) AS el FROM r),
+d AS (SELECT sum(pow(e - el, 2)) / sum(e * e) AS dw FROM l)
+SELECT 'durbin_watson' AS test, {S('dw')} AS statistic, CAST(NULL AS DOUBLE) AS df, CAST(NULL AS DOUBLE) AS p_value,
+  CASE WHEN dw BETWEEN 1.5 AND 2.5 THEN 'PASS' WHEN (dw >= 1.0 AND dw < 1.5) OR (dw > 2.5 AND dw <= 3.0) THEN 'WARN'
+  ELSE 'FAIL' END AS flag FROM d
+""")
+def q_durbin_watson(spark, sf):
+    ev = load(spark, sf, "events")
+    fit = ols(ev, "value", ["user_id"])
+    return tests_df(spark, [diag.durbin_watson(ev, fit, ["ts", "event_id"])])
+
+
+# ------------------------------------------------------------------ A4
+@register("breusch_godfrey", f"""
+WITH m AS (SELECT avg(value) AS mu FROM events),
+r AS (SELECT value - mu AS e, ts, event_id FROM events, m),
+l AS (SELECT e, coalesce(lag(e, 1) OVER (ORDER BY ts, event_id), 0.0) AS l1,
+      coalesce(lag(e, 2) OVER (ORDER BY ts, event_id), 0.0) AS l2 FROM r),
+{ols2_cte('l', 'e', 'l1', 'l2', 'a')},
+z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
+SELECT 'breusch_godfrey' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+       {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
+""")
+def q_breusch_godfrey(spark, sf):
+    ev = load(spark, sf, "events")
+    fit = ols(ev, "value", [])
+    return tests_df(spark, [diag.breusch_godfrey(ev, fit, ["ts", "event_id"], n_lags=2)])
+
+
+# ------------------------------------------------------------------ A5
+@register("vif", f"""
+SELECT term, {S('1.0 / (1 - r * r)')} AS vif, CASE WHEN 1.0 / (1 - r * r) > 10 THEN 'FAIL'
+  WHEN 1.0 / (1 - r * r) > 5 THEN 'WARN' ELSE 'PASS' END AS flag
+FROM (SELECT corr(l_quantity, l_discount) AS r FROM lineitem), (VALUES ('l_quantity'), ('l_discount')) t(term)
+""")
+def q_vif(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"])
+    return spark.createDataFrame(diag.vif(fit), "term string, vif double, flag string")
+
+
+# ------------------------------------------------------------------ A25
+@register("correlation_screen", f"""
+SELECT term, {S('r')} AS r, {S('r * r * (n - 2) / (1 - r * r)')} AS f_stat FROM (
+  SELECT 'l_quantity' AS term, corr(l_extendedprice, l_quantity) AS r, count(*) AS n FROM lineitem
+  UNION ALL SELECT 'l_discount', corr(l_extendedprice, l_discount), count(*) FROM lineitem
+  UNION ALL SELECT 'l_tax', corr(l_extendedprice, l_tax), count(*) FROM lineitem)
+""")
+def q_correlation_screen(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return spark.createDataFrame([(t, r, f) for t, r, f, _ in diag.correlation_screen(fit)],
+                                 "term string, r double, f_stat double")
