@@ -18,6 +18,14 @@ from .functions.columns import sig, sig_col
 from .functions.columns import sig_sql as S
 from .operators import diagnostics as diag
 from .operators.diagnostics import TEST_SCHEMA
+from .functions import dist
+from .operators import discrete as disc
+from .operators import evaluate as ev
+from .operators import features as feat
+from .operators import interpret as interp
+from .operators import score
+from .operators.discrete import glm, grouped_logit, logit, mnlogit, ordered, poisson, probability
+from .operators.interpret import effects_frame
 from .operators.linear import ols, segmented_ols
 from .sources.scan import load
 
@@ -356,3 +364,446 @@ def q_correlation_screen(spark, sf):
     fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     return spark.createDataFrame([(t, r, f) for t, r, f, _ in diag.correlation_screen(fit)],
                                  "term string, r double, f_stat double")
+
+
+# =========================================================== discrete
+Z975 = dist.norm_ppf(0.975)
+
+
+def _binary_li(spark, sf) -> DataFrame:
+    return _li(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice",
+                                 (F.col("l_returnflag") == "R").cast("double").alias("is_r"),
+                                 (F.col("l_linestatus") == "F").cast("double").alias("status_f"))
+
+
+SAT_CELLS = """c AS (SELECT CAST(sum(CASE WHEN y = 1 AND x = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n10,
+  CAST(sum(CASE WHEN y = 0 AND x = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n00,
+  CAST(sum(CASE WHEN y = 1 AND x = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n11,
+  CAST(sum(CASE WHEN y = 0 AND x = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n01
+  FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS x
+        FROM lineitem)),
+f AS (SELECT *, ln(n10 / n00) AS b0, ln(n11 / n01) - ln(n10 / n00) AS b1, 1.0 / n10 + 1.0 / n00 AS v00,
+      1.0 / n10 + 1.0 / n00 + 1.0 / n11 + 1.0 / n01 AS v11 FROM c)"""
+
+
+def _coef_sql(rows: list[tuple[str, str, str]], src: str = "f") -> str:
+    """term, coefficient, se, z_stat, p_value, ci_lower, ci_upper from (term, b, se) SQL expressions."""
+    parts = []
+    for term, b, se in rows:
+        parts.append(f"SELECT '{term}' AS term, {S(b)} AS coefficient, {S(se)} AS se, {S(f'({b}) / ({se})')} AS z_stat, "
+                     f"{S('2 * ' + norm_sf_sql(f'abs(({b}) / ({se}))'))} AS p_value, "
+                     f"{S(f'({b}) - {Z975!r} * ({se})')} AS ci_lower, {S(f'({b}) + {Z975!r} * ({se})')} AS ci_upper FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("logit_saturated", f"WITH {SAT_CELLS}\n" + _coef_sql([("const", "b0", "sqrt(v00)"), ("status_f", "b1", "sqrt(v11)")]))
+def q_logit_saturated(spark, sf):
+    return logit(_binary_li(spark, sf), "is_r", ["status_f"]).coefficients(spark)
+
+
+@register("logit_fit_stats", f"""WITH {SAT_CELLS},
+l AS (SELECT *, n10 * ln(n10 / (n10 + n00)) + n00 * ln(n00 / (n10 + n00)) + n11 * ln(n11 / (n11 + n01))
+      + n01 * ln(n01 / (n11 + n01)) AS llf,
+      (n10 + n11) * ln((n10 + n11) / (n10 + n00 + n11 + n01)) + (n00 + n01) * ln((n00 + n01) / (n10 + n00 + n11 + n01)) AS lln,
+      n10 + n00 + n11 + n01 AS n FROM f)
+SELECT 'log_likelihood' AS metric, {S('llf')} AS value FROM l
+UNION ALL SELECT 'll_null', {S('lln')} FROM l
+UNION ALL SELECT 'aic', {S('-2 * llf + 4')} FROM l
+UNION ALL SELECT 'bic', {S('-2 * llf + 2 * ln(n)')} FROM l
+UNION ALL SELECT 'lr_stat', {S('2 * (llf - lln)')} FROM l
+UNION ALL SELECT 'n_obs', {S('n')} FROM l
+""")
+def q_logit_fit_stats(spark, sf):
+    fit = logit(_binary_li(spark, sf), "is_r", ["status_f"])
+    keep = {"log_likelihood", "ll_null", "aic", "bic", "lr_stat", "n_obs"}
+    return spark.createDataFrame([r for r in fit.stat_rows() if r[0] in keep], "metric string, value double")
+
+
+@register("grouped_logit_counts", f"WITH {SAT_CELLS}\n" + _coef_sql([("const", "b0", "sqrt(v00)"), ("status_f", "b1", "sqrt(v11)")]))
+def q_grouped_logit_counts(spark, sf):
+    counts = feat.to_counts(_binary_li(spark, sf), "is_r", ["status_f"])
+    return grouped_logit(counts, "successes", "trials", ["status_f"]).coefficients(spark)
+
+
+@register("odds_ratios", f"""WITH {SAT_CELLS}
+SELECT 'status_f' AS term, {S('exp(b1)')} AS ratio, {S(f'exp(b1 - {Z975!r} * sqrt(v11))')} AS ci_lower,
+       {S(f'exp(b1 + {Z975!r} * sqrt(v11))')} AS ci_upper FROM f""")
+def q_odds_ratios(spark, sf):
+    return logit(_binary_li(spark, sf), "is_r", ["status_f"]).odds_ratios(spark)
+
+
+def _effects_sql(kind: str) -> str:
+    if kind == "ame":
+        prof = """p AS (SELECT *, n11 / (n11 + n01) AS p1, n10 / (n10 + n00) AS p0, n10 + n00 + n11 + n01 AS n FROM f),
+q AS (SELECT *, ((n10 + n00) * p0 * (1 - p0) + (n11 + n01) * p1 * (1 - p1)) / n AS mf,
+      ((n10 + n00) * p0 * (1 - p0) * (1 - 2 * p0) + (n11 + n01) * p1 * (1 - p1) * (1 - 2 * p1)) / n AS g0,
+      ((n11 + n01) * p1 * (1 - p1) * (1 - 2 * p1)) / n AS g1 FROM p)"""
+    else:
+        prof = """p AS (SELECT *, (n11 + n01) / (n10 + n00 + n11 + n01) AS xbar FROM f),
+pp AS (SELECT *, 1.0 / (1.0 + exp(-(b0 + b1 * xbar))) AS pm FROM p),
+q AS (SELECT *, pm * (1 - pm) AS mf, pm * (1 - pm) * (1 - 2 * pm) AS g0, pm * (1 - pm) * (1 - 2 * pm) * xbar AS g1 FROM pp)"""
+    return f"""WITH {SAT_CELLS},
+{prof},
+j AS (SELECT *, b1 * mf AS eff, b1 * g0 AS j0, mf + b1 * g1 AS j1 FROM q),
+v AS (SELECT *, sqrt(j0 * j0 * v00 - 2 * j0 * j1 * v00 + j1 * j1 * v11) AS se FROM j)
+SELECT 'status_f' AS term, {S('eff')} AS effect, {S('se')} AS se, {S('eff / se')} AS z_stat FROM v"""
+
+
+@register("logit_ame", _effects_sql("ame"))
+def q_logit_ame(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    return effects_frame(spark, interp.average_marginal_effects(d, fit)).select("term", "effect", "se", "z_stat")
+
+
+@register("logit_mem", _effects_sql("mem"))
+def q_logit_mem(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    return effects_frame(spark, interp.effects_at(d, fit, "mean")).select("term", "effect", "se", "z_stat")
+
+
+@register("logit_prediction_metrics", f"""WITH {SAT_CELLS},
+r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
+      CASE WHEN l_linestatus = 'F' THEN n11 / (n11 + n01) ELSE n10 / (n10 + n00) END AS p FROM lineitem, f),
+m AS (SELECT count(*) AS n, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS ll, avg((p - y) * (p - y)) AS bs,
+      avg(CASE WHEN (CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) = y THEN 1.0 ELSE 0.0 END) AS acc FROM r),
+g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM r GROUP BY p),
+a AS (SELECT sum(pos * (cn - 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM
+      (SELECT *, sum(neg) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS cn FROM g))
+SELECT 'log_loss' AS metric, {S('ll')} AS value FROM m UNION ALL SELECT 'brier', {S('bs')} FROM m
+UNION ALL SELECT 'accuracy', {S('acc')} FROM m UNION ALL SELECT 'auc', {S('auc')} FROM a
+UNION ALL SELECT 'n', {S('n')} FROM m""")
+def q_logit_prediction_metrics(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    scored = d.withColumn("p", probability(fit))
+    m = ev.probability_metrics(scored, "is_r", "p")
+    m["auc"] = ev.auc(scored, "is_r", "p")
+    return metrics_df(spark, [(k, m[k]) for k in ("log_loss", "brier", "accuracy", "auc", "n")])
+
+
+@register("predict_logit", f"""WITH {SAT_CELLS}
+SELECT l_orderkey, l_linenumber, {S("1.0 / (1.0 + exp(-(b0 + b1 * CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)))")}
+  AS prediction FROM lineitem, f""")
+def q_predict_logit(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    out = score.predict_discrete(fit, d, keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", sig_col("prediction").alias("prediction"))
+
+
+@register("quasi_binomial_scale", f"""WITH {SAT_CELLS},
+r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
+      CASE WHEN l_linestatus = 'F' THEN n11 / (n11 + n01) ELSE n10 / (n10 + n00) END AS p FROM lineitem, f)
+SELECT 'pearson_scale' AS metric, {S('sum((y - p) * (y - p) / (p * (1 - p))) / (count(*) - 2)')} AS value FROM r""")
+def q_quasi_binomial_scale(spark, sf):
+    fit = glm(_binary_li(spark, sf), "is_r", ["status_f"], "binomial", "logit", scale="pearson")
+    return metrics_df(spark, [("pearson_scale", fit.scale)])
+
+
+@register("prior_corrected_logit", f"""WITH {SAT_CELLS},
+s AS (SELECT *, (n10 + n11) / (n10 + n00 + n11 + n01) AS share FROM f)
+SELECT 'const' AS term, {S('b0 - ln((share / (1 - share)) * ((1 - 0.05) / 0.05))')} AS coefficient FROM s
+UNION ALL SELECT 'status_f', {S('b1')} FROM s""")
+def q_prior_corrected_logit(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    share = d.agg(F.avg("is_r")).collect()[0][0]
+    pc = disc.prior_correct(fit, share, 0.05)
+    return spark.createDataFrame([(t, sig(b)) for t, b in zip(pc.terms, pc.theta)], "term string, coefficient double")
+
+
+@register("poisson_saturated", f"""
+WITH d AS (SELECT CAST(count(*) AS DOUBLE) AS y, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS x
+           FROM events GROUP BY user_id, event_type),
+c AS (SELECT sum(CASE WHEN x = 0 THEN y END) AS s0, sum(CASE WHEN x = 1 THEN y END) AS s1,
+      CAST(sum(1 - x) AS DOUBLE) AS m0, CAST(sum(x) AS DOUBLE) AS m1 FROM d),
+f AS (SELECT *, ln(s0 / m0) AS b0, ln((s1 / m1) / (s0 / m0)) AS b1, 1.0 / s0 AS v0, 1.0 / s1 + 1.0 / s0 AS v1 FROM c)
+""" + _coef_sql([("const", "b0", "sqrt(v0)"), ("is_click", "b1", "sqrt(v1)")]))
+def q_poisson_saturated(spark, sf):
+    evs = load(spark, sf, "events")
+    d = evs.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n_events")).withColumn(
+        "is_click", (F.col("event_type") == "click").cast("double"))
+    return poisson(d, "n_events", ["is_click"]).coefficients(spark)
+
+
+@register("gamma_saturated", f"""
+WITH d AS (SELECT l_extendedprice AS y, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS x FROM lineitem),
+m AS (SELECT avg(CASE WHEN x = 0 THEN y END) AS mu0, avg(CASE WHEN x = 1 THEN y END) AS mu1,
+      CAST(sum(1 - x) AS DOUBLE) AS n0, CAST(sum(x) AS DOUBLE) AS n1 FROM d),
+p AS (SELECT sum(pow((y - CASE WHEN x = 1 THEN mu1 ELSE mu0 END) / CASE WHEN x = 1 THEN mu1 ELSE mu0 END, 2))
+      / (count(*) - 2) AS phi FROM d, m),
+f AS (SELECT *, ln(mu0) AS b0, ln(mu1 / mu0) AS b1, phi / n0 AS v0, phi * (1.0 / n0 + 1.0 / n1) AS v1 FROM m, p)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(v0)')} AS se FROM f
+UNION ALL SELECT 'status_f', {S('b1')}, {S('sqrt(v1)')} FROM f""")
+def q_gamma_saturated(spark, sf):
+    fit = glm(_binary_li(spark, sf), "l_extendedprice", ["status_f"], "gamma", "log")
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("ordered_logit_null", f"""
+WITH c AS (SELECT o_orderpriority AS lvl, CAST(count(*) AS DOUBLE) AS k FROM orders GROUP BY 1),
+q AS (SELECT lvl, sum(k) OVER (ORDER BY lvl ROWS UNBOUNDED PRECEDING) / sum(k) OVER () AS fc,
+      lead(lvl) OVER (ORDER BY lvl) AS nxt, sum(k) OVER () AS n FROM c)
+SELECT 'cut_' || lvl || '|' || nxt AS term, {S('ln(fc / (1 - fc))')} AS coefficient, {S('1.0 / sqrt(n * fc * (1 - fc))')} AS se
+FROM q WHERE nxt IS NOT NULL""")
+def q_ordered_logit_null(spark, sf):
+    fit = ordered(load(spark, sf, "orders"), "o_orderpriority", [], "logit")
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+def _mn_sql() -> str:
+    return f"""
+WITH d AS (SELECT c_mktsegment AS y, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS x FROM customer),
+c AS (SELECT y, CAST(sum(1 - x) AS DOUBLE) AS c0, CAST(sum(x) AS DOUBLE) AS c1 FROM d GROUP BY y),
+b AS (SELECT c0 AS b0n, c1 AS b1n FROM c ORDER BY y LIMIT 1),
+f AS (SELECT y, ln(c0 / b0n) AS a0, ln(c1 / b1n) - ln(c0 / b0n) AS a1, 1.0 / c0 + 1.0 / b0n AS v0,
+      1.0 / c0 + 1.0 / b0n + 1.0 / c1 + 1.0 / b1n AS v1 FROM c, b WHERE y > (SELECT min(y) FROM c))
+SELECT y || ':const' AS term, {S('a0')} AS coefficient, {S('sqrt(v0)')} AS se FROM f
+UNION ALL SELECT y || ':pos_balance', {S('a1')}, {S('sqrt(v1)')} FROM f"""
+
+
+@register("mnlogit_saturated", _mn_sql())
+def q_mnlogit_saturated(spark, sf):
+    d = load(spark, sf, "customer").withColumn("pos_balance", (F.col("c_acctbal") > 0).cast("double"))
+    return mnlogit(d, "c_mktsegment", ["pos_balance"]).coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("mnlogit_confusion", """
+WITH d AS (SELECT c_mktsegment AS y, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS x FROM customer),
+m AS (SELECT x, arg_max(y, k) AS pred FROM (SELECT x, y, count(*) AS k FROM d GROUP BY x, y) GROUP BY x)
+SELECT y AS actual, pred AS predicted, count(*) AS n FROM d JOIN m USING (x) GROUP BY y, pred""")
+def q_mnlogit_confusion(spark, sf):
+    d = load(spark, sf, "customer").withColumn("pos_balance", (F.col("c_acctbal") > 0).cast("double"))
+    fit = mnlogit(d, "c_mktsegment", ["pos_balance"])
+    labels = F.array(*[F.lit(x) for x in fit.classes])
+    p = score.predict_discrete(fit, d, keep=["c_mktsegment"]).withColumn(
+        "pred", F.element_at(labels, (F.col("predicted_class") + 1).cast("int")))
+    return ev.confusion(p, "c_mktsegment", "pred")
+
+
+# ========================================================== evaluation
+def _y_r(spark, sf):
+    return _binary_li(spark, sf)
+
+
+@register("auc_exact", f"""
+WITH g AS (SELECT l_discount AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS pos,
+           sum(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE 1.0 END) AS neg FROM lineitem GROUP BY l_discount),
+c AS (SELECT *, sum(neg) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS cn FROM g)
+SELECT {S('sum(pos * (cn - 0.5 * neg)) / (sum(pos) * sum(neg))')} AS auc FROM c""")
+def q_auc_exact(spark, sf):
+    return spark.createDataFrame([(sig(ev.auc(_y_r(spark, sf), "is_r", "l_discount")),)], "auc double")
+
+
+@register("roc_points", f"""
+WITH g AS (SELECT l_discount AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS pos,
+           sum(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE 1.0 END) AS neg FROM lineitem GROUP BY l_discount),
+c AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(pos) OVER () AS tpr,
+      sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(neg) OVER () AS fpr FROM g)
+SELECT {S('s')} AS threshold, {S('fpr')} AS fpr, {S('tpr')} AS tpr FROM c""")
+def q_roc_points(spark, sf):
+    r = ev.roc_points(_y_r(spark, sf), "is_r", "l_discount")
+    return r.select(*[sig_col(c).alias(c) for c in ("threshold", "fpr", "tpr")])
+
+
+LPM_SQL = ols1_cte("(SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, l_quantity AS x FROM lineitem)",
+                   "y", "x", "s")
+
+
+def _lpm(spark, sf):
+    d = _y_r(spark, sf)
+    fit = ols(d, "is_r", ["l_quantity"])
+    return d.withColumn("p", fit.linear_predictor())
+
+
+DECILES_SQL = f"""WITH {LPM_SQL},
+r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, b0 + b1 * l_quantity AS p FROM lineitem, s),
+v AS (SELECT p, count(*) AS k FROM r GROUP BY p),
+cum AS (SELECT p, sum(k) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS ck, sum(k) OVER () AS n FROM v),
+cuts AS (SELECT i, (SELECT min(p) FROM cum WHERE ck * 10 >= i * n) AS cut FROM range(1, 10) t(i)),
+dc AS (SELECT DISTINCT cut FROM cuts),
+b AS (SELECT r.*, (SELECT count(*) FROM dc WHERE r.p >= dc.cut) AS bin FROM r),
+cal AS (SELECT bin, count(*) AS n, avg(p) AS mean_pred, avg(y) AS obs_rate FROM b GROUP BY bin)"""
+
+
+@register("calibration_table", DECILES_SQL + f"""
+SELECT CAST(bin AS INTEGER) AS bin, n, {S('mean_pred')} AS mean_pred, {S('obs_rate')} AS obs_rate FROM cal""")
+def q_calibration_table(spark, sf):
+    c = ev.calibration(_lpm(spark, sf), "is_r", "p", 10)
+    return c.select(F.col("bin").cast("int").alias("bin"), "n", sig_col("mean_pred").alias("mean_pred"),
+                    sig_col("obs_rate").alias("obs_rate"))
+
+
+@register("hosmer_lemeshow", DECILES_SQL + f""",
+h AS (SELECT count(*) AS g, sum(pow(obs_rate * n - mean_pred * n, 2) / (mean_pred * n * (1 - mean_pred))) AS hl FROM cal)
+SELECT 'hosmer_lemeshow' AS test, {S('hl')} AS statistic, CAST(g - 2 AS DOUBLE) AS df,
+  {S(chi2_even_sf_sql('hl', 8))} AS p_value, {flag_sql(chi2_even_sf_sql('hl', 8))} AS flag FROM h""")
+def q_hosmer_lemeshow(spark, sf):
+    h = ev.hosmer_lemeshow(_lpm(spark, sf), "is_r", "p", 10)
+    return tests_df(spark, [("hosmer_lemeshow", sig(h["hl_stat"]), float(h["df"]), sig(h["p_value"]),
+                             diag.flag_p(h["p_value"]))])
+
+
+@register("out_of_sample_metrics", f"""
+WITH {ols1_cte("(SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01')", 'l_extendedprice', 'l_quantity')},
+t AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e, l_extendedprice AS y FROM lineitem, s
+      WHERE l_shipdate >= TIMESTAMP '2000-01-01')
+SELECT 'n' AS metric, {S('count(*)')} AS value FROM t
+UNION ALL SELECT 'rmse', {S('sqrt(avg(e * e))')} FROM t
+UNION ALL SELECT 'mae', {S('avg(abs(e))')} FROM t
+UNION ALL SELECT 'r_squared', {S('1 - sum(e * e) / (count(*) * var_pop(y))')} FROM t""")
+def q_out_of_sample_metrics(spark, sf):
+    li = _li(spark, sf)
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    fit = ols(li.where(F.col("l_shipdate") < cut), "l_extendedprice", ["l_quantity"])
+    test = li.where(F.col("l_shipdate") >= cut)
+    m = ev.regression_metrics(test, "l_extendedprice", fit.linear_predictor())
+    return metrics_df(spark, [(k, m[k]) for k in ("n", "rmse", "mae", "r_squared")])
+
+
+@register("baseline_comparison", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT abs(l_extendedprice - (b0 + b1 * l_quantity)) AS am, abs(l_extendedprice - ybar) AS a0 FROM lineitem, s),
+m AS (SELECT avg(am) AS mae_m, avg(a0) AS mae_0 FROM r)
+SELECT 'rmse_model' AS metric, {S('sqrt((syy - b1 * sxy) / (n - 2))')} AS value FROM s
+UNION ALL SELECT 'rmse_null', {S('sqrt(syy / n)')} FROM s
+UNION ALL SELECT 'mae_model', {S('mae_m')} FROM m UNION ALL SELECT 'mae_null', {S('mae_0')} FROM m""")
+def q_baseline_comparison(spark, sf):
+    li = _li(spark, sf)
+    b = ev.baseline(ols(li, "l_extendedprice", ["l_quantity"]), li)
+    return metrics_df(spark, [(k, b[k]) for k in ("rmse_model", "rmse_null", "mae_model", "mae_null")])
+
+
+@register("grouped_cv_by_year", f"""
+WITH d AS (SELECT year(l_shipdate) AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+tr AS (SELECT f.fold, regr_slope(d.y, d.x) AS b1, regr_intercept(d.y, d.x) AS b0
+       FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold)
+SELECT CAST(d.fold AS INTEGER) AS fold, count(*) AS n_test, {S('sqrt(avg(pow(d.y - (b0 + b1 * d.x), 2)))')} AS rmse
+FROM d JOIN tr USING (fold) GROUP BY d.fold""")
+def q_grouped_cv_by_year(spark, sf):
+    res = ev.cross_validate_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], key_cols=["l_shipdate"],
+                                   fold=F.year("l_shipdate"))
+    return spark.createDataFrame([(int(r["fold"]), int(r["n_test"]), sig(r["rmse"])) for r in res],
+                                 "fold int, n_test bigint, rmse double")
+
+
+@register("expanding_cv_by_year", f"""
+WITH d AS (SELECT year(l_shipdate) AS p, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+ps AS (SELECT DISTINCT p FROM d),
+tr AS (SELECT ps.p, regr_slope(d.y, d.x) AS b1, regr_intercept(d.y, d.x) AS b0, count(*) AS n_train
+       FROM ps JOIN d ON d.p < ps.p GROUP BY ps.p)
+SELECT CAST(d.p AS INTEGER) AS period, any_value(n_train) AS n_train, count(*) AS n_test,
+       {S('sqrt(avg(pow(d.y - (b0 + b1 * d.x), 2)))')} AS rmse FROM d JOIN tr USING (p) GROUP BY d.p""")
+def q_expanding_cv_by_year(spark, sf):
+    res = ev.time_cv_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], F.year("l_shipdate"), "expanding")
+    return spark.createDataFrame([(int(r["period"]), int(r["n_train"]), int(r["n_test"]), sig(r["rmse"])) for r in res],
+                                 "period int, n_train bigint, n_test bigint, rmse double")
+
+
+@register("loo_press", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT pow((l_extendedprice - (b0 + b1 * l_quantity)) / (1 - (1.0 / n + pow(l_quantity - xbar, 2) / sxx)), 2) AS q
+      FROM lineitem, s)
+SELECT 'press' AS metric, {S('sum(q)')} AS value FROM r UNION ALL SELECT 'loo_rmse', {S('sqrt(avg(q))')} FROM r""")
+def q_loo_press(spark, sf):
+    li = _li(spark, sf)
+    r = ev.loo_linear(li, ols(li, "l_extendedprice", ["l_quantity"]))
+    return metrics_df(spark, [("press", r["press"]), ("loo_rmse", r["loo_rmse"])])
+
+
+@register("partial_f_test", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')}
+SELECT 'partial_f' AS test, {S('((s.syy - s.b1 * s.sxy) - t_f.ssr) / (t_f.ssr / (t_f.n - 3))')} AS f_stat FROM s, t_f""")
+def q_partial_f_test(spark, sf):
+    r = ev.partial_f(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"], ["l_discount"])
+    return spark.createDataFrame([("partial_f", sig(r["f_stat"]))], "test string, f_stat double")
+
+
+@register("ridge_path", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+l AS (SELECT * FROM (VALUES (0.0), (100.0), (10000.0)) t(lam)),
+b AS (SELECT lam, sxy / (sxx * (n + lam) / n) AS b1, ybar, xbar FROM s, l)
+SELECT lam AS lambda, 'const' AS term, {S('ybar - b1 * xbar')} AS coefficient FROM b
+UNION ALL SELECT lam, 'l_quantity', {S('b1')} FROM b""")
+def q_ridge_path(spark, sf):
+    res = ev.ridge(_li(spark, sf), "l_extendedprice", ["l_quantity"], [0.0, 100.0, 10000.0])
+    rows = [(float(r["lambda"]), t, sig(b)) for r in res for t, b in zip(["const", "l_quantity"], r["coef"])]
+    return spark.createDataFrame(rows, "lambda double, term string, coefficient double")
+
+
+# ========================================================== prediction
+@register("predict_linear_intervals", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT l_orderkey, l_linenumber, {S('b0 + b1 * l_quantity')} AS prediction,
+  {S('sqrt(s2 * (1.0 / n + pow(l_quantity - xbar, 2) / sxx))')} AS se_mean,
+  {S('sqrt(s2 * (1.0 + 1.0 / n + pow(l_quantity - xbar, 2) / sxx))')} AS se_obs FROM lineitem, f""")
+def q_predict_linear_intervals(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    m = score.predict_linear(fit, li, "mean", keep=["l_orderkey", "l_linenumber"])
+    return m.select("l_orderkey", "l_linenumber", sig_col("prediction").alias("prediction"),
+                    sig_col("se").alias("se_mean"),
+                    sig_col(F.sqrt(F.col("se") ** 2 + F.lit(fit.sigma2))).alias("se_obs"))
+
+
+# ====================================================== interpretation
+@register("elasticities", f"""
+WITH {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')}
+SELECT 'l_quantity' AS term, {S('b1 * m1 / my')} AS elasticity FROM t_f
+UNION ALL SELECT 'l_discount', {S('b2 * m2 / my')} FROM t_f""")
+def q_elasticities(spark, sf):
+    fit = ols(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"])
+    return spark.createDataFrame(interp.elasticities(fit), "term string, elasticity double")
+
+
+@register("partial_dependence", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+g AS (SELECT i, lo + (hi - lo) * i / 19 AS v FROM r, range(0, 20) t(i))
+SELECT CAST(i AS INTEGER) AS grid_index, {S('v')} AS grid_value, {S('b0 + b1 * v')} AS partial_dependence FROM g, s""")
+def q_partial_dependence(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    pd_ = interp.partial_dependence(li, fit, "l_quantity", 20)
+    return pd_.select(F.col("grid_index").cast("int").alias("grid_index"), sig_col("grid_value").alias("grid_value"),
+                      sig_col("partial_dependence").alias("partial_dependence"))
+
+
+@register("driver_scenario", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+d AS (SELECT stddev_pop(l_quantity) AS sd FROM lineitem)
+SELECT 'base' AS metric, {S('ybar')} AS value FROM s UNION ALL SELECT 'scenario', {S('ybar + b1 * sd')} FROM s, d
+UNION ALL SELECT 'delta', {S('b1 * sd')} FROM s, d""")
+def q_driver_scenario(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    sd = li.agg(F.stddev_pop("l_quantity")).collect()[0][0]
+    return interp.scenario(li, fit, {"l_quantity": sd})
+
+
+@register("linear_attribution_summary", f"""
+WITH {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')}
+SELECT {S('avg(abs(b1 * (l_quantity - m1)))')} AS l_quantity, {S('avg(abs(b2 * (l_discount - m2)))')} AS l_discount
+FROM lineitem, t_f""")
+def q_linear_attribution_summary(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
+    m = interp.mean_abs_attribution(li, fit)
+    return m.select(*[sig_col(c).alias(c) for c in m.columns])
+
+
+@register("influence_top10", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s),
+r AS (SELECT l_orderkey, l_linenumber, 1.0 / n + pow(l_quantity - xbar, 2) / sxx AS h,
+      l_extendedprice - (b0 + b1 * l_quantity) AS e, s2 FROM lineitem, f),
+c AS (SELECT *, e * e / (s2 * (1 - h)) / 2.0 * h / (1 - h) AS d FROM r)
+SELECT l_orderkey, l_linenumber, {S('h')} AS leverage, {S('d')} AS cooks_d FROM c ORDER BY d DESC LIMIT 10""")
+def q_influence_top10(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    inf = diag.influence(li, fit, keep=["l_orderkey", "l_linenumber"])
+    top = inf.orderBy(F.col("cooks_d").desc()).limit(10)
+    return top.select("l_orderkey", "l_linenumber", sig_col("leverage").alias("leverage"),
+                      sig_col("cooks_d").alias("cooks_d"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIG_DIGITS = 6
+ZERO_SNAP = 1e-11  # |x| below this is reported as 0 (float noise around exact zeros)
 
 
 def col(c) -> Column:
@@ -103,8 +104,8 @@ def sig(x, digits: int = SIG_DIGITS):
     if x is None:
         return None
     x = float(x)
-    if math.isnan(x) or math.isinf(x) or x == 0.0:
-        return 0.0 if x == 0.0 else x
+    if math.isnan(x) or math.isinf(x) or abs(x) < ZERO_SNAP:
+        return 0.0 if abs(x) < ZERO_SNAP else x
     e = math.floor(math.log10(abs(x)))
     k = digits - 1 - e
     if k >= 0:
@@ -122,7 +123,7 @@ def sig_col(c, digits: int = SIG_DIGITS) -> Column:
     down = F.round(x / F.pow(F.lit(10.0), -k), 0) * F.pow(F.lit(10.0), -k)
     return (F.when(x.isNull(), F.lit(None).cast("double"))
             .when(F.isnan(x) | (x == F.lit(float("inf"))) | (x == F.lit(float("-inf"))), x)
-            .when(x == 0, F.lit(0.0))
+            .when(F.abs(x) < F.lit(ZERO_SNAP), F.lit(0.0))
             .when(k >= 0, up).otherwise(down))
 
 
@@ -131,6 +132,6 @@ def sig_sql(expr: str, digits: int = SIG_DIGITS) -> str:
     x = f"CAST(({expr}) AS DOUBLE)"
     k = f"({digits - 1} - CAST(floor(log10(abs({x}))) AS BIGINT))"
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) OR isinf({x}) THEN {x} "
-            f"WHEN {x} = 0 THEN 0.0 "
+            f"WHEN abs({x}) < {ZERO_SNAP!r} THEN 0.0 "
             f"WHEN {k} >= 0 THEN round({x} * pow(10.0, {k})) / pow(10.0, {k}) "
             f"ELSE round({x} / pow(10.0, -{k})) * pow(10.0, -{k}) END)")

@@ -219,9 +219,8 @@ def loo_linear(df: DataFrame, fit: LinearFit) -> dict:
 def time_cv_linear(df: DataFrame, target: str, features: list[str], period: Column, mode: str = "expanding",
                    window: int = 3) -> list[dict]:
     """Rolling / expanding-origin CV from one GRAM per period (cumulative sums)."""
-    data = design(df, target, features).withColumn("_p", period) if isinstance(period, Column) else None
-    if data is None:
-        data = design(df, target, features, extra=[period]).withColumn("_p", F.col(period))
+    pcol = period if isinstance(period, Column) else F.col(period)
+    data = design(df.withColumn("_p", pcol), target, features, extra=["_p"])
     names = list(features) + [target]
     rows = grouped_gram(data, ["_p"], names).collect()
     moms = sorted(((r["_p"], moments_from_row(r, names)) for r in rows), key=lambda t: t[0])
