@@ -26,8 +26,13 @@ from .operators import interpret as interp
 from .operators import score
 from .operators.discrete import glm, grouped_logit, logit, mnlogit, ordered, poisson, probability
 from .operators.interpret import effects_frame
+from .operators import causal
+from .operators import monitor as mon
+from .operators import panel
+from .operators import series
 from .operators.linear import ols, segmented_ols
 from .sources.scan import load
+from .streaming import stream
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -42,6 +47,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# lineitem has repeated (l_orderkey, l_linenumber) pairs; this key is unique
+LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def _li(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem")
 
@@ -807,3 +816,361 @@ def q_influence_top10(spark, sf):
     top = inf.orderBy(F.col("cooks_d").desc()).limit(10)
     return top.select("l_orderkey", "l_linenumber", sig_col("leverage").alias("leverage"),
                       sig_col("cooks_d").alias("cooks_d"))
+
+
+# =========================================================== series
+EV_ORDER = ["ts", "event_id"]
+
+
+def _ev(spark, sf):
+    return load(spark, sf, "events")
+
+
+@register("acf_events", f"""
+WITH m AS (SELECT avg(value) AS mu, sum((value - avg_v) * (value - avg_v)) AS den FROM events,
+           (SELECT avg(value) AS avg_v FROM events)),
+l AS (SELECT value, """ + ", ".join(f"lag(value, {k}) OVER (ORDER BY ts, event_id) AS l{k}" for k in range(1, 6)) + f""" FROM events)
+""" + "\nUNION ALL\n".join(
+    f"SELECT {k} AS lag, {S(f'sum((value - mu) * (l{k} - mu)) / any_value(den)')} AS acf FROM l, m WHERE l{k} IS NOT NULL"
+    for k in range(1, 6)).replace("WITH m AS (SELECT avg(value) AS mu,", "WITH m AS (SELECT any_value(avg_v) AS mu,"))
+def q_acf_events(spark, sf):
+    rho = series.acf(_ev(spark, sf), "value", EV_ORDER, 5)
+    return spark.createDataFrame([(k, sig(rho[k])) for k in range(1, 6)], "lag int, acf double")
+
+
+@register("adf_events", f"""
+WITH l AS (SELECT value - lag(value) OVER (ORDER BY ts, event_id) AS dy, lag(value) OVER (ORDER BY ts, event_id) AS yl
+           FROM events),
+{ols1_cte('(SELECT * FROM l WHERE dy IS NOT NULL)', 'dy', 'yl')},
+f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT {S('b1')} AS gamma, {S('b1 / sqrt(s2 / sxx)')} AS adf_stat, CAST(n AS BIGINT) AS n_obs FROM f""")
+def q_adf_events(spark, sf):
+    a = series.adf(_ev(spark, sf), "value", EV_ORDER, 0)
+    return spark.createDataFrame([(sig(a["gamma"]), sig(a["adf_stat"]), int(a["n_obs"]))],
+                                 "gamma double, adf_stat double, n_obs bigint")
+
+
+@register("cusum_events", f"""
+WITH m AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM events),
+c AS (SELECT sum(value - mu) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events, m),
+x AS (SELECT max(abs(s)) / (any_value(sd) * sqrt(any_value(n))) AS stat FROM c, m)
+SELECT {S('stat')} AS cusum_stat, {S(kolmogorov_sql('x.stat'))} AS p_value FROM x""")
+def q_cusum_events(spark, sf):
+    c = series.cusum(_ev(spark, sf), "value", EV_ORDER)
+    return spark.createDataFrame([(sig(c["cusum_stat"]), sig(c["p_value"]))], "cusum_stat double, p_value double")
+
+
+@register("lags_diffs_by_user", f"""
+SELECT event_id, {S('lag(value) OVER w')} AS value_lag1, {S('value - lag(value) OVER w')} AS value_diff1
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q_lags_diffs_by_user(spark, sf):
+    d = series.lags_and_diffs(_ev(spark, sf), "value", "user_id", EV_ORDER, lags=1, diff=1)
+    return d.select("event_id", sig_col("value_lag1").alias("value_lag1"), sig_col("value_diff1").alias("value_diff1"))
+
+
+@register("resample_hourly", f"""
+WITH b AS (SELECT event_type, date_trunc('hour', ts) AS slot, sum(value) AS v FROM events GROUP BY ALL),
+r AS (SELECT event_type, min(slot) AS lo, max(slot) AS hi FROM b GROUP BY event_type),
+sp AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS slot FROM r)
+SELECT sp.event_type, sp.slot, {S('coalesce(b.v, 0.0)')} AS value FROM sp LEFT JOIN b USING (event_type, slot)""")
+def q_resample_hourly(spark, sf):
+    r = series.resample(_ev(spark, sf), "ts", "1 hour", "value", "event_type", "sum")
+    return r.select("event_type", F.col("slot").cast("timestamp_ntz").alias("slot"), sig_col("value").alias("value"))
+
+
+@register("series_features_by_user", f"""
+WITH d AS (SELECT user_id, value AS x, row_number() OVER w AS t, lag(value) OVER w AS xl, lead(value) OVER w AS xd
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS n, {S('avg(x)')} AS mean, {S('stddev_samp(x)')} AS sd, {S('regr_slope(x, t)')} AS trend,
+       {S('corr(x, xl)')} AS acf1, CAST(sum(CASE WHEN x > xl AND x > xd THEN 1 ELSE 0 END) AS BIGINT) AS peaks
+FROM d GROUP BY user_id""")
+def q_series_features_by_user(spark, sf):
+    f = series.series_features(_ev(spark, sf), "user_id", EV_ORDER, "value")
+    return f.select("user_id", "n", *[sig_col(c).alias(c) for c in ("mean", "sd", "trend", "acf1")],
+                    F.col("peaks").cast("long").alias("peaks"))
+
+
+@register("ar1_by_event_type", f"""
+WITH l AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS x FROM events),
+s AS (SELECT event_type, regr_count(y, x) AS n, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0,
+      regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_avgx(y, x) AS xbar FROM l GROUP BY 1),
+f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT event_type, 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (1.0 / n + xbar * xbar / sxx))')} AS se FROM f
+UNION ALL SELECT event_type, 'value_l1', {S('b1')}, {S('sqrt(s2 / sxx)')} FROM f""")
+def q_ar1_by_event_type(spark, sf):
+    return series.ar_by_series(_ev(spark, sf), "value", "event_type", EV_ORDER, 1).select(
+        "event_type", "term", "coefficient", "se")
+
+
+# ============================================================ panel
+@register("panel_within", f"""
+WITH m AS (SELECT l_suppkey, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem GROUP BY 1),
+d AS (SELECT l_extendedprice - my AS y, l_quantity - mx AS x FROM lineitem JOIN m USING (l_suppkey)),
+s AS (SELECT sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy, count(*) AS n FROM d),
+g AS (SELECT count(*) AS gcount FROM m),
+f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - gcount - 1) AS s2 FROM s, g)
+SELECT 'l_quantity' AS term, {S('b')} AS coefficient, {S('sqrt(s2 / sxx)')} AS se FROM f""")
+def q_panel_within(spark, sf):
+    fit = panel.within(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return spark.createDataFrame([(t, b, s) for t, b, s, _, _ in fit.coef_rows()], "term string, coefficient double, se double")
+
+
+@register("panel_between", f"""
+WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem GROUP BY l_suppkey),
+{ols1_cte('m', 'y', 'x')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (1.0 / n + xbar * xbar / sxx))')} AS se FROM f
+UNION ALL SELECT 'l_quantity', {S('b1')}, {S('sqrt(s2 / sxx)')} FROM f""")
+def q_panel_between(spark, sf):
+    fit = panel.between(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return spark.createDataFrame([(t, b, s) for t, b, s, _, _ in fit.coef_rows()], "term string, coefficient double, se double")
+
+
+@register("panel_first_difference", f"""
+WITH d AS (SELECT l_extendedprice - lag(l_extendedprice) OVER w AS y, l_quantity - lag(l_quantity) OVER w AS x
+           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+s AS (SELECT sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy, count(*) AS n FROM d WHERE y IS NOT NULL),
+f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 1) AS s2 FROM s)
+SELECT 'l_quantity' AS term, {S('b')} AS coefficient, {S('sqrt(s2 / sxx)')} AS se FROM f""")
+def q_panel_first_difference(spark, sf):
+    fit = panel.first_difference(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey",
+                                 LI_KEY)
+    return spark.createDataFrame([(t, b, s) for t, b, s, _, _ in fit.coef_rows()], "term string, coefficient double, se double")
+
+
+@register("panel_fe_f_test", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+m AS (SELECT l_suppkey, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem GROUP BY 1),
+d AS (SELECT l_extendedprice - my AS y, l_quantity - mx AS x FROM lineitem JOIN m USING (l_suppkey)),
+w AS (SELECT sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x) AS ssr_fe, count(*) AS nn FROM d),
+g AS (SELECT count(*) AS gcount FROM m)
+SELECT {S('((s.syy - s.b1 * s.sxy) - ssr_fe) / (gcount - 1) / (ssr_fe / (nn - gcount - 1))')} AS f_stat,
+       CAST(gcount - 1 AS BIGINT) AS df_num, CAST(nn - gcount - 1 AS BIGINT) AS df_den FROM s, w, g""")
+def q_panel_fe_f_test(spark, sf):
+    r = panel.fe_f_test(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return spark.createDataFrame([(sig(r["f_stat"]), int(r["df_num"]), int(r["df_den"]))],
+                                 "f_stat double, df_num bigint, df_den bigint")
+
+
+@register("panel_random_effects_hausman")
+def q_panel_random_effects_hausman(spark, sf):
+    li = _li(spark, sf)
+    fe = panel.within(li, "l_extendedprice", ["l_quantity"], "l_suppkey")
+    re_ = panel.random_effects(li, "l_extendedprice", ["l_quantity"], "l_suppkey")
+    h = panel.hausman(fe, re_)
+    rows = [("re:" + t, b, s) for t, b, s, _, _ in re_.coef_rows()] + [("hausman", sig(h["hausman"]), sig(h["p_value"]))]
+    return spark.createDataFrame(rows, "term string, value double, extra double")
+
+
+# =========================================================== causal
+@register("iv2sls_just_identified", f"""
+WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(l_tax) AS sz, sum(l_quantity) AS sx, sum(l_extendedprice) AS sy,
+      sum(l_tax * l_quantity) AS szx, sum(l_tax * l_extendedprice) AS szy, sum(l_tax * l_tax) AS szz FROM lineitem),
+b AS (SELECT *, n * szx - sz * sx AS det, (n * szy - sz * sy) / (n * szx - sz * sx) AS b1 FROM s),
+c AS (SELECT *, sy / n - b1 * sx / n AS b0 FROM b),
+r AS (SELECT sum(pow(l_extendedprice - b0 - b1 * l_quantity, 2)) / (any_value(n) - 2) AS s2 FROM lineitem, c),
+v AS (SELECT *, s2 * (sz * sz * n - 2 * sz * n * sz + n * n * szz) / (det * det) AS v11 FROM c, r)
+SELECT 'l_quantity' AS term, {S('b1')} AS coefficient, {S('sqrt(v11)')} AS se FROM v""")
+def q_iv2sls_just_identified(spark, sf):
+    r = causal.iv2sls(_li(spark, sf), "l_extendedprice", [], ["l_quantity"], ["l_tax"])
+    i = r["terms"].index("l_quantity")
+    return spark.createDataFrame([("l_quantity", sig(r["beta"][i]), sig(r["se"][i]))],
+                                 "term string, coefficient double, se double")
+
+
+DID_SRC = ("(SELECT l_extendedprice AS y, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t, "
+           "CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 1 ELSE 0 END AS p FROM lineitem)")
+
+
+@register("did_2x2", f"""
+WITH c AS (SELECT t, p, avg(y) AS m, count(*) AS k, sum(y * y) - count(*) * avg(y) * avg(y) AS ss FROM {DID_SRC} GROUP BY t, p),
+e AS (SELECT sum(CASE WHEN t = 1 AND p = 1 THEN m WHEN t = 1 AND p = 0 THEN -m WHEN t = 0 AND p = 1 THEN -m ELSE m END) AS did,
+      sum(ss) / (sum(k) - 4) AS s2, sum(1.0 / k) AS ik FROM c)
+SELECT {S('did')} AS did, {S('sqrt(s2 * ik)')} AS se FROM e""")
+def q_did_2x2(spark, sf):
+    d = _li(spark, sf).select(
+        "l_extendedprice", (F.col("l_returnflag") == "R").cast("double").alias("treat"),
+        (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("double").alias("post"))
+    r = causal.did(d, "l_extendedprice", "treat", "post")
+    return spark.createDataFrame([(sig(r["did"]), sig(r["se"]))], "did double, se double")
+
+
+def _rdd_side(cond: str, name: str) -> str:
+    return f"""{name}_d AS (SELECT l_extendedprice AS y, l_quantity - 25.0 AS x, 1 - abs(l_quantity - 25.0) / 10.0 AS w
+  FROM lineitem WHERE abs(l_quantity - 25.0) < 10.0 AND {cond}),
+{name}_s AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx_r,
+  sum(w * x * y) AS sxy_r, sum(w * y * y) AS syy_r FROM {name}_d),
+{name} AS (SELECT *, (sxy_r - sx * sy / sw) / (sxx_r - sx * sx / sw) AS b1, sx / sw AS xb, sy / sw AS yb,
+  sxx_r - sx * sx / sw AS sxx, syy_r - sy * sy / sw AS syy, sxy_r - sx * sy / sw AS sxy FROM {name}_s),
+{name}_f AS (SELECT *, yb - b1 * xb AS b0, (syy - b1 * sxy) / (n - 2) * (1.0 / sw + xb * xb / sxx) AS v0 FROM {name})"""
+
+
+@register("rdd_local_linear", f"""
+WITH {_rdd_side('l_quantity - 25.0 >= 0', 'rt')}, {_rdd_side('l_quantity - 25.0 < 0', 'lf')}
+SELECT {S('rt_f.b0 - lf_f.b0')} AS jump, {S('sqrt(rt_f.v0 + lf_f.v0)')} AS se, CAST(lf_f.n AS BIGINT) AS n_left,
+       CAST(rt_f.n AS BIGINT) AS n_right FROM rt_f, lf_f""")
+def q_rdd_local_linear(spark, sf):
+    r = causal.rdd(_li(spark, sf), "l_extendedprice", "l_quantity", 25.0, 10.0)
+    return spark.createDataFrame([(sig(r["jump"]), sig(r["se"]), int(r["n_left"]), int(r["n_right"]))],
+                                 "jump double, se double, n_left bigint, n_right bigint")
+
+
+@register("covariate_balance", f"""
+WITH d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t, l_quantity, l_discount FROM lineitem)
+SELECT 'l_quantity' AS covariate, {S('avg(CASE WHEN t = 1 THEN l_quantity END)')} AS mean_treated,
+  {S('avg(CASE WHEN t = 0 THEN l_quantity END)')} AS mean_control,
+  {S('(avg(CASE WHEN t = 1 THEN l_quantity END) - avg(CASE WHEN t = 0 THEN l_quantity END)) / sqrt((var_pop(CASE WHEN t = 1 THEN l_quantity END) + var_pop(CASE WHEN t = 0 THEN l_quantity END)) / 2)')} AS smd FROM d
+UNION ALL
+SELECT 'l_discount', {S('avg(CASE WHEN t = 1 THEN l_discount END)')}, {S('avg(CASE WHEN t = 0 THEN l_discount END)')},
+  {S('(avg(CASE WHEN t = 1 THEN l_discount END) - avg(CASE WHEN t = 0 THEN l_discount END)) / sqrt((var_pop(CASE WHEN t = 1 THEN l_discount END) + var_pop(CASE WHEN t = 0 THEN l_discount END)) / 2)')} FROM d""")
+def q_covariate_balance(spark, sf):
+    b = causal.balance(_binary_li(spark, sf), "is_r", ["l_quantity", "l_discount"])
+    return b.select("covariate", *[sig_col(c).alias(c) for c in ("mean_treated", "mean_control", "smd")])
+
+
+@register("ipw_ate", f"""
+WITH d AS (SELECT l_extendedprice AS y, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS t,
+           CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS z FROM lineitem),
+p AS (SELECT z, avg(t) AS ps FROM d GROUP BY z),
+r AS (SELECT y, t, ps FROM d JOIN p USING (z))
+SELECT {S('sum(t * y / ps) / sum(t / ps) - sum((1 - t) * y / (1 - ps)) / sum((1 - t) / (1 - ps))')} AS ate FROM r""")
+def q_ipw_ate(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "status_f", ["is_r"])
+    return spark.createDataFrame([(sig(causal.ipw_ate(d, "l_extendedprice", "status_f", probability(fit))),)], "ate double")
+
+
+@register("psm_att")
+def q_psm_att(spark, sf):
+    d = _li(spark, sf).select(*LI_KEY, "l_quantity", "l_discount", "l_extendedprice",
+                              (F.col("l_linestatus") == "F").cast("double").alias("status_f"))
+    r = causal.psm_att(d, "status_f", "l_extendedprice", ["l_quantity", "l_discount"], LI_KEY, caliper=0.01)
+    return spark.createDataFrame([(sig(r["att"]), sig(r["se"]), int(r["matched"]), int(r["unmatched"]))],
+                                 "att double, se double, matched bigint, unmatched bigint")
+
+
+@register("t_learner_uplift", f"""
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS t FROM lineitem),
+a AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM d WHERE t = 1),
+b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM d WHERE t = 0)
+SELECT {S('avg((a.b0 + a.b1 * d.x) - (b.b0 + b.b1 * d.x))')} AS mean_uplift FROM d, a, b""")
+def q_t_learner_uplift(spark, sf):
+    d = _binary_li(spark, sf)
+    up, _ = causal.t_learner(d, "l_extendedprice", "is_r", ["l_quantity"])
+    return d.agg(sig_col(F.avg(up)).alias("mean_uplift"))
+
+
+# ========================================================== monitors
+SPLIT = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def _ev_halves(spark, sf):
+    e = _ev(spark, sf)
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)
+
+
+@register("ks_drift_events", f"""
+WITH a AS (SELECT value AS v FROM events WHERE ts < {SPLIT}), b AS (SELECT value AS v FROM events WHERE ts >= {SPLIT}),
+na AS (SELECT count(*) AS n FROM a), nb AS (SELECT count(*) AS n FROM b),
+u AS (SELECT v, count(*) AS ca, 0 AS cb FROM a GROUP BY v UNION ALL SELECT v, 0, count(*) FROM b GROUP BY v),
+g AS (SELECT v, sum(ca) AS ca, sum(cb) AS cb FROM u GROUP BY v),
+c AS (SELECT sum(ca) OVER w AS fa, sum(cb) OVER w AS fb FROM g WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT max(abs(fa / na.n - fb / nb.n)) AS ks, any_value(na.n) AS n1, any_value(nb.n) AS n2 FROM c, na, nb),
+e AS (SELECT *, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * ks AS lam FROM d)
+SELECT {S('ks')} AS ks_stat, {S(kolmogorov_sql('e.lam'))} AS p_value FROM e""")
+def q_ks_drift_events(spark, sf):
+    a, b = _ev_halves(spark, sf)
+    r = ev.ks_two_sample(a, b, "value")
+    return spark.createDataFrame([(sig(r["ks_stat"]), sig(r["p_value"]))], "ks_stat double, p_value double")
+
+
+@register("psi_events", f"""
+WITH a AS (SELECT value AS v FROM events WHERE ts < {SPLIT}), b AS (SELECT value AS v FROM events WHERE ts >= {SPLIT}),
+va AS (SELECT v, count(*) AS k FROM a GROUP BY v),
+cum AS (SELECT v, sum(k) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS ck, sum(k) OVER () AS n FROM va),
+cuts AS (SELECT DISTINCT (SELECT min(v) FROM cum WHERE ck * 10 >= i * n) AS cut FROM range(1, 10) t(i)),
+ba AS (SELECT (SELECT count(*) FROM cuts WHERE a.v >= cut) AS bin FROM a),
+bb AS (SELECT (SELECT count(*) FROM cuts WHERE b.v >= cut) AS bin FROM b),
+ca AS (SELECT bin, count(*) AS na FROM ba GROUP BY bin), cb AS (SELECT bin, count(*) AS nb FROM bb GROUP BY bin),
+j AS (SELECT coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM ca FULL JOIN cb USING (bin)),
+s AS (SELECT greatest(na / sum(na) OVER (), 1e-4) AS sa, greatest(nb / sum(nb) OVER (), 1e-4) AS sb FROM j)
+SELECT {S('sum((sb - sa) * ln(sb / sa))')} AS psi FROM s""")
+def q_psi_events(spark, sf):
+    a, b = _ev_halves(spark, sf)
+    return spark.createDataFrame([(sig(mon.psi(a, b, "value")["psi"]),)], "psi double")
+
+
+@register("auc_decay_by_year", f"""
+WITH g AS (SELECT year(l_shipdate) AS period, l_discount AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS pos,
+           sum(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE 1.0 END) AS neg FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY period ORDER BY s ROWS UNBOUNDED PRECEDING) AS cn FROM g),
+a AS (SELECT period, sum(pos * (cn - 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc, CAST(sum(pos + neg) AS BIGINT) AS n
+      FROM c GROUP BY period),
+l AS (SELECT *, auc < 0.5 AS low FROM a),
+gr AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (ORDER BY period ROWS UNBOUNDED PRECEDING) AS grp FROM l),
+r AS (SELECT *, CASE WHEN low THEN count(*) OVER (PARTITION BY grp, low ORDER BY period ROWS UNBOUNDED PRECEDING) ELSE 0 END AS low_run FROM gr)
+SELECT CAST(period AS INTEGER) AS period, {S('auc')} AS auc, n, low, CAST(low_run AS INTEGER) AS low_run, low_run >= 2 AS alarm FROM r""")
+def q_auc_decay_by_year(spark, sf):
+    d = _li(spark, sf).select((F.col("l_returnflag") == "R").cast("double").alias("is_r"), "l_discount",
+                              F.year("l_shipdate").alias("yr"))
+    a = mon.auc_decay(d, "is_r", "l_discount", F.col("yr"), floor=0.5, runs=2)
+    return a.select(F.col("period").cast("int").alias("period"), sig_col("auc").alias("auc"), "n", "low",
+                    "low_run", "alarm")
+
+
+# ========================================================== streaming
+def _events_schema(spark, sf):
+    return _ev(spark, sf).schema
+
+
+@register("stream_window_stats", f"""
+WITH d AS (SELECT date_trunc('day', ts) AS window_start, value FROM events),
+w AS (SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS n, sum(value) AS s, min(value) AS mn,
+      max(value) AS mx FROM d GROUP BY window_start)
+SELECT window_start, window_end, n, {S('s')} AS sum, {S('mn')} AS min, {S('mx')} AS max FROM w
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_window_stats(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf), ts="ts")
+    out = stream.run_to_table(stream.window_stats(s, "ts", "value", "1 day", watermark="1 hour"),
+                              stream.scratch(spark, "window-stats"))
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n",
+                    sig_col("sum").alias("sum"), sig_col("min").alias("min"), sig_col("max").alias("max"))
+
+
+@register("stream_score", f"""
+WITH {ols1_cte('events', 'value', 'user_id')}
+SELECT event_id, {S('b0 + b1 * user_id')} AS prediction FROM events, s""")
+def q_stream_score(spark, sf):
+    fit = ols(_ev(spark, sf), "value", ["user_id"])
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf))
+    out = stream.run_to_table(stream.score_stream(s, fit.linear_predictor(), ["event_id"]), stream.scratch(spark, "score"))
+    return spark.read.parquet(out).select("event_id", sig_col("prediction").alias("prediction"))
+
+
+@register("stream_gram_fit", f"""
+WITH c AS (SELECT max(date_trunc('day', ts) + INTERVAL 1 DAY) FILTER (WHERE date_trunc('day', ts) + INTERVAL 1 DAY
+           <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS hi FROM events),
+{ols1_cte('(SELECT * FROM events WHERE ts < (SELECT hi FROM c))', 'value', 'user_id')}
+SELECT 'const' AS term, {S('b0')} AS coefficient FROM s UNION ALL SELECT 'user_id', {S('b1')} FROM s""")
+def q_stream_gram_fit(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf), ts="ts")
+    out = stream.gram_stream(s, "ts", "value", ["user_id"], "1 day", stream.scratch(spark, "gram"))
+    (beta, _, _, _), _ = stream.fit_from_gram_rows(spark.read.parquet(out), "value", ["user_id"])
+    return spark.createDataFrame([("const", sig(beta[0])), ("user_id", sig(beta[1]))], "term string, coefficient double")
+
+
+@register("stream_cusum_by_type", f"""
+WITH c AS (SELECT event_type, sum(value - 100.0) OVER (PARTITION BY event_type ORDER BY ts, event_id
+           ROWS UNBOUNDED PRECEDING) AS s FROM events)
+SELECT event_type AS key, count(*) AS n, {S('max(abs(least(s, 0.0)))')} AS neg_excursion,
+       {S('max(greatest(s, 0.0))')} AS pos_excursion FROM c GROUP BY event_type""")
+def q_stream_cusum_by_type(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf))
+    cs = stream.cusum_stream(s, "event_type", "value", 100.0, 1e9, order_by=EV_ORDER)
+    out = stream.run_to_table(cs, stream.scratch(spark, "cusum"))
+    r = spark.read.parquet(out)
+    last = r.groupBy("key").agg(F.max_by(F.struct("n", "smax", "smin"), "n").alias("x"))
+    return last.select("key", F.col("x.n").alias("n"), sig_col(F.abs(F.col("x.smin"))).alias("neg_excursion"),
+                       sig_col(F.col("x.smax")).alias("pos_excursion"))

@@ -271,7 +271,12 @@ def glm(df: DataFrame, y: str, features: list[str], family: str = "binomial", li
         info = -res.hess
         cov = np.linalg.inv(info)
         # null log-likelihood: intercept-only model at the closed-form optimum
-        ll_null = _null_llf(data, family, link, yc, wc, oc if offset else None, start0, alpha)
+        if family == "binomial" and not offset:
+            # closed form: sum w [y ln ybar + (1 - y) ln(1 - ybar)]
+            sy, sw = agg["sy"], agg["sw"]
+            ll_null = sy * math.log(ybar) + (sw - sy) * math.log(1 - ybar)
+        else:
+            ll_null = _null_llf(data, family, link, yc, wc, oc if offset else None, start0, alpha)
         fit = DiscreteFit(family if family != "binomial" else link, [CONST] + list(features), res.theta, cov,
                           res.llf, ll_null, res.n, 2 if family == "binomial" else 0, res.converged,
                           res.iterations, list(features), y)

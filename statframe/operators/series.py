@@ -277,8 +277,9 @@ def engle_granger(df: DataFrame, y: str, x: str, order_by) -> dict:
 def series_features(df: DataFrame, series, ts: str, x: str) -> DataFrame:
     """Per-series mean, sd, trend slope, lag-1 autocorrelation, local peaks."""
     series = [series] if isinstance(series, str) else list(series)
-    w = Window.partitionBy(*series).orderBy(ts)
-    d = (df.select(*series, ts, F.col(x).cast("double").alias("_x"))
+    tcols = _ob(ts)
+    w = Window.partitionBy(*series).orderBy(*tcols)
+    d = (df.select(*series, *tcols, F.col(x).cast("double").alias("_x"))
          .withColumn("_t", F.row_number().over(w).cast("double"))
          .withColumn("_lag", F.lag("_x").over(w)).withColumn("_lead", F.lead("_x").over(w)))
     return d.groupBy(*series).agg(

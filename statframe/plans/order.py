@@ -130,3 +130,44 @@ class GlobalOrder:
         for j, c in enumerate(cols):
             out = out.withColumn(f"{c}_cum", F.col(f"_o{j}") + F.sum(F.col(c).cast("double")).over(run))
         return out.drop("_off", *[f"_o{j}" for j in range(len(cols))])
+
+    # ------------------------------------------------ as-of neighbours
+    def with_neighbors(self, cols: list[str]) -> DataFrame:
+        """Adds ``{c}_prev`` / ``{c}_next``: the last non-null value of ``c`` at or
+        before the row and the first non-null value at or after it, in the global
+        order. One windowed pass; bucket edges come from a per-bucket summary
+        (``max_by`` / ``min_by`` over non-null rows) carried across buckets on
+        the driver (at most ``n_buckets`` rows), then broadcast.
+        """
+        bd = self.bucketed
+        okey = F.struct(*[F.col(c) for c in self.order_by])
+        aggs = []
+        for j, c in enumerate(cols):
+            v = F.col(c).cast("double")
+            aggs += [F.max_by(v, F.when(v.isNotNull(), okey)).alias(f"l{j}"),
+                     F.min_by(v, F.when(v.isNotNull(), okey)).alias(f"f{j}")]
+        summ = sorted(bd.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
+        m = len(cols)
+        prev_edge: dict = {}
+        acc = [None] * m
+        for r in summ:
+            prev_edge[r["_b"]] = list(acc)
+            acc = [r[f"l{j}"] if r[f"l{j}"] is not None else acc[j] for j in range(m)]
+        next_edge: dict = {}
+        acc = [None] * m
+        for r in reversed(summ):
+            next_edge[r["_b"]] = list(acc)
+            acc = [r[f"f{j}"] if r[f"f{j}"] is not None else acc[j] for j in range(m)]
+        rows = [(b, *prev_edge[b], *next_edge[b]) for b in prev_edge]
+        schema = T.StructType([T.StructField("_b", T.IntegerType())]
+                              + [T.StructField(f"_pe{j}", T.DoubleType()) for j in range(m)]
+                              + [T.StructField(f"_ne{j}", T.DoubleType()) for j in range(m)])
+        edf = bd.sparkSession.createDataFrame(rows, schema)
+        back = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fwd = self.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        out = bd.join(F.broadcast(edf), "_b")
+        for j, c in enumerate(cols):
+            v = F.col(c).cast("double")
+            out = out.withColumn(f"{c}_prev", F.coalesce(F.last(v, ignorenulls=True).over(back), F.col(f"_pe{j}")))
+            out = out.withColumn(f"{c}_next", F.coalesce(F.first(v, ignorenulls=True).over(fwd), F.col(f"_ne{j}")))
+        return out.drop(*[f"_pe{j}" for j in range(m)], *[f"_ne{j}" for j in range(m)])
