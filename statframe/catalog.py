@@ -27,6 +27,10 @@ from .operators import score
 from .operators.discrete import glm, grouped_logit, logit, mnlogit, ordered, poisson, probability
 from .operators.interpret import effects_frame
 from .operators import causal
+from .operators import report as rep
+from .operators import trees
+from .sources import profile as prof
+from .sources import registry as reg
 from .operators import monitor as mon
 from .operators import panel
 from .operators import series
@@ -1174,3 +1178,208 @@ def q_stream_cusum_by_type(spark, sf):
     last = r.groupBy("key").agg(F.max_by(F.struct("n", "smax", "smin"), "n").alias("x"))
     return last.select("key", F.col("x.n").alias("n"), sig_col(F.abs(F.col("x.smin"))).alias("neg_excursion"),
                        sig_col(F.col("x.smax")).alias("pos_excursion"))
+
+
+# ========================================================== features
+@register("dummies_segment", f"""
+SELECT c_custkey, """ + ", ".join(
+    f"CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS \"c_mktsegment_{v}\""
+    for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
+def q_dummies_segment(spark, sf):
+    d, names = feat.dummies(load(spark, sf, "customer"), "c_mktsegment")
+    return d.select("c_custkey", *names)
+
+
+@register("feature_transforms", f"""
+WITH m AS (SELECT avg(l_extendedprice) AS mu, stddev_pop(l_extendedprice) AS sd, min(l_discount) AS lo,
+           max(l_discount) AS hi FROM lineitem)
+SELECT l_orderkey, l_linenumber, {S('ln(1 + l_extendedprice)')} AS log1p_price,
+  {S('l_quantity * l_discount')} AS qty_x_disc, {S('(l_extendedprice - mu) / sd')} AS z_price,
+  {S('(l_discount - lo) / (hi - lo)')} AS mm_discount,
+  CAST((CASE WHEN l_extendedprice >= 10000 THEN 1 ELSE 0 END) + (CASE WHEN l_extendedprice >= 30000 THEN 1 ELSE 0 END)
+   + (CASE WHEN l_extendedprice >= 50000 THEN 1 ELSE 0 END) + (CASE WHEN l_extendedprice >= 70000 THEN 1 ELSE 0 END)
+   AS INTEGER) AS price_bin
+FROM lineitem, m""")
+def q_feature_transforms(spark, sf):
+    li = _li(spark, sf)
+    d = feat.log1p(li, "l_extendedprice", "log1p_price")
+    d = feat.interact(d, "l_quantity", "l_discount", "qty_x_disc")
+    d = feat.scale(d, ["l_extendedprice"], "zscore")
+    d = feat.scale(d, ["l_discount"], "minmax")
+    d = d.withColumn("price_bin", feat.bin_edges("l_extendedprice", [10000, 30000, 50000, 70000]))
+    return d.select("l_orderkey", "l_linenumber", sig_col("log1p_price").alias("log1p_price"),
+                    sig_col("qty_x_disc").alias("qty_x_disc"), sig_col("z_l_extendedprice").alias("z_price"),
+                    sig_col("mm_l_discount").alias("mm_discount"), "price_bin")
+
+
+@register("nps3_counts", """
+SELECT CASE WHEN s <= 6 THEN 0 WHEN s <= 8 THEN 1 ELSE 2 END AS nps3, count(*) AS n
+FROM (SELECT round(l_discount * 100) AS s FROM lineitem) GROUP BY 1""")
+def q_nps3_counts(spark, sf):
+    d = _li(spark, sf).withColumn("score", F.round(F.col("l_discount") * 100))
+    return d.groupBy(feat.nps3("score").alias("nps3")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("strata_weights", """
+WITH s AS (SELECT o_orderpriority, count(*) AS n_sample FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+p AS (SELECT o_orderpriority, count(*) AS n_pop FROM orders GROUP BY 1)
+SELECT o_orderpriority, n_sample, n_pop, CAST(n_pop AS DOUBLE) / n_sample AS weight FROM s JOIN p USING (o_orderpriority)""")
+def q_strata_weights(spark, sf):
+    o = load(spark, sf, "orders")
+    return feat.strata_weights(o.where(F.col("o_orderstatus") == "F"), o, "o_orderpriority").select(
+        "o_orderpriority", "n_sample", "n_pop", "weight")
+
+
+@register("counts_by_cell", """
+SELECT l_linestatus, l_linenumber, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS successes,
+       count(*) AS trials FROM lineitem GROUP BY 1, 2""")
+def q_counts_by_cell(spark, sf):
+    d = _li(spark, sf).withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
+    return feat.to_counts(d, "is_r", ["l_linestatus", "l_linenumber"])
+
+
+@register("target_encoding_by_year", f"""
+WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year(l_shipdate) AS fold,
+           CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+cf AS (SELECT l_suppkey, fold, sum(y) AS s, count(*) AS k FROM d GROUP BY 1, 2),
+ct AS (SELECT l_suppkey, sum(s) AS st, sum(k) AS kt FROM cf GROUP BY 1),
+ff AS (SELECT fold, sum(y) AS fs, count(*) AS fk FROM d GROUP BY 1),
+tt AS (SELECT sum(y) AS ts, count(*) AS tk FROM d),
+enc AS (SELECT l_suppkey, fold, ((st - s) + 10.0 * ((ts - fs) / (tk - fk))) / ((kt - k) + 10.0) AS te
+        FROM cf JOIN ct USING (l_suppkey) JOIN ff USING (fold), tt)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {S('te')} AS te_supp FROM d JOIN enc USING (l_suppkey, fold)""")
+def q_target_encoding_by_year(spark, sf):
+    d = _li(spark, sf).select(*LI_KEY, F.year("l_shipdate").alias("yr"),
+                              (F.col("l_returnflag") == "R").cast("double").alias("is_r"))
+    te = feat.target_encode(d, "l_suppkey", "is_r", smoothing=10.0, fold=F.col("yr"), out="te_supp")
+    return te.select(*LI_KEY, sig_col("te_supp").alias("te_supp"))
+
+
+@register("child_aggregates", f"""
+SELECT o_orderkey, count(l_orderkey) AS n_children, {S('sum(l_quantity)')} AS sum_l_quantity,
+       {S('avg(l_extendedprice)')} AS avg_l_extendedprice
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q_child_aggregates(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey")
+    c = feat.child_features(o, _li(spark, sf), "o_orderkey", "l_orderkey", ["l_quantity", "l_extendedprice"],
+                            aggs=("sum", "avg"))
+    return c.select("o_orderkey", F.col("n_children"), sig_col("sum_l_quantity").alias("sum_l_quantity"),
+                    sig_col("avg_l_extendedprice").alias("avg_l_extendedprice"))
+
+
+# =========================================================== sources
+@register("profile_lineitem", f"""
+SELECT * FROM (""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", "
+    f"{S(f'min({c})')} AS \"min\", {S(f'max({c})')} AS \"max\", {S(f'avg({c})')} AS mean, {S(f'stddev_samp({c})')} AS sd FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")")
+def q_profile_lineitem(spark, sf):
+    p = prof.profile(_li(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], exact_distinct=True)
+    return p.select("column", "n", "nulls", "distinct", *[sig_col(c).alias(c) for c in ("min", "max", "mean", "sd")])
+
+
+@register("constraint_violations", """
+SELECT * FROM (VALUES ('quantity_1_50', 0), ('discount_0_0.1', 1), ('returnflag_set', 2), ('shipdate_not_null', 3)) r(rule, i)
+JOIN (SELECT count(*) AS n,
+  sum(CASE WHEN l_quantity BETWEEN 1 AND 50 THEN 0 ELSE 1 END) AS v0,
+  sum(CASE WHEN l_discount BETWEEN 0 AND 0.1 THEN 0 ELSE 1 END) AS v1,
+  sum(CASE WHEN l_returnflag IN ('A', 'N', 'R') THEN 0 ELSE 1 END) AS v2,
+  sum(CASE WHEN l_shipdate IS NOT NULL THEN 0 ELSE 1 END) AS v3 FROM lineitem) ON TRUE
+""".replace("SELECT * FROM (VALUES", "SELECT rule, CAST(CASE i WHEN 0 THEN v0 WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v3 END AS BIGINT)"
+            " AS violations, n FROM (VALUES"))
+def q_constraint_violations(spark, sf):
+    return prof.check(_li(spark, sf), {
+        "quantity_1_50": prof.in_range("l_quantity", 1, 50), "discount_0_0.1": prof.in_range("l_discount", 0, 0.1),
+        "returnflag_set": prof.in_set("l_returnflag", ["A", "N", "R"]), "shipdate_not_null": prof.not_null("l_shipdate")})
+
+
+@register("csv_source_ols", O["ols_coefficients"])
+def q_csv_source_ols(spark, sf):
+    out = stream.scratch(spark, "lineitem-csv") + ".csv"
+    _li(spark, sf).select("l_extendedprice", "l_quantity").write.option("header", True).csv(out)
+    from .sources.scan import scan
+    d = scan(spark, out, "auto", schema="l_extendedprice double, l_quantity double")
+    fit = ols(d, "l_extendedprice", ["l_quantity"])
+    return fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+@register("sql_source_ols", f"""
+WITH {ols1_cte("(SELECT l_extendedprice, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+               'l_extendedprice', 'o_totalprice')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (1.0 / n + xbar * xbar / sxx))')} AS se FROM f
+UNION ALL SELECT 'o_totalprice', {S('b1')}, {S('sqrt(s2 / sxx)')} FROM f""")
+def q_sql_source_ols(spark, sf):
+    from .sources.scan import register_tables, scan
+    register_tables(spark, sf, ["lineitem", "orders"])
+    d = scan(spark, "", sql_query="SELECT l_extendedprice, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+    fit = ols(d, "l_extendedprice", ["o_totalprice"])
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("registry_roundtrip")
+def q_registry_roundtrip(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    fp = reg.dataset_fingerprint(li, ["l_extendedprice", "l_quantity"], "l_shipdate")
+    mid = reg.make_model_id("lineitem price", "ols", fp["hash"])
+    path = stream.scratch(spark, "registry")
+    reg.save_model(spark, fit, mid, fp, {"r_squared": fit.r2}, {"se_type": "nonrobust"}, path=path)
+    row = reg.load_model(spark, mid, path)
+    pred = li.select(reg.score_expression(row).alias("prediction"))
+    reg.write_predictions(pred, path + "-predictions", mid)
+    back = spark.read.parquet(path + "-predictions")
+    return back.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_predictions"), sig_col(F.avg("prediction")).alias("mean_prediction"))
+
+
+# ============================================================ report
+@register("resid_vs_fitted_bins", DECILES_SQL.replace(
+    "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, b0 + b1 * l_quantity AS p FROM lineitem, s",
+    "l_extendedprice - (b0 + b1 * l_quantity) AS y, b0 + b1 * l_quantity AS p FROM lineitem, s").replace(
+    LPM_SQL, ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')) + f"""
+SELECT CAST(bin AS INTEGER) AS bin, n, {S('mean_pred')} AS mean_fitted, {S('obs_rate')} AS mean_resid FROM cal""")
+def q_resid_vs_fitted_bins(spark, sf):
+    li = _li(spark, sf)
+    r = rep.resid_vs_fitted(li, ols(li, "l_extendedprice", ["l_quantity"]), 10)
+    return r.select(F.col("bin").cast("int").alias("bin"), "n", sig_col("mean_fitted").alias("mean_fitted"),
+                    sig_col("mean_resid").alias("mean_resid"))
+
+
+@register("resid_histogram", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
+m AS (SELECT min(e) AS lo, max(e) AS hi FROM r)
+SELECT CAST(least(floor((e - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, count(*) AS count FROM r, m GROUP BY 1""")
+def q_resid_histogram(spark, sf):
+    li = _li(spark, sf)
+    h = rep.resid_histogram(li, ols(li, "l_extendedprice", ["l_quantity"]), 30)
+    return h.select("bin", "count")
+
+
+@register("report_record")
+def q_report_record(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
+    tests = [diag.breusch_pagan(li, fit), diag.jarque_bera(li, fit)]
+    s = diag.summary(tests)
+    parts = {"fit": [(m, v) for m, v in fit.stat_rows()],
+             "tests": [(t[0], t[1], t[4]) for t in tests],
+             "summary": [("overall", None, s["overall"]), ("confidence_adjustment", s["confidence_adjustment"])],
+             "verdict": [("fit_quality", fit.r2, rep.fit_verdict(fit.r2, fit.n))]}
+    return rep.report_record(spark, "lineitem_ols", parts)
+
+
+# ============================================================= trees
+@register("forest_importance")
+def q_forest_importance(spark, sf):
+    li = _li(spark, sf)
+    m = trees.train_tree_model(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "forest",
+                               numTrees=20, maxDepth=5)
+    return spark.createDataFrame([(f, sig(v)) for f, v in trees.importance(m, ["l_quantity", "l_discount", "l_tax"])],
+                                 "feature string, importance double")
+
+
+@register("gbt_classifier_auc")
+def q_gbt_classifier_auc(spark, sf):
+    d = _binary_li(spark, sf)
+    m = trees.train_tree_model(d, "is_r", ["l_quantity", "l_discount", "status_f"], "gbt", "classification", maxIter=10)
+    return metrics_df(spark, list(trees.evaluate_tree(m, d, "is_r", "classification").items()))

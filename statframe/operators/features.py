@@ -109,7 +109,7 @@ def to_counts(df: DataFrame, y: str, cells: list[str]) -> DataFrame:
 
 
 def target_encode(df: DataFrame, col: str, y: str, folds: int = 5, smoothing: float = 10.0,
-                  key_cols: list[str] | None = None, out: str | None = None) -> DataFrame:
+                  key_cols: list[str] | None = None, out: str | None = None, fold: Column | None = None) -> DataFrame:
     """out-of-fold smoothed target mean per category.
 
     Category x fold sums are aggregated once (partial aggregation); the
@@ -117,19 +117,20 @@ def target_encode(df: DataFrame, col: str, y: str, folds: int = 5, smoothing: fl
     of the other folds. The per-category table is joined back by key (shuffle
     join; AQE splits skewed categories).
     """
-    keys = key_cols or df.columns
-    fold = F.pmod(F.xxhash64(F.lit(3), *[F.col(c) for c in keys]), F.lit(folds)).cast("int")
+    if fold is None:
+        keys = key_cols or df.columns
+        fold = F.pmod(F.xxhash64(F.lit(3), *[F.col(c) for c in keys]), F.lit(folds)).cast("int")
     d = df.withColumn("_fold", fold)
     yc = F.col(y).cast("double")
     cf = d.groupBy(col, "_fold").agg(F.sum(yc).alias("_s"), F.count(yc).alias("_n"))
-    ct = cf.groupBy(col).agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
+    ct = cf.groupBy(col).agg(F.sum("_s").alias("_tot_s"), F.sum("_n").alias("_tot_n"))
     ff = d.groupBy("_fold").agg(F.sum(yc).alias("_fs"), F.count(yc).alias("_fn"))
     tot = d.agg(F.sum(yc).alias("ts"), F.count(yc).alias("tn")).collect()[0]
     enc = (cf.join(ct, col).join(F.broadcast(ff), "_fold")
            .withColumn("_prior", (F.lit(float(tot["ts"])) - F.col("_fs")) / (F.lit(float(tot["tn"])) - F.col("_fn")))
            .withColumn(out or f"te_{col}",
-                       ((F.col("_S") - F.col("_s")) + F.lit(smoothing) * F.col("_prior"))
-                       / ((F.col("_N") - F.col("_n")) + F.lit(smoothing)))
+                       ((F.col("_tot_s") - F.col("_s")) + F.lit(smoothing) * F.col("_prior"))
+                       / ((F.col("_tot_n") - F.col("_n")) + F.lit(smoothing)))
            .select(col, "_fold", out or f"te_{col}"))
     return d.join(enc, [col, "_fold"], "left").drop("_fold")
 
