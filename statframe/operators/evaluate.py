@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,9 +51,14 @@ def auc(df: DataFrame, y, score) -> float:
     prefix sum of negatives over the score order, one final sum."""
     g = (df.select(_c(y).cast("double").alias("y"), _c(score).cast("double").alias("s")).dropna()
          .groupBy("s").agg(F.sum("y").alias("pos"), F.sum(F.lit(1.0) - F.col("y")).alias("neg")))
-    cum = GlobalOrder(g, ["s"]).with_running_sums(["neg"])
-    r = cum.agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.lit(0.5) * F.col("neg"))).alias("u"),
-                F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
+    # the per-score table feeds three GIDX passes (cuts, bucket summary, window): shuffle it once
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cum = GlobalOrder(g, ["s"]).with_running_sums(["neg"])
+        r = cum.agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.lit(0.5) * F.col("neg"))).alias("u"),
+                    F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
+    finally:
+        g.unpersist()
     return r["u"] / (r["P"] * r["N"])
 
 
@@ -110,11 +116,15 @@ def exact_cuts(df: DataFrame, col, g: int) -> list[float]:
     aggregate per cut -- no sort of all rows into one task.
     """
     v = (df.select(_c(col).cast("double").alias("v")).dropna().groupBy("v")
-         .agg(F.count(F.lit(1)).cast("double").alias("c")))
-    cum = GlobalOrder(v, ["v"]).with_running_sums(["c"])
-    n = v.agg(F.sum("c")).collect()[0][0]
-    aggs = [F.min(F.when(F.col("c_cum") * F.lit(g) >= F.lit(i * n), F.col("v"))).alias(f"q{i}") for i in range(1, g)]
-    r = cum.agg(*aggs).collect()[0]
+         .agg(F.count(F.lit(1)).cast("double").alias("c"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cum = GlobalOrder(v, ["v"]).with_running_sums(["c"])
+        n = v.agg(F.sum("c")).collect()[0][0]
+        aggs = [F.min(F.when(F.col("c_cum") * F.lit(g) >= F.lit(i * n), F.col("v"))).alias(f"q{i}")
+                for i in range(1, g)]
+        r = cum.agg(*aggs).collect()[0]
+    finally:
+        v.unpersist()
     return [r[f"q{i}"] for i in range(1, g)]
 
 
@@ -335,8 +345,11 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str) -> dict:
         F.count(F.lit(1)).cast("double").alias("ca"))
     vb = b.select(F.col(col).cast("double").alias("v")).dropna().groupBy("v").agg(
         F.count(F.lit(1)).cast("double").alias("cb"))
-    both = va.join(vb, "v", "full").fillna(0.0, ["ca", "cb"])
-    tot = both.agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).collect()[0]
-    cum = GlobalOrder(both, ["v"]).with_running_sums(["ca", "cb"])
-    d = cum.agg(F.max(F.abs(F.col("ca_cum") / F.lit(tot["na"]) - F.col("cb_cum") / F.lit(tot["nb"])))).collect()[0][0]
+    both = va.join(vb, "v", "full").fillna(0.0, ["ca", "cb"]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tot = both.agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).collect()[0]
+        cum = GlobalOrder(both, ["v"]).with_running_sums(["ca", "cb"])
+        d = cum.agg(F.max(F.abs(F.col("ca_cum") / F.lit(tot["na"]) - F.col("cb_cum") / F.lit(tot["nb"])))).collect()[0][0]
+    finally:
+        both.unpersist()
     return {"ks_stat": d, "p_value": dist.ks_two_sample_p(d, tot["na"], tot["nb"]), "n_a": tot["na"], "n_b": tot["nb"]}

@@ -60,9 +60,12 @@ class GlobalOrder:
         else:
             cuts = []
         cuts = sorted({float(x) for x in (cuts or []) if x is not None})
-        splits = [float("-inf")] + cuts + [float("inf")]
-        bz = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep")
-        self.bucketed = bz.transform(keyed).withColumn("_b", F.col("_bd").cast("int")).drop("_bd", "_k")
+        if cuts:
+            splits = [float("-inf")] + cuts + [float("inf")]
+            bz = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep")
+            self.bucketed = bz.transform(keyed).withColumn("_b", F.col("_bd").cast("int")).drop("_bd", "_k")
+        else:  # one bucket (or a constant key): no cut points to search
+            self.bucketed = keyed.withColumn("_b", F.lit(0)).drop("_k")
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 
     # ------------------------------------------------------------ lags
