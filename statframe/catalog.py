@@ -34,6 +34,7 @@ from .sources import registry as reg
 from .operators import monitor as mon
 from .operators import panel
 from .operators import series
+from .operators import linear as lin
 from .operators.linear import ols, segmented_ols
 from .sources.scan import load
 from .streaming import stream
@@ -1383,3 +1384,397 @@ def q_gbt_classifier_auc(spark, sf):
     d = _binary_li(spark, sf)
     m = trees.train_tree_model(d, "is_r", ["l_quantity", "l_discount", "status_f"], "gbt", "classification", maxIter=10)
     return metrics_df(spark, list(trees.evaluate_tree(m, d, "is_r", "classification").items()))
+
+
+# ================================================= diagnostics (more)
+@register("ljung_box_events", f"""
+WITH m AS (SELECT avg(value) AS mu, count(*) AS n FROM events),
+d AS (SELECT sum((value - mu) * (value - mu)) AS den FROM events, m),
+l AS (SELECT value, lag(value, 1) OVER (ORDER BY ts, event_id) AS l1, lag(value, 2) OVER (ORDER BY ts, event_id) AS l2 FROM events),
+r AS (SELECT sum((value - mu) * (l1 - mu)) / any_value(den) AS r1, sum(CASE WHEN l2 IS NOT NULL THEN (value - mu) * (l2 - mu) END)
+      / any_value(den) AS r2, any_value(n) AS n FROM l, m, d),
+q AS (SELECT n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)) AS q FROM r)
+SELECT 'ljung_box' AS test, {S('q')} AS statistic, 2.0 AS df, {S('exp(-q / 2)')} AS p_value, {flag_sql('exp(-q / 2)')} AS flag FROM q""")
+def q_ljung_box_events(spark, sf):
+    return tests_df(spark, [diag.ljung_box(_ev(spark, sf), "value", EV_ORDER, 2)])
+
+
+@register("sparse_cells_segment", f"""
+SELECT c_mktsegment, count(*) AS n, {S('count(*) / sum(count(*)) OVER ()')} AS share,
+       count(*) / sum(count(*)) OVER () < 0.05 AS sparse FROM customer GROUP BY 1""")
+def q_sparse_cells_segment(spark, sf):
+    s = diag.sparse_cells(load(spark, sf, "customer"), "c_mktsegment", 0.05)
+    return s.select("c_mktsegment", "n", sig_col("share").alias("share"), "sparse")
+
+
+@register("deviance_by_status", f"""WITH {SAT_CELLS},
+r AS (SELECT CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS status_f, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
+      CASE WHEN l_linestatus = 'F' THEN n11 / (n11 + n01) ELSE n10 / (n10 + n00) END AS p FROM lineitem, f)
+SELECT status_f, count(*) AS n, {S('sum(-2 * (y * ln(p) + (1 - y) * ln(1 - p)))')} AS deviance,
+       {S('sum((y - p) * (y - p) / (p * (1 - p)))')} AS pearson_chi2 FROM r GROUP BY status_f""")
+def q_deviance_by_status(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    t = diag.deviance_table(d, "is_r", probability(fit), "binomial", by=["status_f"])
+    return t.select("status_f", "n", sig_col("deviance").alias("deviance"), sig_col("pearson_chi2").alias("pearson_chi2"))
+
+
+@register("reset_test")
+def q_reset_test(spark, sf):
+    li = _li(spark, sf)
+    return tests_df(spark, [diag.reset(li, ols(li, "l_extendedprice", ["l_quantity", "l_discount"]))])
+
+
+@register("linktest_logit")
+def q_linktest_logit(spark, sf):
+    d = _binary_li(spark, sf)
+    return tests_df(spark, [diag.linktest(d, logit(d, "is_r", ["l_quantity", "l_discount"]), "logit")])
+
+
+@register("brant_priority")
+def q_brant_priority(spark, sf):
+    r = diag.brant(load(spark, sf, "orders"), "o_orderpriority", ["o_totalprice"])
+    return tests_df(spark, [("brant", sig(r["brant_stat"]), float(r["df"]), sig(r["p_value"]), diag.flag_p(r["p_value"]))])
+
+
+@register("shapiro_wilk_by_type")
+def q_shapiro_wilk_by_type(spark, sf):
+    s = diag.shapiro_wilk(_ev(spark, sf), "value", "event_type")
+    return s.select("event_type", "n", sig_col("W").alias("W"), sig_col("p_value").alias("p_value"))
+
+
+@register("wooldridge_serial_panel")
+def q_wooldridge_serial_panel(spark, sf):
+    r = panel.wooldridge_ac(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_KEY)
+    return spark.createDataFrame([(sig(r["rho"]), sig(r["f_stat"]), sig(r["p_value"]))], "rho double, f_stat double, p_value double")
+
+
+@register("vuong_logit_probit")
+def q_vuong_logit_probit(spark, sf):
+    d = _binary_li(spark, sf)
+    f1 = logit(d, "is_r", ["l_quantity", "l_discount"])
+    f2 = disc.probit(d, "is_r", ["l_quantity", "l_discount"])
+    y = F.col("is_r")
+    ll = lambda p: y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p)
+    return tests_df(spark, [diag.vuong(d, ll(probability(f1)), ll(probability(f2)))])
+
+
+@register("overdispersion_poisson")
+def q_overdispersion_poisson(spark, sf):
+    d = _ev(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n_events")) \
+        .withColumn("is_click", (F.col("event_type") == "click").cast("double"))
+    fit = poisson(d, "n_events", ["is_click"])
+    return tests_df(spark, diag.overdispersion(d, "n_events", probability(fit), fit.k))
+
+
+@register("sample_size_and_cutpoints")
+def q_sample_size_and_cutpoints(spark, sf):
+    o = load(spark, sf, "orders")
+    fit = ordered(o, "o_orderpriority", ["o_totalprice"], "logit")
+    counts = [r["n"] for r in diag.sparse_cells(o, "o_orderpriority").collect()]
+    rows = diag.sample_size_check(fit.n, fit.k, min_class=min(counts))
+    rows.append(("cutpoints_monotone", float(diag.cutpoints_monotone(list(fit.theta[1:]))), 1.0, "PASS"))
+    return spark.createDataFrame(rows, "rule string, value double, threshold double, flag string")
+
+
+# ================================================= models (more)
+@register("probit_fit")
+def q_probit_fit(spark, sf):
+    return disc.probit(_binary_li(spark, sf), "is_r", ["l_quantity", "l_discount"]).coefficients(spark)
+
+
+@register("ordered_probit_priority")
+def q_ordered_probit_priority(spark, sf):
+    return ordered(load(spark, sf, "orders"), "o_orderpriority", ["o_totalprice"], "probit").coefficients(spark)
+
+
+@register("negbin_counts")
+def q_negbin_counts(spark, sf):
+    d = _ev(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n_events")) \
+        .withColumn("is_click", (F.col("event_type") == "click").cast("double"))
+    fit = disc.negbin(d, "n_events", ["is_click"])
+    return fit.coefficients(spark).unionByName(spark.createDataFrame(
+        [("alpha", sig(fit.extra["alpha"]), None, None, None, None, None)], fit.coefficients(spark).schema))
+
+
+@register("tobit_discount")
+def q_tobit_discount(spark, sf):
+    return disc.tobit(_li(spark, sf), "l_discount", ["l_quantity"], lower=0.0).coefficients(spark)
+
+
+@register("heckman_two_step")
+def q_heckman_two_step(spark, sf):
+    r = disc.heckman(_binary_li(spark, sf), "l_extendedprice", ["l_quantity"], "status_f", ["l_discount"])
+    return r["outcome"].coefficients(spark)
+
+
+@register("clogit_orders")
+def q_clogit_orders(spark, sf):
+    return disc.clogit(_binary_li(spark, sf), "is_r", ["l_quantity", "l_discount"], "l_orderkey").coefficients(spark)
+
+
+@register("gologit_priority")
+def q_gologit_priority(spark, sf):
+    d = load(spark, sf, "orders").withColumn("status_f", (F.col("o_orderstatus") == "F").cast("double"))
+    return disc.gologit(d, "o_orderpriority", ["o_totalprice", "status_f"], ["status_f"]).coefficients(spark)
+
+
+@register("zip_discount_points")
+def q_zip_discount_points(spark, sf):
+    d = _li(spark, sf).withColumn("disc_points", F.round(F.col("l_discount") * 100))
+    r = disc.zip_poisson(d, "disc_points", ["l_quantity"], ["l_tax"])
+    rows = [("count:" + t, sig(b)) for t, b in zip(r["count_terms"], r["count_coef"])] + \
+           [("inflate:" + t, sig(b)) for t, b in zip(r["inflate_terms"], r["inflate_coef"])] + [("llf", sig(r["llf"]))]
+    return spark.createDataFrame(rows, "term string, value double")
+
+
+@register("gls_ar1_events")
+def q_gls_ar1_events(spark, sf):
+    fit = lin.gls_ar1(_ev(spark, sf), "value", ["user_id"], EV_ORDER)
+    return fit.coefficients(spark).unionByName(spark.createDataFrame(
+        [("rho", sig(fit.rho), None, None, None, None, None)], fit.coefficients(spark).schema))
+
+
+@register("gls_block_equicorrelated")
+def q_gls_block_equicorrelated(spark, sf):
+    return lin.gls_equicorrelated(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", 0.1).coefficients(spark)
+
+
+@register("irr_poisson", f"""
+WITH d AS (SELECT CAST(count(*) AS DOUBLE) AS y, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS x
+           FROM events GROUP BY user_id, event_type),
+c AS (SELECT sum(CASE WHEN x = 0 THEN y END) AS s0, sum(CASE WHEN x = 1 THEN y END) AS s1,
+      CAST(sum(1 - x) AS DOUBLE) AS m0, CAST(sum(x) AS DOUBLE) AS m1 FROM d),
+f AS (SELECT ln((s1 / m1) / (s0 / m0)) AS b1, sqrt(1.0 / s1 + 1.0 / s0) AS se FROM c)
+SELECT 'is_click' AS term, {S('exp(b1)')} AS ratio, {S(f'exp(b1 - {Z975!r} * se)')} AS ci_lower,
+       {S(f'exp(b1 + {Z975!r} * se)')} AS ci_upper FROM f""")
+def q_irr_poisson(spark, sf):
+    d = _ev(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n_events")) \
+        .withColumn("is_click", (F.col("event_type") == "click").cast("double"))
+    return poisson(d, "n_events", ["is_click"]).odds_ratios(spark)
+
+
+@register("predict_logit_ci", f"""WITH {SAT_CELLS},
+r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS x FROM lineitem),
+e AS (SELECT r.*, b0 + b1 * x AS eta, sqrt(v00 - 2 * x * v00 + x * x * v11) AS se FROM r, f)
+SELECT l_orderkey, l_linenumber, {S('1.0 / (1.0 + exp(-eta))')} AS prediction, {S('se')} AS se_link,
+  {S(f'1.0 / (1.0 + exp(-(eta - {Z975!r} * se)))')} AS ci_lower, {S(f'1.0 / (1.0 + exp(-(eta + {Z975!r} * se)))')} AS ci_upper FROM e""")
+def q_predict_logit_ci(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    p = score.predict_discrete(fit, d, interval=True, keep=["l_orderkey", "l_linenumber"])
+    return p.select("l_orderkey", "l_linenumber", *[sig_col(c).alias(c) for c in ("prediction", "se_link", "ci_lower", "ci_upper")])
+
+
+@register("predict_skips_missing", f"""
+WITH {ols1_cte('(SELECT l_extendedprice, nullif(l_discount, 0.0) AS d FROM lineitem)', 'l_extendedprice', 'd')}
+SELECT count(*) FILTER (WHERE nullif(l_discount, 0.0) IS NOT NULL) AS predicted,
+       count(*) FILTER (WHERE nullif(l_discount, 0.0) IS NULL) AS skipped,
+       {S('avg(b0 + b1 * nullif(l_discount, 0.0))')} AS mean_prediction FROM lineitem, s""")
+def q_predict_skips_missing(spark, sf):
+    from pyspark.sql import Observation
+    d = _li(spark, sf).withColumn("d", F.when(F.col("l_discount") != 0.0, F.col("l_discount")))
+    fit = ols(d, "l_extendedprice", ["d"])
+    obs = Observation("skipped")
+    p = score.predict_linear(fit, d, observation=obs)
+    r = p.agg(F.count(F.lit(1)).alias("predicted"), F.avg("prediction").alias("m")).collect()[0]
+    skipped = obs.get["skipped"]
+    return spark.createDataFrame([(int(r["predicted"]), int(skipped), sig(r["m"]))],
+                                 "predicted bigint, skipped bigint, mean_prediction double")
+
+
+# ================================================== evaluation (more)
+@register("class_report_mnlogit", f"""
+WITH d AS (SELECT c_mktsegment AS y, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS x FROM customer),
+m AS (SELECT x, arg_max(y, k) AS pred FROM (SELECT x, y, count(*) AS k FROM d GROUP BY x, y) GROUP BY x),
+c AS (SELECT y AS actual, pred AS predicted, count(*) AS n FROM d JOIN m USING (x) GROUP BY y, pred),
+cls AS (SELECT actual AS cls FROM c UNION SELECT predicted FROM c),
+t AS (SELECT cls, coalesce((SELECT sum(n) FROM c WHERE actual = cls AND predicted = cls), 0) AS tp,
+      coalesce((SELECT sum(n) FROM c WHERE actual = cls), 0) AS support,
+      coalesce((SELECT sum(n) FROM c WHERE predicted = cls), 0) AS npred FROM cls),
+p AS (SELECT cls, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision,
+      CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support FROM t)
+SELECT cls, {S('precision')} AS precision, {S('recall')} AS recall,
+  {S('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1,
+  CAST(support AS BIGINT) AS support FROM p""")
+def q_class_report_mnlogit(spark, sf):
+    d = load(spark, sf, "customer").withColumn("pos_balance", (F.col("c_acctbal") > 0).cast("double"))
+    fit = mnlogit(d, "c_mktsegment", ["pos_balance"])
+    labels = F.array(*[F.lit(x) for x in fit.classes])
+    p = score.predict_discrete(fit, d, keep=["c_mktsegment"]).withColumn(
+        "pred", F.element_at(labels, (F.col("predicted_class") + 1).cast("int")))
+    r = ev.class_report(p, "c_mktsegment", "pred")
+    return r.select("cls", *[sig_col(c).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long"))
+
+
+@register("compare_models_ic", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')},
+l AS (SELECT -s.n / 2.0 * (ln(2 * pi()) + ln((s.syy - s.b1 * s.sxy) / s.n) + 1) AS l1,
+      -t_f.n / 2.0 * (ln(2 * pi()) + ln(t_f.ssr / t_f.n) + 1) AS l2, s.n AS n FROM s, t_f)
+SELECT 'm1' AS model, {S('-2 * l1 + 4')} AS aic, {S('-2 * l1 + 2 * ln(n)')} AS bic, {S('-2 * l1 + 4 * ln(ln(n))')} AS hqic FROM l
+UNION ALL SELECT 'm2', {S('-2 * l2 + 6')}, {S('-2 * l2 + 3 * ln(n)')}, {S('-2 * l2 + 6 * ln(ln(n))')} FROM l
+UNION ALL SELECT 'lr_m2_vs_m1', {S('2 * (l2 - l1)')}, NULL, NULL FROM l""")
+def q_compare_models_ic(spark, sf):
+    li = _li(spark, sf)
+    m1 = ols(li, "l_extendedprice", ["l_quantity"])
+    m2 = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
+    rows = []
+    for name, m in (("m1", m1), ("m2", m2)):
+        ic = ev.information_criteria(m.llf, m.k, m.n)
+        rows.append((name, sig(ic["aic"]), sig(ic["bic"]), sig(ic["hqic"])))
+    rows.append(("lr_m2_vs_m1", sig(ev.lr_test(m2.llf, m1.llf, 1)["lr_stat"]), None, None))
+    return spark.createDataFrame(rows, "model string, aic double, bic double, hqic double")
+
+
+@register("ovr_auc_by_flag", f"""
+WITH g AS (SELECT cls, l_quantity AS s, sum(CASE WHEN l_returnflag = cls THEN 1.0 ELSE 0.0 END) AS pos,
+           sum(CASE WHEN l_returnflag = cls THEN 0.0 ELSE 1.0 END) AS neg
+           FROM lineitem, (VALUES ('A'), ('N'), ('R')) v(cls) GROUP BY cls, l_quantity),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY s ROWS UNBOUNDED PRECEDING) AS cn FROM g)
+SELECT cls, {S('sum(pos * (cn - 0.5 * neg)) / (sum(pos) * sum(neg))')} AS auc FROM c GROUP BY cls""")
+def q_ovr_auc_by_flag(spark, sf):
+    li = _li(spark, sf)
+    rows = [(c, sig(ev.auc(li, (F.col("l_returnflag") == c).cast("double"), "l_quantity"))) for c in ("A", "N", "R")]
+    return spark.createDataFrame(rows, "cls string, auc double")
+
+
+@register("lasso_fit")
+def q_lasso_fit(spark, sf):
+    b = ev.lasso(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], lam=0.001)
+    return spark.createDataFrame([(t, sig(v)) for t, v in zip(["const", "l_quantity", "l_discount", "l_tax"], b)],
+                                 "term string, coefficient double")
+
+
+@register("bootstrap_632_error")
+def q_bootstrap_632_error(spark, sf):
+    r = ev.bootstrap_632(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY, B=30)
+    return metrics_df(spark, [(k, r[k]) for k in ("err_train", "err_oob", "err_632", "replicates")])
+
+
+@register("nested_cv_ridge")
+def q_nested_cv_ridge(spark, sf):
+    res = ev.nested_cv_ridge(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"], F.year("l_shipdate"),
+                             F.col("l_returnflag"), [0.0, 10.0, 1000.0])
+    return spark.createDataFrame([(int(r["outer"]), float(r["lambda"]), sig(r["test_rmse"]), int(r["n_test"])) for r in res],
+                                 "outer int, lambda double, test_rmse double, n_test bigint")
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    res = ev.learning_curve(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY)
+    return spark.createDataFrame([(float(r["share"]), int(r["n_train"]), sig(r["train_rmse"]), sig(r["test_rmse"]))
+                                  for r in res], "share double, n_train bigint, train_rmse double, test_rmse double")
+
+
+# ============================================== interpretation (more)
+@register("ice_curves", f"""
+WITH {ols1_cte('customer', 'c_acctbal', 'c_nationkey')},
+r AS (SELECT min(c_nationkey) AS lo, max(c_nationkey) AS hi FROM customer),
+g AS (SELECT lo + (hi - lo) * i / 4.0 AS v FROM r, range(0, 5) t(i))
+SELECT c_custkey, {S('v')} AS grid_value, {S('b0 + b1 * v')} AS prediction FROM customer, g, s""")
+def q_ice_curves(spark, sf):
+    c = load(spark, sf, "customer")
+    fit = ols(c, "c_acctbal", ["c_nationkey"])
+    i = interp.ice(c, fit, "c_nationkey", "c_custkey", grid=5)
+    return i.select("c_custkey", sig_col("grid_value").alias("grid_value"), sig_col("prediction").alias("prediction"))
+
+
+@register("effects_at_median")
+def q_effects_at_median(spark, sf):
+    d = _binary_li(spark, sf)
+    return effects_frame(spark, interp.effects_at(d, logit(d, "is_r", ["l_quantity", "l_discount"]), "median"))
+
+
+@register("effects_by_level_ordered")
+def q_effects_by_level_ordered(spark, sf):
+    o = load(spark, sf, "orders")
+    return spark.createDataFrame(interp.effects_by_level(o, ordered(o, "o_orderpriority", ["o_totalprice"])),
+                                 "term string, level string, effect double")
+
+
+@register("probability_curves_ordered")
+def q_probability_curves_ordered(spark, sf):
+    o = load(spark, sf, "orders")
+    pc = interp.probability_curves(o, ordered(o, "o_orderpriority", ["o_totalprice"]), "o_totalprice", 10)
+    return pc.select("grid_index", sig_col("grid_value").alias("grid_value"),
+                     F.transform("probabilities", lambda x: sig_col(x)).alias("probabilities"))
+
+
+@register("importance_rank_ame")
+def q_importance_rank_ame(spark, sf):
+    d = _binary_li(spark, sf)
+    rows = interp.average_marginal_effects(d, logit(d, "is_r", ["l_quantity", "l_discount", "status_f"]))
+    return spark.createDataFrame(interp.importance_rank(rows), "rank int, term string, effect double")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    li = _li(spark, sf).withColumn("row_key", F.xxhash64(*[F.col(c) for c in LI_KEY]))
+    fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
+    return spark.createDataFrame(interp.permutation_importance(li, fit, "row_key"), "term string, mse_increase double")
+
+
+@register("bootstrap_coefficients")
+def q_bootstrap_coefficients(spark, sf):
+    b = interp.poisson_bootstrap_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], B=50, key_cols=LI_KEY)
+    return b.select("term", *[sig_col(c).alias(c) for c in ("mean", "se", "ci_lower", "ci_upper")])
+
+
+# ============================================== series / panel / causal (more)
+@register("kpss_events")
+def q_kpss_events(spark, sf):
+    r = series.kpss(_ev(spark, sf), "value", EV_ORDER)
+    return spark.createDataFrame([(sig(r["kpss_stat"]), int(r["lags"]), int(r["n_obs"]))], "kpss_stat double, lags int, n_obs bigint")
+
+
+@register("acf_pacf_table")
+def q_acf_pacf_table(spark, sf):
+    return series.acf_table(spark, _ev(spark, sf), "value", EV_ORDER, 6)
+
+
+def _hourly_pair(spark, sf):
+    r = series.resample(_ev(spark, sf).where(F.col("event_type").isin("click", "view")), "ts", "1 hour", "value",
+                        "event_type", "sum")
+    return (r.groupBy("slot").pivot("event_type", ["click", "view"]).agg(F.first("value"))
+            .fillna(0.0, ["click", "view"]))
+
+
+@register("granger_click_view")
+def q_granger_click_view(spark, sf):
+    r = series.granger(_hourly_pair(spark, sf), "click", "view", ["slot"], 1)
+    return spark.createDataFrame([(sig(r["f_stat"]), sig(r["p_value"]), int(r["df_den"]))], "f_stat double, p_value double, df_den bigint")
+
+
+@register("var_impulse_response")
+def q_var_impulse_response(spark, sf):
+    v = series.var_fit(_hourly_pair(spark, sf), ["click", "view"], ["slot"], 1)
+    psi = series.impulse_response(v, ["click", "view"], 1, 5)
+    rows = [(h, i, j, sig(float(psi[h, i, j]))) for h in range(psi.shape[0]) for i in range(2) for j in range(2)]
+    return spark.createDataFrame(rows, "horizon int, response int, shock int, value double")
+
+
+@register("engle_granger_ecm")
+def q_engle_granger_ecm(spark, sf):
+    r = series.engle_granger(_hourly_pair(spark, sf), "click", "view", ["slot"])
+    return metrics_df(spark, list(r.items()))
+
+
+@register("arima_forecast_by_type")
+def q_arima_forecast_by_type(spark, sf):
+    _, fc = series.arima_hr(_ev(spark, sf), "value", "event_type", EV_ORDER, p=1, d=0, q=1, long_ar=4, horizon=3)
+    return fc.select("event_type", "step", sig_col("forecast").alias("forecast"))
+
+
+@register("difference_gmm_panel")
+def q_difference_gmm_panel(spark, sf):
+    r = panel.difference_gmm(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_KEY)
+    return spark.createDataFrame([(t, sig(b), sig(s)) for t, b, s in zip(r["terms"], r["beta"], r["se"])],
+                                 "term string, coefficient double, se double")
+
+
+@register("pre_trends_check")
+def q_pre_trends_check(spark, sf):
+    d = _li(spark, sf).select("l_extendedprice", (F.col("l_returnflag") == "R").cast("double").alias("treat"),
+                              F.year("l_shipdate").alias("yr"))
+    r = causal.pre_trends(d, "l_extendedprice", "treat", "yr", F.col("yr") < 1998)
+    return metrics_df(spark, list(r.items()))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.columns import sig
+from ..functions.columns import logistic, sig
 from ..functions.linalg import pivoted_dependents, sym_inv
 from ..plans.gram import Moments, gram
 from ..plans.order import GlobalOrder
@@ -268,3 +268,186 @@ def validate_assumptions(spark: SparkSession, df: DataFrame, fit: LinearFit, ord
     for name, v, fl in vif(fit):
         rows.append((f"vif:{name}", v, None, None, fl))
     return spark.createDataFrame(rows, TEST_SCHEMA)
+
+
+# ---------------------------------------------------------- A12, A24
+def linktest(df: DataFrame, fit, family: str = "linear") -> tuple:
+    """Refit the outcome on the fitted index and its square; a significant square
+    term signals misspecification. Returns the z (or t) row of the squared term."""
+    if family == "linear":
+        xb = fit.linear_predictor()
+        d = _fit_data(df, fit).select(F.col(fit.target).alias("_y"), xb.alias("_hat"), (xb * xb).alias("_hat2"))
+        from .linear import ols
+        f2 = ols(d, "_y", ["_hat", "_hat2"])
+        t = f2.beta[2] / f2.se[2]
+        return _row("linktest", t, f2.df_resid, dist.t_two_sided_p(t, f2.df_resid))
+    from .discrete import glm
+    xb = fit.linear_predictor()
+    base = df.dropna(subset=list(fit.features) + [fit.target])
+    # the square-term test is invariant to an affine change of the index: standardise it
+    mu, sd = base.agg(F.avg(xb), F.stddev_pop(xb)).collect()[0]
+    z = (xb - F.lit(mu)) / F.lit(sd if sd else 1.0)
+    d = base.select(F.col(fit.target).cast("double").alias("_y"), z.alias("_hat"), (z * z).alias("_hat2"))
+    f2 = glm(d, "_y", ["_hat", "_hat2"], "binomial", fit.family)
+    z = f2.theta[2] / f2.se[2]
+    return _row("linktest", z, 1, 2 * dist.norm_sf(abs(z)))
+
+
+def deviance_table(df: DataFrame, y: str, mu: Column, family: str, by: list[str] | None = None) -> DataFrame:
+    """Deviance and Pearson chi2 (optionally per group) from column expressions."""
+    yc = F.col(y).cast("double")
+    if family == "binomial":
+        dev = F.lit(-2.0) * (yc * F.log(mu) + (F.lit(1.0) - yc) * F.log(F.lit(1.0) - mu))
+        var = mu * (F.lit(1.0) - mu)
+    elif family == "poisson":
+        dev = F.lit(2.0) * (F.when(yc > 0, yc * F.log(yc / mu)).otherwise(F.lit(0.0)) - (yc - mu))
+        var = mu
+    else:
+        dev = (yc - mu) * (yc - mu)
+        var = F.lit(1.0)
+    d = df.select(*(by or []), dev.alias("_dev"), ((yc - mu) * (yc - mu) / var).alias("_p"),
+                  (F.signum(yc - mu) * F.sqrt(F.greatest(dev, F.lit(0.0)))).alias("_dres"))
+    g = d.groupBy(*(by or [])) if by else d
+    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("_dev").alias("deviance"), F.sum("_p").alias("pearson_chi2"),
+                 F.max(F.abs("_dres")).alias("max_abs_deviance_resid"))
+
+
+def deviance_residuals(df: DataFrame, y: str, mu: Column, family: str = "binomial") -> Column:
+    yc = F.col(y).cast("double")
+    if family == "binomial":
+        dev = F.lit(-2.0) * (yc * F.log(mu) + (F.lit(1.0) - yc) * F.log(F.lit(1.0) - mu))
+    else:
+        dev = F.lit(2.0) * (F.when(yc > 0, yc * F.log(yc / mu)).otherwise(F.lit(0.0)) - (yc - mu))
+    return F.signum(yc - mu) * F.sqrt(F.greatest(dev, F.lit(0.0)))
+
+
+# ------------------------------------------------------------------ A13
+def brant(df: DataFrame, y: str, features: list[str]) -> dict:
+    """Brant test of parallel lines -- J-1 binary logits 1[y > j], their joint
+    covariance from ONE cross-moment aggregate, Wald test that slopes are equal."""
+    from .discrete import class_codes, logit
+    code, labels = class_codes(df, y)
+    J = len(labels)
+    d = df.dropna(subset=[y] + list(features)).withColumn("_y", code)
+    fits = []
+    for j in range(J - 1):
+        dj = d.withColumn(f"_b{j}", (F.col("_y") > F.lit(j)).cast("double"))
+        fits.append(logit(dj, f"_b{j}", list(features)))
+    k = len(features) + 1
+    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
+    pis = [logistic(f.linear_predictor()) for f in fits]
+    aggs = []
+    for a in range(J - 1):
+        for b in range(a, J - 1):
+            w = pis[b] - pis[a] * pis[b]  # Var cross term for a <= b
+            aggs += [F.sum(w * xs[i] * xs[jj]).alias(f"c{a}_{b}_{i}_{jj}") for i in range(k) for jj in range(k)]
+    r = d.agg(*aggs).collect()[0]
+    M = J - 1
+    big = np.zeros((M * k, M * k))
+    for a in range(M):
+        for b in range(a, M):
+            c = np.array([[r[f"c{a}_{b}_{i}_{jj}"] for jj in range(k)] for i in range(k)])
+            va, vb = fits[a].cov, fits[b].cov
+            blk = va @ c @ vb
+            big[a * k:(a + 1) * k, b * k:(b + 1) * k] = blk
+            big[b * k:(b + 1) * k, a * k:(a + 1) * k] = blk.T
+    # slopes only (drop intercepts), contrasts beta_1 - beta_m for m = 2..M
+    sl = [i for i in range(k) if i > 0]
+    beta = np.concatenate([f.theta[sl] for f in fits])
+    idx = [a * k + i for a in range(M) for i in sl]
+    V = big[np.ix_(idx, idx)]
+    ks = len(sl)
+    D = np.zeros(((M - 1) * ks, M * ks))
+    for m in range(1, M):
+        D[(m - 1) * ks:m * ks, 0:ks] = np.eye(ks)
+        D[(m - 1) * ks:m * ks, m * ks:(m + 1) * ks] = -np.eye(ks)
+    db = D @ beta
+    stat = float(db @ np.linalg.solve(D @ V @ D.T, db))
+    dfree = ks * (M - 1)
+    return {"brant_stat": stat, "df": dfree, "p_value": dist.chi2_sf(stat, dfree)}
+
+
+# ------------------------------------------------------------------- A7
+def shapiro_wilk(df: DataFrame, col: str, by: list[str] | str, max_n: int = 5000) -> DataFrame:
+    """Shapiro-Wilk W per segment with Royston's approximation for the weights and
+    the p-value. Segments of max_n rows or more are skipped (reported with a null W),
+    so every window sorts at most max_n rows."""
+    from ..functions.columns import norm_cdf
+    by = [by] if isinstance(by, str) else list(by)
+    d = df.select(*by, F.col(col).cast("double").alias("_x")).dropna()
+    sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    small = d.join(sizes.where((F.col("_n") < max_n) & (F.col("_n") >= 4)), by)
+    w = Window.partitionBy(*by).orderBy("_x")
+    small = small.withColumn("_i", F.row_number().over(w))
+    p = (F.col("_i") - F.lit(0.375)) / (F.col("_n") + F.lit(0.25))
+    small = small.withColumn("_m", _norm_ppf_col(p))
+    # one refinement step of the inverse normal with the column cdf
+    e = norm_cdf(F.col("_m")) - p
+    small = small.withColumn("_m", F.col("_m") - e * F.lit(math.sqrt(2 * math.pi)) * F.exp(F.col("_m") ** 2 / 2))
+    seg = small.groupBy(*by).agg(F.first("_n").alias("_n"), F.sum(F.col("_m") ** 2).alias("_ssq"),
+                                 F.max_by("_m", "_i").alias("_mn"),
+                                 F.max_by(F.when(F.col("_i") == F.col("_n") - 1, F.col("_m")),
+                                          F.when(F.col("_i") == F.col("_n") - 1, F.col("_i"))).alias("_mn1"))
+    n = F.col("_n").cast("double")
+    u = F.lit(1.0) / F.sqrt(n)
+    # fixed values: Royston (1992) polynomial corrections for the two extreme weights
+    an = F.col("_mn") / F.sqrt(F.col("_ssq")) + F.lit(0.221157) * u - F.lit(0.147981) * u ** 2 \
+        - F.lit(2.071190) * u ** 3 + F.lit(4.434685) * u ** 4 - F.lit(2.706056) * u ** 5
+    an1 = F.col("_mn1") / F.sqrt(F.col("_ssq")) + F.lit(0.042981) * u - F.lit(0.293762) * u ** 2 \
+        - F.lit(1.752461) * u ** 3 + F.lit(5.682633) * u ** 4 - F.lit(3.582633) * u ** 5
+    seg = seg.withColumn("_an", an).withColumn("_an1", an1)
+    phi = F.when(n > 5, (F.col("_ssq") - F.lit(2.0) * F.col("_mn") ** 2 - F.lit(2.0) * F.col("_mn1") ** 2)
+                 / (F.lit(1.0) - F.lit(2.0) * F.col("_an") ** 2 - F.lit(2.0) * F.col("_an1") ** 2)).otherwise(
+        (F.col("_ssq") - F.lit(2.0) * F.col("_mn") ** 2) / (F.lit(1.0) - F.lit(2.0) * F.col("_an") ** 2))
+    seg = seg.withColumn("_phi", phi)
+    j = small.join(seg.select(*by, "_an", "_an1", "_phi"), by)
+    i, nn = F.col("_i"), F.col("_n")
+    a = (F.when(i == nn, F.col("_an")).when(i == 1, -F.col("_an"))
+         .when((i == nn - 1) & (nn > 5), F.col("_an1")).when((i == 2) & (nn > 5), -F.col("_an1"))
+         .otherwise(F.col("_m") / F.sqrt(F.col("_phi"))))
+    stats = j.groupBy(*by).agg(F.first("_n").alias("n"), F.sum(a * F.col("_x")).alias("_num"),
+                               F.var_pop("_x").alias("_v"))
+    W = F.least(F.col("_num") ** 2 / (F.col("_v") * F.col("n")), F.lit(1.0))
+    stats = stats.withColumn("W", W)
+    ln = F.log(F.col("n").cast("double"))
+    # fixed values: Royston (1995) normalising transformation of W (n >= 12; 4 <= n <= 11)
+    mu_big = F.lit(0.0038915) * ln ** 3 - F.lit(0.083751) * ln ** 2 - F.lit(0.31082) * ln - F.lit(1.5861)
+    sd_big = F.exp(F.lit(0.0030302) * ln ** 2 - F.lit(0.082676) * ln - F.lit(0.4803))
+    nd = F.col("n").cast("double")
+    gam = F.lit(-2.273) + F.lit(0.459) * nd
+    mu_small = F.lit(0.5440) - F.lit(0.39978) * nd + F.lit(0.025054) * nd ** 2 - F.lit(0.0006714) * nd ** 3
+    sd_small = F.exp(F.lit(1.3822) - F.lit(0.77857) * nd + F.lit(0.062767) * nd ** 2 - F.lit(0.0020322) * nd ** 3)
+    z = F.when(nd >= 12, (F.log(F.lit(1.0) - F.col("W")) - mu_big) / sd_big).otherwise(
+        (-F.log(gam - F.log(F.lit(1.0) - F.col("W"))) - mu_small) / sd_small)
+    from ..functions.columns import norm_tail
+    stats = stats.withColumn("p_value", F.when(z > 0, norm_tail(z)).otherwise(F.lit(1.0) - norm_tail(z)))
+    skipped = sizes.where((F.col("_n") >= max_n) | (F.col("_n") < 4)).select(
+        *by, F.col("_n").alias("n"), F.lit(None).cast("double").alias("W"), F.lit(None).cast("double").alias("p_value"))
+    return stats.select(*by, "n", "W", "p_value").unionByName(skipped)
+
+
+def _norm_ppf_col(p: Column) -> Column:
+    """Inverse normal cdf as a column (rational start, refined by the caller)."""
+    # fixed values: Acklam's rational approximation (same constants as dist.norm_ppf)
+    a = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+    b = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+         6.680131188771972e+01, -1.328068155288572e+01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00)
+
+    def poly(cs, x):
+        acc = F.lit(cs[0])
+        for v in cs[1:]:
+            acc = acc * x + F.lit(v)
+        return acc
+    q = p - F.lit(0.5)
+    r = q * q
+    central = poly(a, r) * q / (poly(b, r) * r + F.lit(1.0))
+    ql = F.sqrt(F.lit(-2.0) * F.log(p))
+    low = poly(c, ql) / (poly(d, ql) * ql + F.lit(1.0))
+    qh = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
+    high = -poly(c, qh) / (poly(d, qh) * qh + F.lit(1.0))
+    return F.when(p < 0.02425, low).when(p > 1 - 0.02425, high).otherwise(central)

@@ -353,3 +353,84 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str) -> dict:
     finally:
         both.unpersist()
     return {"ks_stat": d, "p_value": dist.ks_two_sample_p(d, tot["na"], tot["nb"]), "n_a": tot["na"], "n_b": tot["nb"]}
+
+
+# ------------------------------------------------------------------ E16
+def bootstrap_632(df: DataFrame, target: str, features: list[str], key_cols: list[str], B: int = 50,
+                  seed: int = 17) -> dict:
+    """.632 bootstrap error of OLS from ONE exploded pass: per replicate, a weighted
+    GRAM of the in-bag rows (Poisson(1) weights) and a GRAM of the out-of-bag rows
+    (weight 0); OOB SSE is read from the OOB moments with the in-bag beta."""
+    data = design(df, target, features, extra=key_cols)
+    names = list(features) + [target]
+    rep = data.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(B))))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), *[F.col(c) for c in key_cols]), F.lit(2 ** 31 - 1))
+         + F.lit(1)) / F.lit(float(2 ** 31))
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    w = F.lit(12)
+    for k in reversed(range(12)):
+        w = F.when(u <= F.lit(float(cdf[k])), F.lit(k)).otherwise(w)
+    rep = rep.withColumn("_w", w.cast("double")).withColumn("_oob", (F.col("_w") == 0).cast("int"))
+    g = grouped_gram(rep.withColumn("_ww", F.when(F.col("_oob") == 1, F.lit(1.0)).otherwise(F.col("_w"))),
+                     ["_r", "_oob"], names, weight="_ww").collect()
+    moms = {(r["_r"], r["_oob"]): moments_from_row(r, names) for r in g}
+    full = gram(data, names)
+    beta_full, _, ssr_full, _ = solve_moments(full, target, features)
+    err_train = ssr_full / full.n
+    oob_errs = []
+    for b in range(1, B + 1):
+        tr, te = moms.get((b, 0)), moms.get((b, 1))
+        if tr is None or te is None or te.n == 0:
+            continue
+        beta, _, _, _ = solve_moments(tr, target, features)
+        z = np.concatenate([[-beta[0]], -beta[1:], [1.0]])
+        oob_errs.append(float(z @ te.raw(names) @ z) / te.sw)
+    err_oob = float(np.mean(oob_errs))
+    return {"err_train": err_train, "err_oob": err_oob, "err_632": 0.368 * err_train + 0.632 * err_oob,
+            "replicates": len(oob_errs)}
+
+
+def nested_cv_ridge(df: DataFrame, target: str, features: list[str], outer: Column, inner: Column,
+                    lambdas: list[float]) -> list[dict]:
+    """Nested CV for the ridge penalty from ONE grouped GRAM by (outer, inner) fold:
+    every train / validation / test Gram is a sum of cells."""
+    data = design(df.withColumn("_o", outer).withColumn("_i", inner), target, features, extra=["_o", "_i"])
+    names = list(features) + [target]
+    cells = {(r["_o"], r["_i"]): moments_from_row(r, names) for r in grouped_gram(data, ["_o", "_i"], names).collect()}
+
+    def total(keys):
+        acc = None
+        for k in keys:
+            acc = cells[k] if acc is None else acc + cells[k]
+        return acc
+
+    def ridge_beta(m, lam):
+        c = m.centered(features)
+        cy = m.centered(features, [target])[:, 0]
+        sd = np.sqrt(np.diag(c) / m.sw)
+        bs = np.linalg.solve(c / np.outer(sd, sd) + lam * np.eye(len(features)), cy / sd)
+        b = bs / sd
+        return np.concatenate([[m.mean([target])[0] - m.mean(features) @ b], b])
+
+    def sse(m, beta):
+        z = np.concatenate([[-beta[0]], -beta[1:], [1.0]])
+        return float(z @ m.raw(names) @ z)
+
+    outs = sorted({k[0] for k in cells})
+    res = []
+    for o in outs:
+        test = total([k for k in cells if k[0] == o])
+        inners = sorted({k[1] for k in cells if k[0] != o})
+        scores = []
+        for lam in lambdas:
+            s = 0.0
+            for i in inners:
+                val = total([k for k in cells if k[0] != o and k[1] == i])
+                tr = total([k for k in cells if k[0] != o and k[1] != i])
+                s += sse(val, ridge_beta(tr, lam))
+            scores.append(s)
+        best = lambdas[int(np.argmin(scores))]
+        train = total([k for k in cells if k[0] != o])
+        beta = ridge_beta(train, best)
+        res.append({"outer": o, "lambda": best, "test_rmse": math.sqrt(sse(test, beta) / test.sw), "n_test": test.n})
+    return res

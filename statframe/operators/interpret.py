@@ -182,9 +182,20 @@ def effects_by_level(df: DataFrame, fit: DiscreteFit) -> list[tuple]:
 
 
 def probability_curves(df: DataFrame, fit: DiscreteFit, feature: str, grid: int = 20) -> DataFrame:
-    """Average P(Y = k) along a grid of ``feature`` (PDP per class)."""
-    return partial_dependence(df, fit, feature, grid, score=lambda f: class_probabilities(f)).withColumnRenamed(
-        "partial_dependence", "probabilities")
+    """Average P(Y = k) along a grid of ``feature`` (a PDP per class, one partial aggregate)."""
+    feats = fit.features
+    r = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).collect()[0]
+    lo, hi = float(r["lo"]), float(r["hi"])
+    pts = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
+    d = df.dropna(subset=list(feats)).select(*feats)
+    d = d.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"))
+                                               for i, v in enumerate(pts)])))
+    d = d.withColumn(feature, F.col("_g.v")).withColumn("grid_index", F.col("_g.i"))
+    d = d.withColumn("_p", class_probabilities(fit))
+    K = fit.n_classes
+    return (d.groupBy("grid_index").agg(F.first(feature).alias("grid_value"),
+                                        *[F.avg(F.col("_p")[k]).alias(f"_a{k}") for k in range(K)])
+            .select("grid_index", "grid_value", F.array(*[F.col(f"_a{k}") for k in range(K)]).alias("probabilities")))
 
 
 def scenario(df: DataFrame, fit, shifts: dict[str, float]) -> DataFrame:

@@ -372,3 +372,28 @@ def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]
             yield pd.DataFrame(out, columns=by + SEG_OUT)
 
     return g.mapInPandas(solve, schema)
+
+
+def gls_equicorrelated(df: DataFrame, target: str, features: list[str], group: str, rho: float) -> LinearFit:
+    """GLS with a known block-diagonal Omega, equicorrelated within ``group``
+    (Omega_g = (1 - rho) I + rho J). Whitening is quasi-demeaning by
+    theta_g = 1 - sqrt((1 - rho) / (1 - rho + n_g rho)) with group means joined back,
+    so no n x n matrix is ever formed and a large group is just a large aggregate."""
+    data = design(df, target, features, extra=[group])
+    cols = [target] + list(features)
+    means = data.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"), *[F.avg(c).alias(f"_m_{c}") for c in cols])
+    theta = F.lit(1.0) - F.sqrt(F.lit(1.0 - rho) / (F.lit(1.0 - rho) + F.col("_ng") * F.lit(rho)))
+    q = data.join(means, group).select((F.lit(1.0) - theta).alias("_c"),
+                                       *[(F.col(c).cast("double") - theta * F.col(f"_m_{c}")).alias(c) for c in cols])
+    mom = gram(q, ["_c"] + cols)
+    xs = ["_c"] + list(features)
+    xtx = mom.m[np.ix_(mom.idx(xs), mom.idx(xs))]
+    xty = mom.m[np.ix_(mom.idx(xs), mom.idx([target]))][:, 0]
+    bread = sym_inv(xtx, [CONST] + list(features))
+    beta = bread @ xty
+    yty = mom.m[mom.idx([target])[0], mom.idx([target])[0]]
+    ssr = max(float(yty - beta @ xty), 0.0)
+    fit = LinearFit(target, list(features), beta, bread, bread * 0, mom.n, ssr, float("nan"), algorithm="gls_block",
+                    moments=mom, rho=rho)
+    fit.cov = fit.sigma2 * bread
+    return fit

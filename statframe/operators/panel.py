@@ -20,6 +20,7 @@ from ..functions import dist
 from ..functions.columns import sig
 from ..functions.linalg import sym_inv
 from ..plans.gram import Moments, gram
+from ..plans.order import series_lags
 from .linear import design
 
 
@@ -105,9 +106,9 @@ def first_difference(df: DataFrame, y: str, features: list[str], entity: str, ti
     """OLS without constant on within-entity first differences."""
     tcols = [time] if isinstance(time, str) else list(time)
     data = design(df, y, features, extra=[entity] + tcols)
-    w = Window.partitionBy(entity).orderBy(*tcols)
     cols = [y] + list(features)
-    d = data.select(*[(F.col(c) - F.lag(c).over(w)).alias(c) for c in cols]).dropna()
+    lagged = series_lags(data, [entity], tcols, cols, 1)
+    d = lagged.select(*[(F.col(c).cast("double") - F.col(f"{c}_lag1")).alias(c) for c in cols]).dropna()
     mom = gram(d, cols)
     b, inv, ssr = _solve_raw(mom, y, list(features))
     dfr = mom.n - len(features)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.columns import sig
 from ..plans.gram import gram, grouped_gram, moments_from_row
-from ..plans.order import GlobalOrder
+from ..plans.order import GlobalOrder, series_lags
 from .linear import CONST, solve_moments
 
 
@@ -30,15 +30,17 @@ def _ob(order_by) -> list[str]:
 # ----------------------------------------------------------------- M1
 def lags_and_diffs(df: DataFrame, col: str, series: list[str] | str, order_by, lags: int = 1,
                    diff: int = 1) -> DataFrame:
-    """Lag and difference columns per series (Window partitioned by the series key)."""
-    series = [series] if isinstance(series, str) else list(series)
-    w = Window.partitionBy(*series).orderBy(*_ob(order_by))
-    out = df
-    for lag in range(1, lags + 1):
-        out = out.withColumn(f"{col}_lag{lag}", F.lag(col, lag).over(w))
+    """Lag and difference columns per series (series-led global order: a hot series is
+    split across tasks instead of being sorted in one)."""
+    L = max(lags, diff)
+    out = series_lags(df, series, order_by, [col], L)
+    for lag in range(lags + 1, L + 1):
+        out = out.drop(f"{col}_lag{lag}")
     if diff:
-        out = out.withColumn(f"{col}_diff{diff}", F.col(col) - F.lag(col, diff).over(w))
-    return out
+        out = out.withColumn(f"{col}_diff{diff}", F.col(col).cast("double") - F.col(f"{col}_lag{diff}"))
+        if diff > lags:
+            out = out.drop(f"{col}_lag{diff}")
+    return out.drop("_b", "_idx")
 
 
 def resample(df: DataFrame, ts: str, step: str, value: str, series: list[str] | str | None = None,
@@ -168,11 +170,10 @@ def cusum(df: DataFrame, col: str, order_by) -> dict:
 # --------------------------------------------------------- M4, M5
 def _lagged_series(df, col_list, series, order_by, p):
     series = [series] if isinstance(series, str) else list(series or [])
-    w = Window.partitionBy(*series).orderBy(*_ob(order_by)) if series else None
-    out = df
+    out = series_lags(df, series, order_by, col_list, p)
     for c in col_list:
         for lag in range(1, p + 1):
-            out = out.withColumn(f"{c}_l{lag}", F.lag(c, lag).over(w))
+            out = out.withColumnRenamed(f"{c}_lag{lag}", f"{c}_l{lag}")
     return out, series
 
 
@@ -286,3 +287,103 @@ def series_features(df: DataFrame, series, ts: str, x: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"),
         F.regr_slope("_x", "_t").alias("trend"), F.corr("_x", "_lag").alias("acf1"),
         F.sum(((F.col("_x") > F.col("_lag")) & (F.col("_x") > F.col("_lead"))).cast("int")).alias("peaks"))
+
+
+# ----------------------------------------------------------------- M4
+def arima_hr(df: DataFrame, col: str, series, order_by, p: int = 1, d: int = 0, q: int = 1,
+             long_ar: int = 8, horizon: int = 5) -> tuple[DataFrame, DataFrame]:
+    """ARIMA(p, d, q) for many series by Hannan-Rissanen and an h-step forecast.
+
+    1. difference d times per series (series-led global order, no single-task series);
+    2. long AR(m) per series by grouped GRAM -> residuals as a column;
+    3. regress y on p lags of y and q lags of the residuals (grouped GRAM) -> ARMA terms;
+    4. forecast: the last max(p, q) values and residuals of each series (a bounded tail)
+       are recursed on in ``applyInPandas`` per series.
+    Returns (coefficients, forecasts)."""
+    series = [series] if isinstance(series, str) else list(series)
+    ob = _ob(order_by)
+    x = df.select(*series, *ob, F.col(col).cast("double").alias("_x0")).dropna()
+    cur = "_x0"
+    for k in range(d):
+        lagged = series_lags(x, series, ob, [cur], 1)
+        x = lagged.withColumn(f"_x{k + 1}", F.col(cur) - F.col(f"{cur}_lag1")).drop(f"{cur}_lag1", "_b", "_idx").dropna()
+        cur = f"_x{k + 1}"
+    y = cur
+    # step 2: long AR
+    la = series_lags(x, series, ob, [y], long_ar).drop("_b", "_idx")
+    lfe = [f"{y}_lag{i}" for i in range(1, long_ar + 1)]
+    coefs_long = _grouped_solve(la.dropna(subset=lfe), series, y, lfe)
+    la = la.join(coefs_long, series, "left")
+    pred = F.col("_b0")
+    for i, c in enumerate(lfe):
+        pred = pred + F.col(f"_b{i + 1}") * F.col(c)
+    la = la.withColumn("_e", F.col(y) - pred).drop(*[c for c in la.columns if c.startswith("_b") and c[2:].isdigit()])
+    # step 3: ARMA regression
+    keep = la.select(*series, *ob, y, "_e")
+    lagged = series_lags(keep, series, ob, [y, "_e"], max(p, q, 1)).drop("_b", "_idx")
+    feats = [f"{y}_lag{i}" for i in range(1, p + 1)] + [f"_e_lag{i}" for i in range(1, q + 1)]
+    arma = _grouped_solve(lagged.dropna(subset=feats + [y]), series, y, feats)
+    terms = ["const"] + [f"ar{i}" for i in range(1, p + 1)] + [f"ma{i}" for i in range(1, q + 1)]
+    coef_long = arma.select(*series, F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(len(terms))])).alias("pos", "coefficient"))
+    names = F.array(*[F.lit(t) for t in terms])
+    coef_table = coef_long.select(*series, F.element_at(names, F.col("pos") + 1).alias("term"), "coefficient")
+    # step 4: tail of each series (last L rows by a descending row number inside the series order)
+    L = max(p, q, 1)
+    tail = _series_tail(keep, series, ob, [y, "_e"], L).join(arma, series)
+    key_schema = [df.schema[c] for c in series]
+    out_schema = T.StructType(key_schema + [T.StructField("step", T.IntegerType()),
+                                            T.StructField("forecast", T.DoubleType())])
+
+    def fc(pdf):
+        pdf = pdf.sort_values("_pos")
+        hist_y = list(pdf[y].astype(float))
+        hist_e = list(pdf["_e"].astype(float))
+        b = [float(pdf[f"_b{i}"].iloc[0]) for i in range(len(terms))]
+        out = []
+        for h in range(1, horizon + 1):
+            v = b[0] + sum(b[i] * hist_y[-i] for i in range(1, p + 1) if i <= len(hist_y)) \
+                + sum(b[p + j] * hist_e[-j] for j in range(1, q + 1) if j <= len(hist_e))
+            hist_y.append(v)
+            hist_e.append(0.0)
+            out.append([pdf[c].iloc[0] for c in series] + [h, v])
+        return pd.DataFrame(out, columns=series + ["step", "forecast"])
+
+    forecasts = tail.groupBy(*series).applyInPandas(fc, out_schema)
+    return coef_table, forecasts
+
+
+def _grouped_solve(d: DataFrame, series: list[str], y: str, feats: list[str]) -> DataFrame:
+    """Per-series OLS from grouped GRAM rows; returns series keys + _b0.._bk (null if singular)."""
+    names = feats + [y]
+    g = grouped_gram(d, series, names)
+    k = len(feats) + 1
+    schema = T.StructType([d.schema[c] for c in series] + [T.StructField(f"_b{i}", T.DoubleType()) for i in range(k)])
+
+    def solve(it):
+        for pdf in it:
+            rows = []
+            for _, row in pdf.iterrows():
+                mom = moments_from_row(row.to_dict(), names)
+                try:
+                    beta, _, _, _ = solve_moments(mom, y, feats)
+                    vals = [float(v) for v in beta]
+                except Exception:  # noqa: BLE001 - short or constant series
+                    vals = [None] * k
+                rows.append([row[c] for c in series] + vals)
+            yield pd.DataFrame(rows, columns=series + [f"_b{i}" for i in range(k)])
+
+    return g.mapInPandas(solve, schema)
+
+
+def _series_tail(d: DataFrame, series: list[str], ob: list[str], cols: list[str], L: int) -> DataFrame:
+    """Last L rows of every series: a per-series max over the order (bounded output);
+    rows are selected by comparing with the L-th largest order key found by L rounds of max."""
+    keyed = d.withColumn("_ok", F.struct(*[F.col(c) for c in ob]))
+    thresh = None
+    for _ in range(L):
+        cond = keyed if thresh is None else keyed.join(thresh, series).where(F.col("_ok") < F.col("_t"))
+        nxt = cond.groupBy(*series).agg(F.max("_ok").alias("_t"))
+        thresh = nxt
+    tail = keyed.join(thresh, series).where(F.col("_ok") >= F.col("_t"))
+    w = Window.partitionBy(*series).orderBy("_ok")  # at most L rows per series
+    return tail.withColumn("_pos", F.row_number().over(w)).select(*series, "_pos", *cols)

@@ -18,6 +18,8 @@ both bounded by ``n_buckets`` (x ``lags``), never by the row count.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +46,8 @@ def order_key(df: DataFrame, name: str) -> Column:
 class GlobalOrder:
     """Bucketed global order over ``order_by`` (the full list must be unique)."""
 
-    def __init__(self, df: DataFrame, order_by: list[str] | str, n_buckets: int | None = None):
+    def __init__(self, df: DataFrame, order_by: list[str] | str, n_buckets: int | None = None,
+                 refine_by: str | None = None):
         self.order_by = [order_by] if isinstance(order_by, str) else list(order_by)
         missing = [c for c in self.order_by if c not in df.columns]
         if missing:
@@ -55,17 +58,57 @@ class GlobalOrder:
         keyed = df.withColumn("_k", order_key(df, self.order_by[0]))
         b = self.n_buckets
         probs = [i / b for i in range(1, b)]
+        acc = max(10000, 50 * b)
+        raw = []
         if probs:
-            cuts = keyed.agg(F.percentile_approx("_k", probs, max(10000, 50 * b)).alias("c")).collect()[0]["c"]
-        else:
-            cuts = []
-        cuts = sorted({float(x) for x in (cuts or []) if x is not None})
+            raw = keyed.agg(F.percentile_approx("_k", probs, acc).alias("c")).collect()[0]["c"] or []
+        raw = [float(x) for x in raw if x is not None]
+        cuts = sorted(set(raw))
+        # Heavy leading values: a value repeated r times among the cut points holds about r/b
+        # of all rows. Such a value gets its own interval [v, nextafter(v)) and is split again
+        # by quantiles of the second order column, so one hot key never lands in one task.
+        refine = refine_by or (self.order_by[1] if len(self.order_by) > 1 else None)
+        heavy = {v: raw.count(v) for v in cuts if raw.count(v) >= 2} if refine else {}
+        sub: dict[float, list[float]] = {}
+        if heavy:
+            k2 = order_key(df, refine)
+            aggs = [F.percentile_approx(F.when(F.col("_k") == F.lit(v), k2), [j / (r + 1) for j in range(1, r + 1)],
+                                        acc).alias(f"h{i}") for i, (v, r) in enumerate(heavy.items())]
+            hr = keyed.agg(*aggs).collect()[0]
+            for i, v in enumerate(heavy):
+                sub[v] = sorted({float(x) for x in (hr[f"h{i}"] or []) if x is not None})
+            for v in heavy:
+                nxt = math.nextafter(v, math.inf)
+                if nxt not in cuts:
+                    cuts.append(nxt)
+            cuts = sorted(set(cuts))
+        self.heavy = sub
         if cuts:
             splits = [float("-inf")] + cuts + [float("inf")]
             bz = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep")
-            self.bucketed = bz.transform(keyed).withColumn("_b", F.col("_bd").cast("int")).drop("_bd", "_k")
+            bucketed = bz.transform(keyed).withColumn("_b1", F.col("_bd").cast("int")).drop("_bd")
         else:  # one bucket (or a constant key): no cut points to search
-            self.bucketed = keyed.withColumn("_b", F.lit(0)).drop("_k")
+            bucketed = keyed.withColumn("_b1", F.lit(0))
+        if sub:
+            # renumber: interval i keeps one id, a heavy interval gets len(sub)+1 ids, in order
+            ids, nxt_id = [], 0
+            # Bucketizer index j covers [splits[j], splits[j+1]); the heavy value's own interval is at its index
+            heavy_idx = {splits.index(v): v for v in sub}
+            for i in range(len(splits)):  # len(splits) - 1 intervals + the NaN bucket of handleInvalid="keep"
+                ids.append(nxt_id)
+                nxt_id += (len(sub[heavy_idx[i]]) + 1) if i in heavy_idx else 1
+            k2 = order_key(df, refine)
+            extra = F.lit(0)
+            for i, v in heavy_idx.items():
+                inner = F.lit(0)
+                for c in sub[v]:
+                    inner = inner + (k2 >= F.lit(c)).cast("int")
+                extra = F.when(F.col("_b1") == F.lit(i), inner).otherwise(extra)
+            base = F.element_at(F.array(*[F.lit(x) for x in ids]), F.col("_b1") + F.lit(1))
+            bucketed = bucketed.withColumn("_b", (base + extra).cast("int"))
+        else:
+            bucketed = bucketed.withColumn("_b", F.col("_b1"))
+        self.bucketed = bucketed.drop("_b1", "_k")
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 
     # ------------------------------------------------------------ lags
@@ -167,10 +210,35 @@ class GlobalOrder:
                               + [T.StructField(f"_ne{j}", T.DoubleType()) for j in range(m)])
         edf = bd.sparkSession.createDataFrame(rows, schema)
         back = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fwd = self.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # "next" = growing frame over the reversed order: a shrinking suffix frame
+        # (currentRow..unboundedFollowing) is re-aggregated per row (quadratic per bucket)
+        fwd = (Window.partitionBy("_b").orderBy(*[F.col(c).desc() for c in self.order_by])
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = bd.join(F.broadcast(edf), "_b")
         for j, c in enumerate(cols):
             v = F.col(c).cast("double")
             out = out.withColumn(f"{c}_prev", F.coalesce(F.last(v, ignorenulls=True).over(back), F.col(f"_pe{j}")))
-            out = out.withColumn(f"{c}_next", F.coalesce(F.first(v, ignorenulls=True).over(fwd), F.col(f"_ne{j}")))
+            out = out.withColumn(f"{c}_next", F.coalesce(F.last(v, ignorenulls=True).over(fwd), F.col(f"_ne{j}")))
         return out.drop(*[f"_pe{j}" for j in range(m)], *[f"_ne{j}" for j in range(m)])
+
+
+def series_lags(df: DataFrame, series: list[str] | str, order_by: list[str] | str, cols: list[str],
+                lags: int = 1, n_buckets: int | None = None) -> DataFrame:
+    """Lags inside each series without ``Window.partitionBy(series)``.
+
+    The global order is led by a hash of the series key (then the key itself, then
+    ``order_by``), so each series is contiguous; a hot series is a heavy leading value
+    and is split across buckets by ``order_by[0]``. Lags that would reach into the
+    previous series are null (checked with two independent hashes of the key).
+    """
+    series = [series] if isinstance(series, str) else list(series)
+    ob = [order_by] if isinstance(order_by, str) else list(order_by)
+    keys = [F.col(c) for c in series]
+    d = df.withColumn("_sh", F.xxhash64(*keys)).withColumn("_sh2", F.xxhash64(F.lit(7), *keys).cast("double"))
+    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets, refine_by=ob[0])
+    out = go.with_lags(list(cols) + ["_sh2"], lags)
+    for lag in range(1, lags + 1):
+        same = F.col(f"_sh2_lag{lag}") == F.col("_sh2")
+        for c in cols:
+            out = out.withColumn(f"{c}_lag{lag}", F.when(same, F.col(f"{c}_lag{lag}")))
+    return out.drop("_sh", "_sh2", *[f"_sh2_lag{lag}" for lag in range(1, lags + 1)])

@@ -30,3 +30,18 @@ def test_neighbours(spark):
         assert r["v_prev"] == float(i - i % 3)
         nxt = i + (-i % 3)
         assert (r["v_next"] == float(nxt)) if nxt < 50 else np.isnan(r["v_next"])
+
+
+def test_heavy_leading_key_is_split(spark):
+    """A third of the rows share one leading key value: they must spread over several
+    buckets (split by the second order column) and lags must stay exact."""
+    rows = [(5.0 if i % 3 == 0 else float(i), float(i), float(i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k double, t double, v double")
+    go = GlobalOrder(df, ["k", "t"], n_buckets=12)
+    assert go.heavy, "heavy key not detected"
+    sizes = [r["c"] for r in go.bucketed.groupBy("_b").count().withColumnRenamed("count", "c").collect()]
+    assert max(sizes) < 1000 / 2, sizes
+    pdf = df.toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    lag = go.with_lags(["v"], 2).toPandas().sort_values("_idx").reset_index(drop=True)
+    np.testing.assert_array_equal(lag["v_lag2"].to_numpy(dtype=float), pdf["v"].shift(2).to_numpy(dtype=float))
+    np.testing.assert_array_equal(lag["t"].to_numpy(), pdf["t"].to_numpy())
