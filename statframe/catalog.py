@@ -1778,3 +1778,187 @@ def q_pre_trends_check(spark, sf):
                               F.year("l_shipdate").alias("yr"))
     r = causal.pre_trends(d, "l_extendedprice", "treat", "yr", F.col("yr") < 1998)
     return metrics_df(spark, list(r.items()))
+
+
+# ======================================================= report (more)
+QQ_PROBS = [i / 20 for i in range(1, 20)]
+
+
+def _qq_sql() -> str:
+    lits = ", ".join(f"({i}, {sig(dist.norm_ppf(i / 20))!r})" for i in range(1, 20))
+    return f"""WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
+v AS (SELECT e, count(*) AS k FROM r GROUP BY e),
+cum AS (SELECT e, sum(k) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS ck, sum(k) OVER () AS n FROM v),
+t AS (SELECT * FROM (VALUES {lits}) q(i, tq))
+SELECT i / 20.0 AS p, {S('(SELECT min(e) FROM cum WHERE ck * 20 >= i * n)')} AS sample_q, tq AS theoretical_q FROM t"""
+
+
+@register("qq_points", _qq_sql())
+def q_qq_points(spark, sf):
+    li = _li(spark, sf)
+    return rep.qq_points(li, ols(li, "l_extendedprice", ["l_quantity"]), 20)
+
+
+@register("scale_location_bins", DECILES_SQL.replace(
+    "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, b0 + b1 * l_quantity AS p FROM lineitem, s",
+    "sqrt(abs((l_extendedprice - (b0 + b1 * l_quantity)) / sqrt((syy - b1 * sxy) / (n - 2)))) AS y, "
+    "b0 + b1 * l_quantity AS p FROM lineitem, s").replace(
+    LPM_SQL, ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')) + f"""
+SELECT CAST(bin AS INTEGER) AS bin, n, {S('mean_pred')} AS mean_fitted, {S('obs_rate')} AS mean_sqrt_abs FROM cal""")
+def q_scale_location_bins(spark, sf):
+    li = _li(spark, sf)
+    r = rep.scale_location(li, ols(li, "l_extendedprice", ["l_quantity"]), 10)
+    return r.select(F.col("bin").cast("int").alias("bin"), "n", sig_col("mean_fitted").alias("mean_fitted"),
+                    sig_col("mean_sqrt_abs").alias("mean_sqrt_abs"))
+
+
+@register("residuals_per_row", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}
+SELECT l_orderkey, l_linenumber, {S('l_extendedprice - (b0 + b1 * l_quantity)')} AS resid FROM lineitem, s""")
+def q_residuals_per_row(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    return li.select("l_orderkey", "l_linenumber", sig_col(fit.residual()).alias("resid"))
+
+
+@register("confidence_scores", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+g AS (SELECT l_discount AS sc, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS pos,
+      sum(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE 1.0 END) AS neg FROM lineitem GROUP BY 1),
+a AS (SELECT sum(pos * (cn - 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM
+      (SELECT *, sum(neg) OVER (ORDER BY sc ROWS UNBOUNDED PRECEDING) AS cn FROM g)),
+c AS (SELECT 0.5 + least(0.2, 0.05 * pow(n, 0.3)) + least(0.15, 0.15 * greatest(1 - (syy - b1 * sxy) / syy, 0)) AS lin,
+      n, 1 - (syy - b1 * sxy) / syy AS r2 FROM s)
+SELECT 'linear' AS kind, round(least(1.0, greatest(0.0, lin)), 4) AS confidence FROM c
+UNION ALL SELECT 'binary_eval', round(least(1.0, greatest(0.0, 0.5 + least(0.2, 0.05 * pow(n, 0.3)) + least(0.15, 0.15 * r2)
+  + least(0.2, 0.4 * (auc - 0.5)))), 4) FROM c, a""")
+def q_confidence_scores(spark, sf):
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    a = ev.auc(_binary_li(spark, sf), "is_r", "l_discount")
+    return spark.createDataFrame([("linear", ev.confidence_linear(fit.n, fit.r2)),
+                                  ("binary_eval", ev.confidence_binary(fit.n, fit.r2, a))], "kind string, confidence double")
+
+
+@register("predict_class_probabilities", f"""
+WITH d AS (SELECT c_custkey, c_mktsegment AS y, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS x FROM customer),
+c AS (SELECT x, y, count(*) / sum(count(*)) OVER (PARTITION BY x) AS p FROM d GROUP BY x, y)
+SELECT d.c_custkey, c.y AS class, {S('c.p')} AS probability FROM d JOIN c ON d.x = c.x""")
+def q_predict_class_probabilities(spark, sf):
+    d = load(spark, sf, "customer").withColumn("pos_balance", (F.col("c_acctbal") > 0).cast("double"))
+    fit = mnlogit(d, "c_mktsegment", ["pos_balance"])
+    p = score.predict_discrete(fit, d, keep=["c_custkey"])
+    labels = F.array(*[F.lit(x) for x in fit.classes])
+    z = p.select("c_custkey", F.posexplode("probabilities").alias("k", "probability"))
+    return z.select("c_custkey", F.element_at(labels, (F.col("k") + 1).cast("int")).alias("class"),
+                    sig_col("probability").alias("probability"))
+
+
+# ====================================================== sources (more)
+@register("json_source_ols", O["ols_coefficients"])
+def q_json_source_ols(spark, sf):
+    from .sources.scan import scan
+    out = stream.scratch(spark, "lineitem-json") + ".json"
+    _li(spark, sf).select("l_extendedprice", "l_quantity").write.json(out)
+    d = scan(spark, out, "json", schema="l_extendedprice double, l_quantity double")
+    return ols(d, "l_extendedprice", ["l_quantity"]).coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+@register("tsv_source_ols", O["ols_coefficients"])
+def q_tsv_source_ols(spark, sf):
+    from .sources.scan import scan
+    out = stream.scratch(spark, "lineitem-tsv") + ".tsv"
+    _li(spark, sf).select("l_extendedprice", "l_quantity").write.option("header", True).option("sep", "\\t").csv(out)
+    d = scan(spark, out, "auto", schema="l_extendedprice double, l_quantity double")
+    return ols(d, "l_extendedprice", ["l_quantity"]).coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+# ====================================================== trees (more)
+@register("grid_search_forest")
+def q_grid_search_forest(spark, sf):
+    r = trees.grid_search(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"], "forest", "regression",
+                          {"maxDepth": [2, 4]}, folds=2)
+    rows = [(f"maxDepth={g}", sig(s)) for g, s in zip([2, 4], r["scores"])] + \
+        [("chosen_maxDepth", float(r["chosen"]["maxDepth"]))]
+    return spark.createDataFrame(rows, "candidate string, rmse double")
+
+
+@register("recalibration_platt")
+def q_recalibration_platt(spark, sf):
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["l_quantity", "l_discount"])
+    scored = d.withColumn("p", probability(fit))
+    m = trees.recalibrate(scored, "is_r", "p", "platt")
+    lr = m.stages[-1]
+    iso = trees.recalibrate(scored, "is_r", "p", "isotonic").stages[-1]
+    return spark.createDataFrame([("platt_slope", sig(float(lr.coefficients[0]))), ("platt_intercept", sig(lr.intercept)),
+                                  ("isotonic_knots", float(len(iso.boundaries)))], "metric string, value double")
+
+
+@register("forest_prediction_intervals")
+def q_forest_prediction_intervals(spark, sf):
+    li = _li(spark, sf).withColumn("_row", F.xxhash64(*[F.col(c) for c in LI_KEY]))
+    feats = ["l_quantity", "l_discount"]
+    m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
+    iv = trees.forest_interval(m, li, li.select("_row", *feats), "l_extendedprice", feats, 0.1)
+    return iv.agg(F.count(F.lit(1)).alias("rows"), sig_col(F.avg(F.col("q")[2] - F.col("q")[0])).alias("mean_width"))
+
+
+@register("gbt_early_stopping")
+def q_gbt_early_stopping(spark, sf):
+    li = _li(spark, sf).withColumn("is_val", F.year("l_shipdate") >= 2000)
+    m = trees.train_tree_model(li, "l_extendedprice", ["l_quantity", "l_discount"], "gbt", validation_col="is_val",
+                               maxIter=30, validationTol=0.01)
+    return spark.createDataFrame([("trees_used", float(m.stages[-1].getNumTrees))], "metric string, value double")
+
+
+# ====================================================== monitors (more)
+@register("retrain_triggers")
+def q_retrain_triggers(spark, sf):
+    a, b = _ev_halves(spark, sf)
+    drift = ev.ks_two_sample(a, b, "value")
+    d = _li(spark, sf).select((F.col("l_returnflag") == "R").cast("double").alias("is_r"), "l_discount",
+                              F.year("l_shipdate").alias("yr"))
+    decay = mon.auc_decay(d, "is_r", "l_discount", F.col("yr"), floor=0.5, runs=2)
+    cs = series.cusum(_ev(spark, sf), "value", EV_ORDER)
+    path = stream.scratch(spark, "registry-w")
+    li = _li(spark, sf)
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    fp = reg.dataset_fingerprint(li, ["l_extendedprice", "l_quantity"])
+    reg.save_model(spark, fit, reg.make_model_id("price", "ols", fp["hash"]), fp, path=path)
+    stale = mon.stale_models(reg.load_registry(spark, path)).collect()[0]
+    rows = mon.retrain_triggers(drift, decay, cs, int(stale["age_days"]))
+    return spark.createDataFrame([(t, sig(v), bool(f)) for t, v, f in rows], "trigger string, value double, fire boolean")
+
+
+@register("stream_sliding_windows", f"""
+WITH e AS (SELECT ts, value, time_bucket(INTERVAL 12 HOUR, ts) AS b FROM events),
+w AS (SELECT b AS window_start, value FROM e UNION ALL SELECT b - INTERVAL 12 HOUR, value FROM e),
+g AS (SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS n, sum(value) AS s FROM w GROUP BY 1)
+SELECT window_start, window_end, n, {S('s')} AS sum FROM g WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_sliding_windows(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf), ts="ts")
+    out = stream.run_to_table(stream.window_stats(s, "ts", "value", "1 day", slide="12 hours", watermark="1 hour"),
+                              stream.scratch(spark, "sliding"))
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", sig_col("sum").alias("sum"))
+
+
+@register("stream_session_windows", f"""
+WITH e AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+           OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS brk FROM events),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
+g AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, count(*) AS n, sum(value) AS v
+      FROM s GROUP BY user_id, sid)
+SELECT window_start, window_end, user_id, n, {S('v')} AS sum FROM g
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_session_windows(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf), ts="ts")
+    out = stream.run_to_table(stream.window_stats(s, "ts", "value", None, by=["user_id"], gap="6 hours",
+                                                  watermark="1 hour"), stream.scratch(spark, "session"))
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "user_id", "n",
+                    sig_col("sum").alias("sum"))

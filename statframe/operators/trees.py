@@ -8,6 +8,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, IsotonicRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -92,8 +93,8 @@ def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: l
     rf.setLeafCol("_leaves")
     probs = [i / (points - 1) for i in range(points)]
     tr = rf.transform(va.transform(train.select(y, *features).dropna())).select(y, "_leaves")
-    leaf = (tr.select(y, F.posexplode("_leaves").alias("tree", "leaf"))
+    leaf = (tr.select(y, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
             .groupBy("tree", "leaf").agg(F.percentile_approx(y, probs, 1000).alias("qs")))
-    nw = rf.transform(va.transform(new)).select(key, F.posexplode("_leaves").alias("tree", "leaf"))
+    nw = rf.transform(va.transform(new)).select(key, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
     pooled = nw.join(leaf, ["tree", "leaf"]).select(key, F.explode("qs").alias("v"))
     return pooled.groupBy(key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
