@@ -590,16 +590,16 @@ def clogit(df: DataFrame, y: str, features: list[str], strata: str, max_iter: in
             eta = lit_dot(theta, xs)
             d = data.withColumn("_e", F.exp(eta)).withColumn("_eta", eta)
             g = d.groupBy(strata).agg(
-                F.sum("_e").alias("S"), F.sum(yc).alias("ncase"), F.sum(yc * F.col("_eta")).alias("case_eta"),
-                *[F.sum(F.col("_e") * x).alias(f"S{i}") for i, x in enumerate(xs)],
-                *[F.sum(yc * x).alias(f"C{i}") for i, x in enumerate(xs)],
-                *[F.sum(F.col("_e") * xs[i] * xs[j]).alias(f"S{i}_{j}") for i in range(k) for j in range(i, k)])
-            S = F.col("S")
-            aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("case_eta") - F.col("ncase") * F.log(S)).alias("_l")]
-            aggs += [F.sum(F.col(f"C{i}") - F.col("ncase") * F.col(f"S{i}") / S).alias(f"_g{i}") for i in range(k)]
-            aggs += [F.sum(-F.col("ncase") * (F.col(f"S{i}_{j}") / S - F.col(f"S{i}") * F.col(f"S{j}") / (S * S))
+                F.sum("_e").alias("_cl_S"), F.sum(yc).alias("_cl_ncase"), F.sum(yc * F.col("_eta")).alias("_cl_ceta"),
+                *[F.sum(F.col("_e") * x).alias(f"_cl_S{i}") for i, x in enumerate(xs)],
+                *[F.sum(yc * x).alias(f"_cl_C{i}") for i, x in enumerate(xs)],
+                *[F.sum(F.col("_e") * xs[i] * xs[j]).alias(f"_cl_S{i}_{j}") for i in range(k) for j in range(i, k)])
+            S = F.col("_cl_S")
+            aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("_cl_ceta") - F.col("_cl_ncase") * F.log(S)).alias("_l")]
+            aggs += [F.sum(F.col(f"_cl_C{i}") - F.col("_cl_ncase") * F.col(f"_cl_S{i}") / S).alias(f"_g{i}") for i in range(k)]
+            aggs += [F.sum(-F.col("_cl_ncase") * (F.col(f"_cl_S{i}_{j}") / S - F.col(f"_cl_S{i}") * F.col(f"_cl_S{j}") / (S * S))
                            ).alias(f"_h{i}_{j}") for i in range(k) for j in range(i, k)]
-            r = g.where(F.col("ncase") > 0).agg(*aggs).collect()[0]
+            r = g.where(F.col("_cl_ncase") > 0).agg(*aggs).collect()[0]
             gr = np.array([r[f"_g{i}"] for i in range(k)], dtype=float)
             h = np.zeros((k, k))
             for i in range(k):
