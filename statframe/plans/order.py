@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from ..session import default_buckets
 
 MAX_EDGE_CELLS = 5_000_000
+MIN_GRID = 256      # quantile grid requested in the cut pass (thinned to the bucket count)
+MAX_GRID = 16384
 
 
 def order_key(df: DataFrame, name: str) -> Column:
@@ -47,26 +49,38 @@ class GlobalOrder:
     """Bucketed global order over ``order_by`` (the full list must be unique)."""
 
     def __init__(self, df: DataFrame, order_by: list[str] | str, n_buckets: int | None = None,
-                 refine_by: str | None = None):
+                 refine_by: str | None = None, rows_per_bucket: int = 2_000_000):
         self.order_by = [order_by] if isinstance(order_by, str) else list(order_by)
         missing = [c for c in self.order_by if c not in df.columns]
         if missing:
             raise ValueError(f"order columns not found: {missing}")
         spark = df.sparkSession
-        self.n_buckets = n_buckets or default_buckets(spark)
         df = df.dropna(subset=self.order_by)
         keyed = df.withColumn("_k", order_key(df, self.order_by[0]))
-        b = self.n_buckets
-        probs = [i / b for i in range(1, b)]
-        acc = max(10000, 50 * b)
+        # One pass gives the row count and a fine quantile grid (R points); the grid is then
+        # thinned to B buckets with about ``rows_per_bucket`` rows each (at least the shuffle
+        # partition count), so a window task's sort stays bounded at any data size.
+        base = n_buckets or default_buckets(spark)
+        R = n_buckets or min(MAX_GRID, max(base, MIN_GRID))
+        probs = [i / R for i in range(1, R)]
+        acc = max(10000, 20 * R)
         raw = []
+        n_rows = None
         if probs:
-            raw = keyed.agg(F.percentile_approx("_k", probs, acc).alias("c")).collect()[0]["c"] or []
+            row = keyed.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_k", probs, acc).alias("c")).collect()[0]
+            raw, n_rows = row["c"] or [], row["n"]
         raw = [float(x) for x in raw if x is not None]
+        if n_buckets is None and raw:
+            want = max(base, math.ceil((n_rows or 0) / rows_per_bucket))
+            B = max(1, min(R, want))
+            step = R / B
+            raw = [raw[min(len(raw) - 1, int(round(i * step)) - 1)] for i in range(1, B)]
+            self.n_buckets = B
+        else:
+            self.n_buckets = R
+        self.n_rows = n_rows
+        b = self.n_buckets
         cuts = sorted(set(raw))
-        # Heavy leading values: a value repeated r times among the cut points holds about r/b
-        # of all rows. Such a value gets its own interval [v, nextafter(v)) and is split again
-        # by quantiles of the second order column, so one hot key never lands in one task.
         refine = refine_by or (self.order_by[1] if len(self.order_by) > 1 else None)
         heavy = {v: raw.count(v) for v in cuts if raw.count(v) >= 2} if refine else {}
         sub: dict[float, list[float]] = {}
