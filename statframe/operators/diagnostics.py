@@ -18,7 +18,7 @@ from ..functions import dist
 from ..functions.columns import logistic, sig
 from ..functions.linalg import pivoted_dependents, sym_inv
 from ..plans.gram import Moments, gram
-from ..plans.order import GlobalOrder
+from ..plans.order import GlobalOrder, bucket_reduce
 from .linear import LinearFit, design, solve_moments
 
 TEST_SCHEMA = T.StructType([
@@ -119,10 +119,18 @@ def durbin_watson(df: DataFrame, fit: LinearFit, order_by) -> tuple:
     """A3: sum (e_t - e_{t-1})^2 / sum e_t^2 over the global order (GIDX)."""
     ob = [order_by] if isinstance(order_by, str) else list(order_by)
     data = _fit_data(df, fit, ob).withColumn("_e", fit.residual())
-    lagged = GlobalOrder(data, ob).with_lags(["_e"], 1)
-    r = lagged.agg(F.sum((F.col("_e") - F.col("_e_lag1")) ** 2).alias("num"),
-                   F.sum(F.col("_e") ** 2).alias("den")).collect()[0]
-    dw = r["num"] / r["den"]
+    go = GlobalOrder(data, ob)
+    okey = F.struct(*[F.col(c) for c in ob])
+    # within-bucket differences in the windowed pass; the one boundary pair per bucket is
+    # stitched on the driver from the bucket's first and last residual
+    rows = bucket_reduce(go, {"_el": F.lag("_e").over(go.window)},
+                         [F.sum((F.col("_e") - F.col("_el")) ** 2).alias("num"), F.sum(F.col("_e") ** 2).alias("den"),
+                          F.min_by("_e", okey).alias("first"), F.max_by("_e", okey).alias("last")])
+    num = sum(r["num"] or 0.0 for r in rows)
+    den = sum(r["den"] for r in rows)
+    for prev, cur in zip(rows, rows[1:]):
+        num += (cur["first"] - prev["last"]) ** 2
+    dw = num / den
     return ("durbin_watson", sig(dw), None, None, flag_dw(dw))
 
 

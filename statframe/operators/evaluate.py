@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from ..functions import dist
 from ..functions.columns import sig
 from ..functions.linalg import sym_inv
 from ..plans.gram import grouped_gram, moments_from_row, gram
-from ..plans.order import GlobalOrder
+from ..plans.order import GlobalOrder, bucket_reduce
 from .linear import LinearFit, design, solve_moments
 
 METRIC_SCHEMA = T.StructType([T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
@@ -54,12 +54,21 @@ def auc(df: DataFrame, y, score) -> float:
     # the per-score table feeds three GIDX passes (cuts, bucket summary, window): shuffle it once
     g = g.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cum = GlobalOrder(g, ["s"]).with_running_sums(["neg"])
-        r = cum.agg(F.sum(F.col("pos") * (F.col("neg_cum") - F.lit(0.5) * F.col("neg"))).alias("u"),
-                    F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
+        go = GlobalOrder(g, ["s"])
+        run = go.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # per bucket: P_b, N_b and the within-bucket U part; stitched with the offsets of N
+        rows = bucket_reduce(go, {"_cn": F.sum("neg").over(run)},
+                             [F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                              F.sum(F.col("pos") * (F.col("_cn") - F.lit(0.5) * F.col("neg"))).alias("U")])
     finally:
         g.unpersist()
-    return r["u"] / (r["P"] * r["N"])
+    u, off, P, N = 0.0, 0.0, 0.0, 0.0
+    for r in rows:
+        u += r["U"] + r["P"] * off
+        off += r["N"]
+        P += r["P"]
+        N += r["N"]
+    return u / (P * N)
 
 
 def roc_points(df: DataFrame, y, score) -> DataFrame:
@@ -348,11 +357,24 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str) -> dict:
     both = va.join(vb, "v", "full").fillna(0.0, ["ca", "cb"]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tot = both.agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).collect()[0]
-        cum = GlobalOrder(both, ["v"]).with_running_sums(["ca", "cb"])
-        d = cum.agg(F.max(F.abs(F.col("ca_cum") / F.lit(tot["na"]) - F.col("cb_cum") / F.lit(tot["nb"])))).collect()[0][0]
+        na, nb = tot["na"], tot["nb"]
+        go = GlobalOrder(both, ["v"])
+        run = go.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # per bucket: counts and the extremes of the local gap; the global gap is local + offset,
+        # so max |gap| is read from the per-bucket extremes (at most n_buckets rows)
+        gap = F.col("_a") / F.lit(na) - F.col("_bb") / F.lit(nb)
+        rows = bucket_reduce(go, {"_a": F.sum("ca").over(run), "_bb": F.sum("cb").over(run)},
+                             [F.sum("ca").alias("A"), F.sum("cb").alias("B"), F.max(gap).alias("hi"),
+                              F.min(gap).alias("lo")])
     finally:
         both.unpersist()
-    return {"ks_stat": d, "p_value": dist.ks_two_sample_p(d, tot["na"], tot["nb"]), "n_a": tot["na"], "n_b": tot["nb"]}
+    d, oa, ob = 0.0, 0.0, 0.0
+    for r in rows:
+        off = oa / na - ob / nb
+        d = max(d, abs(r["hi"] + off), abs(r["lo"] + off))
+        oa += r["A"]
+        ob += r["B"]
+    return {"ks_stat": d, "p_value": dist.ks_two_sample_p(d, na, nb), "n_a": na, "n_b": nb}
 
 
 # ------------------------------------------------------------------ E16

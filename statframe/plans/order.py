@@ -256,3 +256,14 @@ def series_lags(df: DataFrame, series: list[str] | str, order_by: list[str] | st
         for c in cols:
             out = out.withColumn(f"{c}_lag{lag}", F.when(same, F.col(f"{c}_lag{lag}")))
     return out.drop("_sh", "_sh2", *[f"_sh2_lag{lag}" for lag in range(1, lags + 1)])
+
+
+def bucket_reduce(go: GlobalOrder, window_cols: dict, aggs: list[Column]) -> list:
+    """Windowed columns inside each bucket, then one grouped aggregate per bucket;
+    returns the per-bucket rows sorted by bucket (at most ``n_buckets`` rows) for the
+    caller to stitch with bucket offsets. Saves the separate summary pass and the
+    broadcast join of :meth:`GlobalOrder.with_running_sums` when only totals are needed."""
+    d = go.bucketed
+    for name, expr in window_cols.items():
+        d = d.withColumn(name, expr)
+    return sorted(d.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
