@@ -123,9 +123,16 @@ def durbin_watson(df: DataFrame, fit: LinearFit, order_by) -> tuple:
     okey = F.struct(*[F.col(c) for c in ob])
     # within-bucket differences in the windowed pass; the one boundary pair per bucket is
     # stitched on the driver from the bucket's first and last residual
-    rows = bucket_reduce(go, {"_el": F.lag("_e").over(go.window)},
+    tie = F.lit(True)
+    for c in ob:
+        tie = tie & (F.col(c) == F.lag(c).over(go.window))
+    rows = bucket_reduce(go, {"_el": F.lag("_e").over(go.window), "_tie": tie},
                          [F.sum((F.col("_e") - F.col("_el")) ** 2).alias("num"), F.sum(F.col("_e") ** 2).alias("den"),
-                          F.min_by("_e", okey).alias("first"), F.max_by("_e", okey).alias("last")])
+                          F.min_by("_e", okey).alias("first"), F.max_by("_e", okey).alias("last"),
+                          F.sum(F.when(F.col("_tie"), 1).otherwise(0)).alias("ties")])
+    ties = sum(r["ties"] or 0 for r in rows)
+    if ties:
+        raise ValueError(f"order_by {ob} has {ties} duplicate keys: add a tie-break column so the order is unique")
     num = sum(r["num"] or 0.0 for r in rows)
     den = sum(r["den"] for r in rows)
     for prev, cur in zip(rows, rows[1:]):

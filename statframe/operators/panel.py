@@ -161,15 +161,17 @@ def fe_f_test(df: DataFrame, y: str, features: list[str], entity: str) -> dict:
 
 
 def wooldridge_ac(df: DataFrame, y: str, features: list[str], entity: str, time) -> dict:
-    """Regress FD residuals on their own lag; H0 coefficient = -0.5 (clustered by entity)."""
+    """Regress FD residuals on their own lag; H0 coefficient = -0.5 (clustered by entity).
+    Differences and lags come from the entity-led global order (no single-task entity)."""
     tcols = [time] if isinstance(time, str) else list(time)
     fd = first_difference(df, y, features, entity, tcols)
     data = design(df, y, features, extra=[entity] + tcols)
-    w = Window.partitionBy(entity).orderBy(*tcols)
     cols = [y] + list(features)
-    d = data.select(entity, *tcols, *[(F.col(c) - F.lag(c).over(w)).alias(c) for c in cols]).dropna()
+    l1 = series_lags(data, [entity], tcols, cols, 1)
+    d = l1.select(entity, *tcols, *[(F.col(c).cast("double") - F.col(f"{c}_lag1")).alias(c) for c in cols]).dropna()
     e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(fd.beta, features)), F.lit(0.0))
-    d = d.withColumn("_e", e).withColumn("_el", F.lag("_e").over(Window.partitionBy(entity).orderBy(*tcols))).dropna()
+    d = series_lags(d.withColumn("_e", e), [entity], tcols, ["_e"], 1).withColumnRenamed("_e_lag1", "_el").dropna(
+        subset=["_el"])
     r = d.agg(F.sum(F.col("_e") * F.col("_el")).alias("xy"), F.sum(F.col("_el") ** 2).alias("xx"),
               F.count(F.lit(1)).alias("n")).collect()[0]
     rho = r["xy"] / r["xx"]
@@ -184,12 +186,12 @@ def difference_gmm(df: DataFrame, y: str, features: list[str], entity: str, time
     """N5 (one-step, just-identified Anderson-Hsiao form): instrument dy_{t-1} with y_{t-2}."""
     from .causal import iv2sls
     tcols = [time] if isinstance(time, str) else list(time)
-    w = Window.partitionBy(entity).orderBy(*tcols)
     d = design(df, y, features, extra=[entity] + tcols)
-    d = (d.withColumn("_ly", F.lag(y).over(w)).withColumn("_l2y", F.lag(y, 2).over(w))
+    d = series_lags(d, [entity], tcols, [y] + list(features), 2)
+    d = (d.withColumn("_ly", F.col(f"{y}_lag1")).withColumn("_l2y", F.col(f"{y}_lag2"))
          .withColumn("_dy", F.col(y) - F.col("_ly")).withColumn("_dly", F.col("_ly") - F.col("_l2y")))
     for c in features:
-        d = d.withColumn(f"_d_{c}", F.col(c) - F.lag(c).over(w))
+        d = d.withColumn(f"_d_{c}", F.col(c) - F.col(f"{c}_lag1"))
     d = d.dropna(subset=["_dy", "_dly", "_l2y"] + [f"_d_{c}" for c in features])
     fit = iv2sls(d, "_dy", [f"_d_{c}" for c in features], ["_dly"], ["_l2y"])
     return {"terms": fit["terms"], "beta": fit["beta"], "se": fit["se"], "n_obs": fit["n"]}

@@ -275,18 +275,22 @@ def engle_granger(df: DataFrame, y: str, x: str, order_by) -> dict:
 
 
 # ----------------------------------------------------------------- M7
-def series_features(df: DataFrame, series, ts: str, x: str) -> DataFrame:
-    """Per-series mean, sd, trend slope, lag-1 autocorrelation, local peaks."""
+def series_features(df: DataFrame, series, ts, x: str) -> DataFrame:
+    """Per-series count, mean, sd, trend slope, lag-1 autocorrelation and local peaks.
+
+    Lags come from the series-led global order (a hot series is split across tasks);
+    the trend uses the global position, which is consecutive inside a series, so the
+    slope equals the one on 1..n. A peak at position j is counted at j + 1 from lags 1, 2.
+    """
     series = [series] if isinstance(series, str) else list(series)
     tcols = _ob(ts)
-    w = Window.partitionBy(*series).orderBy(*tcols)
-    d = (df.select(*series, *tcols, F.col(x).cast("double").alias("_x"))
-         .withColumn("_t", F.row_number().over(w).cast("double"))
-         .withColumn("_lag", F.lag("_x").over(w)).withColumn("_lead", F.lead("_x").over(w)))
-    return d.groupBy(*series).agg(
+    d = df.select(*series, *tcols, F.col(x).cast("double").alias("_x"))
+    lagged = series_lags(d, series, tcols, ["_x"], 2)
+    peak = (F.col("_x_lag1") > F.col("_x_lag2")) & (F.col("_x_lag1") > F.col("_x"))
+    return lagged.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"),
-        F.regr_slope("_x", "_t").alias("trend"), F.corr("_x", "_lag").alias("acf1"),
-        F.sum(((F.col("_x") > F.col("_lag")) & (F.col("_x") > F.col("_lead"))).cast("int")).alias("peaks"))
+        F.regr_slope("_x", F.col("_idx").cast("double")).alias("trend"), F.corr("_x", "_x_lag1").alias("acf1"),
+        F.sum(F.when(peak, 1).otherwise(0)).alias("peaks"))
 
 
 # ----------------------------------------------------------------- M4

@@ -78,3 +78,13 @@ def test_nan_and_null_dropped(spark):
     fit = ols(df, "y", ["x"])
     assert fit.n == 3
     assert any("Low observations" in w for w in fit.warnings)
+
+
+def test_durbin_watson_rejects_duplicate_order_keys(spark, li):
+    from statframe.operators.diagnostics import durbin_watson
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    with pytest.raises(ValueError, match="tie-break"):
+        durbin_watson(li, fit, ["l_orderkey", "l_linenumber"])  # not unique in this table
+    ev = load(spark, SF_SMALL, "events")
+    efit = ols(ev, "value", ["user_id"])
+    assert durbin_watson(ev, efit, ["ts", "event_id"])[0] == "durbin_watson"
