@@ -52,8 +52,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# lineitem has repeated (l_orderkey, l_linenumber) pairs; this key is unique
+# lineitem has repeated (l_orderkey, l_linenumber) pairs; LI_KEY identifies rows in outputs and
+# LI_ORDER is a unique order key at every driver scale (checked at sf0.001, 0.01, 0.1)
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LI_ORDER = LI_KEY + ["l_shipdate", "l_extendedprice"]
 
 
 def _li(spark: SparkSession, sf: str) -> DataFrame:
@@ -932,13 +934,13 @@ def q_panel_between(spark, sf):
 
 @register("panel_first_difference", f"""
 WITH d AS (SELECT l_extendedprice - lag(l_extendedprice) OVER w AS y, l_quantity - lag(l_quantity) OVER w AS x
-           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           l_shipdate, l_extendedprice)),
 s AS (SELECT sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy, count(*) AS n FROM d WHERE y IS NOT NULL),
 f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 1) AS s2 FROM s)
 SELECT 'l_quantity' AS term, {S('b')} AS coefficient, {S('sqrt(s2 / sxx)')} AS se FROM f""")
 def q_panel_first_difference(spark, sf):
-    fit = panel.first_difference(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey",
-                                 LI_KEY)
+    fit = panel.first_difference(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER)
     return spark.createDataFrame([(t, b, s) for t, b, s, _, _ in fit.coef_rows()], "term string, coefficient double, se double")
 
 
@@ -1046,9 +1048,9 @@ def q_ipw_ate(spark, sf):
 
 @register("psm_att")
 def q_psm_att(spark, sf):
-    d = _li(spark, sf).select(*LI_KEY, "l_quantity", "l_discount", "l_extendedprice",
+    d = _li(spark, sf).select(*LI_ORDER, "l_quantity", "l_discount",
                               (F.col("l_linestatus") == "F").cast("double").alias("status_f"))
-    r = causal.psm_att(d, "status_f", "l_extendedprice", ["l_quantity", "l_discount"], LI_KEY, caliper=0.01)
+    r = causal.psm_att(d, "status_f", "l_extendedprice", ["l_quantity", "l_discount"], LI_ORDER, caliper=0.01)
     return spark.createDataFrame([(sig(r["att"]), sig(r["se"]), int(r["matched"]), int(r["unmatched"]))],
                                  "att double, se double, matched bigint, unmatched bigint")
 
@@ -1445,7 +1447,7 @@ def q_shapiro_wilk_by_type(spark, sf):
 
 @register("wooldridge_serial_panel")
 def q_wooldridge_serial_panel(spark, sf):
-    r = panel.wooldridge_ac(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_KEY)
+    r = panel.wooldridge_ac(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER)
     return spark.createDataFrame([(sig(r["rho"]), sig(r["f_stat"]), sig(r["p_value"]))], "rho double, f_stat double, p_value double")
 
 
@@ -1767,7 +1769,7 @@ def q_arima_forecast_by_type(spark, sf):
 
 @register("difference_gmm_panel")
 def q_difference_gmm_panel(spark, sf):
-    r = panel.difference_gmm(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_KEY)
+    r = panel.difference_gmm(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER)
     return spark.createDataFrame([(t, sig(b), sig(s)) for t, b, s in zip(r["terms"], r["beta"], r["se"])],
                                  "term string, coefficient double, se double")
 

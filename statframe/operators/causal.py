@@ -112,12 +112,12 @@ def psm_att(df: DataFrame, treat: str, y: str, covariates: list[str], key, calip
     are enumerated, so a dense score region costs no more than a sparse one).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    d = df.select(*keys, treat, y, *covariates).dropna()
+    d = df.select(*dict.fromkeys(keys + [treat, y] + list(covariates))).dropna()
     if ps_col is None:
         fit = logit(d, treat, covariates)
         d = d.withColumn("_ps", probability(fit))
     else:
-        d = df.select(*keys, treat, y, F.col(ps_col).alias("_ps")).dropna()
+        d = df.select(*dict.fromkeys(keys + [treat, y]), F.col(ps_col).alias("_ps")).dropna()
     is_t = F.col(treat).cast("double") == 1.0
     d = (d.withColumn("_t", is_t.cast("int"))
          .withColumn("_cps", F.when(~is_t, F.col("_ps"))).withColumn("_cy", F.when(~is_t, F.col(y).cast("double"))))
