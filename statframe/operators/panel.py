@@ -168,8 +168,9 @@ def wooldridge_ac(df: DataFrame, y: str, features: list[str], entity: str, time)
     data = design(df, y, features, extra=[entity] + tcols)
     cols = [y] + list(features)
     l1 = series_lags(data, [entity], tcols, cols, 1)
-    d = l1.select(entity, *tcols, *[(F.col(c).cast("double") - F.col(f"{c}_lag1")).alias(c) for c in cols]).dropna()
-    e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(fd.beta, features)), F.lit(0.0))
+    d = l1.select(entity, *tcols, *[(F.col(c).cast("double") - F.col(f"{c}_lag1")).alias(f"_d_{c}") for c in cols]
+                  ).dropna(subset=[f"_d_{c}" for c in cols])
+    e = F.col(f"_d_{y}") - sum((F.lit(float(b)) * F.col(f"_d_{c}") for b, c in zip(fd.beta, features)), F.lit(0.0))
     d = series_lags(d.withColumn("_e", e), [entity], tcols, ["_e"], 1).withColumnRenamed("_e_lag1", "_el").dropna(
         subset=["_el"])
     r = d.agg(F.sum(F.col("_e") * F.col("_el")).alias("xy"), F.sum(F.col("_el") ** 2).alias("xx"),
