@@ -210,10 +210,9 @@ def influence(df: DataFrame, fit: LinearFit, keep: list[str] | None = None) -> D
 
 def sparse_cells(df: DataFrame, y: str, min_share: float = 0.05) -> DataFrame:
     """Class counts and shares, flagged below ``min_share``."""
-    w = Window.partitionBy()
     counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    # the class table is small (one row per class); the window runs over it only
-    out = counts.withColumn("share", F.col("n") / F.sum("n").over(w))
+    total = df.where(F.col(y).isNotNull()).count()
+    out = counts.withColumn("share", F.col("n") / F.lit(float(total)))
     return out.withColumn("sparse", F.col("share") < F.lit(min_share))
 
 

@@ -19,6 +19,16 @@ from ..plans.gram import grouped_gram, moments_from_row, gram
 from ..plans.order import GlobalOrder, bucket_reduce
 from .linear import LinearFit, design, solve_moments
 
+MAX_FOLDS = 10_000  # fold / period Gram rows collected to the driver (k x k each)
+
+
+def _collect_bounded(df: DataFrame, what: str) -> list:
+    rows = df.limit(MAX_FOLDS + 1).collect()
+    if len(rows) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} {what}: use a coarser grouping")
+    return rows
+
+
 METRIC_SCHEMA = T.StructType([T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
@@ -210,7 +220,7 @@ def cross_validate_linear(df: DataFrame, target: str, features: list[str], k: in
     data = design(df, target, features, extra=key_cols or [])
     fcol = fold if fold is not None else fold_column(key_cols or [target] + list(features), k)
     names = list(features) + [target]
-    rows = grouped_gram(data.withColumn("_fold", fcol), ["_fold"], names).collect()
+    rows = _collect_bounded(grouped_gram(data.withColumn("_fold", fcol), ["_fold"], names), "folds")
     moms = {r["_fold"]: moments_from_row(r, names) for r in rows}
     total = None
     for m in moms.values():
@@ -241,7 +251,7 @@ def time_cv_linear(df: DataFrame, target: str, features: list[str], period: Colu
     pcol = period if isinstance(period, Column) else F.col(period)
     data = design(df.withColumn("_p", pcol), target, features, extra=["_p"])
     names = list(features) + [target]
-    rows = grouped_gram(data, ["_p"], names).collect()
+    rows = _collect_bounded(grouped_gram(data, ["_p"], names), "periods")
     moms = sorted(((r["_p"], moments_from_row(r, names)) for r in rows), key=lambda t: t[0])
     out = []
     for i in range(1, len(moms)):
@@ -418,7 +428,8 @@ def nested_cv_ridge(df: DataFrame, target: str, features: list[str], outer: Colu
     every train / validation / test Gram is a sum of cells."""
     data = design(df.withColumn("_o", outer).withColumn("_i", inner), target, features, extra=["_o", "_i"])
     names = list(features) + [target]
-    cells = {(r["_o"], r["_i"]): moments_from_row(r, names) for r in grouped_gram(data, ["_o", "_i"], names).collect()}
+    cells = {(r["_o"], r["_i"]): moments_from_row(r, names)
+             for r in _collect_bounded(grouped_gram(data, ["_o", "_i"], names), "fold cells")}
 
     def total(keys):
         acc = None
