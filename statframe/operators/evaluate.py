@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from ..functions import dist
 from ..functions.columns import sig
-from ..functions.linalg import sym_inv
 from ..plans.gram import grouped_gram, moments_from_row, gram
 from ..plans.order import GlobalOrder, bucket_reduce
 from .linear import LinearFit, design, solve_moments

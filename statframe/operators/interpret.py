@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.columns import logistic, norm_cdf, norm_pdf, sig
+from ..functions.columns import logistic, norm_pdf, sig
 from ..plans.gram import grouped_gram, moments_from_row
 from ..plans.newton import lit_dot
 from .discrete import DiscreteFit, class_probabilities

@@ -315,7 +315,7 @@ def gls_ar1(df: DataFrame, target: str, features: list[str], order_by) -> Linear
         names = ["_c"] + cols
         mom = gram(lagged.select(*zc), names)
     finally:
-        pass
+        lagged.unpersist()
     xs = ["_c"] + list(features)
     xtx = mom.m[np.ix_(mom.idx(xs), mom.idx(xs))]
     xty = mom.m[np.ix_(mom.idx(xs), mom.idx([target]))][:, 0]
@@ -326,7 +326,6 @@ def gls_ar1(df: DataFrame, target: str, features: list[str], order_by) -> Linear
     fit = LinearFit(target, list(features), beta, bread, bread * 0, mom.n, ssr, first.sst,
                     algorithm="gls_ar1", moments=mom, rho=rho)
     fit.cov = fit.sigma2 * bread
-    lagged.unpersist()
     return fit
 
 
