@@ -1964,3 +1964,11 @@ def q_stream_session_windows(spark, sf):
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "user_id", "n",
                     sig_col("sum").alias("sum"))
+
+
+@register("repeated_cv_linear")
+def q_repeated_cv_linear(spark, sf):
+    res = ev.repeated_cv_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY, k=5, repeats=3,
+                                strata="l_returnflag")
+    return spark.createDataFrame([(int(r["repeat"]), sig(r["rmse"]), int(r["n"])) for r in res],
+                                 "repeat int, rmse double, n bigint")

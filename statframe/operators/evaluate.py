@@ -466,3 +466,32 @@ def nested_cv_ridge(df: DataFrame, target: str, features: list[str], outer: Colu
         beta = ridge_beta(train, best)
         res.append({"outer": o, "lambda": best, "test_rmse": math.sqrt(sse(test, beta) / test.sw), "n_test": test.n})
     return res
+
+
+def repeated_cv_linear(df: DataFrame, target: str, features: list[str], key_cols: list[str], k: int = 5,
+                       repeats: int = 3, strata: str | None = None, seed: int = 42) -> list[dict]:
+    """Repeated (optionally stratified) k-fold CV of OLS in ONE pass: rows are exploded
+    over the repeats, each repeat assigns hash folds (within ``strata`` the fold is the
+    hash of the key and the stratum, so every stratum is split over all folds), and one
+    grouped GRAM by (repeat, fold) yields all R x k train/test splits."""
+    data = design(df, target, features, extra=list(key_cols) + ([strata] if strata else []))
+    rep = data.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    hkeys = [F.col("_rep")] + [F.col(c) for c in key_cols] + ([F.col(strata)] if strata else [])
+    rep = rep.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *hkeys), F.lit(k)).cast("int"))
+    names = list(features) + [target]
+    rows = _collect_bounded(grouped_gram(rep, ["_rep", "_fold"], names), "repeat x fold cells")
+    cells = {(r["_rep"], r["_fold"]): moments_from_row(r, names) for r in rows}
+    out = []
+    for r_id in range(1, repeats + 1):
+        folds = {f: m for (rr, f), m in cells.items() if rr == r_id}
+        total = None
+        for m in folds.values():
+            total = m if total is None else total + m
+        sse, n = 0.0, 0
+        for f, m in folds.items():
+            beta, _, _, _ = solve_moments(total - m, target, features)
+            z = np.concatenate([[-beta[0]], -beta[1:], [1.0]])
+            sse += float(z @ m.raw(names) @ z)
+            n += m.n
+        out.append({"repeat": r_id, "rmse": math.sqrt(max(sse, 0.0) / n), "n": n})
+    return out
