@@ -99,3 +99,14 @@ def test_bootstrap_632_and_nested_cv(spark):
     assert b["replicates"] == 10 and b["err_oob"] > 0
     n = E.nested_cv_ridge(li, "l_extendedprice", ["l_quantity"], F.year("l_shipdate"), F.col("l_returnflag"), [0.0, 10.0])
     assert len(n) >= 5
+
+
+def test_sampled_shapley_zero_for_unused_feature(spark):
+    from statframe.operators import trees
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(3 * a)) for i, (a, b) in enumerate(zip(rng.normal(size=300), rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "id int, x1 double, x2 double, y double")
+    m = trees.train_tree_model(df, "y", ["x1", "x2"], "tree", maxDepth=3)
+    phi = {r["feature"]: r["s"] for r in trees.sampled_shapley(m, df, ["x1", "x2"], ["id"], 16, 4)
+           .groupBy("feature").agg(F.sum(F.abs("phi")).alias("s")).collect()}
+    assert phi["x2"] == 0.0 and phi["x1"] > 0
