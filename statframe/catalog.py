@@ -1461,12 +1461,20 @@ def q_vuong_logit_probit(spark, sf):
     return tests_df(spark, [diag.vuong(d, ll(probability(f1)), ll(probability(f2)))])
 
 
-@register("overdispersion_poisson")
+@register("overdispersion_poisson", f"""
+WITH d AS (SELECT CAST(count(*) AS DOUBLE) AS y, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS x
+           FROM events GROUP BY user_id, event_type),
+m AS (SELECT x, avg(y) AS mu FROM d GROUP BY x),
+r AS (SELECT y, mu, pow(y - mu, 2) / mu AS p, (pow(y - mu, 2) - y) / mu AS z FROM d JOIN m USING (x)),
+a AS (SELECT count(*) AS n, sum(p) AS x2, sum(z * mu) AS zm, sum(mu * mu) AS mm, sum(z * z) AS zz FROM r),
+b AS (SELECT *, zm / mm AS slope FROM a)
+SELECT 'pearson_dispersion' AS test, {S('x2 / (n - 2)')} AS statistic, CAST(n - 2 AS DOUBLE) AS df FROM b
+UNION ALL SELECT 'cameron_trivedi', {S('slope / sqrt((zz - slope * zm) / (n - 1) / mm)')}, CAST(n - 1 AS DOUBLE) FROM b""")
 def q_overdispersion_poisson(spark, sf):
     d = _ev(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n_events")) \
         .withColumn("is_click", (F.col("event_type") == "click").cast("double"))
     fit = poisson(d, "n_events", ["is_click"])
-    return tests_df(spark, diag.overdispersion(d, "n_events", probability(fit), fit.k))
+    return tests_df(spark, diag.overdispersion(d, "n_events", probability(fit), fit.k)).select("test", "statistic", "df")
 
 
 @register("sample_size_and_cutpoints")
@@ -1530,16 +1538,47 @@ def q_zip_discount_points(spark, sf):
     return spark.createDataFrame(rows, "term string, value double")
 
 
-@register("gls_ar1_events")
+def _nc2_sql(src: str, c: str, x: str, y: str) -> str:
+    """term/coefficient/se/t_stat of a no-intercept regression of y on (c, x) by Cramer's rule."""
+    return f"""z AS (SELECT sum({c} * {c}) AS a, sum({c} * {x}) AS b, sum({x} * {x}) AS d, sum({c} * {y}) AS u,
+      sum({x} * {y}) AS v, sum({y} * {y}) AS yy, count(*) AS n FROM {src}),
+zb AS (SELECT *, a * d - b * b AS det FROM z),
+zc AS (SELECT *, (d * u - b * v) / det AS bc, (a * v - b * u) / det AS bx FROM zb),
+zs AS (SELECT *, (yy - bc * u - bx * v) / (n - 2) AS s2 FROM zc)"""
+
+
+def _nc2_select(xname: str) -> str:
+    return (f"SELECT 'const' AS term, {S('bc')} AS coefficient, {S('sqrt(s2 * d / det)')} AS se, "
+            f"{S('bc / sqrt(s2 * d / det)')} AS t_stat FROM zs UNION ALL SELECT '{xname}', {S('bx')}, "
+            f"{S('sqrt(s2 * a / det)')}, {S('bx / sqrt(s2 * a / det)')} FROM zs")
+
+
+@register("gls_ar1_events", f"""
+WITH {ols1_cte('events', 'value', 'user_id')},
+r AS (SELECT value AS y, user_id AS x, value - (b0 + b1 * user_id) AS e, ts, event_id FROM events, s),
+l AS (SELECT y, x, e, lag(y) OVER w AS yl, lag(x) OVER w AS xl, lag(e) OVER w AS el FROM r WINDOW w AS (ORDER BY ts, event_id)),
+rh AS (SELECT greatest(least(sum(e * el) / sum(el * el), 0.999999), -0.999999) AS rho FROM l WHERE el IS NOT NULL),
+t AS (SELECT CASE WHEN yl IS NULL THEN sqrt(1 - rho * rho) ELSE 1 - rho END AS c,
+      CASE WHEN yl IS NULL THEN sqrt(1 - rho * rho) * y ELSE y - rho * yl END AS ty,
+      CASE WHEN yl IS NULL THEN sqrt(1 - rho * rho) * x ELSE x - rho * xl END AS tx FROM l, rh),
+{_nc2_sql('t', 'c', 'tx', 'ty')}
+{_nc2_select('user_id')} UNION ALL SELECT 'rho', {S('rho')}, NULL, NULL FROM rh""")
 def q_gls_ar1_events(spark, sf):
     fit = lin.gls_ar1(_ev(spark, sf), "value", ["user_id"], EV_ORDER)
-    return fit.coefficients(spark).unionByName(spark.createDataFrame(
-        [("rho", sig(fit.rho), None, None, None, None, None)], fit.coefficients(spark).schema))
+    t = fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
+    return t.unionByName(spark.createDataFrame([("rho", sig(fit.rho), None, None)], t.schema))
 
 
-@register("gls_block_equicorrelated")
+@register("gls_block_equicorrelated", f"""
+WITH g AS (SELECT l_suppkey, count(*) AS ng, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem GROUP BY 1),
+th AS (SELECT l_suppkey, 1 - sqrt(0.9 / (0.9 + ng * 0.1)) AS theta, my, mx FROM g),
+t AS (SELECT 1 - theta AS c, l_extendedprice - theta * my AS ty, l_quantity - theta * mx AS tx
+      FROM lineitem JOIN th USING (l_suppkey)),
+{_nc2_sql('t', 'c', 'tx', 'ty')}
+{_nc2_select('l_quantity')}""")
 def q_gls_block_equicorrelated(spark, sf):
-    return lin.gls_equicorrelated(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", 0.1).coefficients(spark)
+    fit = lin.gls_equicorrelated(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", 0.1)
+    return fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
 
 
 @register("irr_poisson", f"""
@@ -1723,9 +1762,20 @@ def q_bootstrap_coefficients(spark, sf):
 
 
 # ============================================== series / panel / causal (more)
-@register("kpss_events")
+KPSS_LAGS = 12
+
+
+@register("kpss_events", f"""
+WITH m AS (SELECT avg(value) AS mu, count(*) AS n FROM events),
+e AS (SELECT value - mu AS e, ts, event_id FROM events, m),
+c AS (SELECT sum(e) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e),
+l AS (SELECT e, lag(e, 1) OVER w AS l1, lag(e, 2) OVER w AS l2, lag(e, 3) OVER w AS l3, lag(e, 4) OVER w AS l4, lag(e, 5) OVER w AS l5, lag(e, 6) OVER w AS l6, lag(e, 7) OVER w AS l7, lag(e, 8) OVER w AS l8, lag(e, 9) OVER w AS l9, lag(e, 10) OVER w AS l10, lag(e, 11) OVER w AS l11, lag(e, 12) OVER w AS l12 FROM e WINDOW w AS (ORDER BY ts, event_id)),
+g AS (SELECT sum(e * e) AS g0, sum(e * l1) AS g1, sum(e * l2) AS g2, sum(e * l3) AS g3, sum(e * l4) AS g4, sum(e * l5) AS g5, sum(e * l6) AS g6, sum(e * l7) AS g7, sum(e * l8) AS g8, sum(e * l9) AS g9, sum(e * l10) AS g10, sum(e * l11) AS g11, sum(e * l12) AS g12 FROM l),
+v AS (SELECT (g0 + 2 * (0.9230769230769231 * g1 + 0.8461538461538461 * g2 + 0.7692307692307692 * g3 + 0.6923076923076923 * g4 + 0.6153846153846154 * g5 + 0.5384615384615384 * g6 + 0.46153846153846156 * g7 + 0.3846153846153846 * g8 + 0.3076923076923077 * g9 + 0.23076923076923073 * g10 + 0.15384615384615385 * g11 + 0.07692307692307687 * g12)) / n AS lrv, n FROM g, m),
+q AS (SELECT sum(s * s) AS ss FROM c)
+SELECT {S('ss / (n * n * lrv)')} AS kpss_stat, 12 AS lags, CAST(n AS BIGINT) AS n_obs FROM q, v""")
 def q_kpss_events(spark, sf):
-    r = series.kpss(_ev(spark, sf), "value", EV_ORDER)
+    r = series.kpss(_ev(spark, sf), "value", EV_ORDER, lags=KPSS_LAGS)
     return spark.createDataFrame([(sig(r["kpss_stat"]), int(r["lags"]), int(r["n_obs"]))], "kpss_stat double, lags int, n_obs bigint")
 
 
@@ -1741,10 +1791,24 @@ def _hourly_pair(spark, sf):
             .fillna(0.0, ["click", "view"]))
 
 
-@register("granger_click_view")
+HOURLY_PAIR_SQL = """b AS (SELECT event_type, date_trunc('hour', ts) AS slot, sum(value) AS v FROM events
+      WHERE event_type IN ('click', 'view') GROUP BY ALL),
+r AS (SELECT event_type, min(slot) AS lo, max(slot) AS hi FROM b GROUP BY event_type),
+sp AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS slot FROM r),
+f AS (SELECT sp.event_type, sp.slot, coalesce(b.v, 0.0) AS v FROM sp LEFT JOIN b USING (event_type, slot)),
+hp AS (SELECT slot, coalesce(max(CASE WHEN event_type = 'click' THEN v END), 0.0) AS click,
+       coalesce(max(CASE WHEN event_type = 'view' THEN v END), 0.0) AS view FROM f GROUP BY slot),
+hl AS (SELECT click, lag(click) OVER (ORDER BY slot) AS cl, lag(view) OVER (ORDER BY slot) AS vl FROM hp),
+hx AS (SELECT * FROM hl WHERE cl IS NOT NULL)"""
+
+
+@register("granger_click_view", f"""
+WITH {HOURLY_PAIR_SQL}, {ols1_cte('hx', 'click', 'cl')}, {ols2_cte('hx', 'click', 'cl', 'vl')}
+SELECT {S('((s.syy - s.b1 * s.sxy) - t_f.ssr) / (t_f.ssr / (t_f.n - 3))')} AS f_stat, CAST(t_f.n - 3 AS BIGINT) AS df_den
+FROM s, t_f""")
 def q_granger_click_view(spark, sf):
     r = series.granger(_hourly_pair(spark, sf), "click", "view", ["slot"], 1)
-    return spark.createDataFrame([(sig(r["f_stat"]), sig(r["p_value"]), int(r["df_den"]))], "f_stat double, p_value double, df_den bigint")
+    return spark.createDataFrame([(sig(r["f_stat"]), int(r["df_den"]))], "f_stat double, df_den bigint")
 
 
 @register("var_impulse_response")
