@@ -1819,7 +1819,20 @@ def q_var_impulse_response(spark, sf):
     return spark.createDataFrame(rows, "horizon int, response int, shock int, value double")
 
 
-@register("engle_granger_ecm")
+@register("engle_granger_ecm", f"""
+WITH {HOURLY_PAIR_SQL},
+{ols1_cte('hp', 'click', 'view', 'c1')},
+u AS (SELECT slot, click, view, click - (c1.b0 + c1.b1 * view) AS u FROM hp, c1),
+ul AS (SELECT u - lag(u) OVER (ORDER BY slot) AS du, lag(u) OVER (ORDER BY slot) AS u1,
+       click - lag(click) OVER (ORDER BY slot) AS dy, view - lag(view) OVER (ORDER BY slot) AS dx FROM u),
+ux AS (SELECT * FROM ul WHERE u1 IS NOT NULL),
+{ols1_cte('ux', 'du', 'u1', 'a1')}, a2 AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM a1),
+{ols2_cte('ux', 'dy', 'dx', 'u1', 'e')}
+SELECT 'long_run_beta' AS metric, {S('c1.b1')} AS value FROM c1
+UNION ALL SELECT 'adf_resid', {S('b1 / sqrt(s2 / sxx)')} FROM a2
+UNION ALL SELECT 'ecm_short_run', {S('b1')} FROM e_f
+UNION ALL SELECT 'ecm_adjustment', {S('b2')} FROM e_f
+UNION ALL SELECT 'ecm_adjustment_se', {S('sqrt(ssr / (n - 3) * s11 / det)')} FROM e_f""")
 def q_engle_granger_ecm(spark, sf):
     r = series.engle_granger(_hourly_pair(spark, sf), "click", "view", ["slot"])
     return metrics_df(spark, list(r.items()))
