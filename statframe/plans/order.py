@@ -29,6 +29,7 @@ from ..session import default_buckets
 
 MAX_EDGE_CELLS = 5_000_000
 MIN_GRID = 256      # quantile grid requested in the cut pass (thinned to the bucket count)
+SMALL_INPUT_ROWS = 200_000  # at or below: one bucket (one task sorts it), no edge summary pass
 MAX_GRID = 16384
 
 
@@ -70,14 +71,17 @@ class GlobalOrder:
             row = keyed.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_k", probs, acc).alias("c")).collect()[0]
             raw, n_rows = row["c"] or [], row["n"]
         raw = [float(x) for x in raw if x is not None]
-        if n_buckets is None and raw:
+        if n_buckets is None and (n_rows or 0) <= SMALL_INPUT_ROWS:
+            raw = []  # checked small input: one bucket, no edge pass
+            self.n_buckets = 1
+        elif n_buckets is None and raw:
             want = max(base, math.ceil((n_rows or 0) / rows_per_bucket))
             B = max(1, min(R, want))
             step = R / B
             raw = [raw[min(len(raw) - 1, int(round(i * step)) - 1)] for i in range(1, B)]
             self.n_buckets = B
-        else:
-            self.n_buckets = R
+        elif n_buckets is not None or not raw:
+            self.n_buckets = R if n_buckets is not None else 1
         self.n_rows = n_rows
         b = self.n_buckets
         cuts = sorted(set(raw))
@@ -130,6 +134,12 @@ class GlobalOrder:
         """Adds ``_idx`` (1..n, global) and ``{c}_lag{l}`` for l = 1..lags."""
         L = int(lags)
         bd = self.bucketed
+        if self.n_buckets == 1:
+            out = bd.withColumn("_idx", F.row_number().over(self.window).cast("long"))
+            for c in cols:
+                for lag in range(1, L + 1):
+                    out = out.withColumn(f"{c}_lag{lag}", F.lag(F.col(c).cast("double"), lag).over(self.window))
+            return out
         if L == 1:
             last = F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]),
                             F.struct(*[F.col(c) for c in self.order_by]))
@@ -171,6 +181,12 @@ class GlobalOrder:
     def with_running_sums(self, cols: list[str]) -> DataFrame:
         """Adds ``_idx`` and ``{c}_cum`` = inclusive global prefix sums."""
         bd = self.bucketed
+        if self.n_buckets == 1:
+            run = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            out = bd.withColumn("_idx", F.row_number().over(self.window).cast("long"))
+            for c in cols:
+                out = out.withColumn(f"{c}_cum", F.sum(F.col(c).cast("double")).over(run))
+            return out
         summ = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"),
                                     *[F.sum(F.col(c)).alias(f"s{j}") for j, c in enumerate(cols)]).collect()
         rows = sorted(summ, key=lambda r: r["_b"])
