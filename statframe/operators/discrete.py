@@ -145,6 +145,10 @@ def binarize(df: DataFrame, y: str) -> tuple[DataFrame, list]:
               .orderBy(y).limit(MAX_CLASSES + 1).collect()]
     if len(labels) < 2:
         raise ValueError(f"target {y!r} has fewer than two classes")
+    if len(labels) > 2:
+        import warnings
+        warnings.warn(f"target {y!r} has {len(labels)} classes: {labels[1]!r} (second sorted label) is coded 1, "
+                      "every other label 0", stacklevel=2)
     return df.withColumn(y, (F.col(y) == F.lit(labels[1])).cast("double")), labels
 
 

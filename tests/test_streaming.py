@@ -18,3 +18,28 @@ def test_window_stats_equal_batch(spark):
              .where(F.col("w.end") <= F.lit(mx) - F.expr("INTERVAL 1 HOUR")).collect())
     want = {r["w"]["start"]: (r["n"], round(r["s"], 6)) for r in batch}
     assert got == want and len(got) > 0
+
+
+def test_late_rows_dropped_after_watermark(spark, tmp_path):
+    """Three files in arrival order: early days, later days (the watermark passes the early
+    windows, which are emitted and evicted), then rows for the first day. Those rows are
+    behind the watermark and must not reopen or change the closed window; days without
+    rows produce no window."""
+    import time
+    ev = load(spark, SF_SMALL, "events")
+    src = tmp_path / "src"
+    day2 = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    early = ev.where(F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    early.coalesce(1).write.parquet(str(src / "part1"))
+    time.sleep(1.2)
+    ev.where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).coalesce(1).write.parquet(str(src / "part2"))
+    time.sleep(1.2)
+    ev.where(F.col("ts") < day2).coalesce(1).write.parquet(str(src / "part3"))
+    s = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+         .parquet(str(src)).withColumn("ts", F.col("ts").cast("timestamp")))
+    out = stream.run_to_table(stream.window_stats(s, "ts", "value", "1 day", watermark="1 hour"),
+                              stream.scratch(spark, "t-late"))
+    rows = spark.read.parquet(out).collect()
+    day1 = [r["n"] for r in rows if r["window_start"].strftime("%Y-%m-%d") == "2024-01-01"]
+    assert day1 == [early.where(F.col("ts") < day2).count()]  # emitted once, late copies dropped
+    assert not any(r["window_start"].strftime("%Y-%m-%d") == "2024-01-15" for r in rows)
