@@ -69,6 +69,12 @@ def newton(df: DataFrame, build, theta0, max_iter: int = 100, tol: float = 1e-10
         big = np.max(np.abs(step)) if step.size else 0.0
         if big > max_step:
             step = step * (max_step / big)
+        if big < tol * (1.0 + np.max(np.abs(theta))):
+            # converged: take the (tiny) step without another pass; the Hessian at theta
+            # differs from the one at theta + step by O(step), far below reported precision
+            theta = theta + step
+            converged = True
+            break
         t = 1.0
         while True:
             cand = theta + t * step
