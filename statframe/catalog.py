@@ -1331,7 +1331,9 @@ def q_registry_roundtrip(spark, sf):
     pred = li.select(reg.score_expression(row).alias("prediction"))
     reg.write_predictions(pred, path + "-predictions", mid)
     back = spark.read.parquet(path + "-predictions")
-    return back.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_predictions"), sig_col(F.avg("prediction")).alias("mean_prediction"))
+    ids = reg.load_registry(spark, path).select("model_id", F.col("model_id").rlike(reg.MODEL_ID_RE).alias("valid_id"))
+    return back.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_predictions"),
+                                        sig_col(F.avg("prediction")).alias("mean_prediction")).join(ids, "model_id")
 
 
 # ============================================================ report
@@ -2068,3 +2070,11 @@ def q_tree_shapley_summary(spark, sf):
     m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
     phi = trees.sampled_shapley(m, li, feats, LI_ORDER, n_background=32, samples=4)
     return phi.groupBy("feature").agg(sig_col(F.avg(F.abs("phi"))).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
+
+
+@register("forecast_vs_actual_by_type")
+def q_forecast_vs_actual_by_type(spark, sf):
+    e = _ev(spark, sf)
+    cut = F.col("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    t = rep.forecast_vs_actual(e, "value", "event_type", EV_ORDER, cut, p=1, q=0, horizon=3)
+    return t.select("event_type", "step", *[sig_col(c).alias(c) for c in ("forecast", "actual", "error")])

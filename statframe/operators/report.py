@@ -75,3 +75,23 @@ def fit_verdict(r2: float, n: int) -> str:
     size = "large_sample" if n > 10000 else "moderate_sample" if n >= 100 else "small_sample"
     fit = "strong" if r2 >= 0.7 else "moderate" if r2 >= 0.3 else "weak"
     return f"{fit}|{size}"
+
+
+def forecast_vs_actual(df: DataFrame, col: str, series, order_by, cutoff, p: int = 1, q: int = 0,
+                       horizon: int = 5) -> DataFrame:
+    """V8: fit ARIMA(p, 0, q) per series on rows before ``cutoff`` (a boolean Column on the
+    order), forecast ``horizon`` steps and join the first ``horizon`` held-out rows of each
+    series by step. Held-out positions come from the series-led global order (row index
+    minus the series' first held-out index), so no series is sorted in one task."""
+    from ..plans.order import series_lags
+    from .series import arima_hr
+    series = [series] if isinstance(series, str) else list(series)
+    ob = [order_by] if isinstance(order_by, str) else list(order_by)
+    train = df.where(cutoff)
+    hold = df.where(~cutoff).select(*series, *ob, F.col(col).cast("double").alias("actual"))
+    _, fc = arima_hr(train, col, series, ob, p=p, d=0, q=q, horizon=horizon)
+    idx = series_lags(hold, series, ob, [], 1)
+    first = idx.groupBy(*series).agg(F.min("_idx").alias("_first"))
+    steps = (idx.join(first, series).withColumn("step", (F.col("_idx") - F.col("_first") + 1).cast("int"))
+             .where(F.col("step") <= horizon).select(*series, "step", "actual"))
+    return fc.join(steps, series + ["step"], "left").withColumn("error", F.col("actual") - F.col("forecast"))
