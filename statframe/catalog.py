@@ -284,7 +284,7 @@ r AS (SELECT pow(l_extendedprice - (b0 + b1 * l_quantity + b2 * l_discount), 2)
       FROM lineitem, t_f),
 {ols2_cte('r', 'e2', 'l_quantity', 'l_discount', 'a')},
 z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
-SELECT 'breusch_pagan' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+SELECT 'breusch_pagan' AS test, {S('lm')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
        {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
 """)
 def q_breusch_pagan(spark, sf):
@@ -300,7 +300,7 @@ r AS (SELECT pow(l_extendedprice - (b0 + b1 * l_quantity), 2) AS e2, l_quantity
       FROM lineitem, s),
 {ols2_cte('r', 'e2', 'x1', 'x2', 'a')},
 z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
-SELECT 'white' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+SELECT 'white' AS test, {S('lm')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
        {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
 """)
 def q_white_test(spark, sf):
@@ -316,7 +316,7 @@ r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
 m AS (SELECT count(*) AS n, avg(e) AS mu FROM r),
 c AS (SELECT any_value(n) AS n, avg(pow(e - mu, 2)) AS c2, avg(pow(e - mu, 3)) AS c3, avg(pow(e - mu, 4)) AS c4 FROM r, m),
 j AS (SELECT n / 6.0 * (pow(c3 / pow(c2, 1.5), 2) + pow(c4 / (c2 * c2) - 3, 2) / 4) AS jb FROM c)
-SELECT 'jarque_bera' AS test, {S('jb')} AS statistic, 2.0 AS df, {S('exp(-jb / 2)')} AS p_value,
+SELECT 'jarque_bera' AS test, {S('jb')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S('exp(-jb / 2)')} AS p_value,
        {flag_sql('exp(-jb / 2)')} AS flag FROM j
 """)
 def q_jarque_bera(spark, sf):
@@ -349,7 +349,7 @@ l AS (SELECT e, coalesce(lag(e, 1) OVER (ORDER BY ts, event_id), 0.0) AS l1,
       coalesce(lag(e, 2) OVER (ORDER BY ts, event_id), 0.0) AS l2 FROM r),
 {ols2_cte('l', 'e', 'l1', 'l2', 'a')},
 z AS (SELECT n * (1 - ssr / syy) AS lm FROM a_f)
-SELECT 'breusch_godfrey' AS test, {S('lm')} AS statistic, 2.0 AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
+SELECT 'breusch_godfrey' AS test, {S('lm')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S(chi2_even_sf_sql('lm', 2))} AS p_value,
        {flag_sql(chi2_even_sf_sql('lm', 2))} AS flag FROM z
 """)
 def q_breusch_godfrey(spark, sf):
@@ -739,7 +739,7 @@ def q_partial_f_test(spark, sf):
 
 @register("ridge_path", f"""
 WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
-l AS (SELECT * FROM (VALUES (0.0), (100.0), (10000.0)) t(lam)),
+l AS (SELECT CAST(lam AS DOUBLE) AS lam FROM (VALUES (0.0), (100.0), (10000.0)) t(lam)),
 b AS (SELECT lam, sxy / (sxx * (n + lam) / n) AS b1, ybar, xbar FROM s, l)
 SELECT lam AS lambda, 'const' AS term, {S('ybar - b1 * xbar')} AS coefficient FROM b
 UNION ALL SELECT lam, 'l_quantity', {S('b1')} FROM b""")
@@ -1186,7 +1186,7 @@ def q_stream_cusum_by_type(spark, sf):
 # ========================================================== features
 @register("dummies_segment", f"""
 SELECT c_custkey, """ + ", ".join(
-    f"CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS \"c_mktsegment_{v}\""
+    f"CAST(CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS \"c_mktsegment_{v}\""
     for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
 def q_dummies_segment(spark, sf):
     d, names = feat.dummies(load(spark, sf, "customer"), "c_mktsegment")
@@ -1398,7 +1398,7 @@ l AS (SELECT value, lag(value, 1) OVER (ORDER BY ts, event_id) AS l1, lag(value,
 r AS (SELECT sum((value - mu) * (l1 - mu)) / any_value(den) AS r1, sum(CASE WHEN l2 IS NOT NULL THEN (value - mu) * (l2 - mu) END)
       / any_value(den) AS r2, any_value(n) AS n FROM l, m, d),
 q AS (SELECT n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)) AS q FROM r)
-SELECT 'ljung_box' AS test, {S('q')} AS statistic, 2.0 AS df, {S('exp(-q / 2)')} AS p_value, {flag_sql('exp(-q / 2)')} AS flag FROM q""")
+SELECT 'ljung_box' AS test, {S('q')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S('exp(-q / 2)')} AS p_value, {flag_sql('exp(-q / 2)')} AS flag FROM q""")
 def q_ljung_box_events(spark, sf):
     return tests_df(spark, [diag.ljung_box(_ev(spark, sf), "value", EV_ORDER, 2)])
 
@@ -1412,7 +1412,7 @@ def q_sparse_cells_segment(spark, sf):
 
 
 @register("deviance_by_status", f"""WITH {SAT_CELLS},
-r AS (SELECT CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS status_f, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
+r AS (SELECT CAST(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS status_f, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
       CASE WHEN l_linestatus = 'F' THEN n11 / (n11 + n01) ELSE n10 / (n10 + n00) END AS p FROM lineitem, f)
 SELECT status_f, count(*) AS n, {S('sum(-2 * (y * ln(p) + (1 - y) * ln(1 - p)))')} AS deviance,
        {S('sum((y - p) * (y - p) / (p * (1 - p)))')} AS pearson_chi2 FROM r GROUP BY status_f""")
@@ -1882,7 +1882,8 @@ r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
 v AS (SELECT e, count(*) AS k FROM r GROUP BY e),
 cum AS (SELECT e, sum(k) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS ck, sum(k) OVER () AS n FROM v),
 t AS (SELECT * FROM (VALUES {lits}) q(i, tq))
-SELECT i / 20.0 AS p, {S('(SELECT min(e) FROM cum WHERE ck * 20 >= i * n)')} AS sample_q, tq AS theoretical_q FROM t"""
+SELECT i / 20.0 AS p, {S('(SELECT min(e) FROM cum WHERE ck * 20 >= i * n)')} AS sample_q,
+  CAST(tq AS DOUBLE) AS theoretical_q FROM t"""
 
 
 @register("qq_points", _qq_sql())
