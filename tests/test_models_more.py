@@ -110,3 +110,22 @@ def test_sampled_shapley_zero_for_unused_feature(spark):
     phi = {r["feature"]: r["s"] for r in trees.sampled_shapley(m, df, ["x1", "x2"], ["id"], 16, 4)
            .groupBy("feature").agg(F.sum(F.abs("phi")).alias("s")).collect()}
     assert phi["x2"] == 0.0 and phi["x1"] > 0
+
+
+def test_psm_heavy_ties_multi_bucket_equals_single(spark):
+    """Few distinct scores (heavy ties): the matched ATT is the same whether the global
+    order runs in one bucket or is split (heavy scores refined by the row key)."""
+    from statframe.operators import causal
+    import statframe.plans.order as order
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 3)), float(rng.random() < 0.4), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, t double, y double")
+    one = causal.psm_att(df, "t", "y", ["x"], ["id"], caliper=0.5)
+    old = order.SMALL_INPUT_ROWS
+    try:
+        order.SMALL_INPUT_ROWS = 0
+        many = causal.psm_att(df, "t", "y", ["x"], ["id"], caliper=0.5)
+    finally:
+        order.SMALL_INPUT_ROWS = old
+    assert one["matched"] == many["matched"]
+    assert one["att"] == pytest.approx(many["att"], rel=1e-12)
