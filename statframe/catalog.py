@@ -2079,3 +2079,15 @@ def q_forecast_vs_actual_by_type(spark, sf):
     cut = F.col("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
     t = rep.forecast_vs_actual(e, "value", "event_type", EV_ORDER, cut, p=1, q=0, horizon=3)
     return t.select("event_type", "step", *[sig_col(c).alias(c) for c in ("forecast", "actual", "error")])
+
+
+@register("stream_cusum_batches_by_type", f"""
+WITH c AS (SELECT event_type, sum(value - 100.0) OVER (PARTITION BY event_type ORDER BY ts, event_id
+           ROWS UNBOUNDED PRECEDING) AS s FROM events)
+SELECT event_type, count(*) AS n, {S('max(greatest(s, 0.0))')} AS smax, {S('min(least(s, 0.0))')} AS smin
+FROM c GROUP BY event_type""")
+def q_stream_cusum_batches_by_type(spark, sf):
+    s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf))
+    path = stream.cusum_stream_batches(s, "event_type", "value", EV_ORDER, 100.0, 1e9, stream.scratch(spark, "cusum-b"))
+    r = spark.read.parquet(path)
+    return r.select("event_type", "n", sig_col("smax").alias("smax"), sig_col("smin").alias("smin"))

@@ -283,3 +283,18 @@ def bucket_reduce(go: GlobalOrder, window_cols: dict, aggs: list[Column]) -> lis
     for name, expr in window_cols.items():
         d = d.withColumn(name, expr)
     return sorted(d.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
+
+
+def series_running_sums(df: DataFrame, series: list[str] | str, order_by: list[str] | str, col: str,
+                        n_buckets: int | None = None) -> DataFrame:
+    """Running sum of ``col`` inside each series, on the series-led global order (a hot series
+    is split across buckets): global prefix minus the prefix just before the series starts."""
+    series = [series] if isinstance(series, str) else list(series)
+    ob = [order_by] if isinstance(order_by, str) else list(order_by)
+    d = df.withColumn("_sh", F.xxhash64(*[F.col(c) for c in series]))
+    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets, refine_by=ob[0])
+    cum = go.with_running_sums([col])
+    start = cum.groupBy(*series).agg(F.min_by(F.col(f"{col}_cum") - F.col(col).cast("double"), F.col("_idx"))
+                                     .alias("_before"))
+    return (cum.join(start, series).withColumn(f"{col}_scum", F.col(f"{col}_cum") - F.col("_before"))
+            .drop("_before", "_sh", f"{col}_cum"))

@@ -127,3 +127,48 @@ def cusum_stream(stream: DataFrame, key: str, value: str, target_mean: float, th
 
     return stream.groupBy(key).applyInPandasWithState(fn, out_schema, CUSUM_STATE, "append",
                                                       GroupStateTimeout.NoTimeout)
+
+
+def cusum_stream_batches(stream: DataFrame, key: str, value: str, order_by: list[str], target_mean: float,
+                         threshold: float, out: str):
+    """W3, skew-safe form: each micro-batch computes per-key running sums on the series-led
+    global order (a hot key is split across tasks), reduces them to per-key (n, sum, max, min)
+    of the batch-local prefix, and merges those with the per-key state table of the previous
+    batch: s' = s + s_b, max' = max(max, s + max_b), min' = min(min, s + min_b). The state is
+    a small Parquet table per batch id under ``out`` (a retried batch rewrites its own version)."""
+    from ..plans.order import series_running_sums
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        b = batch.withColumn("_x", F.col(value).cast("double") - F.lit(target_mean))
+        run = series_running_sums(b, [key], order_by, "_x")
+        part = run.groupBy(key).agg(F.count(F.lit(1)).alias("nb"), F.sum("_x").alias("sb"),
+                                    F.max("_x_scum").alias("hib"), F.min("_x_scum").alias("lob"))
+        prev_path = _latest_state(out, batch_id)
+        if prev_path:
+            prev = spark.read.parquet(prev_path)
+            merged = prev.join(part, key, "full")
+        else:
+            merged = part.withColumn("n", F.lit(0).cast("long")).withColumn("s", F.lit(0.0)) \
+                .withColumn("smax", F.lit(0.0)).withColumn("smin", F.lit(0.0))
+        s0 = F.coalesce(F.col("s"), F.lit(0.0))
+        new = merged.select(
+            F.col(key).cast("string").alias(key),
+            (F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("nb"), F.lit(0))).alias("n"),
+            (s0 + F.coalesce(F.col("sb"), F.lit(0.0))).alias("s"),
+            F.greatest(F.coalesce(F.col("smax"), F.lit(0.0)), s0 + F.coalesce(F.col("hib"), F.lit(0.0))).alias("smax"),
+            F.least(F.coalesce(F.col("smin"), F.lit(0.0)), s0 + F.coalesce(F.col("lob"), F.lit(0.0))).alias("smin"))
+        new = new.withColumn("alarm", F.greatest(F.abs("smax"), F.abs("smin")) > F.lit(threshold))
+        new.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id:012d}"))
+
+    run_to_table(stream, out + "-sink", foreach_batch=per_batch)
+    return _latest_state(out, None)
+
+
+def _latest_state(out: str, before: int | None):
+    if not os.path.isdir(out):
+        return None
+    ids = sorted(int(d.split("=")[1]) for d in os.listdir(out) if d.startswith("batch="))
+    if before is not None:
+        ids = [i for i in ids if i < before]
+    return os.path.join(out, f"batch={ids[-1]:012d}") if ids else None
