@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "statframe",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -55,3 +56,29 @@ def default_buckets(spark: SparkSession) -> int:
     except Exception:  # noqa: BLE001
         n = 200
     return max(4, min(n, 8192))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``statframe`` importable on executors (``mapInPandas`` / ``applyInPandas``
+    functions and streaming state functions import it): zip the package once and add it
+    with ``SparkContext.addPyFile``, which distributes it with the job."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="statframe-pkg-"), "statframe.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
