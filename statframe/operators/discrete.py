@@ -337,10 +337,23 @@ def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol:
         pois = glm(data, y, features, "poisson", "log", null_model=False, persist=False)
         mu0 = F.exp(pois.linear_predictor())
         mom_a = data.agg(F.avg(((yc - mu0) ** 2 - yc) / (mu0 * mu0))).collect()[0][0]
-        alpha = max(float(mom_a or 0.0), 1e-4)
         theta = pois.theta
         fit = None
         prev_ll = -math.inf
+        alpha = float(mom_a) if (mom_a or 0.0) > 1e-8 else 1e-3
+        if (mom_a or 0.0) <= 1e-8:
+            # no overdispersion by moments: confirm with the sign of the profile score in
+            # log(alpha) at a small alpha (one aggregate); if it falls, alpha -> 0 is the MLE
+            mu = F.exp(pois.linear_predictor())
+            vals = []
+            for a in (1e-3 * math.exp(-1e-3), 1e-3 * math.exp(1e-3)):
+                r = F.lit(1.0 / a)
+                vals.append(F.sum(lgamma_col(yc + r) - lgamma_col(r) + r * F.log(r / (r + mu))
+                                  + yc * F.log(mu / (r + mu))))
+            lo_ll, hi_ll = data.agg(*vals).collect()[0]
+            if hi_ll <= lo_ll:
+                alpha = 1e-6
+                max_outer = 0
         for _ in range(max_outer):
             fit = glm(data, y, features, "negbin", "log", alpha=alpha, theta0=theta, null_model=False, persist=False)
             theta = fit.theta
