@@ -1846,7 +1846,25 @@ def q_arima_forecast_by_type(spark, sf):
     return fc.select("event_type", "step", sig_col("forecast").alias("forecast"))
 
 
-@register("difference_gmm_panel")
+DGMM_SQL = f"""
+WITH l AS (SELECT l_extendedprice AS y, l_quantity AS x, lag(l_extendedprice, 1) OVER w AS y1,
+           lag(l_extendedprice, 2) OVER w AS y2, lag(l_quantity, 1) OVER w AS x1
+           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           l_shipdate, l_extendedprice)),
+d AS (SELECT y - y1 AS dy, x - x1 AS dx, y1 - y2 AS dly, y2 AS z FROM l WHERE y2 IS NOT NULL AND x1 IS NOT NULL),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(dx) AS sdx, sum(dly) AS sdly, sum(z) AS sz, sum(dy) AS sdy,
+      sum(dx * dx) AS sdxdx, sum(dx * dly) AS sdxdly, sum(z * dx) AS szdx, sum(z * dly) AS szdly, sum(dx * dy) AS sdxdy,
+      sum(z * dy) AS szdy, sum(dx * z) AS sdxz, sum(z * z) AS szz FROM d),
+iv AS (SELECT *, (((sdxdx) * (szdly) - (sdxdly) * (szdx))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i00, (-((sdx) * (szdly) - (sdly) * (szdx))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i01, (((sdx) * (sdxdly) - (sdly) * (sdxdx))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i02, (-((sdx) * (szdly) - (sdxdly) * (sz))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i10, (((n) * (szdly) - (sdly) * (sz))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i11, (-((n) * (sdxdly) - (sdly) * (sdx))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i12, (((sdx) * (szdx) - (sdxdx) * (sz))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i20, (-((n) * (szdx) - (sdx) * (sz))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i21, (((n) * (sdxdx) - (sdx) * (sdx))) / ((n) * (((sdxdx) * (szdly) - (sdxdly) * (szdx))) + (sdx) * (-((sdx) * (szdly) - (sdxdly) * (sz))) + (sdly) * (((sdx) * (szdx) - (sdxdx) * (sz)))) AS i22 FROM m),
+bt AS (SELECT *, (i00 * sdy + i01 * sdxdy + i02 * szdy) AS b0, (i10 * sdy + i11 * sdxdy + i12 * szdy) AS b1, (i20 * sdy + i21 * sdxdy + i22 * szdy) AS b2 FROM iv),
+r AS (SELECT sum(pow(dy - (b0 + b1 * dx + b2 * dly), 2)) / (any_value(n) - 3) AS s2 FROM d, bt),
+v AS (SELECT * FROM bt, r)
+SELECT 'const' AS term, {S('b0')} AS coefficient, {S('sqrt(s2 * (i00 * (n) * i00 + i00 * (sdx) * i01 + i00 * (sz) * i02 + i01 * (sdx) * i00 + i01 * (sdxdx) * i01 + i01 * (sdxz) * i02 + i02 * (sz) * i00 + i02 * (sdxz) * i01 + i02 * (szz) * i02))')} AS se FROM v
+UNION ALL SELECT '_d_l_quantity' AS term, {S('b1')} AS coefficient, {S('sqrt(s2 * (i10 * (n) * i10 + i10 * (sdx) * i11 + i10 * (sz) * i12 + i11 * (sdx) * i10 + i11 * (sdxdx) * i11 + i11 * (sdxz) * i12 + i12 * (sz) * i10 + i12 * (sdxz) * i11 + i12 * (szz) * i12))')} AS se FROM v
+UNION ALL SELECT '_dly' AS term, {S('b2')} AS coefficient, {S('sqrt(s2 * (i20 * (n) * i20 + i20 * (sdx) * i21 + i20 * (sz) * i22 + i21 * (sdx) * i20 + i21 * (sdxdx) * i21 + i21 * (sdxz) * i22 + i22 * (sz) * i20 + i22 * (sdxz) * i21 + i22 * (szz) * i22))')} AS se FROM v"""
+
+
+@register("difference_gmm_panel", DGMM_SQL)
 def q_difference_gmm_panel(spark, sf):
     r = panel.difference_gmm(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER)
     return spark.createDataFrame([(t, sig(b), sig(s)) for t, b, s in zip(r["terms"], r["beta"], r["se"])],
