@@ -1781,7 +1781,33 @@ def q_kpss_events(spark, sf):
     return spark.createDataFrame([(sig(r["kpss_stat"]), int(r["lags"]), int(r["n_obs"]))], "kpss_stat double, lags int, n_obs bigint")
 
 
-@register("acf_pacf_table")
+ACF_PACF_SQL = f"""
+WITH m AS (SELECT avg(value) AS mu, count(*) AS n FROM events),
+d AS (SELECT sum((value - mu) * (value - mu)) AS den FROM events, m),
+l AS (SELECT value, lag(value, 1) OVER (ORDER BY ts, event_id) AS l1, lag(value, 2) OVER (ORDER BY ts, event_id) AS l2, lag(value, 3) OVER (ORDER BY ts, event_id) AS l3, lag(value, 4) OVER (ORDER BY ts, event_id) AS l4, lag(value, 5) OVER (ORDER BY ts, event_id) AS l5, lag(value, 6) OVER (ORDER BY ts, event_id) AS l6 FROM events),
+rr AS (SELECT sum(CASE WHEN l1 IS NOT NULL THEN (value - mu) * (l1 - mu) END) / any_value(den) AS r1, sum(CASE WHEN l2 IS NOT NULL THEN (value - mu) * (l2 - mu) END) / any_value(den) AS r2, sum(CASE WHEN l3 IS NOT NULL THEN (value - mu) * (l3 - mu) END) / any_value(den) AS r3, sum(CASE WHEN l4 IS NOT NULL THEN (value - mu) * (l4 - mu) END) / any_value(den) AS r4, sum(CASE WHEN l5 IS NOT NULL THEN (value - mu) * (l5 - mu) END) / any_value(den) AS r5, sum(CASE WHEN l6 IS NOT NULL THEN (value - mu) * (l6 - mu) END) / any_value(den) AS r6, any_value(n) AS n FROM l, m, d),
+c1 AS (SELECT *, r1 AS f1_1 FROM rr),
+c2a AS (SELECT *, (r2 - (f1_1 * r1)) / (1 - (f1_1 * r1)) AS f2_2 FROM c1),
+c2 AS (SELECT *, f1_1 - f2_2 * f1_1 AS f2_1 FROM c2a),
+c3a AS (SELECT *, (r3 - (f2_1 * r2 + f2_2 * r1)) / (1 - (f2_1 * r1 + f2_2 * r2)) AS f3_3 FROM c2),
+c3 AS (SELECT *, f2_1 - f3_3 * f2_2 AS f3_1, f2_2 - f3_3 * f2_1 AS f3_2 FROM c3a),
+c4a AS (SELECT *, (r4 - (f3_1 * r3 + f3_2 * r2 + f3_3 * r1)) / (1 - (f3_1 * r1 + f3_2 * r2 + f3_3 * r3)) AS f4_4 FROM c3),
+c4 AS (SELECT *, f3_1 - f4_4 * f3_3 AS f4_1, f3_2 - f4_4 * f3_2 AS f4_2, f3_3 - f4_4 * f3_1 AS f4_3 FROM c4a),
+c5a AS (SELECT *, (r5 - (f4_1 * r4 + f4_2 * r3 + f4_3 * r2 + f4_4 * r1)) / (1 - (f4_1 * r1 + f4_2 * r2 + f4_3 * r3 + f4_4 * r4)) AS f5_5 FROM c4),
+c5 AS (SELECT *, f4_1 - f5_5 * f4_4 AS f5_1, f4_2 - f5_5 * f4_3 AS f5_2, f4_3 - f5_5 * f4_2 AS f5_3, f4_4 - f5_5 * f4_1 AS f5_4 FROM c5a),
+c6a AS (SELECT *, (r6 - (f5_1 * r5 + f5_2 * r4 + f5_3 * r3 + f5_4 * r2 + f5_5 * r1)) / (1 - (f5_1 * r1 + f5_2 * r2 + f5_3 * r3 + f5_4 * r4 + f5_5 * r5)) AS f6_6 FROM c5),
+c6 AS (SELECT *, f5_1 - f6_6 * f5_5 AS f6_1, f5_2 - f6_6 * f5_4 AS f6_2, f5_3 - f6_6 * f5_3 AS f6_3, f5_4 - f6_6 * f5_2 AS f6_4, f5_5 - f6_6 * f5_1 AS f6_5 FROM c6a)
+SELECT CAST(lag AS INTEGER) AS lag, {S('acf')} AS acf, {S('pacf')} AS pacf, {S('band')} AS band FROM (
+SELECT 0 AS lag, 1.0 AS acf, 1.0 AS pacf, 1.96 / sqrt(n) AS band FROM c6
+UNION ALL SELECT 1, r1, f1_1, 1.96 / sqrt(n) FROM c6
+UNION ALL SELECT 2, r2, f2_2, 1.96 / sqrt(n) FROM c6
+UNION ALL SELECT 3, r3, f3_3, 1.96 / sqrt(n) FROM c6
+UNION ALL SELECT 4, r4, f4_4, 1.96 / sqrt(n) FROM c6
+UNION ALL SELECT 5, r5, f5_5, 1.96 / sqrt(n) FROM c6
+UNION ALL SELECT 6, r6, f6_6, 1.96 / sqrt(n) FROM c6)"""
+
+
+@register("acf_pacf_table", ACF_PACF_SQL)
 def q_acf_pacf_table(spark, sf):
     return series.acf_table(spark, _ev(spark, sf), "value", EV_ORDER, 6)
 
@@ -1813,7 +1839,46 @@ def q_granger_click_view(spark, sf):
     return spark.createDataFrame([(sig(r["f_stat"]), int(r["df_den"]))], "f_stat double, df_den bigint")
 
 
-@register("var_impulse_response")
+VAR_IRF_SQL = f"""
+WITH {HOURLY_PAIR_SQL},
+hl2 AS (SELECT click, view, lag(click) OVER (ORDER BY slot) AS cl, lag(view) OVER (ORDER BY slot) AS vl FROM hp),
+hx2 AS (SELECT * FROM hl2 WHERE cl IS NOT NULL),
+{ols2_cte('hx2', 'click', 'cl', 'vl', 'e1')}, {ols2_cte('hx2', 'view', 'cl', 'vl', 'e2')},
+a AS (SELECT e1_f.b1 AS a11, e1_f.b2 AS a12, e2_f.b1 AS a21, e2_f.b2 AS a22 FROM e1_f, e2_f),
+p0 AS (SELECT 1.0 AS p11, 0.0 AS p12, 0.0 AS p21, 1.0 AS p22),
+p1 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p0),
+p2 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p1),
+p3 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p2),
+p4 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p3),
+p5 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p4)
+SELECT CAST(horizon AS INTEGER) AS horizon, CAST(response AS INTEGER) AS response, CAST(shock AS INTEGER) AS shock, CAST(value AS DOUBLE) AS value FROM (
+SELECT 0 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p0
+UNION ALL SELECT 0 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p0
+UNION ALL SELECT 0 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p0
+UNION ALL SELECT 0 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p0
+UNION ALL SELECT 1 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p1
+UNION ALL SELECT 1 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p1
+UNION ALL SELECT 1 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p1
+UNION ALL SELECT 1 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p1
+UNION ALL SELECT 2 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p2
+UNION ALL SELECT 2 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p2
+UNION ALL SELECT 2 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p2
+UNION ALL SELECT 2 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p2
+UNION ALL SELECT 3 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p3
+UNION ALL SELECT 3 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p3
+UNION ALL SELECT 3 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p3
+UNION ALL SELECT 3 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p3
+UNION ALL SELECT 4 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p4
+UNION ALL SELECT 4 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p4
+UNION ALL SELECT 4 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p4
+UNION ALL SELECT 4 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p4
+UNION ALL SELECT 5 AS horizon, 0 AS response, 0 AS shock, {S('p11')} AS value FROM p5
+UNION ALL SELECT 5 AS horizon, 0 AS response, 1 AS shock, {S('p12')} AS value FROM p5
+UNION ALL SELECT 5 AS horizon, 1 AS response, 0 AS shock, {S('p21')} AS value FROM p5
+UNION ALL SELECT 5 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FROM p5)"""
+
+
+@register("var_impulse_response", VAR_IRF_SQL)
 def q_var_impulse_response(spark, sf):
     v = series.var_fit(_hourly_pair(spark, sf), ["click", "view"], ["slot"], 1)
     psi = series.impulse_response(v, ["click", "view"], 1, 5)
