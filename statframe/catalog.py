@@ -1694,7 +1694,41 @@ def q_bootstrap_632_error(spark, sf):
     return metrics_df(spark, [(k, r[k]) for k in ("err_train", "err_oob", "err_632", "replicates")])
 
 
-@register("nested_cv_ridge")
+NESTED_CV_SQL = f"""
+WITH d AS (SELECT year(l_shipdate) AS o, l_returnflag AS i, l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem),
+c AS (SELECT o, i, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11,
+      sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM d GROUP BY o, i),
+lams AS (SELECT CAST(lam AS DOUBLE) AS lam FROM (VALUES (0.0), (10.0), (1000.0)) t(lam)),
+oi AS (SELECT DISTINCT a.o AS oo, b.i AS ii FROM c a, c b WHERE b.o <> a.o),
+tr AS (SELECT oo, ii, sum(c.n) AS n, sum(c.s1) AS s1, sum(c.s2) AS s2, sum(c.sy) AS sy, sum(c.s11) AS s11, sum(c.s22) AS s22, sum(c.s12) AS s12, sum(c.s1y) AS s1y, sum(c.s2y) AS s2y, sum(c.syy) AS syy FROM oi JOIN c ON c.o <> oi.oo AND c.i <> oi.ii GROUP BY oo, ii),
+va AS (SELECT oo, ii, sum(c.n) AS n, sum(c.s1) AS s1, sum(c.s2) AS s2, sum(c.sy) AS sy, sum(c.s11) AS s11, sum(c.s22) AS s22, sum(c.s12) AS s12, sum(c.s1y) AS s1y, sum(c.s2y) AS s2y, sum(c.syy) AS syy FROM oi JOIN c ON c.o <> oi.oo AND c.i = oi.ii GROUP BY oo, ii),
+t1 AS (SELECT *, s11 - s1 * s1 / n AS c11, s22 - s2 * s2 / n AS c22, s12 - s1 * s2 / n AS c12,
+      s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y FROM tr),
+t2 AS (SELECT *, sqrt(c11 / n) AS sd1, sqrt(c22 / n) AS sd2 FROM t1),
+t3 AS (SELECT *, (a22 * g1 - a12 * g2) / (a11 * a22 - a12 * a12) / sd1 AS b1,
+      (a11 * g2 - a12 * g1) / (a11 * a22 - a12 * a12) / sd2 AS b2 FROM
+      (SELECT *, c11 / (sd1 * sd1) + lam AS a11, c22 / (sd2 * sd2) + lam AS a22, c12 / (sd1 * sd2) AS a12,
+              c1y / sd1 AS g1, c2y / sd2 AS g2 FROM (SELECT * FROM t2, lams))),
+t4 AS (SELECT *, sy / n - b1 * s1 / n - b2 * s2 / n AS b0 FROM t3),
+sc AS (SELECT t4.oo, t4.lam, sum((v_syy - 2 * b0 * v_sy - 2 * b1 * v_s1y - 2 * b2 * v_s2y + v_n * b0 * b0 + 2 * b0 * b1 * v_s1 + 2 * b0 * b2 * v_s2 + b1 * b1 * v_s11 + 2 * b1 * b2 * v_s12 + b2 * b2 * v_s22)) AS score FROM t4 JOIN (SELECT oo, ii, n AS v_n, s1 AS v_s1, s2 AS v_s2, sy AS v_sy, s11 AS v_s11, s22 AS v_s22, s12 AS v_s12, s1y AS v_s1y, s2y AS v_s2y, syy AS v_syy FROM va) v
+       ON t4.oo = v.oo AND t4.ii = v.ii GROUP BY t4.oo, t4.lam),
+best AS (SELECT oo, arg_min(lam, score) AS lam FROM sc GROUP BY oo),
+ftr AS (SELECT best.oo, best.lam, sum(c.n) AS n, sum(c.s1) AS s1, sum(c.s2) AS s2, sum(c.sy) AS sy, sum(c.s11) AS s11, sum(c.s22) AS s22, sum(c.s12) AS s12, sum(c.s1y) AS s1y, sum(c.s2y) AS s2y, sum(c.syy) AS syy FROM best JOIN c ON c.o <> best.oo GROUP BY best.oo, best.lam),
+f1 AS (SELECT *, s11 - s1 * s1 / n AS c11, s22 - s2 * s2 / n AS c22, s12 - s1 * s2 / n AS c12,
+      s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y FROM ftr),
+f2 AS (SELECT *, sqrt(c11 / n) AS sd1, sqrt(c22 / n) AS sd2 FROM f1),
+f3 AS (SELECT *, (a22 * g1 - a12 * g2) / (a11 * a22 - a12 * a12) / sd1 AS b1,
+      (a11 * g2 - a12 * g1) / (a11 * a22 - a12 * a12) / sd2 AS b2 FROM
+      (SELECT *, c11 / (sd1 * sd1) + lam AS a11, c22 / (sd2 * sd2) + lam AS a22, c12 / (sd1 * sd2) AS a12,
+              c1y / sd1 AS g1, c2y / sd2 AS g2 FROM f2)),
+f4 AS (SELECT *, sy / n - b1 * s1 / n - b2 * s2 / n AS b0 FROM f3),
+te AS (SELECT o AS oo, sum(c.n) AS n, sum(c.s1) AS s1, sum(c.s2) AS s2, sum(c.sy) AS sy, sum(c.s11) AS s11, sum(c.s22) AS s22, sum(c.s12) AS s12, sum(c.s1y) AS s1y, sum(c.s2y) AS s2y, sum(c.syy) AS syy FROM c GROUP BY o),
+fin AS (SELECT f4.oo, f4.lam, f4.b0, f4.b1, f4.b2, te.n AS v_n, te.s1 AS v_s1, te.s2 AS v_s2, te.sy AS v_sy, te.s11 AS v_s11, te.s22 AS v_s22, te.s12 AS v_s12, te.s1y AS v_s1y, te.s2y AS v_s2y, te.syy AS v_syy FROM f4 JOIN te ON f4.oo = te.oo)
+SELECT CAST(oo AS INTEGER) AS outer, lam AS lambda, {S('sqrt((v_syy - 2 * b0 * v_sy - 2 * b1 * v_s1y - 2 * b2 * v_s2y + v_n * b0 * b0 + 2 * b0 * b1 * v_s1 + 2 * b0 * b2 * v_s2 + b1 * b1 * v_s11 + 2 * b1 * b2 * v_s12 + b2 * b2 * v_s22) / v_n)')} AS test_rmse, CAST(v_n AS BIGINT) AS n_test
+FROM fin"""
+
+
+@register("nested_cv_ridge", NESTED_CV_SQL)
 def q_nested_cv_ridge(spark, sf):
     res = ev.nested_cv_ridge(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount"], F.year("l_shipdate"),
                              F.col("l_returnflag"), [0.0, 10.0, 1000.0])
