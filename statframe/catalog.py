@@ -1441,7 +1441,66 @@ def q_brant_priority(spark, sf):
     return tests_df(spark, [("brant", sig(r["brant_stat"]), float(r["df"]), sig(r["p_value"]), diag.flag_p(r["p_value"]))])
 
 
-@register("shapiro_wilk_by_type")
+
+def _acklam_sql(p: str) -> str:
+    """Inverse-normal start as SQL (same fixed constants as the Spark column)."""
+    a = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+         -3.066479806614716e+01, 2.506628277459239e+00)
+    b = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+         -1.328068155288572e+01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
+         4.374664141464968e+00, 2.938163982698783e+00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00)
+
+    def poly(cs, x):
+        acc = repr(cs[0])
+        for v in cs[1:]:
+            acc = f"({acc}) * {x} + {v!r}"
+        return acc
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    central = f"({poly(a, r)}) * {q} / (({poly(b, r)}) * {r} + 1.0)"
+    ql = f"sqrt(-2.0 * ln({p}))"
+    low = f"({poly(c, ql)}) / (({poly(d, ql)}) * {ql} + 1.0)"
+    qh = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    high = f"-({poly(c, qh)}) / (({poly(d, qh)}) * {qh} + 1.0)"
+    return f"(CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > {1 - 0.02425!r} THEN {high} ELSE {central} END)"
+
+
+def _sw_sql() -> str:
+    p = "((i - 0.375) / (n + 0.25))"
+    m0 = _acklam_sql(p)
+    cdf = "(1.0 - " + norm_sf_sql("m0") + ")"
+    u = "(1.0 / sqrt(CAST(n AS DOUBLE)))"
+    an = (f"mn / sqrt(ssq) + 0.221157 * {u} - 0.147981 * pow({u}, 2) - 2.07119 * pow({u}, 3) + 4.434685 * pow({u}, 4)"
+          f" - 2.706056 * pow({u}, 5)")
+    an1 = (f"mn1 / sqrt(ssq) + 0.042981 * {u} - 0.293762 * pow({u}, 2) - 1.752461 * pow({u}, 3) + 5.682633 * pow({u}, 4)"
+           f" - 3.582633 * pow({u}, 5)")
+    ln = "ln(CAST(n AS DOUBLE))"
+    z = (f"(CASE WHEN n >= 12 THEN (ln(1.0 - w) - (0.0038915 * pow({ln}, 3) - 0.083751 * pow({ln}, 2) - 0.31082 * {ln} - 1.5861))"
+         f" / exp(0.0030302 * pow({ln}, 2) - 0.082676 * {ln} - 0.4803) ELSE (-ln((-2.273 + 0.459 * n) - ln(1.0 - w))"
+         f" - (0.544 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n"
+         f" - 0.0020322 * n * n * n) END)")
+    return f"""
+WITH sz AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
+r AS (SELECT e.event_type, value AS x, row_number() OVER (PARTITION BY e.event_type ORDER BY value) AS i, n
+      FROM events e JOIN sz USING (event_type) WHERE n < 5000 AND n >= 4),
+r0 AS (SELECT *, {m0} AS m0 FROM r),
+r1 AS (SELECT *, m0 - ({cdf} - {p}) * {math.sqrt(2 * math.pi)!r} * exp(m0 * m0 / 2) AS m FROM r0),
+sg AS (SELECT event_type, any_value(n) AS n, sum(m * m) AS ssq, max_by(m, i) AS mn,
+       max(CASE WHEN i = n - 1 THEN m END) AS mn1 FROM r1 GROUP BY 1),
+sa AS (SELECT *, {an} AS an, {an1} AS an1 FROM sg),
+sp AS (SELECT *, CASE WHEN n > 5 THEN (ssq - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)
+       ELSE (ssq - 2 * mn * mn) / (1 - 2 * an * an) END AS phi FROM sa),
+wa AS (SELECT r1.event_type, r1.x, CASE WHEN i = r1.n THEN an WHEN i = 1 THEN -an WHEN i = r1.n - 1 AND r1.n > 5 THEN an1
+       WHEN i = 2 AND r1.n > 5 THEN -an1 ELSE m / sqrt(phi) END AS a FROM r1 JOIN sp USING (event_type)),
+st AS (SELECT event_type, count(*) AS n, sum(a * x) AS num, var_pop(x) AS v FROM wa GROUP BY 1),
+ww AS (SELECT *, least(num * num / (v * n), 1.0) AS w FROM st),
+zz AS (SELECT *, {z} AS z FROM ww)
+SELECT event_type, n, {S('w')} AS W, {S(norm_sf_sql('z'))} AS p_value FROM zz"""
+
+
+@register("shapiro_wilk_by_type", _sw_sql())
 def q_shapiro_wilk_by_type(spark, sf):
     s = diag.shapiro_wilk(_ev(spark, sf), "value", "event_type")
     return s.select("event_type", "n", sig_col("W").alias("W"), sig_col("p_value").alias("p_value"))
