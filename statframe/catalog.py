@@ -958,7 +958,7 @@ def q_panel_fe_f_test(spark, sf):
                                  "f_stat double, df_num bigint, df_den bigint")
 
 
-@register("panel_random_effects_hausman")
+@register("panel_random_effects_hausman", None)
 def q_panel_random_effects_hausman(spark, sf):
     li = _li(spark, sf)
     fe = panel.within(li, "l_extendedprice", ["l_quantity"], "l_suppkey")
@@ -2267,3 +2267,26 @@ def q_stream_cusum_batches_by_type(spark, sf):
     path = stream.cusum_stream_batches(s, "event_type", "value", EV_ORDER, 100.0, 1e9, stream.scratch(spark, "cusum-b"))
     r = spark.read.parquet(path)
     return r.select("event_type", "n", sig_col("smax").alias("smax"), sig_col("smin").alias("smin"))
+
+
+# oracle of panel_random_effects_hausman, set here because it reuses _nc2_sql defined in the GLS section
+O["panel_random_effects_hausman"] = f"""
+WITH m AS (SELECT l_suppkey, count(*) AS tg, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem GROUP BY 1),
+w AS (SELECT l_extendedprice - my AS y, l_quantity - mx AS x FROM lineitem JOIN m USING (l_suppkey)),
+fe AS (SELECT sum(x * y) / sum(x * x) AS bfe, sum(x * x) AS sxx, sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x) AS ssr,
+       count(*) AS n FROM w),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS gcount FROM m),
+{ols1_cte('m', 'my', 'mx', 'be')},
+vc AS (SELECT fe.*, gcount, fe.ssr / (fe.n - gcount - 1) AS s2e,
+       greatest((be.syy - be.b1 * be.sxy) / (be.n - 2) - fe.ssr / (fe.n - gcount - 1) / (fe.n / gcount), 0.0) AS s2u
+       FROM fe, g, be),
+q AS (SELECT 1 - (1 - sqrt(s2e / (tg * s2u + s2e))) AS c,
+      l_extendedprice - (1 - sqrt(s2e / (tg * s2u + s2e))) * my AS ty,
+      l_quantity - (1 - sqrt(s2e / (tg * s2u + s2e))) * mx AS tx FROM lineitem JOIN m USING (l_suppkey), vc),
+{_nc2_sql('q', 'c', 'tx', 'ty')},
+h AS (SELECT pow(vc.bfe - zs.bx, 2) / (vc.s2e / vc.sxx - zs.s2 * zs.a / zs.det) AS hs FROM vc, zs)
+SELECT 're:const' AS term, {S('bc')} AS value, {S('sqrt(s2 * d / det)')} AS extra FROM zs
+UNION ALL SELECT 're:l_quantity', {S('bx')}, {S('sqrt(s2 * a / det)')} FROM zs
+UNION ALL SELECT 'hausman', {S('hs')}, {S('2 * ' + norm_sf_sql('sqrt(hs)'))} FROM h"""
+
+
