@@ -1423,7 +1423,22 @@ def q_deviance_by_status(spark, sf):
     return t.select("status_f", "n", sig_col("deviance").alias("deviance"), sig_col("pearson_chi2").alias("pearson_chi2"))
 
 
-@register("reset_test")
+RESET_SQL = f"""
+WITH {ols2_cte('lineitem', 'l_extendedprice', 'l_quantity', 'l_discount')},
+h AS (SELECT l_extendedprice AS y, l_quantity AS v0, l_discount AS v1, b0 + b1 * l_quantity + b2 * l_discount AS yh, ssr AS ssr_r
+      FROM lineitem, t_f),
+hs AS (SELECT avg(yh) AS mu, stddev_pop(yh) AS sd FROM h),
+z AS (SELECT y, v0, v1, pow((yh - mu) / sd, 2) AS v2, pow((yh - mu) / sd, 3) AS v3, ssr_r FROM h, hs),
+c AS (SELECT count(*) AS n, var_pop(y) * count(*) AS syy, any_value(ssr_r) AS ssr_r, covar_pop(v0, v0) * count(*) AS c00, covar_pop(v0, v1) * count(*) AS c01, covar_pop(v0, v2) * count(*) AS c02, covar_pop(v0, v3) * count(*) AS c03, covar_pop(v1, v1) * count(*) AS c11, covar_pop(v1, v2) * count(*) AS c12, covar_pop(v1, v3) * count(*) AS c13, covar_pop(v2, v2) * count(*) AS c22, covar_pop(v2, v3) * count(*) AS c23, covar_pop(v3, v3) * count(*) AS c33, covar_pop(v0, y) * count(*) AS c0y, covar_pop(v1, y) * count(*) AS c1y, covar_pop(v2, y) * count(*) AS c2y, covar_pop(v3, y) * count(*) AS c3y FROM z),
+d AS (SELECT *, (+ (c00) * (+ (c11) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c12) * (c33) - (c23) * (c13)) + (c13) * ((c12) * (c23) - (c22) * (c13))) - (c01) * (+ (c01) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c23) - (c22) * (c03))) + (c02) * (+ (c01) * ((c12) * (c33) - (c23) * (c13)) - (c11) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c13) - (c12) * (c03))) - (c03) * (+ (c01) * ((c12) * (c23) - (c22) * (c13)) - (c11) * ((c02) * (c23) - (c22) * (c03)) + (c12) * ((c02) * (c13) - (c12) * (c03)))) AS dt FROM c),
+b AS (SELECT *, (+ (c0y) * (+ (c11) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c12) * (c33) - (c23) * (c13)) + (c13) * ((c12) * (c23) - (c22) * (c13))) - (c01) * (+ (c1y) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c2y) * (c33) - (c23) * (c3y)) + (c13) * ((c2y) * (c23) - (c22) * (c3y))) + (c02) * (+ (c1y) * ((c12) * (c33) - (c23) * (c13)) - (c11) * ((c2y) * (c33) - (c23) * (c3y)) + (c13) * ((c2y) * (c13) - (c12) * (c3y))) - (c03) * (+ (c1y) * ((c12) * (c23) - (c22) * (c13)) - (c11) * ((c2y) * (c23) - (c22) * (c3y)) + (c12) * ((c2y) * (c13) - (c12) * (c3y)))) / dt AS b0, (+ (c00) * (+ (c1y) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c2y) * (c33) - (c23) * (c3y)) + (c13) * ((c2y) * (c23) - (c22) * (c3y))) - (c0y) * (+ (c01) * ((c22) * (c33) - (c23) * (c23)) - (c12) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c23) - (c22) * (c03))) + (c02) * (+ (c01) * ((c2y) * (c33) - (c23) * (c3y)) - (c1y) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c3y) - (c2y) * (c03))) - (c03) * (+ (c01) * ((c2y) * (c23) - (c22) * (c3y)) - (c1y) * ((c02) * (c23) - (c22) * (c03)) + (c12) * ((c02) * (c3y) - (c2y) * (c03)))) / dt AS b1, (+ (c00) * (+ (c11) * ((c2y) * (c33) - (c23) * (c3y)) - (c1y) * ((c12) * (c33) - (c23) * (c13)) + (c13) * ((c12) * (c3y) - (c2y) * (c13))) - (c01) * (+ (c01) * ((c2y) * (c33) - (c23) * (c3y)) - (c1y) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c3y) - (c2y) * (c03))) + (c0y) * (+ (c01) * ((c12) * (c33) - (c23) * (c13)) - (c11) * ((c02) * (c33) - (c23) * (c03)) + (c13) * ((c02) * (c13) - (c12) * (c03))) - (c03) * (+ (c01) * ((c12) * (c3y) - (c2y) * (c13)) - (c11) * ((c02) * (c3y) - (c2y) * (c03)) + (c1y) * ((c02) * (c13) - (c12) * (c03)))) / dt AS b2, (+ (c00) * (+ (c11) * ((c22) * (c3y) - (c2y) * (c23)) - (c12) * ((c12) * (c3y) - (c2y) * (c13)) + (c1y) * ((c12) * (c23) - (c22) * (c13))) - (c01) * (+ (c01) * ((c22) * (c3y) - (c2y) * (c23)) - (c12) * ((c02) * (c3y) - (c2y) * (c03)) + (c1y) * ((c02) * (c23) - (c22) * (c03))) + (c02) * (+ (c01) * ((c12) * (c3y) - (c2y) * (c13)) - (c11) * ((c02) * (c3y) - (c2y) * (c03)) + (c1y) * ((c02) * (c13) - (c12) * (c03))) - (c0y) * (+ (c01) * ((c12) * (c23) - (c22) * (c13)) - (c11) * ((c02) * (c23) - (c22) * (c03)) + (c12) * ((c02) * (c13) - (c12) * (c03)))) / dt AS b3 FROM d),
+f AS (SELECT *, syy - (b0 * c0y + b1 * c1y + b2 * c2y + b3 * c3y) AS ssr_u FROM b),
+t AS (SELECT ((ssr_r - ssr_u) / 2) / (ssr_u / (n - 5)) AS fs, n - 5 AS dd FROM f)
+SELECT 'reset' AS test, {S('fs')} AS statistic, CAST(2.0 AS DOUBLE) AS df, {S('pow(1 + 2 * fs / dd, -dd / 2.0)')} AS p_value,
+       {flag_sql('pow(1 + 2 * fs / dd, -dd / 2.0)')} AS flag FROM t"""
+
+
+@register("reset_test", RESET_SQL)
 def q_reset_test(spark, sf):
     li = _li(spark, sf)
     return tests_df(spark, [diag.reset(li, ols(li, "l_extendedprice", ["l_quantity", "l_discount"]))])

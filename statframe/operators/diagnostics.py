@@ -181,9 +181,16 @@ def correlation_screen(fit: LinearFit) -> list[tuple]:
 # ------------------------------------------------------ specification
 def reset(df: DataFrame, fit: LinearFit, powers=(2, 3)) -> tuple:
     """Ramsey RESET -- add powers of the fitted value, F test on them."""
-    yhat = fit.linear_predictor()
+    # powers of the standardised fitted value: the same column span as powers of yhat (the
+    # test is invariant to an affine change of yhat) but well conditioned; mean and variance of
+    # yhat come from the fit's own Gram (mean = ybar, var = b' Cxx b / n), so no extra pass
+    mom = fit.moments
+    b = np.asarray(fit.beta[1:])
+    mu = float(fit.beta[0] + mom.mean(fit.features) @ b) if len(b) else float(fit.beta[0])
+    var = float(b @ mom.centered(fit.features) @ b / mom.sw) if len(b) else 0.0
+    z = (fit.linear_predictor() - F.lit(mu)) / F.lit(math.sqrt(var) if var > 0 else 1.0)
     data = _fit_data(df, fit)
-    extra = {f"_yhat{p}": yhat ** p for p in powers}
+    extra = {f"_yhat{p}": z ** p for p in powers}
     names = list(fit.features) + list(extra) + [fit.target]
     mom = gram(data, [F.col(c) for c in fit.features] + list(extra.values()) + [F.col(fit.target)], names=names)
     _, _, ssr_u, _ = solve_moments(mom, fit.target, names[:-1])

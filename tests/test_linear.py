@@ -88,3 +88,15 @@ def test_durbin_watson_rejects_duplicate_order_keys(spark, li):
     ev = load(spark, SF_SMALL, "events")
     efit = ols(ev, "value", ["user_id"])
     assert durbin_watson(ev, efit, ["ts", "event_id"])[0] == "durbin_watson"
+
+
+def test_reset_detects_curvature(spark):
+    from statframe.operators.diagnostics import reset
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, 2000)
+    df = spark.createDataFrame([(float(a), float(a * a + rng.normal())) for a in x], "x double, y double")
+    fit = ols(df, "y", ["x"])
+    row = reset(df, fit)
+    assert row[0] == "reset" and row[1] > 100 and row[4] == "FAIL"
+    lin = spark.createDataFrame([(float(a), float(2 * a + rng.normal())) for a in x], "x double, y double")
+    assert reset(lin, ols(lin, "y", ["x"]))[1] < 10
