@@ -18,7 +18,7 @@ from ..functions import dist
 from ..functions.columns import logistic, sig
 from ..functions.linalg import pivoted_dependents, sym_inv
 from ..plans.gram import Moments, gram
-from ..plans.order import GlobalOrder, bucket_reduce
+from ..plans.order import GlobalOrder, bucket_reduce, check_unique
 from .linear import LinearFit, design, solve_moments
 
 TEST_SCHEMA = T.StructType([
@@ -147,8 +147,10 @@ def breusch_godfrey(df: DataFrame, fit: LinearFit, order_by, n_lags: int = 1) ->
     data = _fit_data(df, fit, ob).withColumn("_e", fit.residual())
     lagged = GlobalOrder(data, ob).with_lags(["_e"], n_lags)
     lag_cols = [F.coalesce(F.col(f"_e_lag{i}"), F.lit(0.0)) for i in range(1, n_lags + 1)]
-    names = list(fit.features) + [f"_l{i}" for i in range(1, n_lags + 1)] + ["_e"]
-    mom = gram(lagged, [F.col(c) for c in fit.features] + lag_cols + [F.col("_e")], names=names)
+    names = list(fit.features) + [f"_l{i}" for i in range(1, n_lags + 1)] + ["_e", "_tie"]
+    mom = gram(lagged, [F.col(c) for c in fit.features] + lag_cols + [F.col("_e"), F.col("_tie")], names=names)
+    check_unique(int(round(mom.s[-1])), ob)
+    names = names[:-1]
     lm = mom.n * _r2(mom, "_e", names[:-1])
     return _row("breusch_godfrey", lm, n_lags, dist.chi2_sf(lm, n_lags))
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.columns import sig
 from ..plans.gram import gram, grouped_gram, moments_from_row
-from ..plans.order import GlobalOrder, series_lags
+from ..plans.order import GlobalOrder, check_unique, series_lags
 from .linear import CONST, solve_moments
 
 
@@ -67,12 +67,13 @@ def acf(df: DataFrame, col: str, order_by, lags: int = 10, return_n: bool = Fals
     data = df.select(*set(ob + [col])).dropna(subset=[col])
     lagged = GlobalOrder(data, ob).with_lags([col], lags)
     x = F.col(col).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum("_tie").alias("_ties")]
     for k in range(1, lags + 1):
         xl = F.col(f"{col}_lag{k}")
         aggs += [F.sum(x * xl).alias(f"p{k}"), F.sum(F.when(xl.isNotNull(), x)).alias(f"a{k}"),
                  F.sum(xl).alias(f"b{k}"), F.count(xl).alias(f"c{k}")]
     r = lagged.agg(*aggs).collect()[0]
+    check_unique(r["_ties"], ob)
     n = r["n"]
     m = r["s"] / n
     den = r["ss"] - n * m * m

@@ -129,6 +129,15 @@ class GlobalOrder:
         self.bucketed = bucketed.drop("_b1", "_k")
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 
+    def _tie(self) -> Column:
+        """1 when the row's full order key equals the previous row's (a duplicate key), else 0.
+        Equal keys always share a bucket, so the in-bucket comparison finds every duplicate;
+        callers sum it in the aggregate they already run (see :func:`check_unique`)."""
+        tie = F.lit(True)
+        for c in self.order_by:
+            tie = tie & (F.col(c) == F.lag(c).over(self.window))
+        return F.coalesce(tie.cast("int"), F.lit(0))
+
     # ------------------------------------------------------------ lags
     def with_lags(self, cols: list[str], lags: int = 1) -> DataFrame:
         """Adds ``_idx`` (1..n, global) and ``{c}_lag{l}`` for l = 1..lags."""
@@ -139,7 +148,7 @@ class GlobalOrder:
             for c in cols:
                 for lag in range(1, L + 1):
                     out = out.withColumn(f"{c}_lag{lag}", F.lag(F.col(c).cast("double"), lag).over(self.window))
-            return out
+            return out.withColumn("_tie", self._tie())
         if L == 1:
             last = F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]),
                             F.struct(*[F.col(c) for c in self.order_by]))
@@ -169,7 +178,7 @@ class GlobalOrder:
                               + [T.StructField(f"_prev_{j}", T.ArrayType(T.DoubleType())) for j in range(len(cols))])
         edf = bd.sparkSession.createDataFrame(edges, schema)
         out = bd.join(F.broadcast(edf), "_b").withColumn("_rn", F.row_number().over(self.window))
-        out = out.withColumn("_idx", F.col("_off") + F.col("_rn"))
+        out = out.withColumn("_idx", F.col("_off") + F.col("_rn")).withColumn("_tie", self._tie())
         for j, c in enumerate(cols):
             for lag in range(1, L + 1):
                 inside = F.lag(F.col(c).cast("double"), lag).over(self.window)
@@ -271,7 +280,7 @@ def series_lags(df: DataFrame, series: list[str] | str, order_by: list[str] | st
         same = F.col(f"_sh2_lag{lag}") == F.col("_sh2")
         for c in cols:
             out = out.withColumn(f"{c}_lag{lag}", F.when(same, F.col(f"{c}_lag{lag}")))
-    return out.drop("_sh", "_sh2", *[f"_sh2_lag{lag}" for lag in range(1, lags + 1)])
+    return out.drop("_sh", "_sh2", "_tie", *[f"_sh2_lag{lag}" for lag in range(1, lags + 1)])
 
 
 def bucket_reduce(go: GlobalOrder, window_cols: dict, aggs: list[Column]) -> list:
@@ -298,3 +307,10 @@ def series_running_sums(df: DataFrame, series: list[str] | str, order_by: list[s
                                      .alias("_before"))
     return (cum.join(start, series).withColumn(f"{col}_scum", F.col(f"{col}_cum") - F.col("_before"))
             .drop("_before", "_sh", f"{col}_cum"))
+
+
+def check_unique(ties: int | None, order_by) -> None:
+    """Raise when an order used for lags has duplicate keys (results would depend on tie order)."""
+    if ties:
+        raise ValueError(f"order_by {list(order_by)} has {ties} duplicate keys: add a tie-break column so the "
+                         "order is unique")

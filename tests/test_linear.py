@@ -100,3 +100,15 @@ def test_reset_detects_curvature(spark):
     assert row[0] == "reset" and row[1] > 100 and row[4] == "FAIL"
     lin = spark.createDataFrame([(float(a), float(2 * a + rng.normal())) for a in x], "x double, y double")
     assert reset(lin, ols(lin, "y", ["x"]))[1] < 10
+
+
+def test_lag_operators_reject_duplicate_order_keys(spark, li):
+    from statframe.operators.diagnostics import breusch_godfrey
+    from statframe.operators.series import acf
+    fit = ols(li, "l_extendedprice", ["l_quantity"])
+    with pytest.raises(ValueError, match="tie-break"):
+        breusch_godfrey(li, fit, ["l_orderkey", "l_linenumber"])
+    with pytest.raises(ValueError, match="tie-break"):
+        acf(li, "l_quantity", ["l_orderkey", "l_linenumber"], 2)
+    with pytest.raises(ValueError, match="tie-break"):
+        ols(li, "l_extendedprice", ["l_quantity"], se_type="hac", order_by=["l_orderkey", "l_linenumber"])
