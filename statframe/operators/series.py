@@ -145,7 +145,9 @@ def kpss(df: DataFrame, col: str, order_by, lags: int | None = None) -> dict:
     e = data.withColumn("_e", F.col(col).cast("double") - F.lit(m))
     go = GlobalOrder(e, ob)
     cum = go.with_running_sums(["_e"])
-    s2 = cum.agg(F.sum(F.col("_e_cum") ** 2).alias("s")).collect()[0]["s"]
+    sr = cum.agg(F.sum(F.col("_e_cum") ** 2).alias("s"), F.sum("_tie").alias("t")).collect()[0]
+    check_unique(sr["t"], ob)
+    s2 = sr["s"]
     lagged = GlobalOrder(e, ob).with_lags(["_e"], lags)
     ag = [F.sum(F.col("_e") ** 2).alias("g0")] + [F.sum(F.col("_e") * F.col(f"_e_lag{k}")).alias(f"g{k}")
                                                   for k in range(1, lags + 1)]
@@ -162,8 +164,9 @@ def cusum(df: DataFrame, col: str, order_by) -> dict:
     r = data.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("m"), F.stddev_pop(col).alias("s")).collect()[0]
     e = data.withColumn("_e", F.col(col).cast("double") - F.lit(r["m"]))
     cum = GlobalOrder(e, ob).with_running_sums(["_e"])
-    top = cum.agg(F.max(F.abs("_e_cum")).alias("mx"),
-                  F.max_by("_idx", F.abs("_e_cum")).alias("at")).collect()[0]
+    top = cum.agg(F.max(F.abs("_e_cum")).alias("mx"), F.max_by("_idx", F.abs("_e_cum")).alias("at"),
+                  F.sum("_tie").alias("ties")).collect()[0]
+    check_unique(top["ties"], ob)
     stat = top["mx"] / (r["s"] * math.sqrt(r["n"]))
     return {"cusum_stat": stat, "p_value": dist.kolmogorov_sf(stat), "break_index": top["at"], "n_obs": r["n"]}
 

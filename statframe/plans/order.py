@@ -195,7 +195,7 @@ class GlobalOrder:
             out = bd.withColumn("_idx", F.row_number().over(self.window).cast("long"))
             for c in cols:
                 out = out.withColumn(f"{c}_cum", F.sum(F.col(c).cast("double")).over(run))
-            return out
+            return out.withColumn("_tie", self._tie())
         summ = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"),
                                     *[F.sum(F.col(c)).alias(f"s{j}") for j, c in enumerate(cols)]).collect()
         rows = sorted(summ, key=lambda r: r["_b"])
@@ -214,7 +214,7 @@ class GlobalOrder:
         out = out.withColumn("_idx", F.col("_off") + F.row_number().over(self.window))
         for j, c in enumerate(cols):
             out = out.withColumn(f"{c}_cum", F.col(f"_o{j}") + F.sum(F.col(c).cast("double")).over(run))
-        return out.drop("_off", *[f"_o{j}" for j in range(len(cols))])
+        return out.drop("_off", *[f"_o{j}" for j in range(len(cols))]).withColumn("_tie", self._tie())
 
     # ------------------------------------------------ as-of neighbours
     def with_neighbors(self, cols: list[str]) -> DataFrame:
@@ -306,7 +306,7 @@ def series_running_sums(df: DataFrame, series: list[str] | str, order_by: list[s
     start = cum.groupBy(*series).agg(F.min_by(F.col(f"{col}_cum") - F.col(col).cast("double"), F.col("_idx"))
                                      .alias("_before"))
     return (cum.join(start, series).withColumn(f"{col}_scum", F.col(f"{col}_cum") - F.col("_before"))
-            .drop("_before", "_sh", f"{col}_cum"))
+            .drop("_before", "_sh", "_tie", f"{col}_cum"))
 
 
 def check_unique(ties: int | None, order_by) -> None:

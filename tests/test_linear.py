@@ -112,3 +112,10 @@ def test_lag_operators_reject_duplicate_order_keys(spark, li):
         acf(li, "l_quantity", ["l_orderkey", "l_linenumber"], 2)
     with pytest.raises(ValueError, match="tie-break"):
         ols(li, "l_extendedprice", ["l_quantity"], se_type="hac", order_by=["l_orderkey", "l_linenumber"])
+
+
+def test_running_sum_operators_reject_duplicate_order_keys(spark, li):
+    from statframe.operators.series import cusum, kpss
+    for fn in (cusum, kpss):
+        with pytest.raises(ValueError, match="tie-break"):
+            fn(li, "l_quantity", ["l_orderkey", "l_linenumber"])
