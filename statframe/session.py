@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,23 +33,28 @@ def get_spark(master: str | None = None, app: str = "statframe",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session and only set here when unset (local tests).
+    The cluster names it in ``spark.checkpoint.dir``; it is read from the session.
+    Where it is unset, a local master (tests) gets a temporary folder; on any other
+    master this is an error, because executors would not see a driver-local folder.
     """
     sc = spark.sparkContext
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="statframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    sc.setCheckpointDir(conf)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, unique to this call."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Number of order buckets for global-order plans (GIDX)."""
     try:
