@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .op2_cgk_decontamination import op2_cgk_decontamination
 from .op4_line_windows import OP4_SQL, op4_line_windows
 from .op5_simhash import op5_simhash
 from .op8_knn_quality import op8_knn_quality
+from .op10_sum_of_squares import op10_sum_of_squares
 
-Q = {f.__name__: f for f in (op4_line_windows, op5_simhash, op8_knn_quality)}
+Q = {f.__name__: f for f in (
+    op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op10_sum_of_squares)}
 O = {"op4_line_windows": OP4_SQL}
