@@ -6,8 +6,9 @@ from .op2_cgk_decontamination import op2_cgk_decontamination
 from .op4_line_windows import OP4_SQL, op4_line_windows
 from .op5_simhash import op5_simhash
 from .op8_knn_quality import op8_knn_quality
+from .op9_quality_rules import OP9_SQL, op9_quality_rules
 from .op10_sum_of_squares import op10_sum_of_squares
 
 Q = {f.__name__: f for f in (
-    op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op10_sum_of_squares)}
-O = {"op4_line_windows": OP4_SQL}
+    op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op9_quality_rules, op10_sum_of_squares)}
+O = {"op4_line_windows": OP4_SQL, "op9_quality_rules": OP9_SQL}
