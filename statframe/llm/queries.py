@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op1_url_reputation import OP1_SQL, op1_url_reputation
 from .op2_cgk_decontamination import op2_cgk_decontamination
 from .op4_line_windows import OP4_SQL, op4_line_windows
 from .op5_simhash import op5_simhash
@@ -10,5 +11,5 @@ from .op9_quality_rules import OP9_SQL, op9_quality_rules
 from .op10_sum_of_squares import op10_sum_of_squares
 
 Q = {f.__name__: f for f in (
-    op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op9_quality_rules, op10_sum_of_squares)}
-O = {"op4_line_windows": OP4_SQL, "op9_quality_rules": OP9_SQL}
+    op1_url_reputation, op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op9_quality_rules, op10_sum_of_squares)}
+O = {"op1_url_reputation": OP1_SQL, "op4_line_windows": OP4_SQL, "op9_quality_rules": OP9_SQL}
