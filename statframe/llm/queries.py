@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_url_reputation import OP1_SQL, op1_url_reputation
 from .op2_cgk_decontamination import op2_cgk_decontamination
+from .op3_html_suffix_array import op3_html_suffix_array
 from .op4_line_windows import OP4_SQL, op4_line_windows
 from .op5_simhash import op5_simhash
 from .op8_knn_quality import op8_knn_quality
@@ -11,5 +12,5 @@ from .op9_quality_rules import OP9_SQL, op9_quality_rules
 from .op10_sum_of_squares import op10_sum_of_squares
 
 Q = {f.__name__: f for f in (
-    op1_url_reputation, op2_cgk_decontamination, op4_line_windows, op5_simhash, op8_knn_quality, op9_quality_rules, op10_sum_of_squares)}
+    op1_url_reputation, op2_cgk_decontamination, op3_html_suffix_array, op4_line_windows, op5_simhash, op8_knn_quality, op9_quality_rules, op10_sum_of_squares)}
 O = {"op1_url_reputation": OP1_SQL, "op4_line_windows": OP4_SQL, "op9_quality_rules": OP9_SQL}
