@@ -30,7 +30,7 @@ from .common import table
 
 #: (verdict, rule); a rule is host, then path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MIN_GOOD = 0.75
+MIN_GOOD = 0.5
 Z = 1.645
 RHO_LOW, RHO_HIGH = 0.005, 0.5
 
@@ -77,7 +77,7 @@ def _level(groups: DataFrame, parent: Column) -> float:
     x2 = F.pow(F.col("k") - F.col("n") * F.col("_m"), 2) / (F.col("n") * F.col("_m") * (1 - F.col("_m")))
     r = g.where("n > 0").agg(F.sum(x2).alias("x"), F.count(F.lit(1)).alias("j"), F.sum("n").alias("n")).first()
     spare = (r["n"] or 0) - r["j"]
-    rho = ((r["x"] or 0.0) - r["j"]) / spare if spare > 0 else 0.0
+    rho = ((r["x"] or 0.0) - r["j"]) / spare if spare > 0 else RHO_HIGH  # nothing to learn from: weak prior
     return 1.0 / min(max(rho, RHO_LOW), RHO_HIGH) - 1.0
 
 
@@ -102,8 +102,9 @@ def reputations(counts: DataFrame, z: float = Z) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MIN_GOOD) -> DataFrame:
-    """Every page with host, path, rule and verdict, and its host's outcomes and posterior bound."""
-    p = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    """Every page with host, path, rule and verdict, and its host's outcomes and posterior
+    (n_labelled, n_good, mean, low, high); columns of these names are replaced."""
+    p = pages.drop("n_labelled", "n_good", "mean", "low", "high").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     every = p.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     known = outcomes(p, labels)
     counts = every.join(known, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
@@ -131,7 +132,7 @@ def _sql_case(value) -> str:
 
 def _sql_rho(src: str, m: str) -> str:
     return (f"(SELECT 1.0 / least(greatest(CASE WHEN coalesce(sum(n), 0) - count(*) > 0 THEN (sum(pow(k - n * {m}, 2) / (n * {m} * (1 - {m}))) - count(*))"
-            f" / (sum(n) - count(*)) ELSE 0 END, {RHO_LOW}), {RHO_HIGH}) - 1.0 AS s FROM {src} WHERE n > 0)")
+            f" / (sum(n) - count(*)) ELSE {RHO_HIGH} END, {RHO_LOW}), {RHO_HIGH}) - 1.0 AS s FROM {src} WHERE n > 0)")
 
 
 OP1_SQL = f"""
