@@ -121,8 +121,8 @@ def psm_att(df: DataFrame, treat: str, y: str, covariates: list[str], key, calip
     is_t = F.col(treat).cast("double") == 1.0
     d = (d.withColumn("_t", is_t.cast("int"))
          .withColumn("_cps", F.when(~is_t, F.col("_ps"))).withColumn("_cy", F.when(~is_t, F.col(y).cast("double"))))
-    # a heavily tied score (few covariate patterns) is split by the row key, not by the 0/1 flag
-    nb = GlobalOrder(d, ["_ps", "_t"] + keys, refine_by=keys[0]).with_neighbors(["_cps", "_cy"])
+    # a heavily tied score (few covariate patterns) is split by the row key
+    nb = GlobalOrder(d, ["_ps", "_t"] + keys).with_neighbors(["_cps", "_cy"])
     tr = nb.where(F.col("_t") == 1)
     dl = F.col("_ps") - F.col("_cps_prev")
     du = F.col("_cps_next") - F.col("_ps")

@@ -231,16 +231,20 @@ def permutation_importance(df: DataFrame, fit: LinearFit, key: str, seed: int =
     from ..plans.order import GlobalOrder
     base_mse = fit.ssr / fit.n
     data = design(df, fit.target, fit.features, extra=[key])
-    out = []
+    # one permuted index and one join serve all features: row i of the key order lends its
+    # values to row i of the hash order
+    other = {c: f"_o{j}" for j, c in enumerate(fit.features)}
+    idx = GlobalOrder(data.select(key, *[F.col(c).alias(o) for c, o in other.items()]), [key]).with_running_sums([]).select(
+        F.col("_idx").alias("_i"), *other.values())
+    perm = GlobalOrder(data.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), ["_h", key]).with_running_sums([]).select(
+        F.col("_idx").alias("_i"), fit.target, *fit.features)
+    joined = perm.join(idx, "_i")
+    swapped = []
     for c in fit.features:
-        idx = GlobalOrder(data.select(key, c), [key]).with_running_sums([]).select(F.col("_idx").alias("_i"), c)
-        data2 = data.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-        perm = GlobalOrder(data2, ["_h", key]).with_running_sums([]).select(F.col("_idx").alias("_i"), key,
-                                                                             fit.target, *[x for x in fit.features if x != c])
-        joined = perm.join(idx, "_i")
-        mse = joined.agg(F.avg((F.col(fit.target) - fit.linear_predictor()) ** 2)).collect()[0][0]
-        out.append((c, sig(mse - base_mse)))
-    return out
+        pred = fit.linear_predictor() + F.lit(float(fit.params[fit.names.index(c)])) * (F.col(other[c]) - F.col(c).cast("double"))
+        swapped.append(F.avg((F.col(fit.target) - pred) ** 2).alias(other[c]))
+    mse = joined.agg(*swapped).first()
+    return [(c, sig(mse[other[c]] - base_mse)) for c in fit.features]
 
 
 def poisson_bootstrap_linear(df: DataFrame, target: str, features: list[str], B: int = 200,

@@ -3,130 +3,125 @@
 ``Window.orderBy(...)`` with no partition pulls every row into one task. The
 global order here is two-level:
 
-1. quantile cut points of the leading order key, computed once and fixed as
-   literals (``percentile_approx``, bounded output of ``n_buckets`` values);
-   a binary-search ``Bucketizer`` maps each row to its bucket, so rows with
-   equal keys always share a bucket and buckets are ordered;
+1. cut points in the space of *all* order columns, from the distinct keys of a bounded
+   hash sample (about ``SAMPLE_PER_BUCKET`` rows per bucket, counted on the executors); a
+   binary search over the cut tuples maps each row to its bucket. A key that is heavy
+   in its leading columns is split by the later ones, and only rows equal in every order
+   column must share a bucket;
 2. ``row_number`` / ``lag`` / running sums inside
    ``Window.partitionBy(bucket).orderBy(keys)``;
-3. one summary row per bucket (count, column sums, last values) -- at most
-   ``n_buckets`` rows, broadcast back as offsets and edge values.
+3. one summary row per bucket (count, column sums, last values), broadcast back as
+   offsets and edge values.
 
-The only driver-side data are the cut points and the per-bucket summary,
-both bounded by ``n_buckets`` (x ``lags``), never by the row count.
+The number of buckets follows from the row count alone (:func:`bucket_count`). The driver
+holds the cut points and the per-bucket summary, bounded by buckets x lags, never the rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_buckets
+MAX_EDGE_CELLS = 50_000_000
+MIN_BUCKETS = 8
+ROWS_PER_BUCKET = 500_000
+#: Beyond this many buckets their number grows with the square root of the rows.
+LINEAR_BUCKETS = 20_000
+SAMPLE_PER_BUCKET = 64
 
-MAX_EDGE_CELLS = 5_000_000
-MIN_GRID = 256      # quantile grid requested in the cut pass (thinned to the bucket count)
-SMALL_INPUT_ROWS = 200_000  # at or below: one bucket (one task sorts it), no edge summary pass
-MAX_GRID = 16384
 
+def bucket_count(n_rows: int) -> int:
+    """Buckets for ``n_rows``: one per ``ROWS_PER_BUCKET``, and 155,000 for 6e11 rows
+    (3.9 million rows in each, an external sort)."""
+    linear = n_rows / ROWS_PER_BUCKET
+    if linear > LINEAR_BUCKETS:
+        linear = math.sqrt(linear * LINEAR_BUCKETS)
+    return max(MIN_BUCKETS, math.ceil(linear))
 
-def order_key(df: DataFrame, name: str) -> Column:
-    """Numeric (double) image of an order column, monotone in the original."""
+
+def order_image(df: DataFrame, name: str) -> Column:
+    """Image of an order column that compares as the column does, of a type with literals."""
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp"))
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.NumericType):
+        return F.unix_date(c).cast("long")
+    if isinstance(dt, (T.IntegralType, T.BooleanType)):
+        return c.cast("long")
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return c.cast("double")
-    raise TypeError(f"order column {name!r} must be numeric, date or timestamp, not {dt}")
+    if isinstance(dt, (T.DecimalType, T.StringType)):
+        return c
+    raise TypeError(f"order column {name!r} must be numeric, text, date or timestamp, not {dt}")
+
+
+def _cut_array(values: list, dt: T.DataType) -> Column:
+    """Array literal of one order column's cut values."""
+    if isinstance(dt, T.StringType):
+        return F.lit(values)
+    if isinstance(dt, T.DoubleType):
+        return F.expr("array(" + ", ".join(f"double('{v!r}')" for v in values) + ")")
+    if isinstance(dt, T.DecimalType):
+        return F.expr("array(" + ", ".join(f"cast('{v}' as {dt.simpleString()})" for v in values) + ")")
+    return F.expr("array(" + ", ".join(f"{v}L" if v > -2**63 else "cast('-9223372036854775808' as bigint)" for v in values) + ")")
 
 
 class GlobalOrder:
-    """Bucketed global order over ``order_by`` (the full list must be unique)."""
+    """Bucketed global order over ``order_by``. For lags the list must be unique (rows equal
+    in all of it share a bucket, so a tie is seen there); null order keys are an error."""
 
     def __init__(self, df: DataFrame, order_by: list[str] | str, n_buckets: int | None = None,
-                 refine_by: str | None = None, rows_per_bucket: int = 2_000_000):
+                 rows_per_bucket: int | None = None):
         self.order_by = [order_by] if isinstance(order_by, str) else list(order_by)
         missing = [c for c in self.order_by if c not in df.columns]
         if missing:
             raise ValueError(f"order columns not found: {missing}")
-        spark = df.sparkSession
-        df = df.dropna(subset=self.order_by)
-        keyed = df.withColumn("_k", order_key(df, self.order_by[0]))
-        # One pass gives the row count and a fine quantile grid (R points); the grid is then
-        # thinned to B buckets with about ``rows_per_bucket`` rows each (at least the shuffle
-        # partition count), so a window task's sort stays bounded at any data size.
-        base = n_buckets or default_buckets(spark)
-        R = n_buckets or min(MAX_GRID, max(base, MIN_GRID))
-        probs = [i / R for i in range(1, R)]
-        acc = max(10000, 20 * R)
-        raw = []
-        n_rows = None
-        if probs:
-            row = keyed.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_k", probs, acc).alias("c")).collect()[0]
-            raw, n_rows = row["c"] or [], row["n"]
-        raw = [float(x) for x in raw if x is not None]
-        if n_buckets is None and (n_rows or 0) <= SMALL_INPUT_ROWS:
-            raw = []  # checked small input: one bucket, no edge pass
-            self.n_buckets = 1
-        elif n_buckets is None and raw:
-            want = max(base, math.ceil((n_rows or 0) / rows_per_bucket))
-            B = max(1, min(R, want))
-            step = R / B
-            raw = [raw[min(len(raw) - 1, int(round(i * step)) - 1)] for i in range(1, B)]
-            self.n_buckets = B
-        elif n_buckets is not None or not raw:
-            self.n_buckets = R if n_buckets is not None else 1
-        self.n_rows = n_rows
-        b = self.n_buckets
-        cuts = sorted(set(raw))
-        refine = refine_by or (self.order_by[1] if len(self.order_by) > 1 else None)
-        heavy = {v: raw.count(v) for v in cuts if raw.count(v) >= 2} if refine else {}
-        sub: dict[float, list[float]] = {}
-        if heavy:
-            k2 = order_key(df, refine)
-            aggs = [F.percentile_approx(F.when(F.col("_k") == F.lit(v), k2), [j / (r + 1) for j in range(1, r + 1)],
-                                        acc).alias(f"h{i}") for i, (v, r) in enumerate(heavy.items())]
-            hr = keyed.agg(*aggs).collect()[0]
-            for i, v in enumerate(heavy):
-                sub[v] = sorted({float(x) for x in (hr[f"h{i}"] or []) if x is not None})
-            for v in heavy:
-                nxt = math.nextafter(v, math.inf)
-                if nxt not in cuts:
-                    cuts.append(nxt)
-            cuts = sorted(set(cuts))
-        self.heavy = sub
+        img = [f"_k{j}" for j in range(len(self.order_by))]
+        keys = df.select(*[order_image(df, c).alias(k) for c, k in zip(self.order_by, img)])
+        complete = F.lit(True)
+        for k in img:
+            complete = complete & F.col(k).isNotNull()
+        got = keys.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(complete, 1)).alias("ok")).first()
+        if got["n"] != got["ok"]:
+            raise ValueError(f"{got['n'] - got['ok']} rows have a null in order_by {self.order_by}: filter them first")
+        self.n_rows = n = got["n"]
+        want = n_buckets or (max(1, math.ceil(n / rows_per_bucket)) if rows_per_bucket else bucket_count(n))
+        share = min(1.0, SAMPLE_PER_BUCKET * want / max(n, 1))
+        cuts: list[tuple] = []
+        if want > 1 and n:
+            drawn = keys.where(F.pmod(F.xxhash64(F.lit(17), *img), F.lit(1 << 31)) <= int(share * (1 << 31)))
+            # equal keys are counted, not repeated: what arrives is bounded by the sample size
+            sample = sorted((tuple(r)[:-1] + (r["n"],) for r in drawn.groupBy(*img).agg(F.count(F.lit(1)).alias("n")).collect()),
+                            key=lambda r: [(isinstance(v, float) and math.isnan(v), v) for v in r[:-1]])
+            total, seen, step = sum(r[-1] for r in sample), 0, 1
+            for r in sample:
+                if seen >= step * total / want and seen:
+                    cuts.append(r[:-1])
+                    while seen >= step * total / want:
+                        step += 1
+                seen += r[-1]
+        self.cuts = cuts
+        self.n_buckets = len(cuts) + 1
+        out = df.withColumn("_b", F.lit(0))
         if cuts:
-            splits = [float("-inf")] + cuts + [float("inf")]
-            bz = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep")
-            bucketed = bz.transform(keyed).withColumn("_b1", F.col("_bd").cast("int")).drop("_bd")
-        else:  # one bucket (or a constant key): no cut points to search
-            bucketed = keyed.withColumn("_b1", F.lit(0))
-        if sub:
-            # renumber: interval i keeps one id, a heavy interval gets len(sub)+1 ids, in order
-            ids, nxt_id = [], 0
-            # Bucketizer index j covers [splits[j], splits[j+1]); the heavy value's own interval is at its index
-            heavy_idx = {splits.index(v): v for v in sub}
-            for i in range(len(splits)):  # len(splits) - 1 intervals + the NaN bucket of handleInvalid="keep"
-                ids.append(nxt_id)
-                nxt_id += (len(sub[heavy_idx[i]]) + 1) if i in heavy_idx else 1
-            k2 = order_key(df, refine)
-            extra = F.lit(0)
-            for i, v in heavy_idx.items():
-                inner = F.lit(0)
-                for c in sub[v]:
-                    inner = inner + (k2 >= F.lit(c)).cast("int")
-                extra = F.when(F.col("_b1") == F.lit(i), inner).otherwise(extra)
-            base = F.element_at(F.array(*[F.lit(x) for x in ids]), F.col("_b1") + F.lit(1))
-            bucketed = bucketed.withColumn("_b", (base + extra).cast("int"))
-        else:
-            bucketed = bucketed.withColumn("_b", F.col("_b1"))
-        self.bucketed = bucketed.drop("_b1", "_k")
+            types = [keys.schema[k].dataType for k in img]
+            out = df.withColumns({**{k: order_image(df, c) for c, k in zip(self.order_by, img)}, "_b": F.lit(0)})
+            arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)]
+            step = 1 << (len(cuts).bit_length() - 1)
+            while step:
+                at = F.col("_b") + F.lit(step - 1)
+                ge = None
+                for k, a in reversed(list(zip(img, arrays))):
+                    cut = F.get(a, at)
+                    ge = (F.col(k) >= cut) if ge is None else (F.col(k) > cut) | ((F.col(k) == cut) & ge)
+                out = out.withColumn("_b", F.when(ge, F.col("_b") + F.lit(step)).otherwise(F.col("_b")))
+                step >>= 1
+            out = out.drop(*img)
+        self.bucketed = out
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 
     def _tie(self) -> Column:
@@ -143,28 +138,13 @@ class GlobalOrder:
         """Adds ``_idx`` (1..n, global) and ``{c}_lag{l}`` for l = 1..lags."""
         L = int(lags)
         bd = self.bucketed
-        if self.n_buckets == 1:
-            out = bd.withColumn("_idx", F.row_number().over(self.window).cast("long"))
-            for c in cols:
-                for lag in range(1, L + 1):
-                    out = out.withColumn(f"{c}_lag{lag}", F.lag(F.col(c).cast("double"), lag).over(self.window))
-            return out.withColumn("_tie", self._tie())
-        if L == 1:
-            last = F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]),
-                            F.struct(*[F.col(c) for c in self.order_by]))
-            summ = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"), last.alias("last")).collect()
-            tails = {r["_b"]: [[r["last"][c] for c in cols]] for r in summ}
-        else:
-            wdesc = Window.partitionBy("_b").orderBy(*[F.col(c).desc() for c in self.order_by])
-            tail_rows = (bd.withColumn("_rd", F.row_number().over(wdesc)).where(F.col("_rd") <= L)
-                         .select("_b", "_rd", *[F.col(c).cast("double").alias(c) for c in cols]).collect())
-            summ = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt")).collect()
-            tails: dict = {}
-            for r in tail_rows:
-                tails.setdefault(r["_b"], []).append((r["_rd"], [r[c] for c in cols]))
-            tails = {k: [v for _, v in sorted(vs)] for k, vs in tails.items()}
-        if len(summ) * L * max(1, len(cols)) > MAX_EDGE_CELLS:
+        if self.n_buckets * L * max(1, len(cols)) > MAX_EDGE_CELLS:
             raise ValueError("edge table too large; lower n_buckets or lags")
+        wdesc = Window.partitionBy("_b").orderBy(*[F.col(c).desc() for c in self.order_by])
+        last = F.struct("_rd", *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
+        summ = (bd.withColumn("_rd", F.row_number().over(wdesc)).groupBy("_b")
+                .agg(F.count(F.lit(1)).alias("cnt"), F.collect_list(F.when(F.col("_rd") <= L, last)).alias("tail")).collect())
+        tails = {r["_b"]: [list(t[1:]) for t in sorted(tuple(x) for x in r["tail"])] for r in summ}
         counts = sorted((r["_b"], r["cnt"]) for r in summ)
         edges = []
         off = 0
@@ -190,12 +170,6 @@ class GlobalOrder:
     def with_running_sums(self, cols: list[str]) -> DataFrame:
         """Adds ``_idx`` and ``{c}_cum`` = inclusive global prefix sums."""
         bd = self.bucketed
-        if self.n_buckets == 1:
-            run = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            out = bd.withColumn("_idx", F.row_number().over(self.window).cast("long"))
-            for c in cols:
-                out = out.withColumn(f"{c}_cum", F.sum(F.col(c).cast("double")).over(run))
-            return out.withColumn("_tie", self._tie())
         summ = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"),
                                     *[F.sum(F.col(c)).alias(f"s{j}") for j, c in enumerate(cols)]).collect()
         rows = sorted(summ, key=lambda r: r["_b"])
@@ -266,15 +240,15 @@ def series_lags(df: DataFrame, series: list[str] | str, order_by: list[str] | st
     """Lags inside each series without ``Window.partitionBy(series)``.
 
     The global order is led by a hash of the series key (then the key itself, then
-    ``order_by``), so each series is contiguous; a hot series is a heavy leading value
-    and is split across buckets by ``order_by[0]``. Lags that would reach into the
+    ``order_by``), so each series is contiguous; a hot series is split across buckets by
+    ``order_by``. Lags that would reach into the
     previous series are null (checked with two independent hashes of the key).
     """
     series = [series] if isinstance(series, str) else list(series)
     ob = [order_by] if isinstance(order_by, str) else list(order_by)
     keys = [F.col(c) for c in series]
     d = df.withColumn("_sh", F.xxhash64(*keys)).withColumn("_sh2", F.xxhash64(F.lit(7), *keys).cast("double"))
-    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets, refine_by=ob[0])
+    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets)
     out = go.with_lags(list(cols) + ["_sh2"], lags)
     for lag in range(1, lags + 1):
         same = F.col(f"_sh2_lag{lag}") == F.col("_sh2")
@@ -301,7 +275,7 @@ def series_running_sums(df: DataFrame, series: list[str] | str, order_by: list[s
     series = [series] if isinstance(series, str) else list(series)
     ob = [order_by] if isinstance(order_by, str) else list(order_by)
     d = df.withColumn("_sh", F.xxhash64(*[F.col(c) for c in series]))
-    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets, refine_by=ob[0])
+    go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets)
     cum = go.with_running_sums([col])
     start = cum.groupBy(*series).agg(F.min_by(F.col(f"{col}_cum") - F.col(col).cast("double"), F.col("_idx"))
                                      .alias("_before"))

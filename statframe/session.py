@@ -55,15 +55,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """Number of order buckets for global-order plans (GIDX)."""
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        n = 200
-    return max(4, min(n, 8192))
-
-
 _SHIPPED: set = set()
 
 

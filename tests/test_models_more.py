@@ -120,12 +120,13 @@ def test_psm_heavy_ties_multi_bucket_equals_single(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(rng.integers(0, 3)), float(rng.random() < 0.4), float(rng.normal())) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, x double, t double, y double")
-    one = causal.psm_att(df, "t", "y", ["x"], ["id"], caliper=0.5)
-    old = order.SMALL_INPUT_ROWS
+    old = order.MIN_BUCKETS
     try:
-        order.SMALL_INPUT_ROWS = 0
+        order.MIN_BUCKETS = 1
+        one = causal.psm_att(df, "t", "y", ["x"], ["id"], caliper=0.5)
+        order.MIN_BUCKETS = 40
         many = causal.psm_att(df, "t", "y", ["x"], ["id"], caliper=0.5)
     finally:
-        order.SMALL_INPUT_ROWS = old
+        order.MIN_BUCKETS = old
     assert one["matched"] == many["matched"]
     assert one["att"] == pytest.approx(many["att"], rel=1e-12)

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statframe.plans.order import GlobalOrder
+from statframe.plans.order import GlobalOrder, bucket_count
 from statframe.sources.scan import load
 from tests.conftest import SF_SMALL
 
@@ -38,10 +38,34 @@ def test_heavy_leading_key_is_split(spark):
     rows = [(5.0 if i % 3 == 0 else float(i), float(i), float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k double, t double, v double")
     go = GlobalOrder(df, ["k", "t"], n_buckets=12)
-    assert go.heavy, "heavy key not detected"
     sizes = [r["c"] for r in go.bucketed.groupBy("_b").count().withColumnRenamed("count", "c").collect()]
     assert max(sizes) < 1000 / 2, sizes
     pdf = df.toPandas().sort_values(["k", "t"]).reset_index(drop=True)
     lag = go.with_lags(["v"], 2).toPandas().sort_values("_idx").reset_index(drop=True)
     np.testing.assert_array_equal(lag["v_lag2"].to_numpy(dtype=float), pdf["v"].shift(2).to_numpy(dtype=float))
     np.testing.assert_array_equal(lag["t"].to_numpy(), pdf["t"].to_numpy())
+
+
+def test_key_heavy_in_two_columns_is_split(spark):
+    """A third of the rows share the first two order columns; the third one splits them."""
+    rows = [(5.0, "a", i, float(i % 7)) if i % 3 == 0 else (float(i), "b", i, float(i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k double, s string, t long, v double")
+    go = GlobalOrder(df, ["k", "s", "t"], n_buckets=12)
+    assert max(r["count"] for r in go.bucketed.groupBy("_b").count().collect()) < 500
+    pdf = df.toPandas().sort_values(["k", "s", "t"]).reset_index(drop=True)
+    lag = go.with_lags(["v"], 3).toPandas().sort_values("_idx").reset_index(drop=True)
+    np.testing.assert_array_equal(lag["v_lag3"].to_numpy(dtype=float), pdf["v"].shift(3).to_numpy(dtype=float))
+    np.testing.assert_array_equal(lag["t"].to_numpy(), pdf["t"].to_numpy())
+
+
+def test_bucket_count_follows_the_rows():
+    assert bucket_count(10) == 8 and bucket_count(10**8) == 200 and 100_000 < bucket_count(6 * 10**11) < 200_000
+
+
+def test_null_order_keys_are_refused_and_longs_stay_exact(spark):
+    with pytest.raises(ValueError, match="null"):
+        GlobalOrder(spark.createDataFrame([(1,), (None,)], "k long"), ["k"])
+    big = 2**62
+    df = spark.createDataFrame([(big + i, float(i)) for i in range(200)], "k long, v double")
+    lag = GlobalOrder(df, ["k"], n_buckets=9).with_lags(["v"], 1).toPandas().sort_values("_idx")
+    assert list(lag["v"]) == [float(i) for i in range(200)] and list(lag["v_lag1"])[1:] == [float(i) for i in range(199)]
