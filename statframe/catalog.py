@@ -1157,9 +1157,7 @@ def q_stream_score(spark, sf):
 
 
 @register("stream_gram_fit", f"""
-WITH c AS (SELECT max(date_trunc('day', ts) + INTERVAL 1 DAY) FILTER (WHERE date_trunc('day', ts) + INTERVAL 1 DAY
-           <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS hi FROM events),
-{ols1_cte('(SELECT * FROM events WHERE ts < (SELECT hi FROM c))', 'value', 'user_id')}
+WITH {ols1_cte('events', 'value', 'user_id')}
 SELECT 'const' AS term, {S('b0')} AS coefficient FROM s UNION ALL SELECT 'user_id', {S('b1')} FROM s""")
 def q_stream_gram_fit(spark, sf):
     s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf), ts="ts")
@@ -1175,12 +1173,10 @@ SELECT event_type AS key, count(*) AS n, {S('max(abs(least(s, 0.0)))')} AS neg_e
        {S('max(greatest(s, 0.0))')} AS pos_excursion FROM c GROUP BY event_type""")
 def q_stream_cusum_by_type(spark, sf):
     s = stream.file_stream(spark, sf, "events.parquet", _events_schema(spark, sf))
-    cs = stream.cusum_stream(s, "event_type", "value", 100.0, 1e9, order_by=EV_ORDER)
-    out = stream.run_to_table(cs, stream.scratch(spark, "cusum"))
-    r = spark.read.parquet(out)
-    last = r.groupBy("key").agg(F.max_by(F.struct("n", "smax", "smin"), "n").alias("x"))
-    return last.select("key", F.col("x.n").alias("n"), sig_col(F.abs(F.col("x.smin"))).alias("neg_excursion"),
-                       sig_col(F.col("x.smax")).alias("pos_excursion"))
+    path = stream.cusum_stream_batches(s, "event_type", "value", EV_ORDER, 100.0, 1e9, stream.scratch(spark, "cusum"))
+    r = spark.read.parquet(path)
+    return r.select(F.col("event_type").alias("key"), "n", sig_col(F.abs(F.col("smin"))).alias("neg_excursion"),
+                    sig_col("smax").alias("pos_excursion"))
 
 
 # ========================================================== features

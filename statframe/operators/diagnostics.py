@@ -203,10 +203,13 @@ def reset(df: DataFrame, fit: LinearFit, powers=(2, 3)) -> tuple:
 
 
 def influence(df: DataFrame, fit: LinearFit, keep: list[str] | None = None) -> DataFrame:
-    """Leverage, studentised residual, Cook's D as columns (alerts 4/n, 1)."""
+    """Leverage, studentised residual, Cook's D as columns (alerts 4/n, 1); after
+    WLS those of the whitened rows (sqrt(w) x, sqrt(w) e)."""
     s2 = fit.sigma2
-    h = fit.leverage()
-    e = fit.residual()
+    w = F.col(fit.weight).cast("double") if fit.weight else None
+    h = fit.leverage(w)
+    e = fit.residual() * F.sqrt(w) if fit.weight else fit.residual()
+    keep = [*(keep or []), *([fit.weight] if fit.weight and fit.weight not in (keep or []) else [])]
     data = _fit_data(df, fit, keep)
     out = data.select(*(keep or []), e.alias("resid"), h.alias("leverage"))
     out = out.withColumn("student_resid", F.col("resid") / F.sqrt(F.lit(s2) * (F.lit(1.0) - F.col("leverage"))))

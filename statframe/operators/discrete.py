@@ -63,12 +63,14 @@ class DiscreteFit:
     target: str = ""
     classes: list = field(default_factory=list)
     scale: float = 1.0
+    link: str = ""
     extra: dict = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
     @property
     def k(self) -> int:
-        return len(self.theta)
+        """Estimated parameters, with those outside ``theta`` (the NB dispersion)."""
+        return len(self.theta) + self.extra.get("more_params", 0)
 
     @property
     def se(self) -> np.ndarray:
@@ -111,7 +113,7 @@ class DiscreteFit:
                 ("n_params", self.k), ("n_classes", self.n_classes), ("converged", float(self.converged)),
                 ("iterations", self.iterations), ("scale", self.scale),
                 ("confidence", round(min(1.0, max(0.0, conf)), 4))]
-        vals += [(k, v) for k, v in self.extra.items() if isinstance(v, (int, float)) and k != "null_k"]
+        vals += [(k, v) for k, v in self.extra.items() if isinstance(v, (int, float)) and k not in ("null_k", "more_params")]
         return [(m, sig(v)) for m, v in vals]
 
     def fit_stats(self, spark: SparkSession) -> DataFrame:
@@ -140,14 +142,14 @@ def _project(df: DataFrame, y: str, features: list[str], extra: list[str] | None
 
 
 def binarize(df: DataFrame, y: str) -> tuple[DataFrame, list]:
-    """second sorted label is 1, every other label 0 (warns if > 2 labels)."""
-    labels = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct()
-              .orderBy(y).limit(MAX_CLASSES + 1).collect()]
+    """second sorted label is 1, every other label 0 (warns if > 2 labels). Only the
+    first three sorted labels are needed."""
+    labels = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().orderBy(y).limit(3).collect()]
     if len(labels) < 2:
         raise ValueError(f"target {y!r} has fewer than two classes")
     if len(labels) > 2:
         import warnings
-        warnings.warn(f"target {y!r} has {len(labels)} classes: {labels[1]!r} (second sorted label) is coded 1, "
+        warnings.warn(f"target {y!r} has more than two classes: {labels[1]!r} (second sorted label) is coded 1, "
                       "every other label 0", stacklevel=2)
     return df.withColumn(y, (F.col(y) == F.lit(labels[1])).cast("double")), labels
 
@@ -234,6 +236,9 @@ def glm(df: DataFrame, y: str, features: list[str], family: str = "binomial", li
     link = link or {"binomial": "logit", "poisson": "log", "negbin": "log", "gamma": "log",
                     "inverse_gaussian": "log", "gaussian": "identity"}[family]
     extra = [c for c in (weight, offset) if c]
+    labels: list = []
+    if family == "binomial" and not isinstance(df.schema[y].dataType, (T.NumericType, T.BooleanType)):
+        df, labels = binarize(df, y)
     data = _project(df, y, features, extra)
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -289,7 +294,9 @@ def glm(df: DataFrame, y: str, features: list[str], family: str = "binomial", li
             ll_null = _null_llf(data, family, link, yc, wc, oc if offset else None, start0, alpha)
         fit = DiscreteFit(family if family != "binomial" else link, [CONST] + list(features), res.theta, cov,
                           res.llf, ll_null, res.n, 2 if family == "binomial" else 0, res.converged,
-                          res.iterations, list(features), y)
+                          res.iterations, list(features), y, labels[:2], link=link)
+        if len(labels) > 2:
+            fit.warnings.append(f"more than two classes: {labels[1]!r} is coded 1, every other label 0 (D12)")
         if family in ("gamma", "inverse_gaussian", "gaussian") or scale == "pearson":
             eta = lit_dot(res.theta, xs) + oc
             mu, *_ = _glm_parts(family if family != "binomial" else "binomial", link, yc, eta, alpha)
@@ -327,10 +334,12 @@ def poisson(df, y, features, **kw) -> DiscreteFit:
     return glm(df, y, features, "poisson", "log", **kw)
 
 
-def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol: float = 1e-7) -> DiscreteFit:
+def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol: float = 1e-7,
+           null_model: bool = True) -> DiscreteFit:
     """NB2 by profile likelihood: warm-started Newton for beta at fixed alpha, then a
     1-D Newton step in log(alpha) from one aggregate of the llf at three points; the
-    start is the moment estimate of alpha from a Poisson fit."""
+    start is the moment estimate of alpha from a Poisson fit. alpha counts as a parameter,
+    and the null model has its own alpha; ``converged`` is false after ``max_outer`` rounds."""
     data = _project(df, y, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yc = F.col(y).cast("double")
@@ -340,6 +349,7 @@ def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol:
         theta = pois.theta
         fit = None
         prev_ll = -math.inf
+        settled = False
         alpha = float(mom_a) if (mom_a or 0.0) > 1e-8 else 1e-3
         if (mom_a or 0.0) <= 1e-8:
             # no overdispersion by moments: confirm with the sign of the profile score in
@@ -354,6 +364,7 @@ def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol:
             if hi_ll <= lo_ll:
                 alpha = 1e-6
                 max_outer = 0
+                settled = True
         for _ in range(max_outer):
             fit = glm(data, y, features, "negbin", "log", alpha=alpha, theta0=theta, null_model=False, persist=False)
             theta = fit.theta
@@ -372,14 +383,19 @@ def negbin(df: DataFrame, y: str, features: list[str], max_outer: int = 50, tol:
             step = max(min(step, 2.0), -2.0)
             alpha = alpha * math.exp(step)
             if abs(step) < tol or abs(l1 - prev_ll) < 1e-10 * (1 + abs(l1)):
+                settled = True
                 break
             if alpha < 1e-6:  # boundary: no overdispersion, the Poisson limit
                 alpha = 1e-6
+                settled = True
                 break
             prev_ll = l1
-        fit = glm(data, y, features, "negbin", "log", alpha=alpha, theta0=theta, persist=False)
-        fit.extra["alpha"] = alpha
+        fit = glm(data, y, features, "negbin", "log", alpha=alpha, theta0=theta, null_model=False, persist=False)
+        fit.extra.update(alpha=alpha, more_params=1, null_k=2)
+        fit.converged = fit.converged and settled
         fit.family = "negbin"
+        if null_model:
+            fit.llnull = negbin(data, y, [], max_outer or 50, tol, null_model=False).llf if features else fit.llf
         return fit
     finally:
         data.unpersist()
@@ -565,33 +581,36 @@ def class_probabilities(fit: DiscreteFit) -> Column:
         M = fit.n_classes - 1
         B = fit.theta.reshape(M, k)
         etas = [lit_dot(B[c], [F.lit(1.0)] + xs) for c in range(M)]
-        ex = [F.exp(e) for e in etas]
-        den = F.lit(1.0)
-        for e in ex:
+        top = F.greatest(F.lit(0.0), *etas)  # shifted, so that no exponential overflows
+        ex = [F.exp(-top)] + [F.exp(e - top) for e in etas]
+        den = ex[0]
+        for e in ex[1:]:
             den = den + e
-        return F.array(F.lit(1.0) / den, *[e / den for e in ex])
+        return F.array(*[e / den for e in ex])
     p = probability(fit)
     return F.array(F.lit(1.0) - p, p)
 
 
 def probability(fit: DiscreteFit) -> Column:
     """Mean response of a single-index model (link inverse of x'beta)."""
-    eta = fit.linear_predictor()
-    if fit.family == "logit":
-        return logistic(eta)
-    if fit.family == "probit":
-        return norm_cdf(eta)
-    if fit.family == "cloglog":
-        return F.lit(1.0) - F.exp(-F.exp(eta))
-    if fit.family in ("poisson", "negbin", "gamma", "inverse_gaussian"):
-        return F.exp(eta)
-    return eta
+    return inverse_link(fit)(fit.linear_predictor())
+
+
+def inverse_link(fit: DiscreteFit):
+    """The fit's inverse link as a function of a column (by family where no link is kept)."""
+    link = fit.link or (fit.family if fit.family in ("logit", "probit", "cloglog") else
+                        "log" if fit.family in ("poisson", "negbin", "gamma", "inverse_gaussian") else "identity")
+    return {"logit": logistic, "probit": norm_cdf, "cloglog": lambda e: F.lit(1.0) - F.exp(-F.exp(e)), "log": F.exp,
+            "inverse": lambda e: F.lit(1.0) / e, "identity": lambda e: e}[link]
 
 
 
 # ------------------------------------------------------- conditional logit
 def clogit(df: DataFrame, y: str, features: list[str], strata: str, max_iter: int = 50, tol: float = 1e-10) -> DiscreteFit:
-    """Conditional logit on matched strata (one or more cases per stratum).
+    """Conditional logit on matched strata. Strata without contrast (no case, or only
+    cases) carry no information and are left out. One case per stratum is exact; several
+    use Breslow's approximation of the conditional likelihood. Features are centred at
+    their means, which changes nothing but the size of the exponentials.
 
     Each iteration: per-stratum sums of exp(x'b), exp(x'b) x, exp(x'b) x x' and of the
     case rows (``groupBy(strata)``, partial aggregation, so a large stratum costs no
@@ -600,14 +619,15 @@ def clogit(df: DataFrame, y: str, features: list[str], strata: str, max_iter: in
     data = _project(df, y, features, [strata]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         k = len(features)
-        xs = [F.col(c).cast("double") for c in features]
+        mean = data.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(features)]).first()
+        xs = [F.col(c).cast("double") - F.lit(float(mean[f"_m{i}"] or 0.0)) for i, c in enumerate(features)]
         yc = F.col(y).cast("double")
 
         def step(theta):
             eta = lit_dot(theta, xs)
             d = data.withColumn("_e", F.exp(eta)).withColumn("_eta", eta)
             g = d.groupBy(strata).agg(
-                F.sum("_e").alias("_cl_S"), F.sum(yc).alias("_cl_ncase"), F.sum(yc * F.col("_eta")).alias("_cl_ceta"),
+                F.sum("_e").alias("_cl_S"), F.sum(yc).alias("_cl_ncase"), F.count(F.lit(1)).alias("_cl_n"), F.sum(yc * F.col("_eta")).alias("_cl_ceta"),
                 *[F.sum(F.col("_e") * x).alias(f"_cl_S{i}") for i, x in enumerate(xs)],
                 *[F.sum(yc * x).alias(f"_cl_C{i}") for i, x in enumerate(xs)],
                 *[F.sum(F.col("_e") * xs[i] * xs[j]).alias(f"_cl_S{i}_{j}") for i in range(k) for j in range(i, k)])
@@ -616,7 +636,7 @@ def clogit(df: DataFrame, y: str, features: list[str], strata: str, max_iter: in
             aggs += [F.sum(F.col(f"_cl_C{i}") - F.col("_cl_ncase") * F.col(f"_cl_S{i}") / S).alias(f"_g{i}") for i in range(k)]
             aggs += [F.sum(-F.col("_cl_ncase") * (F.col(f"_cl_S{i}_{j}") / S - F.col(f"_cl_S{i}") * F.col(f"_cl_S{j}") / (S * S))
                            ).alias(f"_h{i}_{j}") for i in range(k) for j in range(i, k)]
-            r = g.where(F.col("_cl_ncase") > 0).agg(*aggs).collect()[0]
+            r = g.where((F.col("_cl_ncase") > 0) & (F.col("_cl_ncase") < F.col("_cl_n"))).agg(*aggs).collect()[0]
             gr = np.array([r[f"_g{i}"] for i in range(k)], dtype=float)
             h = np.zeros((k, k))
             for i in range(k):

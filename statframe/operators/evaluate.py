@@ -237,10 +237,11 @@ def cross_validate_linear(df: DataFrame, target: str, features: list[str], k: in
 
 
 def loo_linear(df: DataFrame, fit: LinearFit) -> dict:
-    """Exact leave-one-out PRESS = sum (e / (1 - h))^2 in one pass."""
-    data = design(df, fit.target, fit.features)
+    """Exact leave-one-out PRESS = sum (e / (1 - h))^2 in one pass (h weighted after WLS)."""
+    data = design(df, fit.target, fit.features, fit.weight)
+    w = F.col(fit.weight).cast("double") if fit.weight else None
     r = data.agg(F.count(F.lit(1)).alias("n"),
-                 F.sum((fit.residual() / (F.lit(1.0) - fit.leverage())) ** 2).alias("press")).collect()[0]
+                 F.sum((fit.residual() / (F.lit(1.0) - fit.leverage(w))) ** 2).alias("press")).collect()[0]
     return {"press": r["press"], "loo_rmse": math.sqrt(r["press"] / r["n"]), "n": r["n"]}
 
 

@@ -241,7 +241,7 @@ def permutation_importance(df: DataFrame, fit: LinearFit, key: str, seed: int =
     joined = perm.join(idx, "_i")
     swapped = []
     for c in fit.features:
-        pred = fit.linear_predictor() + F.lit(float(fit.params[fit.names.index(c)])) * (F.col(other[c]) - F.col(c).cast("double"))
+        pred = fit.linear_predictor() + F.lit(float(fit.beta[fit.features.index(c) + 1])) * (F.col(other[c]) - F.col(c).cast("double"))
         swapped.append(F.avg((F.col(fit.target) - pred) ** 2).alias(other[c]))
     mse = joined.agg(*swapped).first()
     return [(c, sig(mse[other[c]] - base_mse)) for c in fit.features]

@@ -227,7 +227,7 @@ def ols(df: DataFrame, target: str, features: list[str], weight: str | None = No
                     se_type=se_type, algorithm="wls" if weight else "ols", weight=weight,
                     slogw=mom.slogw, moments=mom)
     if fit.n < 3 * fit.k:
-        fit.warnings.append(f"Low observations ({fit.n}) relative to features ({fit.k}).")
+        fit.warnings.append(f"{fit.n} rows for {fit.k} coefficients: fewer than three per coefficient.")
     fit.cov = fit.sigma2 * bread
     if se_type != "nonrobust":
         fit.cov = robust_cov(data, fit, se_type, cluster=cluster, order_by=order_by, maxlags=maxlags)
@@ -333,7 +333,6 @@ def gls_ar1(df: DataFrame, target: str, features: list[str], order_by) -> Linear
 
 # --------------------------------------------------------- segmented
 SEG_OUT = ["term", "coefficient", "se", "t_stat", "p_value", "n_obs"]
-MAX_DRIVER_SEGMENTS = 10_000
 
 
 def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]) -> DataFrame:
@@ -373,14 +372,6 @@ def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]
                     out.append(keys + [t, sig(b), sig(s), sig(tv), sig(pv), mom.n])
             yield pd.DataFrame(out, columns=by + SEG_OUT)
 
-    # few segments (checked, bounded): solve the Gram rows on the driver; otherwise per task
-    few = g.limit(MAX_DRIVER_SEGMENTS + 1).collect()
-    if len(few) <= MAX_DRIVER_SEGMENTS:
-        out = []
-        for pdf in solve([pd.DataFrame([r.asDict() for r in few])] if few else []):
-            out += [tuple(None if (isinstance(v, float) and math.isnan(v)) else v for v in row)
-                    for row in pdf.itertuples(index=False)]
-        return data.sparkSession.createDataFrame(out, schema)
     return g.mapInPandas(solve, schema)
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.columns import logistic, norm_cdf
-from .discrete import DiscreteFit, class_probabilities, probability
+from .discrete import DiscreteFit, class_probabilities, inverse_link, probability
 from .linear import LinearFit
 
 
@@ -78,10 +77,11 @@ def predict_discrete(fit: DiscreteFit, df: DataFrame, interval: bool = False, al
                 q = t if q is None else q + t
         z = dist.norm_ppf(1 - alpha / 2)
         se = F.sqrt(F.greatest(q, F.lit(0.0)))
-        inv = logistic if fit.family == "logit" else norm_cdf if fit.family == "probit" else F.exp
-        out = (out.withColumn("se_link", se)
-               .withColumn("ci_lower", inv(F.col("_eta") - F.lit(z) * se))
-               .withColumn("ci_upper", inv(F.col("_eta") + F.lit(z) * se)))
+        inv = inverse_link(fit)
+        ends = [inv(F.col("_eta") - F.lit(z) * se), inv(F.col("_eta") + F.lit(z) * se)]
+        if fit.link == "inverse":  # a falling link
+            ends.reverse()
+        out = out.withColumns({"se_link": se, "ci_lower": ends[0], "ci_upper": ends[1]})
     return out.drop("_eta", *[c for c in feats if c not in (keep or [])])
 
 

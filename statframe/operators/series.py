@@ -327,7 +327,8 @@ def arima_hr(df: DataFrame, col: str, series, order_by, p: int = 1, d: int = 0,
         pred = pred + F.col(f"_b{i + 1}") * F.col(c)
     la = la.withColumn("_e", F.col(y) - pred).drop(*[c for c in la.columns if c.startswith("_b") and c[2:].isdigit()])
     # step 3: ARMA regression
-    keep = la.select(*series, *ob, y, "_e")
+    levels = [f"_x{k}" for k in range(d)]
+    keep = la.select(*series, *ob, y, "_e", *levels)
     lagged = series_lags(keep, series, ob, [y, "_e"], max(p, q, 1)).drop("_b", "_idx")
     feats = [f"{y}_lag{i}" for i in range(1, p + 1)] + [f"_e_lag{i}" for i in range(1, q + 1)]
     arma = _grouped_solve(lagged.dropna(subset=feats + [y]), series, y, feats)
@@ -337,7 +338,7 @@ def arima_hr(df: DataFrame, col: str, series, order_by, p: int = 1, d: int = 0,
     coef_table = coef_long.select(*series, F.element_at(names, F.col("pos") + 1).alias("term"), "coefficient")
     # step 4: tail of each series (last L rows by a descending row number inside the series order)
     L = max(p, q, 1)
-    tail = _series_tail(keep, series, ob, [y, "_e"], L).join(arma, series)
+    tail = _series_tail(keep, series, ob, [y, "_e", *levels], L).join(arma, series)
     key_schema = [df.schema[c] for c in series]
     out_schema = T.StructType(key_schema + [T.StructField("step", T.IntegerType()),
                                             T.StructField("forecast", T.DoubleType())])
@@ -347,12 +348,15 @@ def arima_hr(df: DataFrame, col: str, series, order_by, p: int = 1, d: int = 0,
         hist_y = list(pdf[y].astype(float))
         hist_e = list(pdf["_e"].astype(float))
         b = [float(pdf[f"_b{i}"].iloc[0]) for i in range(len(terms))]
+        last = [float(pdf[c].iloc[-1]) for c in levels]  # last value of the series and of each difference
         out = []
         for h in range(1, horizon + 1):
             v = b[0] + sum(b[i] * hist_y[-i] for i in range(1, p + 1) if i <= len(hist_y)) \
                 + sum(b[p + j] * hist_e[-j] for j in range(1, q + 1) if j <= len(hist_e))
             hist_y.append(v)
             hist_e.append(0.0)
+            for k in reversed(range(d)):  # summed back to the level of the input
+                last[k] = v = last[k] + v
             out.append([pdf[c].iloc[0] for c in series] + [h, v])
         return pd.DataFrame(out, columns=series + ["step", "forecast"])
 
@@ -387,11 +391,10 @@ def _series_tail(d: DataFrame, series: list[str], ob: list[str], cols: list[str]
     """Last L rows of every series: a per-series max over the order (bounded output);
     rows are selected by comparing with the L-th largest order key found by L rounds of max."""
     keyed = d.withColumn("_ok", F.struct(*[F.col(c) for c in ob]))
-    thresh = None
-    for _ in range(L):
-        cond = keyed if thresh is None else keyed.join(thresh, series).where(F.col("_ok") < F.col("_t"))
-        nxt = cond.groupBy(*series).agg(F.max("_ok").alias("_t"))
-        thresh = nxt
+    thresh = keyed.groupBy(*series).agg(F.max("_ok").alias("_t"))
+    for _ in range(L - 1):  # a series of fewer than L rows keeps its smallest key
+        nxt = keyed.join(thresh, series).where(F.col("_ok") < F.col("_t")).groupBy(*series).agg(F.max("_ok").alias("_t2"))
+        thresh = thresh.join(nxt, series, "left").select(*series, F.coalesce("_t2", "_t").alias("_t"))
     tail = keyed.join(thresh, series).where(F.col("_ok") >= F.col("_t"))
     w = Window.partitionBy(*series).orderBy("_ok")  # at most L rows per series
     return tail.withColumn("_pos", F.row_number().over(w)).select(*series, "_pos", *cols)

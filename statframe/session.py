@@ -55,6 +55,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder of any store Spark reads, or None if there is no such path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return sorted(s.getPath().getName() for s in fs.listStatus(p))
+
+
 _SHIPPED: set = set()
 
 

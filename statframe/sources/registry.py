@@ -39,8 +39,7 @@ REGISTRY_SCHEMA = T.StructType([
 def registry_path(spark: SparkSession, path: str | None = None) -> str:
     if path:
         return path
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base[5:] if base.startswith("file:") else base, "model_registry")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/model_registry"
 
 
 def dataset_fingerprint(df: DataFrame, cols: list[str] | None = None, date_col: str | None = None) -> dict:

@@ -10,6 +10,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import folder_names
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -32,20 +34,20 @@ def scan(spark: SparkSession, ref: str, source_type: str = "auto", schema: T.Str
     if st == "json" or (st == "auto" and ext in (".json", ".jsonl")):
         r = spark.read.schema(schema) if schema is not None else spark.read
         return r.json(ref)
-    if st == "auto" and os.path.exists(ref):
+    if st == "auto" and "/" in ref and folder_names(spark, ref) is not None:
         return spark.read.parquet(ref)
     return spark.table(ref)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views named like the driver's tables, for the SQL source."""
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        if os.path.exists(p):
+        p = f"{sf_dir}/{n}.parquet"
+        if folder_names(spark, p) is not None:
             spark.read.parquet(p).createOrReplaceTempView(n)
 
 

@@ -7,34 +7,29 @@ Sinks write to the shared checkpoint folder the session names.
 
 from __future__ import annotations
 
-import os
-import uuid
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..plans.gram import gram_aggs, moments_from_row
-from ..session import ensure_checkpoint_dir
+from ..session import folder_names, shared_folder
 
 
 def file_stream(spark: SparkSession, directory: str, file_glob: str, schema: T.StructType,
-                ts: str | None = None, max_files: int = 1) -> DataFrame:
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-         .option("maxFilesPerTrigger", max_files).parquet(directory))
+                ts: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Stream of the Parquet files in ``directory``; ``max_files`` per micro-batch if given."""
+    s = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files:
+        s = s.option("maxFilesPerTrigger", max_files)
+    s = s.parquet(directory)
     if ts:
         s = s.withColumn(ts, F.col(ts).cast("timestamp"))
     return s
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder."""
+    return shared_folder(spark, name)
 
 
 def score_stream(stream: DataFrame, score: Column, keep: list[str]) -> DataFrame:
@@ -71,67 +66,34 @@ def run_to_table(df: DataFrame, out: str, mode: str = "append", foreach_batch=No
     return out
 
 
-def gram_stream(stream: DataFrame, ts: str, y: str, features: list[str], size: str, out: str,
-                watermark: str = "1 hour") -> str:
-    """Mergeable Gram rows per event-time window, appended per micro-batch.
-    A fit over any span is the sum of its rows (see :func:`fit_from_gram_rows`)."""
+def gram_stream(stream: DataFrame, ts: str, y: str, features: list[str], size: str, out: str) -> str:
+    """Mergeable Gram rows per micro-batch and event-time window. Gram rows add up, so
+    no row waits for a watermark and late rows count too: every batch writes the rows of its
+    own data (a retried batch rewrites its version) and a fit over any span is the sum of its
+    rows (see :func:`fit_from_gram_rows`)."""
     names = list(features) + [y]
-    g = (stream.withWatermark(ts, watermark).groupBy(F.window(ts, size).alias("w"))
-         .agg(*gram_aggs([F.col(c) for c in names]))
-         .select(F.col("w.start").alias("window_start"), "*").drop("w"))
-    return run_to_table(g, out)
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        g = (batch.groupBy(F.window(ts, size).alias("w")).agg(*gram_aggs([F.col(c) for c in names]))
+             .select(F.col("w.start").alias("window_start"), "*").drop("w"))
+        g.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+
+    return run_to_table(stream, out, foreach_batch=per_batch)
 
 
 def fit_from_gram_rows(rows: DataFrame, y: str, features: list[str]):
     """Sum Gram rows (one small aggregate) and solve."""
     from ..operators.linear import solve_moments
     names = list(features) + [y]
-    cols = [c for c in rows.columns if c.startswith("_")]
+    cols = [c for c in rows.columns if c.startswith("_")]  # not window_start, not batch
     total = rows.agg(*[F.sum(c).alias(c) for c in cols]).collect()[0]
     mom = moments_from_row(total, names)
     return solve_moments(mom, y, features), mom
 
 
-CUSUM_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()),
-                            T.StructField("smax", T.DoubleType()), T.StructField("smin", T.DoubleType())])
-
-
-def cusum_stream(stream: DataFrame, key: str, value: str, target_mean: float, threshold: float,
-                 order_by: list[str] | None = None) -> DataFrame:
-    """Per-key running CUSUM of (x - target) in ``applyInPandasWithState``.
-
-    Rows of a key inside one micro-batch are sorted by ``order_by`` before the
-    running sum; the state (count, sum, max and min excursion) carries across
-    batches. Emits one row per key and batch.
-    """
-    out_schema = "key string, n long, cusum double, smax double, smin double, alarm boolean"
-    ob = list(order_by or [])
-
-    def fn(k, pdfs, state):
-        n, s, smax, smin = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        parts = list(pdfs)
-        if parts:
-            pdf = pd.concat(parts)
-            if ob:
-                pdf = pdf.sort_values(ob, kind="mergesort")
-            x = pdf[value].to_numpy(dtype=float) - target_mean
-            c = s + np.cumsum(x)
-            if len(c):
-                smax = max(smax, float(c.max()))
-                smin = min(smin, float(c.min()))
-                s = float(c[-1])
-                n += len(c)
-        state.update((n, s, smax, smin))
-        yield pd.DataFrame({"key": [str(k[0])], "n": [n], "cusum": [s], "smax": [smax], "smin": [smin],
-                            "alarm": [max(abs(smax), abs(smin)) > threshold]})
-
-    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, CUSUM_STATE, "append",
-                                                      GroupStateTimeout.NoTimeout)
-
-
 def cusum_stream_batches(stream: DataFrame, key: str, value: str, order_by: list[str], target_mean: float,
                          threshold: float, out: str):
-    """W3, skew-safe form: each micro-batch computes per-key running sums on the series-led
+    """Per-key running CUSUM of (x - target) over a stream. Each micro-batch computes per-key running sums on the series-led
     global order (a hot key is split across tasks), reduces them to per-key (n, sum, max, min)
     of the batch-local prefix, and merges those with the per-key state table of the previous
     batch: s' = s + s_b, max' = max(max, s + max_b), min' = min(min, s + min_b). The state is
@@ -144,7 +106,7 @@ def cusum_stream_batches(stream: DataFrame, key: str, value: str, order_by: list
         run = series_running_sums(b, [key], order_by, "_x")
         part = run.groupBy(key).agg(F.count(F.lit(1)).alias("nb"), F.sum("_x").alias("sb"),
                                     F.max("_x_scum").alias("hib"), F.min("_x_scum").alias("lob"))
-        prev_path = _latest_state(out, batch_id)
+        prev_path = _latest_state(spark, out, batch_id)
         if prev_path:
             prev = spark.read.parquet(prev_path)
             merged = prev.join(part, key, "full")
@@ -159,16 +121,15 @@ def cusum_stream_batches(stream: DataFrame, key: str, value: str, order_by: list
             F.greatest(F.coalesce(F.col("smax"), F.lit(0.0)), s0 + F.coalesce(F.col("hib"), F.lit(0.0))).alias("smax"),
             F.least(F.coalesce(F.col("smin"), F.lit(0.0)), s0 + F.coalesce(F.col("lob"), F.lit(0.0))).alias("smin"))
         new = new.withColumn("alarm", F.greatest(F.abs("smax"), F.abs("smin")) > F.lit(threshold))
-        new.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id:012d}"))
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
     run_to_table(stream, out + "-sink", foreach_batch=per_batch)
-    return _latest_state(out, None)
+    return _latest_state(stream.sparkSession, out, None)
 
 
-def _latest_state(out: str, before: int | None):
-    if not os.path.isdir(out):
-        return None
-    ids = sorted(int(d.split("=")[1]) for d in os.listdir(out) if d.startswith("batch="))
+def _latest_state(spark: SparkSession, out: str, before: int | None):
+    """Path of the newest state table below ``out`` (of the batches before ``before``)."""
+    ids = sorted(int(d.split("=")[1]) for d in folder_names(spark, out) or [] if d.startswith("batch="))
     if before is not None:
         ids = [i for i in ids if i < before]
-    return os.path.join(out, f"batch={ids[-1]:012d}") if ids else None
+    return f"{out}/batch={ids[-1]:012d}" if ids else None
