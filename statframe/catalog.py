@@ -558,6 +558,53 @@ def q_gamma_saturated(spark, sf):
     return fit.coefficients(spark).select("term", "coefficient", "se")
 
 
+@register("gamma_inverse_link", f"""
+WITH d AS (SELECT l_extendedprice AS y, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS x FROM lineitem),
+m AS (SELECT avg(CASE WHEN x = 0 THEN y END) AS mu0, avg(CASE WHEN x = 1 THEN y END) AS mu1,
+      CAST(sum(1 - x) AS DOUBLE) AS n0, CAST(sum(x) AS DOUBLE) AS n1 FROM d)
+SELECT CAST(0.0 AS DOUBLE) AS status_f, CAST(n0 AS BIGINT) AS n, {S('mu0')} AS mean_score FROM m
+UNION ALL SELECT 1.0, CAST(n1 AS BIGINT), {S('mu1')} FROM m""")
+def q_gamma_inverse_link(spark, sf):
+    """A gamma fit with the inverse link scored through that link (cell means)."""
+    d = _binary_li(spark, sf)
+    fit = glm(d, "l_extendedprice", ["status_f"], "gamma", "inverse")
+    return d.groupBy("status_f").agg(F.count(F.lit(1)).alias("n"), sig_col(F.avg(probability(fit))).alias("mean_score"))
+
+
+def _target_cells(target: str, weight: str = "1.0") -> str:
+    w = f"CAST({weight} AS DOUBLE)"
+    return SAT_CELLS.replace("THEN 1 ELSE 0 END) AS DOUBLE)", "THEN w ELSE 0 END) AS DOUBLE)").replace(
+        "SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", f"SELECT {w} AS w, CASE WHEN l_returnflag = '{target}' THEN 1 ELSE 0 END AS y")
+
+
+@register("logit_text_target", "WITH " + _target_cells('N').replace("l_linestatus = 'F'", "l_quantity <= 25") + "\n" + _coef_sql(
+    [("const", "b0", "sqrt(v00)"), ("is_cheap", "b1", "sqrt(v11)")]))
+def q_logit_text_target(spark, sf):
+    """A text target of three labels; the second sorted one is coded 1."""
+    d = _li(spark, sf).withColumn("is_cheap", (F.col("l_quantity") <= 25).cast("double"))
+    return logit(d, "l_returnflag", ["is_cheap"]).coefficients(spark)
+
+
+@register("logit_weighted", f"WITH {_target_cells('R', 'l_quantity')}\n" + _coef_sql([("const", "b0", "sqrt(v00)"), ("status_f", "b1", "sqrt(v11)")]))
+def q_logit_weighted(spark, sf):
+    """Sample weights in the binary fit."""
+    return logit(_binary_li(spark, sf), "is_r", ["status_f"], weight="l_quantity").coefficients(spark)
+
+
+@register("registry_scored_logit", f"""WITH {SAT_CELLS}
+SELECT CAST(0.0 AS DOUBLE) AS status_f, CAST(n10 + n00 AS BIGINT) AS n, {S('n10 / (n10 + n00)')} AS mean_probability FROM f
+UNION ALL SELECT 1.0, CAST(n11 + n01 AS BIGINT), {S('n11 / (n11 + n01)')} FROM f""")
+def q_registry_scored_logit(spark, sf):
+    """A registered logit, loaded and scored to probabilities."""
+    d = _binary_li(spark, sf)
+    fit = logit(d, "is_r", ["status_f"])
+    fp = reg.dataset_fingerprint(d, ["is_r", "status_f"])
+    path = stream.scratch(spark, "registry-logit")
+    mid = reg.save_model(spark, fit, reg.make_model_id("returned", "logit", fp["hash"]), fp, path=path)
+    score = reg.score_expression(reg.load_model(spark, mid, path))
+    return d.groupBy("status_f").agg(F.count(F.lit(1)).alias("n"), sig_col(F.avg(score)).alias("mean_probability"))
+
+
 @register("ordered_logit_null", f"""
 WITH c AS (SELECT o_orderpriority AS lvl, CAST(count(*) AS DOUBLE) AS k FROM orders GROUP BY 1),
 q AS (SELECT lvl, sum(k) OVER (ORDER BY lvl ROWS UNBOUNDED PRECEDING) / sum(k) OVER () AS fc,
@@ -1495,7 +1542,7 @@ def _sw_sql() -> str:
     return f"""
 WITH sz AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
 r AS (SELECT e.event_type, value AS x, row_number() OVER (PARTITION BY e.event_type ORDER BY value) AS i, n
-      FROM events e JOIN sz USING (event_type) WHERE n < 5000 AND n >= 4),
+      FROM events e JOIN sz USING (event_type) WHERE n >= 4),
 r0 AS (SELECT *, {m0} AS m0 FROM r),
 r1 AS (SELECT *, m0 - ({cdf} - {p}) * {math.sqrt(2 * math.pi)!r} * exp(m0 * m0 / 2) AS m FROM r0),
 sg AS (SELECT event_type, any_value(n) AS n, sum(m * m) AS ssq, max_by(m, i) AS mn,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -394,17 +394,18 @@ def brant(df: DataFrame, y: str, features: list[str]) -> dict:
 
 
 # ------------------------------------------------------------------- A7
-def shapiro_wilk(df: DataFrame, col: str, by: list[str] | str, max_n: int = 5000) -> DataFrame:
+def shapiro_wilk(df: DataFrame, col: str, by: list[str] | str) -> DataFrame:
     """Shapiro-Wilk W per segment with Royston's approximation for the weights and
-    the p-value. Segments of max_n rows or more are skipped (reported with a null W),
-    so every window sorts at most max_n rows."""
+    the p-value (published for n up to 5000; beyond, ``p_value`` extrapolates it). Ranks come
+    from the segment-led global order, so a hot segment is sorted by many tasks. Segments
+    of fewer than four rows get a null W."""
     from ..functions.columns import norm_cdf
     by = [by] if isinstance(by, str) else list(by)
     d = df.select(*by, F.col(col).cast("double").alias("_x")).dropna()
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    small = d.join(sizes.where((F.col("_n") < max_n) & (F.col("_n") >= 4)), by)
-    w = Window.partitionBy(*by).orderBy("_x")
-    small = small.withColumn("_i", F.row_number().over(w))
+    ranked = GlobalOrder(d.withColumn("_sh", F.xxhash64(*by)).dropna(subset=by), ["_sh", *by, "_x"]).with_running_sums([])
+    seg = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_lo")).where(F.col("_n") >= 4)
+    small = ranked.select(*by, "_x", "_idx").join(seg, by).withColumn("_i", F.col("_idx") - F.col("_lo") + 1)
     p = (F.col("_i") - F.lit(0.375)) / (F.col("_n") + F.lit(0.25))
     small = small.withColumn("_m", _norm_ppf_col(p))
     # one refinement step of the inverse normal with the column cdf
@@ -447,7 +448,7 @@ def shapiro_wilk(df: DataFrame, col: str, by: list[str] | str, max_n: int = 5000
         (-F.log(gam - F.log(F.lit(1.0) - F.col("W"))) - mu_small) / sd_small)
     from ..functions.columns import norm_tail
     stats = stats.withColumn("p_value", F.when(z > 0, norm_tail(z)).otherwise(F.lit(1.0) - norm_tail(z)))
-    skipped = sizes.where((F.col("_n") >= max_n) | (F.col("_n") < 4)).select(
+    skipped = sizes.where(F.col("_n") < 4).select(
         *by, F.col("_n").alias("n"), F.lit(None).cast("double").alias("W"), F.lit(None).cast("double").alias("p_value"))
     return stats.select(*by, "n", "W", "p_value").unionByName(skipped)
 

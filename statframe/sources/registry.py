@@ -11,9 +11,9 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import json
-import os
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +79,9 @@ def save_model(spark: SparkSession, fit, model_id: str, fingerprint: dict, metri
            {k: json.dumps(v) for k, v in (hyperparameters or {}).items()},
            fingerprint["hash"], fingerprint["n_rows"], fingerprint["n_cols"], fingerprint.get("date_min"),
            fingerprint.get("date_max"), _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), parent, "1.0.0")
+    if getattr(fit, "family", None):  # what scoring needs beside the coefficients
+        row[7].update({"_family": json.dumps(fit.family), "_link": json.dumps(fit.link), "_classes": json.dumps([str(c) for c in fit.classes]),
+                       "_n_classes": json.dumps(fit.n_classes)})
     p = registry_path(spark, path)
     spark.createDataFrame([row], REGISTRY_SCHEMA).write.mode("append").parquet(p)
     return model_id
@@ -97,7 +100,17 @@ def load_model(spark: SparkSession, model_id: str, path: str | None = None):
 
 
 def score_expression(model_row):
-    """SCORE column of any registered linear-index model."""
+    """SCORE column of any registered model: the linear prediction, the mean response
+    through the model's own link, or the array of class probabilities (ordered, multinomial)."""
+    h = {k: json.loads(v) for k, v in (model_row["hyperparameters"] or {}).items() if k.startswith("_")}
+    if h.get("_family"):
+        from ..operators.discrete import DiscreteFit, class_probabilities, probability
+        terms = [c["term"] for c in model_row["coefficients"]]
+        theta = np.array([c["value"] for c in model_row["coefficients"]])
+        fit = DiscreteFit(h["_family"], terms, theta, np.zeros((len(theta), len(theta))), 0.0, 0.0, 0, h["_n_classes"], True, 0,
+                          list(model_row["features"]), model_row["target"], h["_classes"], link=h["_link"])
+        many = fit.family.startswith("ordered") or fit.family == "mnlogit"
+        return class_probabilities(fit) if many else probability(fit)
     coefs = {c["term"]: c["value"] for c in model_row["coefficients"]}
     out = F.lit(coefs.get("const", 0.0))
     for f in model_row["features"]:

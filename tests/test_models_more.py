@@ -130,3 +130,64 @@ def test_psm_heavy_ties_multi_bucket_equals_single(spark):
         order.MIN_BUCKETS = old
     assert one["matched"] == many["matched"]
     assert one["att"] == pytest.approx(many["att"], rel=1e-12)
+
+
+def test_arima_with_a_difference_forecasts_levels(spark):
+    """A random walk with drift: forecasts go on from the last level; a series shorter than
+    the lag order still gets rows."""
+    rng = np.random.default_rng(6)
+    x, rows = 2000.0, []
+    for t in range(800):
+        x += 0.5 + rng.normal()
+        rows.append((0, t, float(x)))
+    df = spark.createDataFrame(rows, "s int, t int, x double")
+    _, fc = S.arima_hr(df, "x", "s", ["t"], p=1, d=1, q=0, long_ar=3, horizon=3)
+    got = [r["forecast"] for r in fc.orderBy("step").collect()]
+    assert all(abs(v - (x + 0.5 * h)) < 5 for h, v in enumerate(got, 1))
+
+
+def test_clogit_strata_without_contrast_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(150):
+        a, b = rng.normal(size=2)
+        first = rng.random() < 1 / (1 + np.exp(-(a - b)))
+        rows += [(s, float(a), float(first)), (s, float(b), float(not first))]
+    base = D.clogit(spark.createDataFrame(rows, "s int, x double, y double"), "y", ["x"], "s")
+    more = rows + [(500 + k // 2, float(k % 7), float(k // 200)) for k in range(400)]
+    full = D.clogit(spark.createDataFrame(more, "s int, x double, y double"), "y", ["x"], "s")
+    assert full.theta[0] == pytest.approx(base.theta[0], rel=1e-8) and full.converged
+
+
+def test_multinomial_scores_do_not_overflow(spark):
+    fit = D.DiscreteFit("mnlogit", ["b:const", "b:x", "c:const", "c:x"], np.array([0.0, 1.0, 0.0, 2.0]), np.eye(4), 0, 0, 10, 3, True, 1, ["x"], "y")
+    p = spark.createDataFrame([(1000.0,), (-1000.0,)], "x double").select(D.class_probabilities(fit).alias("p")).collect()
+    assert p[0]["p"] == [0.0, 0.0, 1.0] and p[1]["p"] == [1.0, 0.0, 0.0]
+
+
+def test_shapiro_wilk_above_5000_rows(spark):
+    from statframe.operators import diagnostics
+    rng = np.random.default_rng(2)
+    rows = [("n", float(v)) for v in rng.normal(size=6000)] + [("e", float(v)) for v in rng.exponential(size=6000)] + [("s", 1.0)] * 3
+    got = {r["g"]: r for r in diagnostics.shapiro_wilk(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()}
+    assert got["n"]["W"] > 0.999 and got["e"]["W"] < 0.9 and got["s"]["W"] is None
+
+
+def test_unset_checkpoint_folder_is_refused_off_local():
+    from statframe import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
