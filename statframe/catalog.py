@@ -969,6 +969,20 @@ def q_panel_within(spark, sf):
     return spark.createDataFrame([(t, b, s) for t, b, s, _, _ in fit.coef_rows()], "term string, coefficient double, se double")
 
 
+@register("panel_two_way", f"""
+WITH d AS (SELECT l_suppkey AS g, l_extendedprice AS y, l_quantity AS x, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS t FROM lineitem),
+m AS (SELECT g, avg(y) AS my, avg(x) AS mx, avg(t) AS mt FROM d GROUP BY g),
+w AS (SELECT y - my AS y, x - mx AS x, t - mt AS t FROM d JOIN m USING (g)),
+s AS (SELECT sum(x * x) AS xx, sum(x * t) AS xt, sum(t * t) AS tt, sum(x * y) AS xy, sum(t * y) AS ty, sum(y * y) AS yy, count(*) AS n FROM w),
+b AS (SELECT *, (xy * tt - ty * xt) / (xx * tt - xt * xt) AS bx, (ty * xx - xy * xt) / (xx * tt - xt * xt) AS bt FROM s),
+v AS (SELECT *, (yy - bx * xy - bt * ty) / (n - (SELECT count(*) FROM m) - 2) AS s2 FROM b)
+SELECT 'l_quantity' AS term, {S('bx')} AS coefficient, {S('sqrt(s2 * tt / (xx * tt - xt * xt))')} AS se FROM v""")
+def q_panel_two_way(spark, sf):
+    """N1 two-way: supplier and line-status effects (the second partialled out exactly)."""
+    fit = panel.within(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", "l_linestatus")
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
 @register("panel_between", f"""
 WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem GROUP BY l_suppkey),
 {ols1_cte('m', 'y', 'x')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)

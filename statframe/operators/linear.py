@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.columns import sig
 from ..functions.linalg import sym_inv
-from ..plans.gram import Moments, gram, grouped_gram, moments_from_row
+from ..plans.gram import Moments, gram, group_shrunk_moments, grouped_gram, moments_from_row
 from ..plans.order import GlobalOrder, check_unique
 from ..sources.scan import check_nonempty, require_numeric
 
@@ -378,15 +378,12 @@ def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]
 def gls_equicorrelated(df: DataFrame, target: str, features: list[str], group: str, rho: float) -> LinearFit:
     """GLS with a known block-diagonal Omega, equicorrelated within ``group``
     (Omega_g = (1 - rho) I + rho J). Whitening is quasi-demeaning by
-    theta_g = 1 - sqrt((1 - rho) / (1 - rho + n_g rho)) with group means joined back,
-    so no n x n matrix is ever formed and a large group is just a large aggregate."""
+    theta_g = 1 - sqrt((1 - rho) / (1 - rho + n_g rho)), whose moments follow from the
+    groups' Gram rows: no n x n matrix, no join of the group means."""
     data = design(df, target, features, extra=[group])
     cols = [target] + list(features)
-    means = data.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"), *[F.avg(c).alias(f"_m_{c}") for c in cols])
-    theta = F.lit(1.0) - F.sqrt(F.lit(1.0 - rho) / (F.lit(1.0 - rho) + F.col("_ng") * F.lit(rho)))
-    q = data.join(means, group).select((F.lit(1.0) - theta).alias("_c"),
-                                       *[(F.col(c).cast("double") - theta * F.col(f"_m_{c}")).alias(c) for c in cols])
-    mom = gram(q, ["_c"] + cols)
+    theta = F.lit(1.0) - F.sqrt(F.lit(1.0 - rho) / (F.lit(1.0 - rho) + F.col("_n") * F.lit(rho)))
+    mom, _ = group_shrunk_moments(grouped_gram(data, [group], cols), cols, theta, const=True)
     xs = ["_c"] + list(features)
     xtx = mom.m[np.ix_(mom.idx(xs), mom.idx(xs))]
     xty = mom.m[np.ix_(mom.idx(xs), mom.idx([target]))][:, 0]

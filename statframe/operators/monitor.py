@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import GlobalOrder
 from .evaluate import bin_column, exact_cuts, ks_two_sample
 
 __all__ = ["ks_two_sample", "psi", "auc_by_period", "auc_decay", "stale_models", "retrain_triggers"]
@@ -27,16 +29,18 @@ def psi(train: DataFrame, batch: DataFrame, col: str, bins: int = 10, eps: float
 
 
 def auc_by_period(df: DataFrame, y, score, period: Column) -> DataFrame:
-    """Exact AUC per period: counts by (period, score), running negatives inside
-    ``Window.partitionBy(period)`` (the natural key), one grouped sum."""
+    """Exact AUC per period: counts by (period, score), running negatives over the period-led
+    global order (a hot period is split across tasks), less those before the period."""
     g = (df.select(period.alias("period"), F.col(y).cast("double").alias("y") if isinstance(y, str) else y.alias("y"),
                    (F.col(score) if isinstance(score, str) else score).cast("double").alias("s")).dropna()
          .groupBy("period", "s").agg(F.sum("y").alias("pos"), F.sum(F.lit(1.0) - F.col("y")).alias("neg")))
-    w = Window.partitionBy("period").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = g.withColumn("cn", F.sum("neg").over(w))
-    return c.groupBy("period").agg(
-        (F.sum(F.col("pos") * (F.col("cn") - F.lit(0.5) * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
-        F.sum(F.col("pos") + F.col("neg")).cast("long").alias("n"))
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)  # read by the cut, edge and window passes
+    c = GlobalOrder(g, ["period", "s"]).with_running_sums(["neg"])
+    t = c.groupBy("period").agg(
+        F.sum(F.col("pos") * (F.col("neg_cum") - F.lit(0.5) * F.col("neg"))).alias("u"), F.sum("pos").alias("p"),
+        F.sum("neg").alias("q"), F.min(F.col("neg_cum") - F.col("neg")).alias("before"))
+    return t.select("period", F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("u") - F.col("p") * F.col("before")) / (F.col("p") * F.col("q")))
+                    .alias("auc"), (F.col("p") + F.col("q")).cast("long").alias("n"))
 
 
 def auc_decay(df: DataFrame, y, score, period: Column, floor: float = 0.65, runs: int = 3) -> DataFrame:

@@ -2,9 +2,9 @@
 differences, random effects (Swamy-Arora), Hausman, F test for effects,
 Wooldridge serial-correlation test, difference GMM.
 
-Group means are a partial aggregate joined back on the entity key; AQE turns
-the join into a broadcast when the means table is small and splits skewed
-entities otherwise, so a hot entity never lands in a single task.
+One partial aggregate per entity (its Gram row) carries all that the within,
+between and quasi-demeaned moments need: no group mean is joined back to the
+rows, so a hot entity costs one row per task.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.columns import sig
 from ..functions.linalg import sym_inv
-from ..plans.gram import Moments, gram
+from ..plans.gram import Moments, gram, group_shrunk_moments, grouped_gram
 from ..plans.order import series_lags
 from .linear import design
 
@@ -60,39 +61,67 @@ def _solve_raw(mom: Moments, y: str, xs: list[str]):
     return b, inv, max(float(yty - b @ xty), 0.0)
 
 
-def demean(df: DataFrame, cols: list[str], entity: str) -> DataFrame:
-    """x - mean_entity(x) for each col (group means joined back on the key)."""
-    means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    j = df.join(means, entity)
-    return j.select(*[c for c in df.columns if c not in cols],
-                    *[(F.col(c).cast("double") - F.col(f"_m_{c}")).alias(c) for c in cols])
+#: Periods of a two-way model (their cross-products are a matrix on the driver).
+MAX_PERIODS = 500
 
 
-def within(df: DataFrame, y: str, features: list[str], entity: str, time: str | None = None,
-           two_way_iters: int = 20, tol: float = 1e-10) -> PanelFit:
-    """Fixed effects by demeaning; two-way by alternating projections."""
-    keys = [entity] + ([time] if time else [])
-    data = design(df, y, features, extra=keys)
+def within(df: DataFrame, y: str, features: list[str], entity: str, time: str | None = None) -> PanelFit:
+    """Fixed effects from the entities' Gram rows; with ``time`` two-way, exactly: the
+    period effects are partialled out of the within moments."""
     cols = [y] + list(features)
-    d = demean(data, cols, entity)
-    groups = data.select(entity).distinct().count()
-    extra_df = 0
+    data = design(df, y, features, extra=[entity] + ([time] if time else []))
     if time:
-        extra_df = data.select(time).distinct().count() - 1
-        d = d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d
-        for _ in range(two_way_iters):
-            d2 = demean(demean(d, cols, time), cols, entity)
-            delta = d2.join(d.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols]), keys) \
-                .agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_o_{c}")) for c in cols]))).collect()[0][0]
-            d = d2.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d2
-            if delta is None or delta < tol:
-                break
-    mom = gram(d, cols)
+        mom, groups, extra_df = _two_way_moments(data, cols, entity, time)
+    else:
+        mom, groups = group_shrunk_moments(grouped_gram(data, [entity], cols), cols, F.lit(1.0))
+        extra_df = 0
     b, inv, ssr = _solve_raw(mom, y, list(features))
     dfr = mom.n - groups - len(features) - extra_df
     return PanelFit(list(features), b, inv * ssr / dfr, mom.n, groups, ssr, dfr, "within")
 
 
+def _two_way_moments(data: DataFrame, cols: list[str], entity: str, time: str) -> tuple[Moments, int, int]:
+    """Moments after entity and period effects, the number of entities and the rank of the
+    periods. One aggregate per (entity, period) cell, one list of at most ``MAX_PERIODS``
+    cells per entity; tasks add up the cross-products and send one matrix each."""
+    periods = [r[0] for r in data.select(time).distinct().orderBy(time).limit(MAX_PERIODS + 1).collect()]
+    if len(periods) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods in {time!r}")
+    p, t = len(cols), len(periods)
+    total = gram(data, cols)
+    index = F.array_position(F.array(*[F.lit(x) for x in periods]), F.col(time)) - 1
+    cells = (data.groupBy(entity, index.cast("int").alias("_t"))
+             .agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(cols)]))
+    rows = cells.groupBy(entity).agg(F.collect_list(F.struct("_t", "_n", *[f"_s{i}" for i in range(p)])).alias("c")).select("c")
+
+    def add(batches):
+        acc = np.zeros((t + p, t + p))
+        groups = 0
+        for pdf in batches:
+            for c in pdf["c"]:
+                v = np.array([tuple(x.values()) for x in c], dtype=float)
+                at, n, s = v[:, 0].astype(int), v[:, 1], v[:, 2:]
+                z = np.zeros(t + p)
+                z[at] = n
+                z[t:] = s.sum(axis=0)
+                acc -= np.outer(z, z) / n.sum()
+                acc[at, at] += n
+                acc[at, t:] += s
+                acc[t:, at] += s.T
+                groups += 1
+        yield pd.DataFrame({"pos": np.arange(acc.size + 1), "v": np.r_[acc.ravel(), groups]})
+
+    got = np.zeros((t + p) ** 2 + 1)
+    for r in rows.mapInPandas(add, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
+        got[r["pos"]] = r["v"]
+    m = got[:-1].reshape(t + p, t + p)
+    m[t:, t:] += total.m
+    inner = m[:t, :t]
+    left = m[t:, t:] - m[t:, :t] @ np.linalg.pinv(inner, rcond=1e-10, hermitian=True) @ m[:t, t:]
+    rank = int(np.linalg.matrix_rank(inner, tol=1e-8 * max(1.0, float(np.abs(inner).max()))))
+    return Moments(list(cols), total.n, total.sw, total.s, left), int(got[-1]), rank
+
+
 def between(df: DataFrame, y: str, features: list[str], entity: str) -> PanelFit:
     """OLS on entity means."""
     from .linear import ols
@@ -126,12 +155,8 @@ def random_effects(df: DataFrame, y: str, features: list[str], entity: str) -> P
     s2_between = be.ssr / (be.n - k - 1)
     s2_u = max(s2_between - s2_e / tbar, 0.0)
     cols = [y] + list(features)
-    means = data.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], F.count(F.lit(1)).alias("_T"))
-    theta = F.lit(1.0) - F.sqrt(F.lit(s2_e) / (F.col("_T") * F.lit(s2_u) + F.lit(s2_e)))
-    q = data.join(means, entity).select(
-        (F.lit(1.0) - theta).alias("_c"),
-        *[(F.col(c).cast("double") - theta * F.col(f"_m_{c}")).alias(c) for c in cols])
-    mom = gram(q, ["_c"] + cols)
+    theta = F.lit(1.0) - F.sqrt(F.lit(s2_e) / (F.col("_n") * F.lit(s2_u) + F.lit(s2_e)))
+    mom, _ = group_shrunk_moments(grouped_gram(data, [entity], cols), cols, theta, const=True)
     b, inv, ssr = _solve_raw(mom, y, ["_c"] + list(features))
     dfr = mom.n - k - 1
     return PanelFit(["const"] + list(features), b, inv * ssr / dfr, mom.n, fe.groups, ssr, dfr, "random_effects")

@@ -121,6 +121,32 @@ def grouped_gram(df: DataFrame, keys: list[str], cols, weight=None) -> DataFrame
     return df.groupBy(*keys).agg(*gram_aggs(exprs, w))
 
 
+def group_shrunk_moments(groups: DataFrame, names: list[str], theta: Column, const: bool = False) -> tuple[Moments, int]:
+    """Moments of z - theta_g * mean_g(z) over all rows, from the Gram rows of the groups, and
+    the number of groups. ``theta`` is an expression over the group's row (``_n`` its size);
+    theta = 1 is the within transformation. With ``const`` the column 1 - theta_g (the
+    transformed constant, name ``_c``) comes first. Neither the rows nor the group means are
+    joined: sum (z_i - theta m_i)(z_j - theta m_j) = m_ij - (2 theta - theta^2) s_i s_j / n."""
+    keep = (F.lit(1.0) - theta) * (F.lit(1.0) - theta)
+    p = len(names)
+    aggs = [F.sum("_n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(keep * F.col("_n")).alias("cc")]
+    for i in range(p):
+        aggs.append(F.sum(keep * F.col(f"_s{i}")).alias(f"c{i}"))
+        aggs += [F.sum(F.col(f"_m{i}_{j}") - (F.lit(1.0) - keep) * F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n")).alias(f"m{i}_{j}")
+                 for j in range(i, p)]
+    r = groups.agg(*aggs).first()
+    m = np.zeros((p + 1, p + 1))
+    m[0, 0] = r["cc"] or 0.0
+    for i in range(p):
+        m[0, i + 1] = m[i + 1, 0] = r[f"c{i}"] or 0.0
+        for j in range(i, p):
+            m[i + 1, j + 1] = m[j + 1, i + 1] = r[f"m{i}_{j}"] or 0.0
+    full = Moments(["_c"] + list(names), int(r["n"] or 0), float(r["n"] or 0), m[0], m)
+    if const:
+        return full, int(r["g"])
+    return Moments(list(names), full.n, full.sw, m[0, 1:], m[1:, 1:]), int(r["g"])
+
+
 def block_gram(df: DataFrame, exprs: list[Column], weight, names: list[str]) -> Moments:
     """Wide designs: per-batch numpy X'X, then a grouped sum of the partials."""
     p = len(exprs)
