@@ -1836,8 +1836,8 @@ def q_lasso_fit(spark, sf):
 
 @register("bootstrap_632_error")
 def q_bootstrap_632_error(spark, sf):
-    r = ev.bootstrap_632(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY, B=30)
-    return metrics_df(spark, [(k, r[k]) for k in ("err_train", "err_oob", "err_632", "replicates")])
+    r = ev.bootstrap_632(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_ORDER, B=30)
+    return metrics_df(spark, [(k, r[k]) for k in ("err_train", "err_oob", "err_632", "err_632_plus", "no_information", "replicates")])
 
 
 NESTED_CV_SQL = f"""
@@ -1884,7 +1884,7 @@ def q_nested_cv_ridge(spark, sf):
 
 @register("learning_curve")
 def q_learning_curve(spark, sf):
-    res = ev.learning_curve(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY)
+    res = ev.learning_curve(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_ORDER)
     return spark.createDataFrame([(float(r["share"]), int(r["n_train"]), sig(r["train_rmse"]), sig(r["test_rmse"]))
                                   for r in res], "share double, n_train bigint, train_rmse double, test_rmse double")
 
@@ -1932,14 +1932,14 @@ def q_importance_rank_ame(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    li = _li(spark, sf).withColumn("row_key", F.xxhash64(*[F.col(c) for c in LI_KEY]))
+    li = _li(spark, sf).withColumn("row_key", F.xxhash64(*[F.col(c) for c in LI_ORDER]))
     fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
     return spark.createDataFrame(interp.permutation_importance(li, fit, "row_key"), "term string, mse_increase double")
 
 
 @register("bootstrap_coefficients")
 def q_bootstrap_coefficients(spark, sf):
-    b = interp.poisson_bootstrap_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], B=50, key_cols=LI_KEY)
+    b = interp.poisson_bootstrap_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], B=50, key_cols=LI_ORDER)
     return b.select("term", *[sig_col(c).alias(c) for c in ("mean", "se", "ci_lower", "ci_upper")])
 
 
@@ -2253,7 +2253,7 @@ def q_recalibration_platt(spark, sf):
 
 @register("forest_prediction_intervals")
 def q_forest_prediction_intervals(spark, sf):
-    li = _li(spark, sf).withColumn("_row", F.xxhash64(*[F.col(c) for c in LI_KEY]))
+    li = _li(spark, sf).withColumn("_row", F.xxhash64(*[F.col(c) for c in LI_ORDER]))
     feats = ["l_quantity", "l_discount"]
     m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
     iv = trees.forest_interval(m, li, li.select("_row", *feats), "l_extendedprice", feats, 0.1)
@@ -2321,7 +2321,7 @@ def q_stream_session_windows(spark, sf):
 
 @register("repeated_cv_linear")
 def q_repeated_cv_linear(spark, sf):
-    res = ev.repeated_cv_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_KEY, k=5, repeats=3,
+    res = ev.repeated_cv_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], LI_ORDER, k=5, repeats=3,
                                 strata="l_returnflag")
     return spark.createDataFrame([(int(r["repeat"]), sig(r["rmse"]), int(r["n"])) for r in res],
                                  "repeat int, rmse double, n bigint")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import dist
 from ..functions.columns import sig
-from ..plans.gram import grouped_gram, moments_from_row, gram
+from ..plans.gram import gram, grouped_gram, moments_from_row, poisson_grams
 from ..plans.order import GlobalOrder, bucket_reduce
 from .linear import LinearFit, design, solve_moments
 
@@ -390,21 +390,13 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str) -> dict:
 # ------------------------------------------------------------------ E16
 def bootstrap_632(df: DataFrame, target: str, features: list[str], key_cols: list[str], B: int = 50,
                   seed: int = 17) -> dict:
-    """.632 bootstrap error of OLS from ONE exploded pass: per replicate, a weighted
-    GRAM of the in-bag rows (Poisson(1) weights) and a GRAM of the out-of-bag rows
-    (weight 0); OOB SSE is read from the OOB moments with the in-bag beta."""
+    """.632 and .632+ bootstrap error of OLS from one pass without multiplying rows
+    (:func:`poisson_grams`): per replicate a weighted Gram of the in-bag rows and a Gram of the
+    out-of-bag rows, whose SSE is read with the in-bag beta. The no-information error
+    of .632+ pairs every response with every prediction; it follows from the full Gram."""
     data = design(df, target, features, extra=key_cols)
     names = list(features) + [target]
-    rep = data.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(B))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), *[F.col(c) for c in key_cols]), F.lit(2 ** 31 - 1))
-         + F.lit(1)) / F.lit(float(2 ** 31))
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    w = F.lit(12)
-    for k in reversed(range(12)):
-        w = F.when(u <= F.lit(float(cdf[k])), F.lit(k)).otherwise(w)
-    rep = rep.withColumn("_w", w.cast("double")).withColumn("_oob", (F.col("_w") == 0).cast("int"))
-    g = grouped_gram(rep.withColumn("_ww", F.when(F.col("_oob") == 1, F.lit(1.0)).otherwise(F.col("_w"))),
-                     ["_r", "_oob"], names, weight="_ww").collect()
+    g = poisson_grams(data, names, key_cols, B, seed, out_of_bag=True).collect()
     moms = {(r["_r"], r["_oob"]): moments_from_row(r, names) for r in g}
     full = gram(data, names)
     beta_full, _, ssr_full, _ = solve_moments(full, target, features)
@@ -418,7 +410,15 @@ def bootstrap_632(df: DataFrame, target: str, features: list[str], key_cols: lis
         z = np.concatenate([[-beta[0]], -beta[1:], [1.0]])
         oob_errs.append(float(z @ te.raw(names) @ z) / te.sw)
     err_oob = float(np.mean(oob_errs))
+    b = np.asarray(beta_full, dtype=float)
+    raw = full.raw(list(features))  # [1, x]' [1, x]
+    y_mean = full.mean([target])[0]
+    y_sq = full.m[full.idx([target])[0], full.idx([target])[0]] / full.n
+    no_info = y_sq - 2 * y_mean * float(raw[0] @ b) / full.n + float(b @ raw @ b) / full.n
+    over = min(max((err_oob - err_train) / (no_info - err_train), 0.0), 1.0) if no_info > err_train else 0.0
+    w = 0.632 / (1 - 0.368 * over)
     return {"err_train": err_train, "err_oob": err_oob, "err_632": 0.368 * err_train + 0.632 * err_oob,
+            "err_632_plus": (1 - w) * err_train + w * min(err_oob, no_info), "no_information": no_info,
             "replicates": len(oob_errs)}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import dist
 from ..functions.columns import logistic, norm_pdf, sig
-from ..plans.gram import grouped_gram, moments_from_row
+from ..plans.gram import moments_from_row, poisson_grams
 from ..plans.newton import lit_dot
 from .discrete import DiscreteFit, class_probabilities
 from .linear import LinearFit, design, solve_moments
@@ -249,20 +249,11 @@ def permutation_importance(df: DataFrame, fit: LinearFit, key: str, seed: int =
 
 def poisson_bootstrap_linear(df: DataFrame, target: str, features: list[str], B: int = 200,
                              key_cols: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap -- each row gets B hash-seeded Poisson(1) weights; one
-    grouped weighted GRAM by replicate; percentile CI per coefficient."""
+    """Poisson bootstrap -- B weighted Grams in one pass (:func:`poisson_grams`, rows are not
+    multiplied); percentile CI per coefficient over the B solved replicates."""
     data = design(df, target, features, extra=key_cols or [])
-    keys = [F.col(c) for c in (key_cols or [target] + list(features))]
-    rep = data.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(B))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_r"), *keys), F.lit(2 ** 31 - 1)) + F.lit(1)) / F.lit(float(2 ** 31))
-    # Poisson(1) by inversion of its cdf on u (cut points are fixed values of the distribution)
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    w = F.lit(12)
-    for k in reversed(range(12)):
-        w = F.when(u <= F.lit(float(cdf[k])), F.lit(k)).otherwise(w)
-    rep = rep.withColumn("_w", w.cast("double")).where(F.col("_w") > 0)
     names = list(features) + [target]
-    g = grouped_gram(rep, ["_r"], names, weight="_w")
+    g = poisson_grams(data, names, list(key_cols or names), B, seed)
     schema = T.StructType([T.StructField("replicate", T.IntegerType()), T.StructField("term", T.StringType()),
                            T.StructField("coefficient", T.DoubleType())])
 

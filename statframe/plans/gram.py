@@ -147,6 +147,44 @@ def group_shrunk_moments(groups: DataFrame, names: list[str], theta: Column, con
     return Moments(list(names), full.n, full.sw, m[0, 1:], m[1:, 1:]), int(r["g"])
 
 
+def poisson_grams(df: DataFrame, names: list[str], key_cols: list[str], replicates: int, seed: int, out_of_bag: bool = False) -> DataFrame:
+    """Gram rows (``_r``, ``_oob`` and the columns of :func:`gram_aggs`) of Poisson(1) bootstrap
+    replicates. Rows are not multiplied: each Arrow batch draws its rows' weights for all
+    replicates from a hash of the key and one matrix product adds up every replicate's
+    cross-products; a task sends one row per replicate. With ``out_of_bag`` the rows of
+    weight zero are added up too (``_oob`` = 1)."""
+    p = len(names)
+    tri = np.triu_indices(p)
+    fields = ["_n", "_sw", "_slogw"] + [f"_s{i}" for i in range(p)] + [f"_m{i}_{j}" for i, j in zip(*tri)]
+    d = df.select(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]).alias("_h"), *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(names)])
+    cdf = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 12.0)]))  # of Poisson(1)
+
+    def add(batches):
+        import pandas as pd
+        acc = np.zeros((2, replicates, len(fields)))
+        for b in batches:
+            for lo in range(0, len(b), 4096):
+                part = b.iloc[lo:lo + 4096]
+                z = part[[f"z{i}" for i in range(p)]].to_numpy(dtype=float)
+                h = part["_h"].to_numpy().astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # fixed values: SplitMix64
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                w = np.searchsorted(cdf, u, side="left").astype(float)
+                v = np.column_stack([np.ones(len(z)), np.zeros(len(z)), z, z[:, tri[0]] * z[:, tri[1]]])
+                acc[0, :, 0] += (w > 0).sum(axis=0)
+                acc[0, :, 1:] += w.T @ v
+                if out_of_bag:
+                    o = (w == 0).astype(float)
+                    acc[1, :, 0] += o.sum(axis=0)
+                    acc[1, :, 1:] += o.T @ v
+        for oob in range(1 + out_of_bag):
+            yield pd.DataFrame(acc[oob], columns=fields).assign(_r=np.arange(1, replicates + 1), _oob=oob)[["_r", "_oob"] + fields]
+
+    rows = d.mapInPandas(add, "_r long, _oob long, " + ", ".join(f"{f} double" for f in fields))
+    return rows.groupBy("_r", "_oob").agg(*[F.sum(f).alias(f) for f in fields])
+
+
 def block_gram(df: DataFrame, exprs: list[Column], weight, names: list[str]) -> Moments:
     """Wide designs: per-batch numpy X'X, then a grouped sum of the partials."""
     p = len(exprs)
