@@ -765,6 +765,68 @@ def q_expanding_cv_by_year(spark, sf):
                                  "period int, n_train bigint, n_test bigint, rmse double")
 
 
+@register("rolling_cv_by_year", f"""
+WITH d AS (SELECT year(l_shipdate) AS p, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+ps AS (SELECT p, dense_rank() OVER (ORDER BY p) AS r FROM (SELECT DISTINCT p FROM d)),
+dr AS (SELECT d.*, r FROM d JOIN ps USING (p)),
+tr AS (SELECT ps.r, regr_slope(dr.y, dr.x) AS b1, regr_intercept(dr.y, dr.x) AS b0, count(*) AS n_train
+       FROM ps JOIN dr ON dr.r < ps.r AND dr.r >= ps.r - 2 GROUP BY ps.r)
+SELECT CAST(p AS INTEGER) AS period, any_value(n_train) AS n_train, count(*) AS n_test,
+       {S('sqrt(avg(pow(dr.y - (b0 + b1 * dr.x), 2)))')} AS rmse FROM dr JOIN tr USING (r) GROUP BY p""")
+def q_rolling_cv_by_year(spark, sf):
+    """E17 rolling mode: each year predicted from the two before it."""
+    res = ev.time_cv_linear(_li(spark, sf), "l_extendedprice", ["l_quantity"], F.year("l_shipdate"), "rolling", window=2)
+    return spark.createDataFrame([(int(r["period"]), int(r["n_train"]), int(r["n_test"]), sig(r["rmse"])) for r in res],
+                                 "period int, n_train bigint, n_test bigint, rmse double")
+
+
+@register("logit_cv_by_year", f"""
+WITH d AS (SELECT year(l_shipdate) AS p, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y,
+           CASE WHEN l_quantity <= 25 THEN 1 ELSE 0 END AS x FROM lineitem),
+c AS (SELECT p, x, sum(y) AS k, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY p, x),
+t AS (SELECT x, sum(k) AS k, sum(n) AS n FROM c GROUP BY x),
+q AS (SELECT c.p, c.k, c.n, greatest((t.k - c.k) / (t.n - c.n), 1e-15) AS pr FROM c JOIN t USING (x))
+SELECT CAST(p AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n,
+       {S('-sum(k * ln(pr) + (n - k) * ln(1 - pr)) / sum(n)')} AS log_loss,
+       {S('sum(k * pow(1 - pr, 2) + (n - k) * pow(pr, 2)) / sum(n)')} AS brier FROM q GROUP BY p""")
+def q_logit_cv_by_year(spark, sf):
+    """E14 for a binary model: year folds, saturated feature."""
+    d = _li(spark, sf).select((F.col("l_returnflag") == "R").cast("double").alias("is_r"), (F.col("l_quantity") <= 25).cast("double").alias("few"),
+                              F.year("l_shipdate").alias("yr"))
+    res = ev.cross_validate_binary(d, "is_r", ["few"], F.col("yr"))
+    return spark.createDataFrame([(int(r["fold"]), int(r["n"]), sig(r["log_loss"]), sig(r["brier"])) for r in res],
+                                 "fold int, n bigint, log_loss double, brier double")
+
+
+@register("predict_observation_interval", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s)
+SELECT l_orderkey, l_linenumber, {S('b0 + b1 * l_quantity')} AS prediction,
+  {S('sqrt(s2 * (1.0 + 1.0 / n + pow(l_quantity - xbar, 2) / sxx))')} AS se FROM lineitem, f""")
+def q_predict_observation_interval(spark, sf):
+    """The observation interval's standard error."""
+    li = _li(spark, sf)
+    o = score.predict_linear(ols(li, "l_extendedprice", ["l_quantity"]), li, "obs", keep=["l_orderkey", "l_linenumber"])
+    return o.select("l_orderkey", "l_linenumber", sig_col("prediction").alias("prediction"), sig_col("se").alias("se"))
+
+
+@register("encode_priority", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS label_code,
+       CAST(CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS INTEGER) AS status_rank FROM orders""")
+def q_encode_priority(spark, sf):
+    """label codes by sorted level, ordinal codes by a given order."""
+    d = feat.label_encode(load(spark, sf, "orders"), "o_orderpriority", "label_code")
+    return feat.ordinal_encode(d, "o_orderstatus", ["P", "O", "F"], "status_rank").select("o_orderkey", "label_code", "status_rank")
+
+
+@register("artifact_roundtrip", """
+SELECT l_returnflag AS actual, l_linestatus AS predicted, count(*) AS n FROM lineitem GROUP BY ALL""")
+def q_artifact_roundtrip(spark, sf):
+    """A result table as a JSON artifact in the shared folder, read back."""
+    path = stream.scratch(spark, "artifact")
+    reg.write_artifact(ev.confusion(_li(spark, sf), "l_returnflag", "l_linestatus"), path, "json")
+    return spark.read.schema("actual string, predicted string, n bigint").json(path)
+
+
 @register("loo_press", f"""
 WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
 r AS (SELECT pow((l_extendedprice - (b0 + b1 * l_quantity)) / (1 - (1.0 / n + pow(l_quantity - xbar, 2) / sxx)), 2) AS q

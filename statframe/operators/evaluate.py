@@ -21,6 +21,9 @@ from .linear import LinearFit, design, solve_moments
 MAX_FOLDS = 10_000  # fold / period Gram rows collected to the driver (k x k each)
 
 
+MAX_BINARY_FOLDS = 50  # each fold is an iterative fit
+
+
 def _collect_bounded(df: DataFrame, what: str) -> list:
     rows = df.limit(MAX_FOLDS + 1).collect()
     if len(rows) > MAX_FOLDS:
@@ -245,6 +248,25 @@ def loo_linear(df: DataFrame, fit: LinearFit) -> dict:
     return {"press": r["press"], "loo_rmse": math.sqrt(r["press"] / r["n"]), "n": r["n"]}
 
 
+def cross_validate_binary(df: DataFrame, y: str, features: list[str], fold: Column, link: str = "logit") -> list[dict]:
+    """E14 for binary models: one fit per fold on the other folds (at most ``MAX_BINARY_FOLDS``),
+    log loss, Brier score and accuracy on the fold, each from one aggregate."""
+    from .discrete import glm, probability
+    data = df.select(y, *features, fold.alias("_fold")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        folds = [r[0] for r in data.select("_fold").distinct().orderBy("_fold").limit(MAX_BINARY_FOLDS + 1).collect()]
+        if len(folds) > MAX_BINARY_FOLDS:
+            raise ValueError(f"more than {MAX_BINARY_FOLDS} folds: use a coarser grouping")
+        out = []
+        for f in folds:
+            fit = glm(data.where(F.col("_fold") != F.lit(f)), y, features, "binomial", link, persist=False)
+            m = probability_metrics(data.where(F.col("_fold") == F.lit(f)), y, probability(fit))
+            out.append({"fold": f, "converged": fit.converged, **m})
+        return out
+    finally:
+        data.unpersist()
+
+
 def time_cv_linear(df: DataFrame, target: str, features: list[str], period: Column, mode: str = "expanding",
                    window: int = 3) -> list[dict]:
     """Rolling / expanding-origin CV from one GRAM per period (cumulative sums)."""
@@ -259,11 +281,12 @@ def time_cv_linear(df: DataFrame, target: str, features: list[str], period: Colu
         train = None
         for _, m in moms[lo:i]:
             train = m if train is None else train + m
+        test = moms[i][1]
         try:
             beta, _, _, _ = solve_moments(train, target, features)
-        except Exception:  # noqa: BLE001
+        except (ValueError, np.linalg.LinAlgError):  # collinear training span: the period is reported without an error
+            out.append({"period": moms[i][0], "n_train": train.n, "n_test": test.n, "rmse": math.nan})
             continue
-        test = moms[i][1]
         z = np.concatenate([[-beta[0]], -beta[1:], [1.0]])
         sse = float(z @ test.raw(names) @ z)
         out.append({"period": moms[i][0], "n_train": train.n, "n_test": test.n,
