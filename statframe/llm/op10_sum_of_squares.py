@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoded_slices, vocabulary_path
+from .tokens import encoded_slices, task_done, vocabulary_path
 
 CAPACITY = 2048
 SHARD_PIECES = 8192
@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(at, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        task_done(path)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

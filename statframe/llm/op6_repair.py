@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from statframe.session import shared_folder
 
 from .common import table
-from .tokens import END_ID, encoded_slices, vocabulary_path
+from .tokens import END_ID, encoded_slices, task_done, vocabulary_path
 
 SHARD_IDS = 1 << 20
 #: Nonterminals start above the vocabulary's 50,257 ids and end with 16 bits.
@@ -196,6 +196,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shard_i
                         yield close()
         if held:
             yield close()
+        task_done(vocab)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))

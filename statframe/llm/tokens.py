@@ -21,8 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Distinct pieces kept by a worker (about 200 bytes each), and the longest piece kept.
-MAX_PIECES, MAX_PIECE = 1_000_000, 64
+#: Distinct pieces kept during a task (about 250 bytes each) and after it, and the longest piece kept.
+MAX_PIECES, REST_PIECES, MAX_PIECE = 1_000_000, 150_000, 64
 WHOLE = (r"\s\s\s|\s\s$|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
@@ -46,6 +46,7 @@ class PieceTokenizer:
         self.code: dict[str, int] = {"": 0, "\x01": 1}
         self.size = np.zeros(1 << 16, np.int64)
         self.at = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.size[1] = 1
         self.flat[0] = END_ID
@@ -58,13 +59,14 @@ class PieceTokenizer:
         got = self.ids(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
         while self.n + len(got) > len(self.size):
-            self.size, self.at = np.r_[self.size, np.zeros_like(self.size)], np.r_[self.at, np.zeros_like(self.at)]
+            self.size, self.at, self.uses = (np.r_[x, np.zeros_like(x)] for x in (self.size, self.at, self.uses))
         total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         self.flat[self.used:self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
         self.size[self.n:self.n + len(got)] = size
         self.at[self.n:self.n + len(got)] = self.used + np.cumsum(size) - size
+        self.uses[self.n:self.n + len(got)] = 0
         self.n += len(got)
         self.used += total
 
@@ -87,13 +89,37 @@ class PieceTokenizer:
     def _drop(self):
         self.n, self.used = self.kept
 
+    def rest(self, keep: int = REST_PIECES) -> None:
+        """Keep only the most used pieces: between tasks a worker serves other operators too."""
+        if self.n <= keep + 2:
+            return
+        code, size, at, flat, uses = self.code, self.size, self.at, self.flat, self.uses[:self.n]
+        top = np.sort(np.argpartition(-uses[2:], keep)[:keep] + 2)
+        new = np.full(self.n, -1, np.int64)
+        new[top] = np.arange(2, keep + 2)
+        # copied strings, so that the memory of those let go comes free as a whole
+        names = {x.encode().decode(): int(new[c]) for x, c in code.items() if new[c] >= 0}
+        del code
+        self._clear()
+        self.code.update(names)
+        n = len(top)
+        self.size, self.at, self.uses = (np.zeros(n + 2, np.int64) for _ in range(3))
+        self.size[1], self.size[2:], self.uses[2:] = 1, size[top], uses[top]
+        self.at[2:] = 1 + np.cumsum(size[top]) - size[top]
+        ends = np.cumsum(size[top])
+        total = int(ends[-1]) if n else 0
+        self.flat = np.r_[np.uint32(END_ID), flat[np.repeat(at[top] - (ends - size[top]), size[top]) + np.arange(total)]]
+        self.n, self.used = n + 2, 1 + total
+
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         t = pc.replace_substring(texts, " ", "\x00 ")
         t = pc.replace_substring(t, "\n", "\x00\n")
         t = pc.replace_substring_regex(t, r"([\pL\pN])([.,;:!?])", "\\1\x00\\2")
         t = pc.binary_join_element_wise(t, "\x01", "\x00")
         rows, codes, uniq = split_parts(pc.split_pattern(t, "\x00"))
-        of = self._codes(uniq)[codes]
+        of = self._codes(uniq)
+        self.uses[of] += np.bincount(codes, minlength=len(uniq))
+        of = of[codes]
         size = self.size[of]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[of] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -130,3 +156,8 @@ def encoded_slices(texts: pa.Array, path: str):
     t = tokenizer(path)
     for lo, part in text_slices(texts):
         yield lo, *t.encode(part)
+
+
+def task_done(path: str) -> None:
+    """Called when a task has read its last batch."""
+    tokenizer(path).rest()

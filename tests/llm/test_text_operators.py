@@ -136,6 +136,10 @@ def test_pieces_give_the_ids_of_whole_texts():
     want = [[*e.ids, 0] for e in t.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     assert count.tolist() == [len(x) for x in want]
     assert ids.tolist() == [i for x in want for i in x]
+    t.rest(40)  # a trimmed memo gives the same ids, again after new pieces
+    assert len(t.code) == 42
+    for _ in range(2):
+        assert t.encode(pa.array(texts, pa.string()))[1].tolist() == ids.tolist()
 
 
 def test_repair_round_trip_and_random_access():
