@@ -1634,6 +1634,49 @@ zz AS (SELECT *, {z} AS z FROM ww)
 SELECT event_type, n, {S('w')} AS W, {S(norm_sf_sql('z'))} AS p_value FROM zz"""
 
 
+def _ppf_step(src: str, ps: dict[str, str], name: str) -> str:
+    """CTEs that add inverse-normal columns: the rational start and one Newton step on the cdf."""
+    start = ", ".join(f"{_acklam_sql(p)} AS {c}_0" for c, p in ps.items())
+    step = ", ".join(f"{c}_0 - ((1.0 - {norm_sf_sql(f'{c}_0')}) - ({p})) * {math.sqrt(2 * math.pi)!r} * exp({c}_0 * {c}_0 / 2) AS {c}"
+                     for c, p in ps.items())
+    return f"{name}_s AS (SELECT *, {start} FROM {src}), {name} AS (SELECT *, {step} FROM {name}_s)"
+
+
+def _phi2(z: str) -> str:
+    return f"(exp(-{z} * {z}) / (2 * {math.pi!r}))"
+
+
+@register("probit_saturated", f"""WITH {SAT_CELLS},
+r AS (SELECT *, n10 / (n10 + n00) AS p0, n11 / (n11 + n01) AS p1 FROM c), {_ppf_step('r', {'z0': 'p0', 'z1': 'p1'}, 'z')},
+g AS (SELECT z0 AS b0, z1 - z0 AS b1, p0 * (1 - p0) / ((n10 + n00) * {_phi2('z0')}) AS v00,
+      p0 * (1 - p0) / ((n10 + n00) * {_phi2('z0')}) + p1 * (1 - p1) / ((n11 + n01) * {_phi2('z1')}) AS v11 FROM z)
+""" + _coef_sql([("const", "b0", "sqrt(v00)"), ("status_f", "b1", "sqrt(v11)")], "g"))
+def q_probit_saturated(spark, sf):
+    return disc.probit(_binary_li(spark, sf), "is_r", ["status_f"]).coefficients(spark)
+
+
+@register("ordered_probit_null", f"""
+WITH c AS (SELECT o_orderpriority AS lvl, CAST(count(*) AS DOUBLE) AS k FROM orders GROUP BY 1),
+q AS (SELECT lvl, sum(k) OVER (ORDER BY lvl ROWS UNBOUNDED PRECEDING) / sum(k) OVER () AS fc,
+      lead(lvl) OVER (ORDER BY lvl) AS nxt, sum(k) OVER () AS n FROM c),
+qq AS (SELECT * FROM q WHERE nxt IS NOT NULL), {_ppf_step('qq', {'tau': 'fc'}, 't')}
+SELECT 'cut_' || lvl || '|' || nxt AS term, {S('tau')} AS coefficient, {S(f"sqrt(fc * (1 - fc) / (n * {_phi2('tau')}))")} AS se FROM t""")
+def q_ordered_probit_null(spark, sf):
+    """D4 without features: the cut points are normal quantiles of the cumulative shares."""
+    fit = ordered(load(spark, sf, "orders"), "o_orderpriority", [], "probit")
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("lasso_one_feature", f"""
+WITH m AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, stddev_pop(l_quantity) AS sd, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
+b AS (SELECT *, sign(c) * greatest(abs(c / sd) - 1000.0, 0.0) / sd AS b1 FROM m)
+SELECT 'const' AS term, {S('my - b1 * mx')} AS coefficient FROM b UNION ALL SELECT 'l_quantity', {S('b1')} FROM b""")
+def q_lasso_one_feature(spark, sf):
+    """One feature, where LASSO is a soft threshold."""
+    b = ev.lasso(_li(spark, sf), "l_extendedprice", ["l_quantity"], lam=1000.0)
+    return spark.createDataFrame([(t, sig(v)) for t, v in zip(["const", "l_quantity"], b)], "term string, coefficient double")
+
+
 @register("shapiro_wilk_by_type", _sw_sql())
 def q_shapiro_wilk_by_type(spark, sf):
     s = diag.shapiro_wilk(_ev(spark, sf), "value", "event_type")

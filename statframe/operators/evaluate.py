@@ -5,6 +5,7 @@ cross-validation (one grouped GRAM by fold; train = total - fold)."""
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark import StorageLevel
@@ -341,8 +342,10 @@ def lasso(df: DataFrame, target: str, features: list[str], lam: float, iters: in
         for j in range(len(b)):
             rj = cys[j] - cs[j] @ b + cs[j, j] * b[j]
             b[j] = np.sign(rj) * max(abs(rj) - lam, 0.0) / cs[j, j]
-        if np.max(np.abs(b - old)) < 1e-12:
+        if np.max(np.abs(b - old)) < 1e-12 * max(1.0, np.max(np.abs(b))):
             break
+    else:
+        warnings.warn(f"LASSO did not settle in {iters} sweeps", stacklevel=2)
     coef = b / sd
     b0 = mom.mean([target])[0] - mom.mean(features) @ coef
     return np.concatenate([[b0], coef])
