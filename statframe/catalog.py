@@ -2098,20 +2098,21 @@ def q_acf_pacf_table(spark, sf):
 
 
 def _hourly_pair(spark, sf):
-    r = series.resample(_ev(spark, sf).where(F.col("event_type").isin("click", "view")), "ts", "1 hour", "value",
-                        "event_type", "sum")
-    return (r.groupBy("slot").pivot("event_type", ["click", "view"]).agg(F.first("value"))
-            .fillna(0.0, ["click", "view"]))
+    """Hourly value of clicks and of all other events."""
+    kind = F.when(F.col("event_type") == "click", "click").otherwise("rest")
+    r = series.resample(_ev(spark, sf).withColumn("event_type", kind), "ts", "1 hour", "value", "event_type", "sum")
+    return (r.groupBy("slot").pivot("event_type", ["click", "rest"]).agg(F.first("value"))
+            .fillna(0.0, ["click", "rest"]))
 
 
-HOURLY_PAIR_SQL = """b AS (SELECT event_type, date_trunc('hour', ts) AS slot, sum(value) AS v FROM events
-      WHERE event_type IN ('click', 'view') GROUP BY ALL),
+HOURLY_PAIR_SQL = """b AS (SELECT CASE WHEN event_type = 'click' THEN 'click' ELSE 'rest' END AS event_type, date_trunc('hour', ts) AS slot,
+      sum(value) AS v FROM events GROUP BY ALL),
 r AS (SELECT event_type, min(slot) AS lo, max(slot) AS hi FROM b GROUP BY event_type),
 sp AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS slot FROM r),
 f AS (SELECT sp.event_type, sp.slot, coalesce(b.v, 0.0) AS v FROM sp LEFT JOIN b USING (event_type, slot)),
 hp AS (SELECT slot, coalesce(max(CASE WHEN event_type = 'click' THEN v END), 0.0) AS click,
-       coalesce(max(CASE WHEN event_type = 'view' THEN v END), 0.0) AS view FROM f GROUP BY slot),
-hl AS (SELECT click, lag(click) OVER (ORDER BY slot) AS cl, lag(view) OVER (ORDER BY slot) AS vl FROM hp),
+       coalesce(max(CASE WHEN event_type = 'rest' THEN v END), 0.0) AS rest FROM f GROUP BY slot),
+hl AS (SELECT click, lag(click) OVER (ORDER BY slot) AS cl, lag(rest) OVER (ORDER BY slot) AS vl FROM hp),
 hx AS (SELECT * FROM hl WHERE cl IS NOT NULL)"""
 
 
@@ -2120,15 +2121,15 @@ WITH {HOURLY_PAIR_SQL}, {ols1_cte('hx', 'click', 'cl')}, {ols2_cte('hx', 'click'
 SELECT {S('((s.syy - s.b1 * s.sxy) - t_f.ssr) / (t_f.ssr / (t_f.n - 3))')} AS f_stat, CAST(t_f.n - 3 AS BIGINT) AS df_den
 FROM s, t_f""")
 def q_granger_click_view(spark, sf):
-    r = series.granger(_hourly_pair(spark, sf), "click", "view", ["slot"], 1)
+    r = series.granger(_hourly_pair(spark, sf), "click", "rest", ["slot"], 1)
     return spark.createDataFrame([(sig(r["f_stat"]), int(r["df_den"]))], "f_stat double, df_den bigint")
 
 
 VAR_IRF_SQL = f"""
 WITH {HOURLY_PAIR_SQL},
-hl2 AS (SELECT click, view, lag(click) OVER (ORDER BY slot) AS cl, lag(view) OVER (ORDER BY slot) AS vl FROM hp),
+hl2 AS (SELECT click, rest, lag(click) OVER (ORDER BY slot) AS cl, lag(rest) OVER (ORDER BY slot) AS vl FROM hp),
 hx2 AS (SELECT * FROM hl2 WHERE cl IS NOT NULL),
-{ols2_cte('hx2', 'click', 'cl', 'vl', 'e1')}, {ols2_cte('hx2', 'view', 'cl', 'vl', 'e2')},
+{ols2_cte('hx2', 'click', 'cl', 'vl', 'e1')}, {ols2_cte('hx2', 'rest', 'cl', 'vl', 'e2')},
 a AS (SELECT e1_f.b1 AS a11, e1_f.b2 AS a12, e2_f.b1 AS a21, e2_f.b2 AS a22 FROM e1_f, e2_f),
 p0 AS (SELECT 1.0 AS p11, 0.0 AS p12, 0.0 AS p21, 1.0 AS p22),
 p1 AS (SELECT a11 * p11 + a12 * p21 AS p11, a11 * p12 + a12 * p22 AS p12, a21 * p11 + a22 * p21 AS p21, a21 * p12 + a22 * p22 AS p22 FROM a, p0),
@@ -2165,18 +2166,18 @@ UNION ALL SELECT 5 AS horizon, 1 AS response, 1 AS shock, {S('p22')} AS value FR
 
 @register("var_impulse_response", VAR_IRF_SQL)
 def q_var_impulse_response(spark, sf):
-    v = series.var_fit(_hourly_pair(spark, sf), ["click", "view"], ["slot"], 1)
-    psi = series.impulse_response(v, ["click", "view"], 1, 5)
+    v = series.var_fit(_hourly_pair(spark, sf), ["click", "rest"], ["slot"], 1)
+    psi = series.impulse_response(v, ["click", "rest"], 1, 5)
     rows = [(h, i, j, sig(float(psi[h, i, j]))) for h in range(psi.shape[0]) for i in range(2) for j in range(2)]
     return spark.createDataFrame(rows, "horizon int, response int, shock int, value double")
 
 
 @register("engle_granger_ecm", f"""
 WITH {HOURLY_PAIR_SQL},
-{ols1_cte('hp', 'click', 'view', 'c1')},
-u AS (SELECT slot, click, view, click - (c1.b0 + c1.b1 * view) AS u FROM hp, c1),
+{ols1_cte('hp', 'click', 'rest', 'c1')},
+u AS (SELECT slot, click, rest, click - (c1.b0 + c1.b1 * rest) AS u FROM hp, c1),
 ul AS (SELECT u - lag(u) OVER (ORDER BY slot) AS du, lag(u) OVER (ORDER BY slot) AS u1,
-       click - lag(click) OVER (ORDER BY slot) AS dy, view - lag(view) OVER (ORDER BY slot) AS dx FROM u),
+       click - lag(click) OVER (ORDER BY slot) AS dy, rest - lag(rest) OVER (ORDER BY slot) AS dx FROM u),
 ux AS (SELECT * FROM ul WHERE u1 IS NOT NULL),
 {ols1_cte('ux', 'du', 'u1', 'a1')}, a2 AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM a1),
 {ols2_cte('ux', 'dy', 'dx', 'u1', 'e')}
@@ -2186,7 +2187,7 @@ UNION ALL SELECT 'ecm_short_run', {S('b1')} FROM e_f
 UNION ALL SELECT 'ecm_adjustment', {S('b2')} FROM e_f
 UNION ALL SELECT 'ecm_adjustment_se', {S('sqrt(ssr / (n - 3) * s11 / det)')} FROM e_f""")
 def q_engle_granger_ecm(spark, sf):
-    r = series.engle_granger(_hourly_pair(spark, sf), "click", "view", ["slot"])
+    r = series.engle_granger(_hourly_pair(spark, sf), "click", "rest", ["slot"])
     return metrics_df(spark, list(r.items()))
 
 
