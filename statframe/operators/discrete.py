@@ -581,12 +581,15 @@ def class_probabilities(fit: DiscreteFit) -> Column:
         M = fit.n_classes - 1
         B = fit.theta.reshape(M, k)
         etas = [lit_dot(B[c], [F.lit(1.0)] + xs) for c in range(M)]
-        top = F.greatest(F.lit(0.0), *etas)  # shifted, so that no exponential overflows
-        ex = [F.exp(-top)] + [F.exp(e - top) for e in etas]
-        den = ex[0]
-        for e in ex[1:]:
-            den = den + e
-        return F.array(*[e / den for e in ex])
+        # p_k = 1 / sum_j exp(eta_j - eta_k): an overflowing term makes the share 0, never NaN
+        etas = [F.lit(0.0)] + etas
+        probs = []
+        for k_ in etas:
+            den = F.lit(0.0)
+            for e in etas:
+                den = den + (F.lit(1.0) if e is k_ else F.exp(e - k_))
+            probs.append(F.lit(1.0) / den)
+        return F.array(*probs)
     p = probability(fit)
     return F.array(F.lit(1.0) - p, p)
 
