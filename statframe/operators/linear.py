@@ -303,7 +303,8 @@ def gls_ar1(df: DataFrame, target: str, features: list[str], order_by) -> Linear
         b = first.beta
         e_lag = F.col(f"{target}_lag1") - (F.lit(float(b[0])) + sum(
             (F.lit(float(bj)) * F.col(f"{c}_lag1") for bj, c in zip(b[1:], features)), F.lit(0.0)))
-        r = lagged.agg(F.sum(e * e_lag).alias("num"), F.sum(e_lag * e_lag).alias("den")).collect()[0]
+        r = lagged.agg(F.sum(e * e_lag).alias("num"), F.sum(e_lag * e_lag).alias("den"), F.sum("_tie").alias("ties")).collect()[0]
+        check_unique(r["ties"], ob)
         rho = float(r["num"] / r["den"]) if r["den"] else 0.0
         rho = max(min(rho, 0.999999), -0.999999)
         first_row = F.col(f"{target}_lag1").isNull()

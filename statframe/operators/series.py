@@ -124,9 +124,10 @@ def adf(df: DataFrame, col: str, order_by, lags: int = 0, trend: str = "c") -> d
         cols[f"_dy{i}"] = F.col(f"{col}_lag{i}") - F.col(f"{col}_lag{i + 1}")
     if trend == "ct":
         cols["_t"] = F.col("_idx").cast("double")
-    d = lagged.select(*[e.alias(k) for k, e in cols.items()]).dropna()
+    d = lagged.select(*[e.alias(k) for k, e in cols.items()], "_tie").dropna()
     feats = [k for k in cols if k != "_dy"]
-    mom = gram(d, feats + ["_dy"])
+    mom = gram(d, feats + ["_dy", "_tie"])
+    check_unique(int(round(mom.s[-1])), ob)
     beta, bread, ssr, _ = solve_moments(mom, "_dy", feats)
     s2 = ssr / (mom.n - len(beta))
     se = math.sqrt(bread[1, 1] * s2)
@@ -220,8 +221,9 @@ def var_fit(df: DataFrame, cols: list[str], order_by, p: int = 1) -> dict:
     data = df.select(*set(ob + cols)).dropna(subset=cols)
     lagged = GlobalOrder(data, ob).with_lags(cols, p)
     feats = [f"{c}_lag{lag}" for lag in range(1, p + 1) for c in cols]
-    d = lagged.select(*cols, *feats).dropna()
-    mom = gram(d, feats + cols)
+    d = lagged.select(*cols, *feats, "_tie").dropna()
+    mom = gram(d, feats + cols + ["_tie"])
+    check_unique(int(round(mom.s[-1])), ob)
     coefs, ssr = {}, {}
     for c in cols:
         beta, bread, s, _ = solve_moments(mom, c, feats)
@@ -270,8 +272,9 @@ def engle_granger(df: DataFrame, y: str, x: str, order_by) -> dict:
     a = adf(res, "_u", ob, 0)
     lagged = GlobalOrder(res, ob).with_lags([y, x, "_u"], 1)
     d = lagged.select((F.col(y) - F.col(f"{y}_lag1")).alias("_dy"), (F.col(x) - F.col(f"{x}_lag1")).alias("_dx"),
-                      F.col("_u_lag1").alias("_ec")).dropna()
-    mom = gram(d, ["_dx", "_ec", "_dy"])
+                      F.col("_u_lag1").alias("_ec"), "_tie").dropna()
+    mom = gram(d, ["_dx", "_ec", "_dy", "_tie"])
+    check_unique(int(round(mom.s[-1])), ob)
     beta, bread, ssr, _ = solve_moments(mom, "_dy", ["_dx", "_ec"])
     s2 = ssr / (mom.n - 3)
     return {"long_run_beta": step1.beta[1], "adf_resid": a["adf_stat"], "ecm_short_run": beta[1],
