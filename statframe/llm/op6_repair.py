@@ -132,6 +132,23 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
         s = out
 
 
+class Expander:
+    """Ids of symbol runs of one shard by lookup: every rule expanded once."""
+
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray):
+        rule_ids = expand(np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32), rules)
+        self.flat = np.r_[np.arange(FIRST_RULE, dtype=np.uint32), rule_ids]
+        self.size = np.r_[np.ones(FIRST_RULE, np.int64), lengths.astype(np.int64)]
+        self.at = np.cumsum(self.size) - self.size
+
+    def __call__(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each symbol's ids)."""
+        size = self.size[symbols]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.at[symbols] - (ends - size), size) + np.arange(total)], ends
+
+
 def read_shard(row: dict) -> dict:
     """The arrays of one shard row."""
     return {"symbols": np.frombuffer(row["symbols"], "<u2"), "rules": np.frombuffer(row["rules"], "<u2").reshape(-1, 2),
@@ -220,16 +237,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 sh = read_shard({c: row[c].as_py() for c in ("symbols", "rules", "lengths", "symbol_at")})
                 names = row["doc_ids"].values
-                size, crc = [], []
-                for lo in range(0, len(names), 256):
-                    hi = min(lo + 256, len(names))
-                    flat = expand(sh["symbols"][sh["at"][lo]:sh["at"][hi]], sh["rules"])
-                    # documents of this run: expanded lengths of their symbols
-                    w = np.r_[np.ones(FIRST_RULE, np.int64), sh["lengths"]][sh["symbols"][sh["at"][lo]:sh["at"][hi]]]
-                    cut = np.r_[0, np.cumsum(w)][sh["at"][lo:hi + 1] - sh["at"][lo]]
-                    for a, b in zip(cut.tolist(), cut[1:].tolist()):
-                        size.append(b - a)
-                        crc.append(zlib.crc32(flat[a:b].astype("<u4", copy=False)))
+                flat, ends = Expander(sh["rules"], sh["lengths"])(sh["symbols"])
+                cut = np.r_[0, ends][sh["at"]]  # where each document's ids begin, and the end
+                size = np.diff(cut)
+                flat = flat.astype("<u4", copy=False)
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())]
                 start = offset[row["part"].as_py()] + row["before"].as_py() + np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays([names, pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
                                                  names=["doc_id", "start", "n_tokens", "ids_crc32"])

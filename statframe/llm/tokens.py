@@ -10,6 +10,8 @@ are encoded whole.
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Distinct pieces kept during a task (about 250 bytes each) and after it, and the longest piece kept.
-MAX_PIECES, REST_PIECES, MAX_PIECE = 1_000_000, 150_000, 64
+MAX_PIECES, REST_PIECES, MAX_PIECE = 1_000_000, 300_000, 64
 WHOLE = (r"\s\s\s|\s\s$|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+#: Pieces that are one pre-token for certain: Latin letters, at most one space before them.
+ONE_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others in their order
+    for the characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(other)) for b in range(256)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -40,6 +52,7 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.alphabet = byte_alphabet()
         self._clear()
 
     def _clear(self):
@@ -55,15 +68,24 @@ class PieceTokenizer:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces; single words go straight to the tokenizer's merge model."""
+        tokenize, alphabet, word = self.tokenizer.model.tokenize, self.alphabet, ONE_WORD.fullmatch
+        out = [[t.id for t in tokenize(x.encode().decode("latin-1").translate(alphabet))] if word(x) else None for x in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.ids([pieces[i] for i in rest])):
+            out[i] = x
+        return out
+
     def _add(self, pieces: list[str]) -> None:
-        got = self.ids(pieces)
+        got = self._piece_ids(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
         while self.n + len(got) > len(self.size):
             self.size, self.at, self.uses = (np.r_[x, np.zeros_like(x)] for x in (self.size, self.at, self.uses))
         total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         self.size[self.n:self.n + len(got)] = size
         self.at[self.n:self.n + len(got)] = self.used + np.cumsum(size) - size
         self.uses[self.n:self.n + len(got)] = 0
@@ -74,17 +96,21 @@ class PieceTokenizer:
         """Code of each piece; new pieces are encoded, long ones for this call only (see ``_drop``)."""
         if self.n > MAX_PIECES:
             self._clear()
-        new = [x for x in uniq if x not in self.code and len(x) <= MAX_PIECE]
+        codes = list(map(self.code.get, uniq))
+        miss = [i for i, c in enumerate(codes) if c is None]
+        new = [i for i in miss if len(uniq[i]) <= MAX_PIECE]
         if new:
-            self.code.update(zip(new, range(self.n, self.n + len(new))))
-            self._add(new)
+            names = [uniq[i] for i in new]
+            for i, x, c in zip(new, names, range(self.n, self.n + len(new))):
+                codes[i] = self.code[x] = c
+            self._add(names)
         self.kept = (self.n, self.used)
-        long = [x for x in uniq if len(x) > MAX_PIECE]
-        once = dict(zip(long, range(self.n, self.n + len(long))))
-        if long:
-            self._add(long)
-        get = self.code.get
-        return np.fromiter((once[x] if len(x) > MAX_PIECE else get(x) for x in uniq), np.int64, len(uniq))
+        if len(miss) > len(new):
+            long = [i for i in miss if codes[i] is None]
+            for i, c in zip(long, range(self.n, self.n + len(long))):
+                codes[i] = c
+            self._add([uniq[i] for i in long])
+        return np.array(codes, np.int64)
 
     def _drop(self):
         self.n, self.used = self.kept
