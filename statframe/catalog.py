@@ -2438,7 +2438,7 @@ def q_tree_shapley_summary(spark, sf):
     li = _li(spark, sf)
     feats = ["l_quantity", "l_discount", "l_tax"]
     m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
-    phi = trees.sampled_shapley(m, li, feats, LI_ORDER, n_background=32, samples=4)
+    phi = trees.sampled_shapley(m, li, feats, LI_ORDER, samples=4)
     return phi.groupBy("feature").agg(sig_col(F.avg(F.abs("phi"))).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
 
 

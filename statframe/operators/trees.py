@@ -3,6 +3,8 @@ importance tables the specification asks trees to ship with (T13, X2)."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -100,28 +102,34 @@ def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: l
     return pooled.groupBy(key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
 
 
-def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], n_background: int = 64,
+def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], n_background: int | None = None,
                     samples: int = 8, seed: int = 7) -> DataFrame:
     """T13 for trees: Monte Carlo Shapley values per row and feature.
 
-    A fixed-size background set (the ``n_background`` rows with the smallest key hash,
-    a top-k, broadcast because its size is bounded) supplies the reference values. Each
-    row is expanded over ``samples`` hash-seeded feature orderings; for feature j the
-    "with" point takes features ranked <= j from the row and the rest from a background
-    row, the "without" point the same with j from the background. ``model.transform``
-    scores all points; phi_j is the mean difference. Work is rows x samples x 2p.
+    The reference points are all rows (without null features): rows are put in a hash-seeded
+    global order, and sample m of row i takes row i + o_m of that order (cyclic, with distinct
+    seeded offsets o_m) as its reference, one equi-join on the index. Every row is thus the
+    reference of ``samples`` rows. Each row is expanded over ``samples`` hash-seeded feature
+    orderings; for feature j the "with" point takes features ranked <= j from the row and the
+    rest from the reference row, the "without" point the same with j from the reference.
+    ``model.transform`` scores all points; phi_j is the mean difference. Rows with equal keys
+    are attributed one by one. Work is rows x samples x 2p. ``n_background`` is what earlier
+    callers passed for a bounded reference set; it has no effect.
     """
+    from ..plans.order import GlobalOrder
     keys = [F.col(c) for c in key_cols]
-    bg = (df.select(*features).withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in features]))
-          .orderBy("_h").limit(n_background).drop("_h"))
-    bg_rows = bg.collect()
-    nb = len(bg_rows)
-    bgdf = df.sparkSession.createDataFrame([(i, *[float(r[c]) for c in features]) for i, r in enumerate(bg_rows)],
-                                           ["_bi"] + [f"_bg_{c}" for c in features])
-    d = df.select(*key_cols, *features).dropna()
-    d = d.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    d = d.withColumn("_bi", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_m"), *keys), F.lit(nb)).cast("int"))
-    d = d.join(F.broadcast(bgdf), "_bi")
+    data = df.select(*key_cols, *features).dropna(subset=features)
+    hashed = data.withColumns({f"_h{k}": F.xxhash64(F.lit(seed + 3 + k), *keys, *[F.col(c) for c in features]) for k in (0, 1)})
+    order = GlobalOrder(hashed, ["_h0", "_h1"])
+    n = max(order.n_rows, 1)
+    idx = order.with_running_sums([]).drop("_b", "_tie", "_h0", "_h1")
+    rng = random.Random(seed)
+    offsets: list[int] = []
+    while len(offsets) < samples:
+        offsets += rng.sample(range(n), min(n, samples - len(offsets)))
+    at = F.pmod(F.col("_idx") + F.get(F.lit(offsets).cast("array<long>"), F.col("_m") - F.lit(1)), F.lit(n))
+    ref = idx.select(F.pmod(F.col("_idx"), F.lit(n)).alias("_at"), *[F.col(c).cast("double").alias(f"_bg_{c}") for c in features])
+    d = idx.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_at", at).join(ref, "_at")
     for c in features:
         d = d.withColumn(f"_r_{c}", F.xxhash64(F.lit(seed + 2), F.col("_m"), F.lit(c), *keys))
     pts = []
@@ -132,8 +140,9 @@ def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[st
                 take_row = (F.col(f"_r_{c}") < F.col(f"_r_{j}")) if c != j else F.lit(which == 1)
                 vals.append(F.when(take_row, F.col(c).cast("double")).otherwise(F.col(f"_bg_{c}")).alias(c))
             pts.append(F.struct(F.lit(j).alias("_feat"), F.lit(which).alias("_with"), *vals))
-    e = d.select(*key_cols, "_m", F.explode(F.array(*pts)).alias("_p")).select(*key_cols, "_m", "_p.*")
+    own = [F.col(c).alias(f"_key{k}") for k, c in enumerate(key_cols)]  # a key may be a feature as well
+    e = d.select("_idx", *own, F.explode(F.array(*pts)).alias("_p")).select("_idx", *[f"_key{k}" for k in range(len(own))], "_p.*")
     scored = model.transform(e)
     sgn = F.when(F.col("_with") == 1, F.col("prediction")).otherwise(-F.col("prediction"))
-    return (scored.groupBy(*key_cols, "_feat").agg((F.sum(sgn) / F.lit(float(samples))).alias("phi"))
-            .withColumnRenamed("_feat", "feature"))
+    return (scored.groupBy("_idx", *[f"_key{k}" for k in range(len(own))], "_feat").agg((F.sum(sgn) / F.lit(float(samples))).alias("phi"))
+            .select(*[F.col(f"_key{k}").alias(c) for k, c in enumerate(key_cols)], F.col("_feat").alias("feature"), "phi"))

@@ -112,6 +112,20 @@ def test_sampled_shapley_zero_for_unused_feature(spark):
     assert phi["x2"] == 0.0 and phi["x1"] > 0
 
 
+def test_sampled_shapley_takes_its_references_from_all_rows(spark):
+    from statframe.operators import trees
+    # two feature points, 150 copies each: a prefix by feature hash holds one of them only
+    rows = [(i, float(i % 2 * 10), float(i % 2 * 10)) for i in range(300)] + [(300, None, 0.0), (None, 10.0, 10.0), (0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    m = trees.train_tree_model(df, "y", ["x"], "tree", maxDepth=2)
+    phi = trees.sampled_shapley(m, df, ["x"], ["id"], 16, 4)
+    assert phi.columns == ["id", "feature", "phi"]
+    got = phi.toPandas()
+    assert len(got) == 302 and (got["id"] == 0).sum() == 2 and got["id"].isna().sum() == 1
+    assert abs(got["phi"].sum()) < 1e-6  # every row is a reference equally often: gains and losses cancel
+    assert 3.5 < got["phi"].abs().mean() < 6.5 and (got["phi"] > 0).any() and (got["phi"] < 0).any()
+
+
 def test_psm_heavy_ties_multi_bucket_equals_single(spark):
     """Few distinct scores (heavy ties): the matched ATT is the same whether the global
     order runs in one bucket or is split (heavy scores refined by the row key)."""
