@@ -116,6 +116,21 @@ def test_repeated_runs_of_a_host_go_and_unique_text_stays(spark):
     assert op3.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    foot = "All rights reserved by the example company of this site and its partners"
+    body = "One story that the host serves under many ids and addresses with its whole text"
+    rows = [(i, f"http://a.example.com/{i}", f"<body><div>{foot}</div><p>{body}</p>") for i in range(5)]  # copies under other ids
+    rows += [(10 + i, "http://a.example.com/x", f"<body><div>{foot}</div><p>Story number {i} of w{i} v{i}</p>") for i in range(3)]
+    # boilerplate of pages that differ in their articles only still counts once for each of them
+    rows += [(20 + i, "http://b.example.com/x", f"<article><p>Article {i}</p></article><div>{foot}</div>") for i in range(3)]
+    rows += [(30, "http://b.example.com/y", f"<p>{body}</p><div>{foot}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (20, 100_000):
+        got = {r.page_id: r.text for r in op3.extract(pages, chunk_tokens=chunk).collect()}
+        assert got == {**{i: body for i in range(5)}, **{10 + i: f"Story number {i} of w{i} v{i}" for i in range(3)},
+                       **{20 + i: f"Article {i}" for i in range(3)}, 30: body}
+
+
 def test_suffix_groups_match_brute_force():
     rng = np.random.default_rng(3)
     for depth in (2, 3, 5, 8):
