@@ -17,6 +17,11 @@ position of a text and, in an item, from its longest word in every ``stride`` wo
 that an edited stretch costs only the walks that cross it. Coordinates are compared in
 order and a start is left at the first one that no item shares.
 
+Walks may all be lost, above all in short items with few anchors. So each item is also cut
+into one piece more than the edits it is allowed: some piece is unedited and stands in the
+text word for word (only the first ``PIECE`` words of a piece are compared). Candidates of the
+pieces join those of the walks, so no item within its edits is missed.
+
 Candidates are verified exactly: a semi-global alignment of the item in the window
 around the candidate's diagonal. Nothing is shuffled; items are broadcast in blocks of at
 most ``block_items`` and every block meets all documents.
@@ -48,6 +53,8 @@ STRIDE = 4
 MIN_WORDS = 5
 #: No anchor in the last words of an item: too few coordinates would be left.
 MIN_TAIL = 10
+#: Words compared of an item's unedited pieces.
+PIECE = 8
 BLOCK_ITEMS = 20_000
 PUNCT = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|-_"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,10 +83,16 @@ class Walks:
     tables: list               # (walk key, sampled steps, [(keys that go on, (end keys, anchors))])
     similarity: float
     sorted_words: list         # each item's word hashes in order
+    piece_starts: np.ndarray   # sorted distinct hashes of the pieces' first words
+    pieces: list               # per number of words: (keys that go on, end keys, anchors)
 
     def max_edits(self, item: int) -> int:
-        n = int(self.first[item + 1] - self.first[item])
-        return int((1.0 - self.similarity) * n + 1e-9)
+        return edits_of(int(self.first[item + 1] - self.first[item]), self.similarity)
+
+
+def edits_of(n: int, similarity: float) -> int:
+    """Edits that an item of n words is allowed."""
+    return int((1.0 - similarity) * n + 1e-9)
 
 
 def sample_steps(rng: np.random.Generator, steps: int, samples: int) -> np.ndarray:
@@ -93,6 +106,28 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == keys
 
 
+def index_pieces(words: np.ndarray, first: np.ndarray, similarity: float, anchors: int) -> tuple:
+    """(item, start in its item) of every piece, and the index of the pieces' words; piece k
+    has the number ``anchors`` + k."""
+    item, at, size = [], [], []
+    for k, n in enumerate(np.diff(first).tolist()):
+        parts = min(edits_of(n, similarity) + 1, n)
+        cut = [n * i // parts for i in range(parts + 1)]
+        item += [k] * parts
+        at += cut[:-1]
+        size += [min(b - a, PIECE) for a, b in zip(cut, cut[1:])]
+    item, at, size = np.array(item, np.int64), np.array(at, np.int64), np.array(size, np.int64)
+    live, chain, levels = np.arange(len(item)), np.zeros(len(item), np.uint64), []
+    while len(live):
+        chain = (chain ^ words[first[item[live]] + at[live] + len(levels)]) * _MIX
+        done = size[live] == len(levels) + 1
+        o = np.argsort(chain[done], kind="stable")
+        ends, ended = chain[done][o], live[done][o] + anchors
+        live, chain = live[~done], chain[~done]
+        levels.append((np.unique(chain), ends, ended))
+    return item, at, np.unique(words[first[item] + at]) if len(item) else np.zeros(0, np.uint64), levels
+
+
 def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables: int = TABLES, steps: int = STEPS,
                 samples: int = SAMPLES, stride: int = STRIDE, min_words: int = MIN_WORDS, seed: int = 11) -> Walks:
     rows, codes, uniq = words_of(pa.array(texts, pa.string()))
@@ -142,8 +177,9 @@ def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables:
             lv[1] = (lv[1][0][o], lv[1][1][o])
         out.append((key, sampled, levels))
     starts = np.unique(words[first[item] + at]) if len(item) else np.zeros(0, np.uint64)
-    return Walks(words, first, [ids[i] for i in use], item, at, starts, out, similarity,
-                 [np.sort(words[a:b]) for a, b in zip(first, first[1:])])
+    piece_item, piece_at, piece_starts, pieces = index_pieces(words, first, similarity, len(item))
+    return Walks(words, first, [ids[i] for i in use], np.r_[item, piece_item], np.r_[at, piece_at], starts, out, similarity,
+                 [np.sort(words[a:b]) for a, b in zip(first, first[1:])], piece_starts, pieces)
 
 
 def candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +215,28 @@ def candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray)
     return both[:, 0], both[:, 1]
 
 
+def piece_candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, anchor) pairs where all compared words of a piece stand in the text."""
+    found_p, found_a = [], []
+    p, end, chain = start, row_end, np.zeros(len(start), np.uint64)
+    for level, (on, ends, anchor) in enumerate(w.pieces):
+        inside = p + level < end
+        p, end, chain = p[inside], end[inside], chain[inside]
+        chain = (chain ^ h[p + level]) * _MIX
+        if len(ends):
+            lo, hi = np.searchsorted(ends, chain, "left"), np.searchsorted(ends, chain, "right")
+            n = hi - lo
+            if n.any():
+                found_p.append(np.repeat(p, n))
+                found_a.append(anchor[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+        if not len(p) or not len(on):
+            break
+        keep = _member(on, chain)
+        p, end, chain = p[keep], end[keep], chain[keep]
+    z = np.zeros(0, np.int64)
+    return np.concatenate([z, *found_p]), np.concatenate([z, *found_a])
+
+
 def _edit_ends(a: np.ndarray, b: np.ndarray, free_start: bool) -> np.ndarray:
     """Edit distance of all of ``a`` to b[s:j] for every end j: best s if ``free_start``, else s = 0."""
     j = np.arange(len(b) + 1)
@@ -202,14 +260,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 def find_items(w: Walks, texts: pa.Array):
     """Rows (text row, item, distance, first word, words of the window) of one slice."""
     rows, codes, uniq = words_of(texts)
-    if not len(codes) or not len(w.starts):
+    if not len(codes) or not len(w.piece_starts):
         return []
     uh = word_hashes(uniq)
     h = uh[codes]
     row_end = np.searchsorted(rows, rows, side="right") if len(rows) < 2 else np.r_[
         np.flatnonzero(rows[1:] != rows[:-1]) + 1, len(rows)][np.r_[0, np.cumsum(rows[1:] != rows[:-1])]]
     start = np.flatnonzero(_member(w.starts, uh)[codes])
-    p, anchor = candidates(w, h, row_end[start], start)
+    found = [candidates(w, h, row_end[start], start)]
+    start = np.flatnonzero(_member(w.piece_starts, uh)[codes])
+    found.append(piece_candidates(w, h, row_end[start], start))
+    p, anchor = (np.concatenate(x) for x in zip(*found))
     if not len(p):
         return []
     item = w.anchor_item[anchor]
@@ -222,6 +283,8 @@ def find_items(w: Walks, texts: pa.Array):
         edits = w.max_edits(i)
         if (r, i) in tried and g - tried[r, i] <= 0:
             continue  # the window verified before reaches this diagonal
+        if (r, i) in best and best[r, i][0] == 0:
+            continue  # found without an edit
         tried[r, i] = g + edits
         a = w.words[w.first[i]:w.first[i + 1]]
         lo_row, hi_row = int(np.searchsorted(rows, r)), int(row_end[p[k]])

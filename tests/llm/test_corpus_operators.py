@@ -163,6 +163,15 @@ def test_recall_and_exactness_of_the_search():
             assert d == int(op2._edit_ends(a, b[first:first + n], False)[-1]) <= 0.2 * len(a)
 
 
+def test_items_within_their_edits_are_found_at_every_length():
+    rnd = random.Random(12)
+    for lo, hi in ((5, 9), (10, 13), (14, 17), (18, 40)):
+        items = [prose(rnd, rnd.randint(lo, hi)) for _ in range(200)]
+        texts = [" ".join([prose(rnd, 30), *edited(rnd, t.split(), int(0.2 * len(t.split()) + 1e-9)), prose(rnd, 30)]) for t in items]
+        hits = op2.find_items(op2.index_items(list(range(200)), items), pa.array(texts))
+        assert {r for r, i, *_ in hits if r == i} == set(range(200)), (lo, hi)
+
+
 def test_edit_distance():
     def slow(a, b):
         d = list(range(len(b) + 1))
