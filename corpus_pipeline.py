@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     _ready(spark)
-    return op2.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return op2.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ around the candidate's diagonal. Nothing is shuffled; items are broadcast in blo
 most ``block_items`` and every block meets all documents.
 
 Defined results: null and empty texts contain nothing; items of fewer than ``min_words``
-words are too short to be told from chance and are left out; rows with equal ids are
+words are left out (the query and the pipeline leave out none: items of fewer than five
+words have no edits allowed and are found as exact word sequences); rows with equal ids are
 judged one by one; an item found several times in a text is reported once, at its best
 (then first) place.
 """
@@ -134,7 +135,7 @@ def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables:
     h = word_hashes(uniq)[codes] if len(codes) else np.zeros(0, np.uint64)
     size = np.array([len(w) for w in uniq], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
     count = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
-    use = np.flatnonzero(count >= min_words)
+    use = np.flatnonzero(count >= max(min_words, 1))
     off = np.r_[0, np.cumsum(count)]
     words = np.concatenate([h[off[i]:off[i + 1]] for i in use]) if len(use) else np.zeros(0, np.uint64)
     first = np.r_[0, np.cumsum(count[use])].astype(np.int64)
@@ -361,4 +362,4 @@ def _hit_column(spark: SparkSession, walks: Walks):
 
 
 def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)

@@ -208,6 +208,16 @@ def test_contaminations(spark):
     assert len(op2.item_blocks(bench, 2)) == 3
 
 
+def test_query_and_pipeline_find_items_under_five_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "so it goes"), (2, "one Short, item! here"), (3, "short of item"), (4, None), (5, "so it was")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "short item"), (2, ""), (3, None), (4, "goes"), (5, "so it was not")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op2.op2_cgk_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id, r.distance, r.first_word, r.window_words) for r in got} == {(1, 4, 0, 2, 1), (2, 1, 0, 1, 2)}
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
