@@ -13,24 +13,34 @@ global order here is two-level:
 3. one summary row per bucket (count, column sums, last values), broadcast back as
    offsets and edge values.
 
-The number of buckets follows from the row count alone (:func:`bucket_count`). The driver
-holds the cut points and the per-bucket summary, bounded by buckets x lags, never the rows.
+The number of buckets follows from the row count alone (:func:`bucket_count`). Up to
+``ONE_LEVEL`` buckets the cut tuples are literals of the plan. Beyond that there are two
+levels: the coarse cuts (at most ``ONE_LEVEL``) are literals, the fine
+cuts of every coarse bucket are found on the executors from the written sample and
+reach the rows as a broadcast table of one row per coarse bucket, so neither the driver nor the plan
+holds the sample or the fine cuts. The driver holds the per-bucket summary, bounded by buckets x lags,
+never the rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 MAX_EDGE_CELLS = 50_000_000
 MIN_BUCKETS = 8
 ROWS_PER_BUCKET = 500_000
 #: Beyond this many buckets their number grows with the square root of the rows.
 LINEAR_BUCKETS = 20_000
 SAMPLE_PER_BUCKET = 64
+#: Cut tuples that are written into the plan at most.
+ONE_LEVEL = 64
 
 
 def bucket_count(n_rows: int) -> int:
@@ -70,6 +80,67 @@ def _cut_array(values: list, dt: T.DataType) -> Column:
     return F.expr("array(" + ", ".join(f"{v}L" if v > -2**63 else "cast('-9223372036854775808' as bigint)" for v in values) + ")")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _drawn(keys: DataFrame, img: list[str], share: float, seed: int = 17) -> DataFrame:
+    """(keys, ``_n``): a share of the distinct keys, drawn by hash, with their rows counted."""
+    limit = int(min(1.0, share) * (1 << 31))
+    drawn = keys.where(F.pmod(F.xxhash64(F.lit(seed), *img), F.lit(1 << 31)) <= limit)
+    return drawn if "_n" in keys.columns else drawn.groupBy(*img).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _sortable(r: tuple) -> list:
+    """Sort key of a sample row (keys and count): NaN follows all numbers, as in Spark."""
+    return [(isinstance(v, float) and math.isnan(v), v) for v in r[:-1]]
+
+
+def _cut_points(sample: list[tuple], want: int) -> list[tuple]:
+    """Keys at which about each 1 / ``want`` of the sample's rows begins, from sorted (keys, count) rows."""
+    cuts: list[tuple] = []
+    total, seen, step = sum(r[-1] for r in sample), 0, 1
+    for r in sample:
+        if seen >= step * total / want and seen:
+            cuts.append(r[:-1])
+            while seen >= step * total / want:
+                step += 1
+        seen += r[-1]
+    return cuts
+
+
+def _search(df: DataFrame, name: str, img: list[str], arrays: list[Column], n_cuts: int) -> DataFrame:
+    """Adds ``name``: how many of the cut tuples in ``arrays`` (ascending, at most ``n_cuts``) are not
+    above the row's key, by binary search."""
+    out = df.withColumn(name, F.lit(0))
+    step = 1 << (n_cuts.bit_length() - 1) if n_cuts else 0
+    while step:
+        at = F.col(name) + F.lit(step - 1)
+        ge = None
+        for k, a in reversed(list(zip(img, arrays))):
+            cut = F.get(a, at)
+            ge = (F.col(k) >= cut) if ge is None else (F.col(k) > cut) | ((F.col(k) == cut) & ge)
+        out = out.withColumn(name, F.when(ge, F.col(name) + F.lit(step)).otherwise(F.col(name)))
+        step >>= 1
+    return out
+
+
+def _fine_cuts(sample: DataFrame, img: list[str], types: list, fine: int) -> DataFrame:
+    """(``_b``, ``_cut0``, ...): the cut tuples inside each coarse bucket of the sample. A coarse
+    bucket's sample is its share of ``SAMPLE_PER_BUCKET`` keys per bucket."""
+    names = [f"_cut{j}" for j in range(len(img))]
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((tuple(r) for r in pdf[[*img, "_n"]].itertuples(index=False, name=None)), key=_sortable)
+        cuts = _cut_points(rows, fine)[:fine]
+        return pd.DataFrame({"_b": [pdf["_b"].iloc[0]], **{c: [[t[j] for t in cuts]] for j, c in enumerate(names)}})
+
+    schema = "_b int, " + ", ".join(f"{c} array<{t.simpleString()}>" for c, t in zip(names, types))
+    return sample.select("_b", *img, "_n").groupBy("_b").applyInPandas(cut, schema)
+
+
 class GlobalOrder:
     """Bucketed global order over ``order_by``. For lags the list must be unique (rows equal
     in all of it share a bucket, so a tie is seen there); null order keys are an error."""
@@ -90,36 +161,31 @@ class GlobalOrder:
             raise ValueError(f"{got['n'] - got['ok']} rows have a null in order_by {self.order_by}: filter them first")
         self.n_rows = n = got["n"]
         want = n_buckets or (max(1, math.ceil(n / rows_per_bucket)) if rows_per_bucket else bucket_count(n))
-        share = min(1.0, SAMPLE_PER_BUCKET * want / max(n, 1))
-        cuts: list[tuple] = []
+        coarse = want if want <= ONE_LEVEL else min(ONE_LEVEL, math.ceil(math.sqrt(want)))
+        self.n_buckets, out = 1, df.withColumn("_b", F.lit(0))
         if want > 1 and n:
-            drawn = keys.where(F.pmod(F.xxhash64(F.lit(17), *img), F.lit(1 << 31)) <= int(share * (1 << 31)))
+            drawn = _drawn(keys, img, SAMPLE_PER_BUCKET * want / n)
+            if want > ONE_LEVEL:
+                drawn = _written(drawn, "order-sample")
+                # of the written sample, the keys for the coarse cuts alone come to the driver
+                first = _drawn(drawn, img, SAMPLE_PER_BUCKET * coarse / max(drawn.count(), 1), seed=18)
+            else:
+                first = drawn
             # equal keys are counted, not repeated: what arrives is bounded by the sample size
-            sample = sorted((tuple(r)[:-1] + (r["n"],) for r in drawn.groupBy(*img).agg(F.count(F.lit(1)).alias("n")).collect()),
-                            key=lambda r: [(isinstance(v, float) and math.isnan(v), v) for v in r[:-1]])
-            total, seen, step = sum(r[-1] for r in sample), 0, 1
-            for r in sample:
-                if seen >= step * total / want and seen:
-                    cuts.append(r[:-1])
-                    while seen >= step * total / want:
-                        step += 1
-                seen += r[-1]
-        self.cuts = cuts
-        self.n_buckets = len(cuts) + 1
-        out = df.withColumn("_b", F.lit(0))
-        if cuts:
+            sample = sorted((tuple(r) for r in first.groupBy(*img).agg(F.sum("_n").alias("_n")).collect()), key=_sortable)
+            cuts = _cut_points(sample, coarse)
             types = [keys.schema[k].dataType for k in img]
-            out = df.withColumns({**{k: order_image(df, c) for c, k in zip(self.order_by, img)}, "_b": F.lit(0)})
-            arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)]
-            step = 1 << (len(cuts).bit_length() - 1)
-            while step:
-                at = F.col("_b") + F.lit(step - 1)
-                ge = None
-                for k, a in reversed(list(zip(img, arrays))):
-                    cut = F.get(a, at)
-                    ge = (F.col(k) >= cut) if ge is None else (F.col(k) > cut) | ((F.col(k) == cut) & ge)
-                out = out.withColumn("_b", F.when(ge, F.col("_b") + F.lit(step)).otherwise(F.col("_b")))
-                step >>= 1
+            out = df.withColumns({k: order_image(df, c) for c, k in zip(self.order_by, img)})
+            arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)] if cuts else []
+            out = _search(out, "_b", img, arrays, len(cuts))
+            self.n_buckets = len(cuts) + 1
+            if want > ONE_LEVEL:
+                fine = math.ceil(want / coarse)
+                table = _written(_fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, types, fine), "order-cuts")
+                # at most one row per coarse bucket and ``fine`` cuts in each
+                out = _search(out.join(F.broadcast(table), "_b", "left"), "_f", img, [F.col(f"_cut{j}") for j in range(len(img))], fine)
+                out = out.withColumn("_b", (F.col("_b") * (fine + 1) + F.col("_f")).cast("int")).drop("_f", *[f"_cut{j}" for j in range(len(img))])
+                self.n_buckets *= fine
             out = out.drop(*img)
         self.bucketed = out
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])

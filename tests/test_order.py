@@ -22,6 +22,22 @@ def test_lags_and_running_sums(spark, buckets):
     np.testing.assert_allclose(run["value_cum"].to_numpy(), pdf["value"].cumsum().to_numpy(), rtol=1e-12)
 
 
+@pytest.mark.parametrize("buckets", [700, 5000])
+def test_two_levels_of_cuts(spark, buckets):
+    """Beyond ONE_LEVEL buckets the fine cuts come from a table; keys of all types, a heavy leading key."""
+    rows = [(5.0 if i % 3 == 0 else float(i % 400), f"s{i % 7}", i, float(i % 11)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k double, s string, t long, v double")
+    go = GlobalOrder(df, ["k", "s", "t"], n_buckets=buckets)
+    sizes = [r["count"] for r in go.bucketed.groupBy("_b").count().collect()]
+    assert len(sizes) > buckets * .6 and max(sizes) < 6000 / buckets * 8 + 8
+    pdf = df.toPandas().sort_values(["k", "s", "t"]).reset_index(drop=True)
+    lag = go.with_lags(["v"], 2).toPandas().sort_values("_idx").reset_index(drop=True)
+    np.testing.assert_array_equal(lag["t"].to_numpy(), pdf["t"].to_numpy())
+    np.testing.assert_array_equal(lag["v_lag2"].to_numpy(dtype=float), pdf["v"].shift(2).to_numpy(dtype=float))
+    run = go.with_running_sums(["v"]).toPandas().sort_values("_idx")
+    np.testing.assert_allclose(run["v_cum"].to_numpy(), pdf["v"].cumsum().to_numpy(), rtol=1e-12)
+
+
 def test_neighbours(spark):
     df = spark.createDataFrame([(float(i), float(i) if i % 3 == 0 else None) for i in range(50)], "k double, v double")
     out = GlobalOrder(df, ["k"], n_buckets=5).with_neighbors(["v"]).toPandas().sort_values("k")
