@@ -14,19 +14,20 @@ global order here is two-level:
    offsets and edge values.
 
 The number of buckets follows from the row count alone (:func:`bucket_count`). Up to
-``ONE_LEVEL`` buckets the cut tuples are literals of the plan. Beyond that there are two
-levels: the coarse cuts (at most ``ONE_LEVEL``) are literals, the fine
-cuts of every coarse bucket are found on the executors from the written sample and
-reach the rows as a broadcast table of one row per coarse bucket, so neither the driver nor the plan
-holds the sample or the fine cuts. The driver holds the per-bucket summary, bounded by buckets x lags,
-never the rows.
+``ONE_LEVEL`` buckets the cut tuples are literals of the plan. Beyond that the cuts inside each
+of ``ONE_LEVEL`` coarse buckets are found on the executors from the written sample, and
+all cuts are one broadcast table (a tuple per bucket) that an Arrow function searches, so the plan does not
+grow with the cuts. The driver holds the cuts and the per-bucket summary, bounded by buckets x lags,
+never the rows or the sample.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,19 +129,71 @@ def _search(df: DataFrame, name: str, img: list[str], arrays: list[Column], n_cu
 
 
 def _fine_cuts(sample: DataFrame, img: list[str], types: list, fine: int) -> DataFrame:
-    """(``_b``, ``_cut0``, ...): the cut tuples inside each coarse bucket of the sample. A coarse
-    bucket's sample is its share of ``SAMPLE_PER_BUCKET`` keys per bucket."""
-    names = [f"_cut{j}" for j in range(len(img))]
-
+    """The cut tuples inside each coarse bucket of the sample (its share of ``SAMPLE_PER_BUCKET``
+    keys per bucket)."""
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted((tuple(r) for r in pdf[[*img, "_n"]].itertuples(index=False, name=None)), key=_sortable)
-        cuts = _cut_points(rows, fine)[:fine]
-        return pd.DataFrame({"_b": [pdf["_b"].iloc[0]], **{c: [[t[j] for t in cuts]] for j, c in enumerate(names)}})
+        return pd.DataFrame(_cut_points(rows, fine), columns=img)
 
-    schema = "_b int, " + ", ".join(f"{c} array<{t.simpleString()}>" for c, t in zip(names, types))
+    schema = ", ".join(f"{k} {t.simpleString()}" for k, t in zip(img, types))
     return sample.select("_b", *img, "_n").groupBy("_b").applyInPandas(cut, schema)
 
 
+def _places(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """2 i + 1 where a value is the i-th of ``known`` (ascending, distinct), 2 i where it lies before it."""
+    at = np.searchsorted(known, values, side="left")
+    near = np.minimum(at, len(known) - 1)
+    same = known[near] == values
+    if values.dtype.kind == "f":
+        same |= np.isnan(values) & np.isnan(known[near])
+    return 2 * at + ((at < len(known)) & same)
+
+
+class CutTable:
+    """Cut tuples for vectorised search: column by column, a row's place among the cuts' distinct
+    prefixes. A row that equals no prefix keeps its even place whatever follows."""
+
+    def __init__(self, cuts: list[tuple]):
+        self.known, self.prefixes = [], []
+        place = None
+        for j in range(len(cuts[0])):
+            values = _as_array([c[j] for c in cuts])
+            self.known.append(np.unique(values))
+            place = self._next(place, j, values)
+            self.prefixes.append(np.unique(place))
+            place = 2 * np.searchsorted(self.prefixes[-1], place) + 1
+
+    def _next(self, place, j: int, values: np.ndarray) -> np.ndarray:
+        own = _places(values, self.known[j])
+        return own if place is None else place * (2 * len(self.known[j]) + 1) + own
+
+    def buckets(self, columns: list[np.ndarray]) -> np.ndarray:
+        """How many cuts are not above each row's key."""
+        place = None
+        for j, values in enumerate(columns):
+            key = self._next(place, j, values)
+            place = _places(key, self.prefixes[j])
+        return (place + 1) // 2
+
+
+def _as_array(values) -> np.ndarray:
+    kind = np.float64 if isinstance(values[0], float) else np.int64 if isinstance(values[0], int) else object
+    return np.array(values, dtype=kind)
+
+
+def _bucket_udf(spark, cuts: list[tuple]):
+    """Arrow function: order images -> bucket; the cut table is broadcast (one tuple per bucket)."""
+    shared = spark.sparkContext.broadcast(CutTable(cuts))
+
+    @F.arrow_udf("int")
+    def bucket(*columns: pa.Array) -> pa.Array:
+        cols = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) or pa.types.is_floating(c.type)
+                else np.array(c.to_pylist(), dtype=object) for c in columns]
+        return pa.array(shared.value.buckets(cols).astype(np.int32))
+
+    return bucket
+
+
 class GlobalOrder:
     """Bucketed global order over ``order_by``. For lags the list must be unique (rows equal
     in all of it share a bucket, so a tie is seen there); null order keys are an error."""
@@ -175,17 +228,15 @@ class GlobalOrder:
             sample = sorted((tuple(r) for r in first.groupBy(*img).agg(F.sum("_n").alias("_n")).collect()), key=_sortable)
             cuts = _cut_points(sample, coarse)
             types = [keys.schema[k].dataType for k in img]
-            out = df.withColumns({k: order_image(df, c) for c, k in zip(self.order_by, img)})
             arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)] if cuts else []
-            out = _search(out, "_b", img, arrays, len(cuts))
+            out = df.withColumns({k: order_image(df, c) for c, k in zip(self.order_by, img)})
+            if want <= ONE_LEVEL:
+                out = _search(out, "_b", img, arrays, len(cuts))
+            else:
+                inner = _fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, types, math.ceil(want / coarse))
+                cuts = sorted({*cuts, *(tuple(r) for r in inner.collect())}, key=lambda c: _sortable((*c, 1)))
+                out = out.withColumn("_b", _bucket_udf(df.sparkSession, cuts)(*img))
             self.n_buckets = len(cuts) + 1
-            if want > ONE_LEVEL:
-                fine = math.ceil(want / coarse)
-                table = _written(_fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, types, fine), "order-cuts")
-                # at most one row per coarse bucket and ``fine`` cuts in each
-                out = _search(out.join(F.broadcast(table), "_b", "left"), "_f", img, [F.col(f"_cut{j}") for j in range(len(img))], fine)
-                out = out.withColumn("_b", (F.col("_b") * (fine + 1) + F.col("_f")).cast("int")).drop("_f", *[f"_cut{j}" for j in range(len(img))])
-                self.n_buckets *= fine
             out = out.drop(*img)
         self.bucketed = out
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])

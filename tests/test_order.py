@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statframe.plans.order import GlobalOrder, bucket_count
+from statframe.plans.order import CutTable, GlobalOrder, bucket_count
 from statframe.sources.scan import load
 from tests.conftest import SF_SMALL
 
@@ -24,7 +24,7 @@ def test_lags_and_running_sums(spark, buckets):
 
 @pytest.mark.parametrize("buckets", [700, 5000])
 def test_two_levels_of_cuts(spark, buckets):
-    """Beyond ONE_LEVEL buckets the fine cuts come from a table; keys of all types, a heavy leading key."""
+    """Beyond ONE_LEVEL buckets an Arrow function searches the cuts; keys of all types, a heavy leading key."""
     rows = [(5.0 if i % 3 == 0 else float(i % 400), f"s{i % 7}", i, float(i % 11)) for i in range(6000)]
     df = spark.createDataFrame(rows, "k double, s string, t long, v double")
     go = GlobalOrder(df, ["k", "s", "t"], n_buckets=buckets)
@@ -85,3 +85,14 @@ def test_null_order_keys_are_refused_and_longs_stay_exact(spark):
     df = spark.createDataFrame([(big + i, float(i)) for i in range(200)], "k long, v double")
     lag = GlobalOrder(df, ["k"], n_buckets=9).with_lags(["v"], 1).toPandas().sort_values("_idx")
     assert list(lag["v"]) == [float(i) for i in range(200)] and list(lag["v_lag1"])[1:] == [float(i) for i in range(199)]
+
+
+def test_cut_table_equals_tuple_comparison():
+    rng = np.random.default_rng(6)
+    draw = lambda n: list(zip(rng.choice([0.0, 1.5, -2.0, np.inf, np.nan], n).tolist(), rng.choice(["", "a", "é", "zz"], n).tolist(), rng.integers(0, 5, n).tolist()))
+    key = lambda t: (np.isnan(t[0]), 0.0 if np.isnan(t[0]) else t[0], t[1], t[2])
+    cuts = sorted({key(t): t for t in draw(40)}.values(), key=key)
+    rows = draw(500)
+    cols = [np.array([r[j] for r in rows], dtype=d) for j, d in enumerate((float, object, np.int64))]
+    want = [sum(key(c) <= key(r) for c in cuts) for r in rows]
+    assert CutTable(cuts).buckets(cols).tolist() == want
