@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.columns import sig
 from ..functions.linalg import sym_inv
+from ..plans.autocov import bartlett, weighted_products
 from ..plans.gram import Moments, gram, group_shrunk_moments, grouped_gram, moments_from_row
 from ..plans.order import GlobalOrder, check_unique
 from ..sources.scan import check_nonempty, require_numeric
@@ -275,18 +276,9 @@ def robust_cov(data: DataFrame, fit: LinearFit, se_type: str, cluster: str | Non
         L = int(maxlags)
         sc = data.select(*[(xi * e).alias(f"u{j}") for j, xi in enumerate(x)],
                          *[F.col(c) for c in ([order_by] if isinstance(order_by, str) else order_by)])
-        lagged = GlobalOrder(sc, order_by).with_lags([f"u{j}" for j in range(k)], L)
-        aggs = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"g0_{i}_{j}") for i in range(k) for j in range(k)]
-        aggs.append(F.sum("_tie").alias("_ties"))
-        for lag in range(1, L + 1):
-            aggs += [F.sum(F.col(f"u{i}") * F.col(f"u{j}_lag{lag}")).alias(f"g{lag}_{i}_{j}")
-                     for i in range(k) for j in range(k)]
-        r = lagged.agg(*aggs).collect()[0]
-        check_unique(r["_ties"], [order_by] if isinstance(order_by, str) else order_by)
-        meat = np.array([[r[f"g0_{i}_{j}"] for j in range(k)] for i in range(k)], dtype=float)
-        for lag in range(1, L + 1):
-            g = np.array([[r[f"g{lag}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
-            meat += (1 - lag / (L + 1)) * (g + g.T)
+        ordered = GlobalOrder(sc, order_by).with_running_sums([])
+        check_unique(ordered.agg(F.sum("_tie")).first()[0], [order_by] if isinstance(order_by, str) else order_by)
+        meat = weighted_products(ordered, [f"u{j}" for j in range(k)], bartlett(L))
         return fit.bread @ meat @ fit.bread
     raise ValueError(f"unknown se_type {se_type!r}")
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import dist
 from ..functions.columns import sig
+from ..plans.autocov import bartlett, lag_products, weighted_products
 from ..plans.gram import gram, grouped_gram, moments_from_row
 from ..plans.order import GlobalOrder, check_unique, series_lags
 from .linear import CONST, solve_moments
@@ -62,28 +63,23 @@ def resample(df: DataFrame, ts: str, step: str, value: str, series: list[str] |
 
 # ----------------------------------------------------------------- M3
 def acf(df: DataFrame, col: str, order_by, lags: int = 10, return_n: bool = False):
-    """Autocorrelations 0..lags over a global order (one lag pass, one agg)."""
+    """Autocorrelations 0..lags over a global order, by block-wise FFTs (no column per lag)."""
     ob = _ob(order_by)
-    data = df.select(*set(ob + [col])).dropna(subset=[col])
-    lagged = GlobalOrder(data, ob).with_lags([col], lags)
-    x = F.col(col).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum("_tie").alias("_ties")]
-    for k in range(1, lags + 1):
-        xl = F.col(f"{col}_lag{k}")
-        aggs += [F.sum(x * xl).alias(f"p{k}"), F.sum(F.when(xl.isNotNull(), x)).alias(f"a{k}"),
-                 F.sum(xl).alias(f"b{k}"), F.count(xl).alias(f"c{k}")]
-    r = lagged.agg(*aggs).collect()[0]
-    check_unique(r["_ties"], ob)
-    n = r["n"]
-    m = r["s"] / n
-    den = r["ss"] - n * m * m
-    rho = [1.0]
-    for k in range(1, lags + 1):
-        num = (r[f"p{k}"] or 0.0) - m * (r[f"a{k}"] or 0.0) - m * (r[f"b{k}"] or 0.0) + r[f"c{k}"] * m * m
-        rho.append(num / den)
+    data, n = _centred(df, col, ob)
+    order = GlobalOrder(data, ob).with_running_sums([])
+    check_unique(order.agg(F.sum("_tie")).first()[0], ob)
+    g = lag_products(order, ["_e"], lags)[:, 0, 0]
+    rho = (g / g[0]).tolist()
     return (rho, n) if return_n else rho
 
 
+def _centred(df: DataFrame, col: str, ob: list[str]) -> tuple[DataFrame, int]:
+    """(order columns, ``_e`` = value minus its mean) of the rows with a value, and their number."""
+    data = df.select(*set(ob + [col])).dropna(subset=[col])
+    r = data.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("m")).first()
+    return data.select(*ob, (F.col(col).cast("double") - F.lit(float(r["m"] or 0.0))).alias("_e")), r["n"]
+
+
 def pacf_from_acf(rho: list[float]) -> list[float]:
     """Durbin-Levinson recursion on the (short) ACF vector."""
     L = len(rho) - 1
@@ -136,25 +132,16 @@ def adf(df: DataFrame, col: str, order_by, lags: int = 0, trend: str = "c") -> d
 
 def kpss(df: DataFrame, col: str, order_by, lags: int | None = None) -> dict:
     """KPSS level stationarity: partial sums of demeaned x over the global order,
-    Bartlett long-run variance from the autocovariances."""
+    Bartlett long-run variance from block-wise FFT autocovariances (any number of lags)."""
     ob = _ob(order_by)
-    data = df.select(*set(ob + [col])).dropna(subset=[col])
-    r = data.agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("m")).collect()[0]
-    n, m = r["n"], r["m"]
+    e, n = _centred(df, col, ob)
     if lags is None:
         lags = int(math.ceil(12 * (n / 100) ** 0.25))
-    e = data.withColumn("_e", F.col(col).cast("double") - F.lit(m))
-    go = GlobalOrder(e, ob)
-    cum = go.with_running_sums(["_e"])
-    sr = cum.agg(F.sum(F.col("_e_cum") ** 2).alias("s"), F.sum("_tie").alias("t")).collect()[0]
+    cum = GlobalOrder(e, ob).with_running_sums(["_e"])
+    sr = cum.agg(F.sum(F.col("_e_cum") ** 2).alias("s"), F.sum("_tie").alias("t")).first()
     check_unique(sr["t"], ob)
-    s2 = sr["s"]
-    lagged = GlobalOrder(e, ob).with_lags(["_e"], lags)
-    ag = [F.sum(F.col("_e") ** 2).alias("g0")] + [F.sum(F.col("_e") * F.col(f"_e_lag{k}")).alias(f"g{k}")
-                                                  for k in range(1, lags + 1)]
-    g = lagged.agg(*ag).collect()[0]
-    lrv = g["g0"] / n + 2 * sum((1 - k / (lags + 1)) * (g[f"g{k}"] or 0.0) / n for k in range(1, lags + 1))
-    return {"kpss_stat": s2 / (n * n * lrv), "lags": lags, "n_obs": n}
+    lrv = weighted_products(cum, ["_e"], bartlett(lags))[0, 0] / n
+    return {"kpss_stat": sr["s"] / (n * n * lrv), "lags": lags, "n_obs": n}
 
 
 # ----------------------------------------------------------------- M8
