@@ -2483,3 +2483,6 @@ UNION ALL SELECT 're:l_quantity', {S('bx')}, {S('sqrt(s2 * a / det)')} FROM zs
 UNION ALL SELECT 'hausman', {S('hs')}, {S('2 * ' + norm_sf_sql('sqrt(hs)'))} FROM h"""
 
 
+
+
+from . import catalog_models  # noqa: E402,F401  (registers further queries)

@@ -610,10 +610,19 @@ def inverse_link(fit: DiscreteFit):
 
 # ------------------------------------------------------- conditional logit
 def clogit(df: DataFrame, y: str, features: list[str], strata: str, max_iter: int = 50, tol: float = 1e-10) -> DiscreteFit:
-    """Conditional logit on matched strata. Strata without contrast (no case, or only
-    cases) carry no information and are left out. One case per stratum is exact; several
-    use Breslow's approximation of the conditional likelihood. Features are centred at
-    their means, which changes nothing but the size of the exponentials.
+    """Conditional logit on matched strata by the exact conditional likelihood, with any number
+    of cases per stratum (:mod:`.condlogit`). Strata without contrast (no case, or only cases)
+    carry no information and are left out."""
+    from .condlogit import fit_exact
+    r = fit_exact(_project(df, y, features, [strata]), y, features, strata, max_iter, tol)
+    return DiscreteFit("clogit", list(features), r["theta"], r["cov"], r["llf"], r["ll0"], r["strata"], 2, r["converged"], r["iterations"],
+                       list(features), y, extra={"null_k": 0, "strata": r["strata"]})
+
+
+def clogit_breslow(df: DataFrame, y: str, features: list[str], strata: str, max_iter: int = 50, tol: float = 1e-10) -> DiscreteFit:
+    """Conditional logit with Breslow's approximation for strata with several cases (exact for one),
+    by grouped sums alone. Features are centred at their means, which changes nothing but the
+    size of the exponentials.
 
     Each iteration: per-stratum sums of exp(x'b), exp(x'b) x, exp(x'b) x x' and of the
     case rows (``groupBy(strata)``, partial aggregation, so a large stratum costs no
