@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, register
 from .functions.columns import sig, sig_col
 from .operators import discrete as disc
-from .operators import series
+from .operators import dynpanel, series
 from .sources.scan import load
 
 # ------------------------------------------------------------------ M2, M3
@@ -51,3 +51,41 @@ def q_clogit_exposure(spark, sf):
     """Several cases per order, binary exposure: the conditional likelihood is noncentral hypergeometric."""
     d = _binary_li(spark, sf).withColumn("exposed", (F.col("l_discount") > 0.05).cast("double"))
     return disc.clogit(d, "is_r", ["exposed"], "l_orderkey").coefficients(spark).select("term", "coefficient", "se", "z_stat")
+
+
+# ---------------------------------------------------------------------- N5
+def _customer_years(spark, sf):
+    """Panel of customers by year: order value and number of orders."""
+    o = load(spark, sf, "orders")
+    return o.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(
+        F.sum("o_totalprice").alias("spent"), F.count(F.lit(1)).cast("double").alias("orders"))
+
+
+CUSTOMER_YEARS_SQL = ("p AS (SELECT o_custkey AS c, CAST(year(o_orderdate) AS BIGINT) AS t, sum(o_totalprice) AS y, CAST(count(*) AS DOUBLE) AS x "
+                      "FROM orders GROUP BY 1, 2)")
+
+
+@register("arellano_bond_exact_fit", f"""
+WITH {CUSTOMER_YEARS_SQL},
+d AS (SELECT a.c, a.y - b.y AS dy, b.y - e.y AS dl, a.x - b.x AS dx, e.y AS z
+      FROM p a JOIN p b ON a.c = b.c AND a.t = b.t + 1 JOIN p e ON a.c = e.c AND a.t = e.t + 2),
+m AS (SELECT sum(z * dl) AS a, sum(z * dx) AS b, sum(dx * dl) AS c2, sum(dx * dx) AS d2, sum(z * dy) AS u, sum(dx * dy) AS v FROM d),
+k AS (SELECT *, a * d2 - b * c2 AS det FROM m),
+s AS (SELECT d2 / det AS q11, -b / det AS q12, -c2 / det AS q21, a / det AS q22, (d2 * u - b * v) / det AS b1, (a * v - c2 * u) / det AS b2 FROM k),
+g AS (SELECT sum(z * (dy - b1 * dl - b2 * dx)) AS g1, sum(dx * (dy - b1 * dl - b2 * dx)) AS g2 FROM d, s GROUP BY d.c),
+o AS (SELECT sum(g1 * g1) AS o11, sum(g1 * g2) AS o12, sum(g2 * g2) AS o22 FROM g),
+r AS (SELECT b1, b2, sqrt(q11 * q11 * o11 + 2 * q11 * q12 * o12 + q12 * q12 * o22) AS s1,
+      sqrt(q21 * q21 * o11 + 2 * q21 * q22 * o12 + q22 * q22 * o22) AS s2 FROM s, o)
+SELECT 'L.spent' AS term, {S('b1')} AS coefficient, {S('s1')} AS se, {S('b1 / s1')} AS z_stat FROM r
+UNION ALL SELECT 'orders', {S('b2')}, {S('s2')}, {S('b2 / s2')} FROM r""")
+def q_arellano_bond_exact_fit(spark, sf):
+    """As many instruments as coefficients: y(t-2) and dx, one step, robust covariance."""
+    fit = dynpanel.arellano_bond(_customer_years(spark, sf), "spent", ["orders"], "o_custkey", "year", max_lag=1, collapse=True, steps=1)
+    return fit.coefficients(spark).select("term", "coefficient", "se", "z_stat")
+
+
+@register("arellano_bond_two_step")
+def q_arellano_bond_two_step(spark, sf):
+    fit = dynpanel.arellano_bond(_customer_years(spark, sf), "spent", ["orders"], "o_custkey", "year")
+    coef = fit.coefficients(spark).select("term", F.col("coefficient").alias("value"), "se")
+    return coef.unionByName(fit.test_table(spark).select(F.col("test").alias("term"), F.col("statistic").alias("value"), F.lit(None).cast("double").alias("se")))
