@@ -29,6 +29,7 @@ from .operators.interpret import effects_frame
 from .operators import causal
 from .operators import report as rep
 from .operators import trees
+from .operators import treeshap
 from .sources import profile as prof
 from .sources import registry as reg
 from .operators import monitor as mon
@@ -2438,8 +2439,8 @@ def q_tree_shapley_summary(spark, sf):
     li = _li(spark, sf)
     feats = ["l_quantity", "l_discount", "l_tax"]
     m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
-    phi = trees.sampled_shapley(m, li, feats, LI_ORDER, samples=4)
-    return phi.groupBy("feature").agg(sig_col(F.avg(F.abs("phi"))).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
+    return (treeshap.TreeExplainer(m, li, feats).mean_absolute(li)
+            .select("feature", sig_col("mean_abs_phi").alias("mean_abs_phi"), "rows"))
 
 
 @register("forecast_vs_actual_by_type")

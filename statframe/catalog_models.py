@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, register
 from .functions.columns import sig, sig_col
 from .operators import discrete as disc
-from .operators import dynpanel, series
+from .operators import dynpanel, series, trees, treeshap
 from .sources.scan import load
 
 # ------------------------------------------------------------------ M2, M3
@@ -89,3 +89,17 @@ def q_arellano_bond_two_step(spark, sf):
     fit = dynpanel.arellano_bond(_customer_years(spark, sf), "spent", ["orders"], "o_custkey", "year")
     coef = fit.coefficients(spark).select("term", F.col("coefficient").alias("value"), "se")
     return coef.unionByName(fit.test_table(spark).select(F.col("test").alias("term"), F.col("statistic").alias("value"), F.lit(None).cast("double").alias("se")))
+
+
+# --------------------------------------------------------------------- T13
+@register("tree_shapley_one_split", f"""
+WITH d AS (SELECT l_extendedprice AS y, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS x FROM lineitem),
+g AS (SELECT x, avg(y) AS m, count(*) AS n FROM d GROUP BY x), a AS (SELECT avg(y) AS m FROM d)
+SELECT 'big' AS feature, {S('sum(n * abs(g.m - a.m)) / sum(n)')} AS mean_abs_phi, CAST(sum(n) AS BIGINT) AS rows FROM g, a
+UNION ALL SELECT 'none', 0.0, CAST(sum(n) AS BIGINT) FROM g""")
+def q_tree_shapley_one_split(spark, sf):
+    """One split: the value is the leaf's mean minus the overall mean; an unused feature gets zero."""
+    d = _li(spark, sf).select("l_extendedprice", (F.col("l_quantity") > 25).cast("double").alias("big"), F.lit(1.0).alias("none"))
+    m = trees.train_tree_model(d, "l_extendedprice", ["big", "none"], "tree", maxDepth=1)
+    return (treeshap.TreeExplainer(m, d, ["big", "none"]).mean_absolute(d)
+            .select("feature", sig_col("mean_abs_phi").alias("mean_abs_phi"), "rows"))

@@ -102,9 +102,9 @@ def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: l
     return pooled.groupBy(key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
 
 
-def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], n_background: int | None = None,
-                    samples: int = 8, seed: int = 7) -> DataFrame:
-    """T13 for trees: Monte Carlo Shapley values per row and feature.
+def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], samples: int = 8, seed: int = 7) -> DataFrame:
+    """Monte Carlo Shapley values per row and feature with reference rows, for any fitted pipeline
+    (:mod:`.treeshap` has the exact values of trees by cover).
 
     The reference points are all rows (without null features): rows are put in a hash-seeded
     global order, and sample m of row i takes row i + o_m of that order (cyclic, with distinct
@@ -113,8 +113,7 @@ def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[st
     orderings; for feature j the "with" point takes features ranked <= j from the row and the
     rest from the reference row, the "without" point the same with j from the reference.
     ``model.transform`` scores all points; phi_j is the mean difference. Rows with equal keys
-    are attributed one by one. Work is rows x samples x 2p. ``n_background`` is what earlier
-    callers passed for a bounded reference set; it has no effect.
+    are attributed one by one. Work is rows x samples x 2p.
     """
     from ..plans.order import GlobalOrder
     keys = [F.col(c) for c in key_cols]

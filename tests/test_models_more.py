@@ -107,7 +107,7 @@ def test_sampled_shapley_zero_for_unused_feature(spark):
     rows = [(i, float(a), float(b), float(3 * a)) for i, (a, b) in enumerate(zip(rng.normal(size=300), rng.normal(size=300)))]
     df = spark.createDataFrame(rows, "id int, x1 double, x2 double, y double")
     m = trees.train_tree_model(df, "y", ["x1", "x2"], "tree", maxDepth=3)
-    phi = {r["feature"]: r["s"] for r in trees.sampled_shapley(m, df, ["x1", "x2"], ["id"], 16, 4)
+    phi = {r["feature"]: r["s"] for r in trees.sampled_shapley(m, df, ["x1", "x2"], ["id"], samples=4)
            .groupBy("feature").agg(F.sum(F.abs("phi")).alias("s")).collect()}
     assert phi["x2"] == 0.0 and phi["x1"] > 0
 
@@ -118,7 +118,7 @@ def test_sampled_shapley_takes_its_references_from_all_rows(spark):
     rows = [(i, float(i % 2 * 10), float(i % 2 * 10)) for i in range(300)] + [(300, None, 0.0), (None, 10.0, 10.0), (0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "id int, x double, y double")
     m = trees.train_tree_model(df, "y", ["x"], "tree", maxDepth=2)
-    phi = trees.sampled_shapley(m, df, ["x"], ["id"], 16, 4)
+    phi = trees.sampled_shapley(m, df, ["x"], ["id"], samples=4)
     assert phi.columns == ["id", "feature", "phi"]
     got = phi.toPandas()
     assert len(got) == 302 and (got["id"] == 0).sum() == 2 and got["id"].isna().sum() == 1
