@@ -2353,9 +2353,9 @@ def q_recalibration_platt(spark, sf):
     scored = d.withColumn("p", probability(fit))
     m = trees.recalibrate(scored, "is_r", "p", "platt")
     lr = m.stages[-1]
-    iso = trees.recalibrate(scored, "is_r", "p", "isotonic").stages[-1]
+    iso = trees.recalibrate(scored, "is_r", "p", "isotonic")
     return spark.createDataFrame([("platt_slope", sig(float(lr.coefficients[0]))), ("platt_intercept", sig(lr.intercept)),
-                                  ("isotonic_knots", float(len(iso.boundaries)))], "metric string, value double")
+                                  ("isotonic_knots", float(iso.knots().count()))], "metric string, value double")
 
 
 @register("forest_prediction_intervals")

@@ -12,6 +12,7 @@ from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, register
 from .functions.columns import sig, sig_col
 from .operators import discrete as disc
 from .operators import dynpanel, series, trees, treeshap
+from .operators.isotonic import isotonic
 from .sources.scan import load
 
 # ------------------------------------------------------------------ M2, M3
@@ -103,3 +104,18 @@ def q_tree_shapley_one_split(spark, sf):
     m = trees.train_tree_model(d, "l_extendedprice", ["big", "none"], "tree", maxDepth=1)
     return (treeshap.TreeExplainer(m, d, ["big", "none"]).mean_absolute(d)
             .select("feature", sig_col("mean_abs_phi").alias("mean_abs_phi"), "rows"))
+
+
+# ---------------------------------------------------------------------- X4
+@register("isotonic_price_by_supplier", f"""
+WITH p AS (SELECT CAST(l_suppkey % 97 AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS w, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+c AS (SELECT x, w, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, s FROM p),
+m AS (SELECT a.x AS a, b.x AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.x <= b.x),
+l AS (SELECT k.x, m.a, min(m.mean) AS low FROM c k JOIN m ON m.a <= k.x AND m.b >= k.x GROUP BY k.x, m.a),
+g AS (SELECT x, max(low) AS value FROM l GROUP BY x)
+SELECT x AS score, {S('value')} AS value FROM g""")
+def q_isotonic_price_by_supplier(spark, sf):
+    """The fitted step at every score; the oracle is the max-min formula over all score ranges."""
+    d = _li(spark, sf).select((F.col("l_suppkey") % 97).cast("double").alias("x"), "l_extendedprice")
+    fit = isotonic(d, "l_extendedprice", "x", n_buckets=12)
+    return fit.predict(d.select("x").distinct(), "x", "value").select(F.col("x").alias("score"), sig_col("value").alias("value"))

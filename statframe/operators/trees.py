@@ -11,8 +11,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, IsotonicRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +73,17 @@ def grid_search(df: DataFrame, y: str, features: list[str], kind: str, task: str
 
 
 def recalibrate(df: DataFrame, y: str, p: str, how: str = "platt"):
-    """Platt (logistic on the logit score) or isotonic recalibration; returns the fitted model."""
+    """Platt (logistic on the logit score, a fitted pipeline) or isotonic recalibration
+    (an :class:`.isotonic.IsotonicFit`)."""
+    if how == "isotonic":
+        from .isotonic import isotonic
+        return isotonic(df, y, p)
     d = df.select(F.col(y).cast("double").alias("label"), F.col(p).cast("double").alias("p")).dropna()
     if how == "platt":
         d = d.withColumn("z", F.log(F.col("p") / (F.lit(1.0) - F.col("p"))))
         va = VectorAssembler(inputCols=["z"], outputCol="features")
         return Pipeline(stages=[va, LogisticRegression(regParam=0.0)]).fit(d)
-    va = VectorAssembler(inputCols=["p"], outputCol="features")
-    return Pipeline(stages=[va, IsotonicRegression()]).fit(d)
+    raise ValueError(f"unknown recalibration {how!r}")
 
 
 def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: list[str],
