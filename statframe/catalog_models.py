@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, register
+from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, _phi2, _ppf_step, register
 from .functions.columns import sig, sig_col
 from .operators import discrete as disc
 from .operators import dynpanel, series, trees, treeshap
 from .operators.isotonic import isotonic
+from .operators.zeroinfl import zero_inflated
 from .sources.scan import load
 
 # ------------------------------------------------------------------ M2, M3
@@ -119,3 +120,57 @@ def q_isotonic_price_by_supplier(spark, sf):
     d = _li(spark, sf).select((F.col("l_suppkey") % 97).cast("double").alias("x"), "l_extendedprice")
     fit = isotonic(d, "l_extendedprice", "x", n_buckets=12)
     return fit.predict(d.select("x").distinct(), "x", "value").select(F.col("x").alias("score"), sig_col("value").alias("value"))
+
+
+# --------------------------------------------------------------------- D16
+def _discount_points(spark, sf):
+    return _li(spark, sf).select(F.round(F.col("l_discount") * 100).alias("points"), (F.col("l_quantity") > 25).cast("double").alias("big"),
+                                 "l_quantity", "l_tax")
+
+
+@register("zip_saturated", f"""
+WITH RECURSIVE d AS (SELECT CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS g, round(l_discount * 100) AS y FROM lineitem),
+c AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) AS n0, sum(y) / count(*) FILTER (WHERE y > 0) AS m FROM d GROUP BY g),
+it(g, i, mu) AS (SELECT g, 0, m FROM c UNION ALL SELECT it.g, i + 1, c.m * (1 - exp(-it.mu)) FROM it JOIN c ON it.g = c.g WHERE i < 80),
+p AS (SELECT c.g, n, n0, mu, 1 - (n - n0) / n / (1 - exp(-mu)) AS p FROM c JOIN it ON c.g = it.g AND it.i = 80),
+q AS (SELECT *, p / (p + (1 - p) * exp(-mu)) AS t FROM p),
+f AS (SELECT g, ln(p / (1 - p)) AS a, ln(mu) AS b, n * p * (1 - p) - n0 * t * (1 - t) AS iaa, -n0 * t * (1 - t) * mu AS iab,
+      n0 * (1 - t) * mu - n0 * t * (1 - t) * mu * mu + (n - n0) * mu AS ibb FROM q),
+v AS (SELECT g, a, b, ibb / (iaa * ibb - iab * iab) AS va, iaa / (iaa * ibb - iab * iab) AS vb FROM f),
+w AS (SELECT max(CASE WHEN g = 0 THEN a END) AS a0, max(CASE WHEN g = 1 THEN a END) AS a1, max(CASE WHEN g = 0 THEN b END) AS b0,
+      max(CASE WHEN g = 1 THEN b END) AS b1, max(CASE WHEN g = 0 THEN va END) AS va0, sum(va) AS vas, max(CASE WHEN g = 0 THEN vb END) AS vb0, sum(vb) AS vbs FROM v)
+SELECT 'inflate:const' AS term, {S('a0')} AS coefficient, {S('sqrt(va0)')} AS se FROM w
+UNION ALL SELECT 'inflate:big', {S('a1 - a0')}, {S('sqrt(vas)')} FROM w
+UNION ALL SELECT 'count:const', {S('b0')}, {S('sqrt(vb0)')} FROM w
+UNION ALL SELECT 'count:big', {S('b1 - b0')}, {S('sqrt(vbs)')} FROM w""")
+def q_zip_saturated(spark, sf):
+    """A binary feature in both parts: a zero-inflated Poisson per group, its mean a fixed point."""
+    fit = zero_inflated(_discount_points(spark, sf), "points", ["big"], ["big"])
+    return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("zinb_returned_points")
+def q_zinb_returned_points(spark, sf):
+    """Discount points of an order's returned lines (none where no line is returned), by its number of lines."""
+    points = F.when(F.col("l_returnflag") == "R", F.round(F.col("l_discount") * 100)).otherwise(0.0)
+    d = _li(spark, sf).groupBy("l_orderkey").agg(F.sum(points).alias("points"), F.count(F.lit(1)).cast("double").alias("lines"))
+    return zero_inflated(d, "points", ["lines"], ["lines"], "negbin").coefficients(spark)
+
+
+# --------------------------------------------------------------------- D17
+@register("heckman_saturated", f"""
+WITH d AS (SELECT CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS g, CASE WHEN l_quantity + 300 * l_discount > 35 THEN 1 ELSE 0 END AS s, l_extendedprice AS y FROM lineitem),
+c AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, CAST(sum(s) AS DOUBLE) AS n1, avg(s) AS p, avg(y) FILTER (WHERE s = 1) AS m,
+      var_pop(y) FILTER (WHERE s = 1) AS v FROM d GROUP BY g), {_ppf_step('c', {'z': 'p'}, 'q')},
+l AS (SELECT *, sqrt({_phi2('z')}) / p AS lam, p * (1 - p) / n / {_phi2('z')} AS vz FROM q),
+e AS (SELECT *, pow(lam * (lam + z), 2) * vz AS vl, v / n1 AS vm FROM l),
+w AS (SELECT a.m AS m0, b.m AS m1, a.lam AS l0, b.lam AS l1, a.vl AS vl0, b.vl AS vl1, a.vm AS vm0, b.vm AS vm1, (b.m - a.m) / (b.lam - a.lam) AS s,
+      b.lam - a.lam AS dl FROM e a, e b WHERE a.g = 0 AND b.g = 1)
+SELECT 'const' AS term, {S('m0 - s * l0')} AS coefficient,
+       {S('sqrt(pow(1 + l0 / dl, 2) * vm0 + pow(l0 / dl, 2) * vm1 + pow(l0 * s / dl, 2) * vl1 + pow(s + l0 * s / dl, 2) * vl0)')} AS se FROM w
+UNION ALL SELECT '_imr', {S('s')}, {S('sqrt((vm0 + vm1 + s * s * (vl0 + vl1)) / (dl * dl))')} FROM w""")
+def q_heckman_saturated(spark, sf):
+    """A binary selection feature and no outcome feature: the delta method on four group moments."""
+    d = _li(spark, sf).select("l_extendedprice", (F.col("l_discount") > 0.05).cast("double").alias("cheap"),
+                              (F.col("l_quantity") + 300 * F.col("l_discount") > 35).cast("double").alias("chosen"))
+    return disc.heckman(d, "l_extendedprice", [], "chosen", ["cheap"])["outcome"].coefficients(spark).select("term", "coefficient", "se")

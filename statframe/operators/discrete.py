@@ -742,14 +742,49 @@ def tobit(df: DataFrame, y: str, features: list[str], lower: float | None = 0.0,
 
 
 def heckman(df: DataFrame, y: str, features: list[str], selected: str, sel_features: list[str]) -> dict:
-    """Heckman two-step: probit for selection, inverse Mills ratio as a column,
-    then OLS on the selected rows (second-step SE without the generated-regressor correction)."""
+    """Heckman two-step: probit for selection, inverse Mills ratio as a column, OLS on the
+    selected rows. The covariance of the second step counts the estimation of the first: the scores of
+    both steps are stacked, their Gram and the cross Jacobian come from one aggregate over all rows, and the
+    sandwich A^-1 B A^-T has the block-triangular A of a two-step estimate. ``y`` and the outcome
+    features may be null where a row is not selected."""
     from .linear import ols
     sel = probit(df, selected, sel_features)
-    zg = lit_dot(sel.theta, [F.lit(1.0)] + [F.col(c).cast("double") for c in sel_features])
-    d = df.withColumn("_imr", norm_pdf(zg) / norm_cdf(zg)).where(F.col(selected).cast("double") == 1.0)
-    out = ols(d, y, list(features) + ["_imr"])
-    return {"selection": sel, "outcome": out, "lambda": out.beta[-1], "lambda_se": out.se[-1]}
+    ws = [F.lit(1.0)] + [F.col(c).cast("double") for c in sel_features]
+    pick = F.col(selected).cast("double") == 1.0
+    rows = df.dropna(subset=[selected, *sel_features]).withColumn("_z", lit_dot(sel.theta, ws))
+    rows = rows.withColumn("_imr", norm_pdf("_z") / norm_cdf("_z"))
+    out = ols(rows.where(pick), y, list(features) + ["_imr"])
+
+    complete = pick & F.col(y).isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in features] + [F.col("_imr")]
+    slope = float(out.beta[-1])
+    d = rows.withColumns({"_s": F.when(pick, F.col("_imr")).otherwise(-norm_pdf("_z") / norm_cdf(-F.col("_z"))),
+                          "_e": F.when(complete, F.col(y).cast("double") - lit_dot(out.beta, xs)).otherwise(0.0),
+                          "_delta": F.when(complete, F.col("_imr") * (F.col("_imr") + F.col("_z"))).otherwise(0.0)})
+    kw, kx = len(ws), len(xs)
+    psi = [F.col("_s") * w for w in ws] + [F.when(complete, F.col("_e") * x).otherwise(0.0) for x in xs]
+    n = kw + kx
+    aggs = [F.sum(psi[i] * psi[j]).alias(f"b{i}_{j}") for i in range(n) for j in range(i, n)]
+    # derivative of the outcome scores by the selection coefficients: the Mills ratio moves by -delta w
+    own = [F.when(complete, F.lit(slope) * x).otherwise(0.0) * F.col("_delta") for x in xs]
+    own[-1] = own[-1] - F.col("_e") * F.col("_delta")
+    aggs += [F.sum(own[i] * ws[j]).alias(f"c{i}_{j}") for i in range(kx) for j in range(kw)]
+    r = d.agg(*aggs, F.sum("_delta").alias("delta")).first()
+    b = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            b[i, j] = b[j, i] = r[f"b{i}_{j}"]
+    a = np.zeros((n, n))
+    a[:kw, :kw] = np.linalg.inv(sel.cov)
+    a[kw:, kw:] = np.linalg.inv(out.bread)
+    a[kw:, :kw] = -np.array([[r[f"c{i}_{j}"] for j in range(kw)] for i in range(kx)])
+    inv = np.linalg.inv(a)
+    out.cov = (inv @ b @ inv.T)[kw:, kw:]
+    out.se_type = "two-step"
+    sigma = math.sqrt(max((out.ssr + slope * slope * r["delta"]) / out.n, 0.0))
+    return {"selection": sel, "outcome": out, "lambda": slope, "lambda_se": out.se[-1], "sigma": sigma, "rho": slope / sigma if sigma else math.nan}
 
 
 # ------------------------------------------------- generalised ordered logit
