@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EV_ORDER, LI_ORDER, S, _binary_li, _ev, _li, _phi2, _ppf_step, register
+from .catalog import EV_ORDER, LI_ORDER, O, S, SAT_CELLS, _binary_li, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, register
 from .functions.columns import sig, sig_col
+from .operators import diagnostics as diag
 from .operators import discrete as disc
 from .operators import dynpanel, series, trees, treeshap
+from .operators import interpret as interp
+from .operators import linear as lin
+from .operators.foldcv import cross_validate_discrete
 from .operators.isotonic import isotonic
 from .operators.zeroinfl import zero_inflated
+from .plans.selection import exact_quantiles
 from .sources.scan import load
 
 # ------------------------------------------------------------------ M2, M3
@@ -174,3 +179,98 @@ def q_heckman_saturated(spark, sf):
     d = _li(spark, sf).select("l_extendedprice", (F.col("l_discount") > 0.05).cast("double").alias("cheap"),
                               (F.col("l_quantity") + 300 * F.col("l_discount") > 35).cast("double").alias("chosen"))
     return disc.heckman(d, "l_extendedprice", [], "chosen", ["cheap"])["outcome"].coefficients(spark).select("term", "coefficient", "se")
+
+
+# ---------------------------------------------------------------------- T3
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+def _quantiles_sql() -> str:
+    rows = [("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"), ("l_tax", "l_tax"), ("centred", "l_extendedprice - 40000.0")]
+    return "\nUNION ALL\n".join(f"SELECT '{n}' AS term, CAST({p!r} AS DOUBLE) AS prob, {S(f'quantile_cont({e}, {p!r})')} AS value FROM lineitem" for n, e in rows for p in PROBS)
+
+
+@register("quantiles_exact", _quantiles_sql())
+def q_quantiles_exact(spark, sf):
+    """Four columns, seven quantiles each, negative values among them."""
+    d = _li(spark, sf).select("l_quantity", "l_extendedprice", "l_tax", (F.col("l_extendedprice") - 40000.0).alias("centred"))
+    q = exact_quantiles(d, d.columns, PROBS)
+    return spark.createDataFrame([(c, p, sig(v)) for c, vs in q.items() for p, v in zip(PROBS, vs)], "term string, prob double, value double")
+
+
+@register("logit_effects_at_median", f"""WITH {SAT_CELLS},
+m AS (SELECT median(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS xm FROM lineitem),
+pp AS (SELECT *, 1.0 / (1.0 + exp(-(b0 + b1 * xm))) AS pm FROM f, m),
+j AS (SELECT *, b1 * pm * (1 - pm) AS eff, b1 * pm * (1 - pm) * (1 - 2 * pm) AS j0,
+      pm * (1 - pm) + b1 * pm * (1 - pm) * (1 - 2 * pm) * xm AS j1 FROM pp),
+v AS (SELECT *, sqrt(j0 * j0 * v00 - 2 * j0 * j1 * v00 + j1 * j1 * v11) AS se FROM j)
+SELECT 'status_f' AS term, {S('eff')} AS effect, {S('se')} AS se, {S('eff / se')} AS z_stat FROM v""")
+def q_logit_effects_at_median(spark, sf):
+    d = _binary_li(spark, sf)
+    rows = interp.effects_at(d, disc.logit(d, "is_r", ["status_f"]), "median")
+    return interp.effects_frame(spark, rows).select("term", "effect", "se", "z_stat")
+
+
+# --------------------------------------------------------------------- E14
+@register("mnlogit_cv_by_nation", f"""
+WITH d AS (SELECT c_mktsegment AS y, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS x, c_nationkey AS f FROM customer),
+c AS (SELECT f, x, y, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY f, x, y),
+t AS (SELECT x, y, sum(n) AS n FROM c GROUP BY x, y),
+g AS (SELECT fs.f, t.x, t.y, t.n - coalesce(c.n, 0) AS n, coalesce(c.n, 0) AS own FROM (SELECT DISTINCT f FROM d) fs, t
+      LEFT JOIN c ON c.f = fs.f AND c.x = t.x AND c.y = t.y),
+p AS (SELECT f, x, y, own, n / sum(n) OVER (PARTITION BY f, x) AS p FROM g)
+SELECT CAST(f AS INTEGER) AS fold, CAST(sum(own) AS BIGINT) AS n, {S('-sum(own * ln(p)) / sum(own)')} AS log_loss FROM p GROUP BY f""")
+def q_mnlogit_cv_by_nation(spark, sf):
+    """25 folds fitted together; a binary feature, so every fold's model is its table of class shares."""
+    d = load(spark, sf, "customer").withColumn("pos_balance", (F.col("c_acctbal") > 0).cast("double"))
+    res = cross_validate_discrete(d, "c_mktsegment", ["pos_balance"], F.col("c_nationkey").cast("int"))
+    return spark.createDataFrame([(int(r["fold"]), r["n"], sig(r["log_loss"])) for r in res], "fold int, n bigint, log_loss double")
+
+
+@register("ordered_cv_by_year")
+def q_ordered_cv_by_year(spark, sf):
+    o = load(spark, sf, "orders").withColumn("price", F.col("o_totalprice") / 100000)
+    res = cross_validate_discrete(o, "o_orderpriority", ["price"], F.year("o_orderdate"), "ordered")
+    return spark.createDataFrame([(int(r["fold"]), r["n"], sig(r["log_loss"]), sig(r["accuracy"])) for r in res],
+                                 "fold int, n bigint, log_loss double, accuracy double")
+
+
+# ------------------------------------------------------------- R12 roll-ups
+@register("segmented_ols_rollup", f"""
+WITH g AS (SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag, l_linestatus) AS INTEGER) AS level, count(*) AS n,
+  regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS b0
+  FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus))
+SELECT l_returnflag, l_linestatus, level, 'const' AS term, {S('b0')} AS coefficient, n AS n_obs FROM g
+UNION ALL SELECT l_returnflag, l_linestatus, level, 'l_quantity', {S('b1')}, n FROM g""")
+def q_segmented_ols_rollup(spark, sf):
+    return lin.segmented_ols_sets(_li(spark, sf), "l_extendedprice", ["l_quantity"], ["l_returnflag", "l_linestatus"]).select(
+        "l_returnflag", "l_linestatus", "level", "term", "coefficient", "n_obs")
+
+
+# ---------------------------------------------------------------------- R4
+AR_ORDER = ", ".join(LI_ORDER)
+
+
+@register("gls_block_ar", f"""
+WITH l AS (SELECT l_extendedprice AS y, l_quantity AS x, lag(l_extendedprice) OVER w AS yl, lag(l_quantity) OVER w AS xl
+           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {AR_ORDER})),
+t AS (SELECT CASE WHEN yl IS NULL THEN sqrt(0.91) ELSE 0.7 END AS c, CASE WHEN yl IS NULL THEN sqrt(0.91) * y ELSE y - 0.3 * yl END AS ty,
+      CASE WHEN yl IS NULL THEN sqrt(0.91) * x ELSE x - 0.3 * xl END AS tx FROM l),
+{_nc2_sql('t', 'c', 'tx', 'ty')}
+{_nc2_select('l_quantity')}""")
+def q_gls_block_ar(spark, sf):
+    """Blocks of suppliers with AR(1) covariance of a known coefficient."""
+    fit = lin.gls_block_ar(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER, [0.3])
+    return fit.coefficients(spark).select("term", "coefficient", "se", "t_stat")
+
+
+# ------------------------------------------------------------------ A9, V7
+@register("assumption_report", f"""
+WITH a AS ({O['breusch_pagan']}), b AS ({O['reset_test']})
+SELECT test, statistic, flag FROM a UNION ALL SELECT test, statistic, NULL AS flag FROM b""")
+def q_assumption_report(spark, sf):
+    """Tests of the one-scan report whose statistics have SQL twins on the same fit; the others of the
+    report are held against the single tests in ``tests/test_more_plans.py``."""
+    li = _li(spark, sf)
+    t = diag.validate_assumptions(spark, li, lin.ols(li, "l_extendedprice", ["l_quantity", "l_discount"]), normality=False)
+    return t.where(F.col("test").isin("breusch_pagan", "reset")).select("test", "statistic", F.when(F.col("test") != "reset", F.col("flag")).alias("flag"))

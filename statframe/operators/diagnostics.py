@@ -8,6 +8,8 @@ read the fit's own Gram.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,45 +65,86 @@ def _fit_data(df: DataFrame, fit: LinearFit, extra=None) -> DataFrame:
     return design(df, fit.target, fit.features, fit.weight, extra)
 
 
+# ------------------------------------------------------ shared moments
+@dataclass
+class MomentTest:
+    """A test that is a function of moments: the columns it needs and what it makes of them."""
+    columns: dict[str, Column]
+    finish: Callable[[Moments], tuple]
+
+
+def run_tests(df: DataFrame, fit: LinearFit, tests: list[MomentTest]) -> list[tuple]:
+    """All tests from one aggregate over the union of their columns."""
+    columns: dict[str, Column] = {}
+    for t in tests:
+        columns.update(t.columns)
+    names = list(columns)
+    m = gram(_fit_data(df, fit), list(columns.values()), names=names)
+
+    def part(wanted):
+        i = m.idx(wanted)
+        return Moments(list(wanted), m.n, m.sw, m.s[i], m.m[np.ix_(i, i)], m.slogw)
+
+    return [t.finish(part(list(t.columns))) for t in tests]
+
+
+def _levels(fit: LinearFit) -> dict[str, Column]:
+    return {c: F.col(c).cast("double") for c in fit.features}
+
+
 # ------------------------------------------------------ heteroskedasticity
+def breusch_pagan_test(fit: LinearFit) -> MomentTest:
+    def finish(mom: Moments) -> tuple:
+        lm = mom.n * _r2(mom, "_e2", fit.features)
+        d = len(fit.features)
+        return _row("breusch_pagan", lm, d, dist.chi2_sf(lm, d))
+
+    return MomentTest({**_levels(fit), "_e2": fit.residual() ** 2}, finish)
+
+
 def breusch_pagan(df: DataFrame, fit: LinearFit) -> tuple:
     """A1: Koenker LM = n R^2 of e^2 on X; df = k - 1."""
-    data = _fit_data(df, fit).withColumn("_e2", fit.residual() ** 2)
-    mom = gram(data, list(fit.features) + ["_e2"])
-    lm = mom.n * _r2(mom, "_e2", fit.features)
-    d = len(fit.features)
-    return _row("breusch_pagan", lm, d, dist.chi2_sf(lm, d))
+    return run_tests(df, fit, [breusch_pagan_test(fit)])[0]
 
 
-def white(df: DataFrame, fit: LinearFit) -> tuple:
-    """A2: e^2 on levels, squares and cross products; duplicate columns dropped."""
+def white_test(fit: LinearFit) -> MomentTest:
     f = list(fit.features)
-    data = _fit_data(df, fit).withColumn("_e2", fit.residual() ** 2)
-    terms: dict[str, Column] = {c: F.col(c).cast("double") for c in f}
+    terms = _levels(fit)
     for i, a in enumerate(f):
         for b in f[i:]:
             terms[f"{a}*{b}"] = F.col(a).cast("double") * F.col(b).cast("double")
     names = list(terms)
-    mom = gram(data, list(terms.values()) + [F.col("_e2")], names=names + ["_e2"])
-    c = mom.centered(names)
-    d = np.sqrt(np.clip(np.diag(c), 0, None))
-    keep_idx = [i for i in range(len(names)) if d[i] > 0]
-    s = c[np.ix_(keep_idx, keep_idx)] / np.outer(d[keep_idx], d[keep_idx])
-    dep = set(pivoted_dependents(s, 1e-9))
-    kept = [names[keep_idx[i]] for i in range(len(keep_idx)) if i not in dep]
-    lm = mom.n * _r2(mom, "_e2", kept)
-    return _row("white", lm, len(kept), dist.chi2_sf(lm, len(kept)))
+
+    def finish(mom: Moments) -> tuple:
+        c = mom.centered(names)
+        d = np.sqrt(np.clip(np.diag(c), 0, None))
+        keep_idx = [i for i in range(len(names)) if d[i] > 0]
+        s = c[np.ix_(keep_idx, keep_idx)] / np.outer(d[keep_idx], d[keep_idx])
+        dep = set(pivoted_dependents(s, 1e-9))
+        kept = [names[keep_idx[i]] for i in range(len(keep_idx)) if i not in dep]
+        lm = mom.n * _r2(mom, "_e2", kept)
+        return _row("white", lm, len(kept), dist.chi2_sf(lm, len(kept)))
+
+    return MomentTest({**terms, "_e2": fit.residual() ** 2}, finish)
+
+
+def white(df: DataFrame, fit: LinearFit) -> tuple:
+    """A2: e^2 on levels, squares and cross products; duplicate columns dropped."""
+    return run_tests(df, fit, [white_test(fit)])[0]
 
 
 # ------------------------------------------------------------ normality
+def jarque_bera_test(fit: LinearFit) -> MomentTest:
+    def finish(mom: Moments) -> tuple:  # power sums of e from the moments of (e, e^2)
+        jb, _, _ = jb_from_sums(mom.n, mom.s[0], mom.s[1], mom.m[0, 1], mom.m[1, 1])
+        return _row("jarque_bera", jb, 2, math.exp(-jb / 2))
+
+    return MomentTest({"_e": fit.residual(), "_e2": fit.residual() ** 2}, finish)
+
+
 def jarque_bera(df: DataFrame, fit: LinearFit) -> tuple:
     """n/6 (S^2 + (K-3)^2/4) from power sums of the residual; chi2(2)."""
-    e = fit.residual()
-    r = _fit_data(df, fit).select(e.alias("e")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e").alias("s1"), F.sum(F.col("e") ** 2).alias("s2"),
-        F.sum(F.col("e") ** 3).alias("s3"), F.sum(F.col("e") ** 4).alias("s4")).collect()[0]
-    jb, _, _ = jb_from_sums(r["n"], r["s1"], r["s2"], r["s3"], r["s4"])
-    return _row("jarque_bera", jb, 2, math.exp(-jb / 2))
+    return run_tests(df, fit, [jarque_bera_test(fit)])[0]
 
 
 def jb_from_sums(n, s1, s2, s3, s4):
@@ -181,8 +224,7 @@ def correlation_screen(fit: LinearFit) -> list[tuple]:
 
 
 # ------------------------------------------------------ specification
-def reset(df: DataFrame, fit: LinearFit, powers=(2, 3)) -> tuple:
-    """Ramsey RESET -- add powers of the fitted value, F test on them."""
+def reset_test(fit: LinearFit, powers=(2, 3)) -> MomentTest:
     # powers of the standardised fitted value: the same column span as powers of yhat (the
     # test is invariant to an affine change of yhat) but well conditioned; mean and variance of
     # yhat come from the fit's own Gram (mean = ybar, var = b' Cxx b / n), so no extra pass
@@ -191,15 +233,21 @@ def reset(df: DataFrame, fit: LinearFit, powers=(2, 3)) -> tuple:
     mu = float(fit.beta[0] + mom.mean(fit.features) @ b) if len(b) else float(fit.beta[0])
     var = float(b @ mom.centered(fit.features) @ b / mom.sw) if len(b) else 0.0
     z = (fit.linear_predictor() - F.lit(mu)) / F.lit(math.sqrt(var) if var > 0 else 1.0)
-    data = _fit_data(df, fit)
     extra = {f"_yhat{p}": z ** p for p in powers}
-    names = list(fit.features) + list(extra) + [fit.target]
-    mom = gram(data, [F.col(c) for c in fit.features] + list(extra.values()) + [F.col(fit.target)], names=names)
-    _, _, ssr_u, _ = solve_moments(mom, fit.target, names[:-1])
-    q = len(powers)
-    dfd = mom.n - fit.k - q
-    fstat = ((fit.ssr - ssr_u) / q) / (ssr_u / dfd)
-    return _row("reset", fstat, q, dist.f_sf(fstat, q, dfd))
+
+    def finish(m: Moments) -> tuple:
+        _, _, ssr_u, _ = solve_moments(m, fit.target, [*fit.features, *extra])
+        q = len(powers)
+        dfd = m.n - fit.k - q
+        fstat = ((fit.ssr - ssr_u) / q) / (ssr_u / dfd)
+        return _row("reset", fstat, q, dist.f_sf(fstat, q, dfd))
+
+    return MomentTest({**_levels(fit), **extra, fit.target: F.col(fit.target).cast("double")}, finish)
+
+
+def reset(df: DataFrame, fit: LinearFit, powers=(2, 3)) -> tuple:
+    """Ramsey RESET -- add powers of the fitted value, F test on them."""
+    return run_tests(df, fit, [reset_test(fit, powers)])[0]
 
 
 def influence(df: DataFrame, fit: LinearFit, keep: list[str] | None = None) -> DataFrame:
@@ -286,13 +334,36 @@ def summary(tests: list[tuple]) -> dict:
             "overall": overall, "confidence_adjustment": min(0.5, 0.05 * nf + 0.02 * nw)}
 
 
-def validate_assumptions(spark: SparkSession, df: DataFrame, fit: LinearFit, order_by=None) -> DataFrame:
-    """All linear-model tests as one tidy table."""
-    rows = [breusch_pagan(df, fit), white(df, fit), jarque_bera(df, fit), reset(df, fit)]
+def serial_tests(df: DataFrame, fit: LinearFit, order_by, n_lags: int = 1) -> list[tuple]:
+    """A3 and A4 (:func:`durbin_watson`, :func:`breusch_godfrey`) from one ordered pass."""
+    ob = [order_by] if isinstance(order_by, str) else list(order_by)
+    data = _fit_data(df, fit, ob).withColumn("_e", fit.residual())
+    lagged = GlobalOrder(data, ob).with_lags(["_e"], n_lags)
+    cols = {**_levels(fit), **{f"_l{i}": F.coalesce(F.col(f"_e_lag{i}"), F.lit(0.0)) for i in range(1, n_lags + 1)}, "_e": F.col("_e"),
+            "_step": F.coalesce(F.col("_e") - F.col("_e_lag1"), F.lit(0.0)), "_tie": F.col("_tie")}
+    m = gram(lagged, list(cols.values()), names=list(cols))
+    check_unique(int(round(m.s[-1])), ob)
+    e, step = m.idx(["_e", "_step"])
+    dw = m.m[step, step] / m.m[e, e]
+    lm = m.n * _r2(m, "_e", [c for c in cols if c not in ("_e", "_step", "_tie")])
+    return [("durbin_watson", sig(dw), None, None, flag_dw(dw)), _row("breusch_godfrey", lm, n_lags, dist.chi2_sf(lm, n_lags))]
+
+
+def validate_assumptions(spark: SparkSession, df: DataFrame, fit: LinearFit, order_by=None, normality: bool = True) -> DataFrame:
+    """All linear-model tests and their summary as one tidy table (A1-A9, A11): one scan for the moment
+    tests together, one ordered pass for the serial tests (with ``order_by``), and one ranking of the
+    residuals for Shapiro-Wilk (``normality``). The last rows are the summary of A9."""
+    rows = run_tests(df, fit, [breusch_pagan_test(fit), white_test(fit), jarque_bera_test(fit), reset_test(fit)])
+    if normality:
+        e = _fit_data(df, fit).select(F.lit("residual").alias("_g"), fit.residual().alias("_e"))
+        w = shapiro_wilk(e, "_e", "_g").first()
+        rows.append(("shapiro_wilk", sig(w["W"]), float(w["n"]), sig(w["p_value"]), flag_p(w["p_value"])))
     if order_by:
-        rows += [durbin_watson(df, fit, order_by), breusch_godfrey(df, fit, order_by)]
+        rows += serial_tests(df, fit, order_by)
     for name, v, fl in vif(fit):
         rows.append((f"vif:{name}", v, None, None, fl))
+    s = summary(rows)
+    rows += [(f"summary:{k}", float(s[k]), None, None, s["overall"]) for k in ("n_tests", "n_pass", "n_warn", "n_fail", "confidence_adjustment")]
     return spark.createDataFrame(rows, TEST_SCHEMA)
 
 

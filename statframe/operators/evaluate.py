@@ -81,7 +81,7 @@ def auc(df: DataFrame, y, score) -> float:
         off += r["N"]
         P += r["P"]
         N += r["N"]
-    return u / (P * N)
+    return u / (P * N) if P and N else math.nan  # one class only: not defined
 
 
 def roc_points(df: DataFrame, y, score) -> DataFrame:

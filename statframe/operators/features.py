@@ -96,10 +96,12 @@ def nps3(col) -> Column:
 
 
 def strata_weights(sample: DataFrame, population: DataFrame, stratum: str) -> DataFrame:
-    """weight = N_pop / N_sample per stratum (both sides aggregated first)."""
+    """weight = N_pop / N_sample per stratum (both sides aggregated first). Every stratum of either side is
+    reported: one without sample rows has ``n_sample`` 0, one without population rows ``n_pop`` 0, both a null weight."""
     s = sample.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_sample"))
     p = population.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_pop"))
-    return s.join(p, stratum, "inner").withColumn("weight", F.col("n_pop") / F.col("n_sample"))
+    both = s.join(p, stratum, "full").fillna(0, ["n_sample", "n_pop"])
+    return both.withColumn("weight", F.when((F.col("n_sample") > 0) & (F.col("n_pop") > 0), F.col("n_pop") / F.col("n_sample")))
 
 
 def to_counts(df: DataFrame, y: str, cells: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import dist
 from ..functions.columns import logistic, norm_pdf, sig
 from ..plans.gram import moments_from_row, poisson_grams
 from ..plans.newton import lit_dot
+from ..plans.selection import exact_quantiles
 from .discrete import DiscreteFit, class_probabilities
 from .linear import LinearFit, design, solve_moments
 
@@ -87,7 +88,7 @@ def effects_at(df: DataFrame, fit: DiscreteFit, at: str = "mean") -> list[tuple]
     if at == "mean":
         r = df.dropna(subset=feats).agg(*[F.avg(c).alias(c) for c in feats]).collect()[0]
     elif at == "median":
-        r = df.dropna(subset=feats).agg(*[F.percentile_approx(c, 0.5, 100000).alias(c) for c in feats]).collect()[0]
+        r = {c: v[0] for c, v in exact_quantiles(df.dropna(subset=feats), feats, [0.5]).items()}
     elif at == "mode":
         r = df.dropna(subset=feats).agg(*[F.mode(c).alias(c) for c in feats]).collect()[0]
     else:

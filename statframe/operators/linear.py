@@ -17,7 +17,7 @@ from ..functions.columns import sig
 from ..functions.linalg import sym_inv
 from ..plans.autocov import bartlett, weighted_products
 from ..plans.gram import Moments, gram, group_shrunk_moments, grouped_gram, moments_from_row
-from ..plans.order import GlobalOrder, check_unique
+from ..plans.order import GlobalOrder, check_unique, series_lags
 from ..sources.scan import check_nonempty, require_numeric
 
 CONST = "const"
@@ -336,9 +336,30 @@ def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]
     """
     by = [by] if isinstance(by, str) else list(by)
     data = design(df, target, features, extra=by)
+    g = grouped_gram(data, by, list(features) + [target])
+    return _solve_segments(g, [data.schema[c] for c in by], target, features)
+
+
+def segmented_ols_sets(df: DataFrame, target: str, features: list[str], by: list[str], sets: list[list[str]] | None = None) -> DataFrame:
+    """OLS per key of every grouping set (default: the roll-up ``by``, ``by[:-1]``, ..., all rows), from one
+    scan: the finest Gram rows are added up along the sets. A key that a set sums over is null, and
+    ``level`` has a bit per such key (the last key is bit 0). Rows with a null key are left out, so a
+    null key always means a sum."""
+    by = [by] if isinstance(by, str) else list(by)
+    sets = [by[:i] for i in range(len(by), -1, -1)] if sets is None else sets
+    data = design(df, target, features, extra=by).dropna(subset=by)
+    fine = grouped_gram(data, by, list(features) + [target])
+    sums = [c for c in fine.columns if c not in by]
+    merged = fine.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+        *[F.sum(c).alias(c) for c in sums], F.grouping_id().cast("int").alias("level"))
+    keys = [T.StructField(data.schema[c].name, data.schema[c].dataType, True) for c in by] + [T.StructField("level", T.IntegerType())]
+    return _solve_segments(merged, keys, target, features)
+
+
+def _solve_segments(g: DataFrame, key_fields: list, target: str, features: list[str]) -> DataFrame:
+    """Coefficient rows of the OLS of every Gram row of ``g``."""
+    by = [f.name for f in key_fields]
     names = list(features) + [target]
-    g = grouped_gram(data, by, names)
-    key_fields = [data.schema[c] for c in by]
     schema = T.StructType(key_fields + [
         T.StructField("term", T.StringType()), T.StructField("coefficient", T.DoubleType()),
         T.StructField("se", T.DoubleType()), T.StructField("t_stat", T.DoubleType()),
@@ -368,6 +389,57 @@ def segmented_ols(df: DataFrame, target: str, features: list[str], by: list[str]
     return g.mapInPandas(solve, schema)
 
 
+def ar_whitening(phi: list[float]) -> list[np.ndarray]:
+    """Whitening weights of a stationary AR(p) with unit innovation variance: entry i (i < p) are the weights
+    of the i-th row of a block and those before it, newest first; entry p are those of all later rows."""
+    p = len(phi)
+    roots = np.linalg.eigvals(np.vstack([phi, np.eye(p - 1, p)])) if p else np.zeros(0)
+    if p and np.abs(roots).max() >= 1:
+        raise ValueError(f"AR coefficients {phi} are not stationary")
+    # autocovariances 0..p from the Yule-Walker equations
+    a, rhs = np.eye(p + 1), np.zeros(p + 1)
+    rhs[0] = 1.0
+    for k in range(p + 1):
+        for j, f in enumerate(phi, start=1):
+            a[k, abs(k - j)] -= f
+    gamma = np.linalg.solve(a, rhs)
+    inv = np.linalg.inv(np.linalg.cholesky(gamma[np.abs(np.subtract.outer(np.arange(p), np.arange(p)))])) if p else np.zeros((0, 0))
+    return [inv[i, :i + 1][::-1] for i in range(p)] + [np.r_[1.0, -np.asarray(phi, dtype=float)]]
+
+
+def gls_block_ar(df: DataFrame, target: str, features: list[str], block: str | list[str], order_by, phi: list[float]) -> LinearFit:
+    """GLS with a known block-diagonal Omega whose blocks are stationary AR(p) covariances in the order
+    ``order_by``. The inverse Cholesky factor of such a block is banded: every row is whitened with the p
+    rows before it, the first p of a block by the factor of their own covariance. Lags come from
+    the block-led global order, so a block of any size is split over tasks."""
+    block = [block] if isinstance(block, str) else list(block)
+    ob = [order_by] if isinstance(order_by, str) else list(order_by)
+    p, cols = len(phi), [target] + list(features)
+    data = design(df, target, features, extra=block + ob)
+    lagged = series_lags(data.withColumn("_c", F.lit(1.0)), block, ob, ["_c"] + cols, p) if p else data.withColumn("_c", F.lit(1.0))
+    weights = ar_whitening(phi)
+
+    def white(c: str):
+        past = [F.col(c).cast("double")] + [F.col(f"{c}_lag{i}") for i in range(1, p + 1)]
+        rows = [sum((F.lit(float(w)) * x for w, x in zip(ws, past)), F.lit(0.0)) for ws in weights]
+        out = rows[p]
+        for i in range(p - 1, -1, -1):  # the i-th row of a block has i rows before it
+            out = F.when(F.col(f"_c_lag{i + 1}").isNull(), rows[i]).otherwise(out)
+        return out
+
+    names = ["_c"] + cols
+    mom = gram(lagged, [white(c) for c in names], names=names)
+    check_nonempty(mom.n, "training data after dropping NA")
+    xs = ["_c"] + list(features)
+    bread = sym_inv(mom.m[np.ix_(mom.idx(xs), mom.idx(xs))], [CONST] + list(features))
+    beta = bread @ mom.m[np.ix_(mom.idx(xs), mom.idx([target]))][:, 0]
+    yty = mom.m[mom.idx([target])[0], mom.idx([target])[0]]
+    ssr = max(float(yty - beta @ mom.m[np.ix_(mom.idx(xs), mom.idx([target]))][:, 0]), 0.0)
+    fit = LinearFit(target, list(features), beta, bread, bread * 0, mom.n, ssr, float("nan"), algorithm="gls_block_ar", moments=mom)
+    fit.cov = fit.sigma2 * bread
+    return fit
+
+
 def gls_equicorrelated(df: DataFrame, target: str, features: list[str], group: str, rho: float) -> LinearFit:
     """GLS with a known block-diagonal Omega, equicorrelated within ``group``
     (Omega_g = (1 - rho) I + rho J). Whitening is quasi-demeaning by
