@@ -47,6 +47,8 @@ ERROR_ONE_IN = 199
 SYMBOLS = 8
 #: Neighbour hashes of one Arrow batch, and the longest word that travels with each of its neighbours.
 BATCH_KEYS, INLINE = 1 << 17, 48
+#: Words that one task spreads into their neighbourhoods (about 150 rows each).
+TASK_WORDS = 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -144,15 +146,17 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS, inline: int = INLI
         keys = [reduced_key(symbols_of(_code_points(w), symbols)) for w in words.cast(pa.binary()).to_pylist()]
         return pa.array(np.array(keys, np.uint64).view(np.int64))
 
-    def probes(words: DataFrame, kind: str) -> DataFrame:
-        return words.mapInArrow(lambda it: _neighbours(it, symbols), "key long, " + kind)
+    tasks = max(1, -(-vocabulary.count() // TASK_WORDS))
+
+    def probes(words: DataFrame, kind: str, *carried) -> DataFrame:
+        return words.repartition(tasks, "word").select("word", *carried).mapInArrow(lambda it: _neighbours(it, symbols), "key long, " + kind)
 
     long = F.length("word") > inline
     reduced = vocabulary.select(key_of("word").alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one = F.levenshtein("word", "near", 1) == 1
-    short = probes(vocabulary.where(~long).select("word", F.col("word").alias("w"), "n"), "word string, n long").join(reduced, "key").where(one)
+    short = probes(vocabulary.where(~long), "word string, n long", F.col("word").alias("w"), "n").join(reduced, "key").where(one)
     # a long word's neighbours travel without it and meet it again where a reduced word is equal
-    met = probes(vocabulary.where(long).select("word", "id"), "id long").join(reduced, "key").drop("key")
+    met = probes(vocabulary.where(long), "id long", "id").join(reduced, "key").drop("key")
     far = met.join(vocabulary.where(long), "id").where(one)
     cols = ["word", "n", "near", "near_n"]
     return short.select(cols).unionByName(far.select(cols))
