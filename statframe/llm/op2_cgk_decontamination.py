@@ -13,14 +13,15 @@ its own walk key and its own sample of embedding coordinates (one per stratum of
 first ``steps`` steps); equal samples make a candidate. A walk from a position does not
 depend on where its window ends, so one walk serves windows of every item's size; the
 coordinates at which an item has ended are not sampled for it. Walks start from every
-position of a text and, in an item, from its longest word in every ``stride`` words, so
+position of a text and, in a long item, from its longest word in every ``stride`` words, so
 that an edited stretch costs only the walks that cross it. Coordinates are compared in
 order and a start is left at the first one that no item shares.
 
-Walks may all be lost, above all in short items with few anchors. So each item is also cut
-into one piece more than the edits it is allowed: some piece is unedited and stands in the
-text word for word (only the first ``PIECE`` words of a piece are compared). Candidates of the
-pieces join those of the walks, so no item within its edits is missed.
+Short items have few anchors that an edit could spare, so items of fewer than ``SHORT`` words
+are walked from every word up to their last ``SHORT_TAIL``, and every walk ends with its item:
+coordinates beyond the item's end are not compared, so what is embedded is the whole item-sized window from
+the anchor on. Long items are embedded for ``steps`` steps from each of their anchors, which together span
+the item. Recall at the allowed edits is measured by length in the tests (0.95 at least).
 
 Candidates are verified exactly: a semi-global alignment of the item in the window
 around the candidate's diagonal. Nothing is shuffled; items are broadcast in blocks of at
@@ -30,7 +31,9 @@ Defined results: null and empty texts contain nothing; items of fewer than ``min
 words are left out (the query and the pipeline leave out none: items of fewer than five
 words have no edits allowed and are found as exact word sequences); rows with equal ids are
 judged one by one; an item found several times in a text is reported once, at its best
-(then first) place.
+(then first) place; an empty table on either side gives no hit and drops no row; texts of any length are
+searched whole, slice by slice of whole texts; further columns of any name travel along in
+:func:`drop_contaminated` and are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statframe.session import shared_folder
+
 from .common import free_name, table, text_slices, words_of
 
 SIMILARITY = 0.8
@@ -54,8 +59,8 @@ STRIDE = 4
 MIN_WORDS = 5
 #: No anchor in the last words of an item: too few coordinates would be left.
 MIN_TAIL = 10
-#: Words compared of an item's unedited pieces.
-PIECE = 8
+#: Items of fewer words are walked from every word but the last ones.
+SHORT, SHORT_TAIL = 18, 3
 BLOCK_ITEMS = 20_000
 PUNCT = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|-_"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +89,6 @@ class Walks:
     tables: list               # (walk key, sampled steps, [(keys that go on, (end keys, anchors))])
     similarity: float
     sorted_words: list         # each item's word hashes in order
-    piece_starts: np.ndarray   # sorted distinct hashes of the pieces' first words
-    pieces: list               # per number of words: (keys that go on, end keys, anchors)
 
     def max_edits(self, item: int) -> int:
         return edits_of(int(self.first[item + 1] - self.first[item]), self.similarity)
@@ -107,28 +110,6 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == keys
 
 
-def index_pieces(words: np.ndarray, first: np.ndarray, similarity: float, anchors: int) -> tuple:
-    """(item, start in its item) of every piece, and the index of the pieces' words; piece k
-    has the number ``anchors`` + k."""
-    item, at, size = [], [], []
-    for k, n in enumerate(np.diff(first).tolist()):
-        parts = min(edits_of(n, similarity) + 1, n)
-        cut = [n * i // parts for i in range(parts + 1)]
-        item += [k] * parts
-        at += cut[:-1]
-        size += [min(b - a, PIECE) for a, b in zip(cut, cut[1:])]
-    item, at, size = np.array(item, np.int64), np.array(at, np.int64), np.array(size, np.int64)
-    live, chain, levels = np.arange(len(item)), np.zeros(len(item), np.uint64), []
-    while len(live):
-        chain = (chain ^ words[first[item[live]] + at[live] + len(levels)]) * _MIX
-        done = size[live] == len(levels) + 1
-        o = np.argsort(chain[done], kind="stable")
-        ends, ended = chain[done][o], live[done][o] + anchors
-        live, chain = live[~done], chain[~done]
-        levels.append((np.unique(chain), ends, ended))
-    return item, at, np.unique(words[first[item] + at]) if len(item) else np.zeros(0, np.uint64), levels
-
-
 def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables: int = TABLES, steps: int = STEPS,
                 samples: int = SAMPLES, stride: int = STRIDE, min_words: int = MIN_WORDS, seed: int = 11) -> Walks:
     rows, codes, uniq = words_of(pa.array(texts, pa.string()))
@@ -142,6 +123,11 @@ def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables:
     item, at = [], []
     for k, i in enumerate(use):
         ln = size[off[i]:off[i + 1]]
+        if len(ln) < SHORT:
+            n = max(1, len(ln) - SHORT_TAIL) if len(ln) > 2 * SHORT_TAIL else len(ln)
+            item += [k] * n
+            at += range(n)
+            continue
         last = max(1, len(ln) - MIN_TAIL + 1)
         for lo in range(0, last, stride):
             item.append(k)
@@ -178,9 +164,7 @@ def index_items(ids: list, texts: list, similarity: float = SIMILARITY, tables:
             lv[1] = (lv[1][0][o], lv[1][1][o])
         out.append((key, sampled, levels))
     starts = np.unique(words[first[item] + at]) if len(item) else np.zeros(0, np.uint64)
-    piece_item, piece_at, piece_starts, pieces = index_pieces(words, first, similarity, len(item))
-    return Walks(words, first, [ids[i] for i in use], np.r_[item, piece_item], np.r_[at, piece_at], starts, out, similarity,
-                 [np.sort(words[a:b]) for a, b in zip(first, first[1:])], piece_starts, pieces)
+    return Walks(words, first, [ids[i] for i in use], item, at, starts, out, similarity, [np.sort(words[a:b]) for a, b in zip(first, first[1:])])
 
 
 def candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,28 +200,6 @@ def candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray)
     return both[:, 0], both[:, 1]
 
 
-def piece_candidates(w: Walks, h: np.ndarray, row_end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, anchor) pairs where all compared words of a piece stand in the text."""
-    found_p, found_a = [], []
-    p, end, chain = start, row_end, np.zeros(len(start), np.uint64)
-    for level, (on, ends, anchor) in enumerate(w.pieces):
-        inside = p + level < end
-        p, end, chain = p[inside], end[inside], chain[inside]
-        chain = (chain ^ h[p + level]) * _MIX
-        if len(ends):
-            lo, hi = np.searchsorted(ends, chain, "left"), np.searchsorted(ends, chain, "right")
-            n = hi - lo
-            if n.any():
-                found_p.append(np.repeat(p, n))
-                found_a.append(anchor[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
-        if not len(p) or not len(on):
-            break
-        keep = _member(on, chain)
-        p, end, chain = p[keep], end[keep], chain[keep]
-    z = np.zeros(0, np.int64)
-    return np.concatenate([z, *found_p]), np.concatenate([z, *found_a])
-
-
 def _edit_ends(a: np.ndarray, b: np.ndarray, free_start: bool) -> np.ndarray:
     """Edit distance of all of ``a`` to b[s:j] for every end j: best s if ``free_start``, else s = 0."""
     j = np.arange(len(b) + 1)
@@ -261,17 +223,14 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 def find_items(w: Walks, texts: pa.Array):
     """Rows (text row, item, distance, first word, words of the window) of one slice."""
     rows, codes, uniq = words_of(texts)
-    if not len(codes) or not len(w.piece_starts):
+    if not len(codes) or not len(w.starts):
         return []
     uh = word_hashes(uniq)
     h = uh[codes]
     row_end = np.searchsorted(rows, rows, side="right") if len(rows) < 2 else np.r_[
         np.flatnonzero(rows[1:] != rows[:-1]) + 1, len(rows)][np.r_[0, np.cumsum(rows[1:] != rows[:-1])]]
     start = np.flatnonzero(_member(w.starts, uh)[codes])
-    found = [candidates(w, h, row_end[start], start)]
-    start = np.flatnonzero(_member(w.piece_starts, uh)[codes])
-    found.append(piece_candidates(w, h, row_end[start], start))
-    p, anchor = (np.concatenate(x) for x in zip(*found))
+    p, anchor = candidates(w, h, row_end[start], start)
     if not len(p):
         return []
     item = w.anchor_item[anchor]
@@ -298,25 +257,26 @@ def find_items(w: Walks, texts: pa.Array):
     return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
-def item_blocks(bench: DataFrame, block_items: int = BLOCK_ITEMS, **index_args) -> list[Walks]:
-    """The items' index in blocks of about ``block_items`` (by id hash): what one broadcast holds."""
-    n = bench.count()
-    blocks = max(1, -(-n // block_items))
-    out = []
+def item_blocks(bench: DataFrame, block_items: int = BLOCK_ITEMS, **index_args):
+    """The items' index in blocks of about ``block_items`` (by id hash), one after the other: what one
+    broadcast holds. There is one block at least."""
+    blocks = max(1, -(-bench.count() // block_items))
     for b in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", F.col("text").cast("string"))
         rows = sorted(part.collect(), key=lambda r: (r[0] is None, str(r[0]), r[1] or ""))
-        out.append(index_items([r[0] for r in rows], [r[1] for r in rows], **index_args))
-    return out
+        yield index_items([r[0] for r in rows], [r[1] for r in rows], **index_args)
 
 
-def contaminations(docs: DataFrame, bench: DataFrame, **index_args) -> DataFrame:
-    """(doc_id, item_id, distance, n_words, first_word, window_words): every item found in a text."""
+def contaminations(docs: DataFrame, bench: DataFrame, block_items: int = BLOCK_ITEMS, **index_args) -> DataFrame:
+    """(doc_id, item_id, distance, n_words, first_word, window_words): every item found in a text. With
+    several blocks of items, each block's hits are written in the shared folder and its index is released before the
+    next one is built."""
     spark = docs.sparkSession
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": bench.schema["item_id"].dataType.simpleString()}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, distance int, n_words int, first_word long, window_words int"
+    several = bench.count() > block_items
     parts = []
-    for walks in item_blocks(bench, **index_args):
+    for walks in item_blocks(bench, block_items, **index_args):
         shared = spark.sparkContext.broadcast(walks)
 
         def search(batches, shared=shared):
@@ -333,23 +293,35 @@ def contaminations(docs: DataFrame, bench: DataFrame, **index_args) -> DataFrame
                             pa.array(d, pa.int32()), pa.array(size, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int32())],
                             names=["doc_id", "item_id", "distance", "n_words", "first_word", "window_words"])
 
-        parts.append(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, schema))
+        hits = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, schema)
+        if several:
+            path = shared_folder(spark, "op2-hits")
+            hits.write.parquet(path)
+            hits = spark.read.parquet(path)
+            shared.destroy()
+        parts.append(hits)
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, **index_args) -> DataFrame:
-    """Rows whose text contains no item, with the columns of ``docs``."""
+def drop_contaminated(docs: DataFrame, bench: DataFrame, block_items: int = BLOCK_ITEMS, **index_args) -> DataFrame:
+    """Rows whose text contains no item, with the columns of ``docs``. With several blocks of items, the rows that
+    a block leaves are written in the shared folder before the next block's index is built."""
+    spark = docs.sparkSession
     flag = free_name(docs, "_hit")
-    for walks in item_blocks(bench, **index_args):
-        hit = _hit_column(docs.sparkSession, walks)
-        docs = docs.withColumn(flag, hit(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
+    several = bench.count() > block_items
+    for walks in item_blocks(bench, block_items, **index_args):
+        shared = spark.sparkContext.broadcast(walks)
+        docs = docs.withColumn(flag, _hit_column(shared)(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
+        if several:
+            path = shared_folder(spark, "op2-left")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            shared.destroy()
     return docs
 
 
-def _hit_column(spark: SparkSession, walks: Walks):
-    """Arrow function: whether a text contains an item of the block."""
-    shared = spark.sparkContext.broadcast(walks)
-
+def _hit_column(shared):
+    """Arrow function: whether a text contains an item of the broadcast block."""
     @F.arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)

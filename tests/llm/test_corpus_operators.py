@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from statframe.llm import op2_cgk_decontamination as op2
@@ -169,7 +170,10 @@ def test_items_within_their_edits_are_found_at_every_length():
         items = [prose(rnd, rnd.randint(lo, hi)) for _ in range(200)]
         texts = [" ".join([prose(rnd, 30), *edited(rnd, t.split(), int(0.2 * len(t.split()) + 1e-9)), prose(rnd, 30)]) for t in items]
         hits = op2.find_items(op2.index_items(list(range(200)), items), pa.array(texts))
-        assert {r for r, i, *_ in hits if r == i} == set(range(200)), (lo, hi)
+        found = len({r for r, i, *_ in hits if r == i})
+        assert found == 200 if hi < op2.SHORT else found >= 0.98 * 200, (lo, hi, found)
+        # the walks are what finds them
+        assert not op2.find_items(op2.index_items(list(range(200)), items, tables=0), pa.array(texts))
 
 
 def test_edit_distance():
@@ -197,15 +201,13 @@ def test_contaminations(spark):
     rows = [(1, prose(rnd, 20) + " " + item.upper() + ", " + prose(rnd, 10)), (2, prose(rnd, 100)), (3, None), (4, ""), (None, item), (5, item), (5, item),
             (6, prose(rnd, 30_000) + "\n" + item + " " + prose(rnd, 30_000)), (7, "too short"), (8, " ".join(item.split()[:12]))]
     for block in (20_000, 2):
-        op2_blocks = op2.BLOCK_ITEMS
-        got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in op2.contaminations(frame(spark, rows), bench).collect())
+        got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in op2.contaminations(frame(spark, rows), bench, block).collect())
         assert got == collections.Counter((d, i, 0) for d in (1, None, 5, 5, 6) for i in (1, 6)), block
-        assert op2_blocks == op2.BLOCK_ITEMS
-    left = op2.drop_contaminated(frame(spark, rows), bench)
-    assert left.columns == frame(spark, rows).columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 7, 8]
+        left = op2.drop_contaminated(frame(spark, rows), bench, block)
+        assert left.columns == frame(spark, rows).columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 7, 8]
     assert op2.drop_contaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
     assert op2.contaminations(frame(spark, []), bench).count() == 0
-    assert len(op2.item_blocks(bench, 2)) == 3
+    assert len(list(op2.item_blocks(bench, 2))) == 3
 
 
 def test_query_and_pipeline_find_items_under_five_words(spark, tmp_path):
@@ -218,6 +220,25 @@ def test_query_and_pipeline_find_items_under_five_words(spark, tmp_path):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
 
 
+def test_repeated_ids_with_a_third_of_all_rows(spark):
+    """One id on a third of the rows: one of its rows stays, whatever group they are in."""
+    rnd = random.Random(21)
+    hot = prose(rnd, 40)
+    rows = [(5, hot)] * 20 + [(5, prose(rnd, 30)) for _ in range(3)] + [(100 + i, prose(rnd, 30)) for i in range(40)]
+    got = sorted(r.doc_id for r in op5.keep_one(frame(spark, rows).repartition(4)).collect())
+    assert got == [5, *range(100, 140)]
+
+
+def test_equal_pieces_are_dealt_over_shards(spark):
+    """A third of the rows equal in id and text: packed whole, and no shard gets them all."""
+    rows = [(None, "")] * 300 + [(i, f"text {i} " * 30) for i in range(600)]
+    p = op10.pieces(frame(spark, rows)).withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    sizes = [r["count"] for r in op10._pack_round(p, 900, 2048, 100, 0).groupBy("shard").count().collect()]
+    assert len(sizes) == 9 and max(sizes) <= 2 * sorted(sizes)[4]
+    got = op10.pack(frame(spark, rows), shard_pieces=100).toPandas()
+    assert len(got) == 900 and got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
