@@ -18,7 +18,10 @@ rounds, checkpointed in the shared folder.
 Exact copies share a fingerprint and meet only once, as one row. Defined results:
 null text counts as empty; empty texts all link (fingerprint zero); rows with equal
 doc_id are separate members of their groups; a group without any non-null doc_id has
-a null ``component_id``.
+a null ``component_id``; an empty table gives no row; texts of any length are hashed whole, shingle by
+shingle; columns besides ``doc_id`` and ``text`` are not read, and :func:`keep_one` carries them along under any
+name. A bucket of n fingerprints costs n / ``TILE`` copies of each, so one block pair shared by a large part
+of all *distinct* fingerprints would be quadratic in them; copies share one fingerprint and cost one row.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statframe.session import shared_folder
+
 from .common import free_name, local_components, table
 
 SHINGLE = 3
@@ -278,7 +283,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """One row of each near-duplicate group stays, the one with the smallest doc_id (of
-    rows that repeat this id: the smallest text hash). Rows without doc_id are not judged."""
+    rows that repeat this id: the smallest text hash, then the first read). Rows without doc_id are
+    not judged."""
     gid, rank = free_name(docs, "_gid"), free_name(docs, "_rank")
     near = near_duplicates(docs, radius, width).where(F.col("doc_id").isNotNull()).checkpoint()
 
@@ -290,9 +296,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> Dat
     twice = ids(near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     if twice.isEmpty():
         return left
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    again = (left.join(twice, F.col("doc_id") == F.col(gid), "left_semi")
-             .withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank))
+    # rows that repeat an id are written with a number; a partial aggregate picks one of each
+    path = shared_folder(docs.sparkSession, "op5-repeated")
+    (left.join(twice, F.col("doc_id") == F.col(gid), "left_semi")
+     .withColumn(rank, F.monotonically_increasing_id()).write.parquet(path))
+    again = docs.sparkSession.read.parquet(path)
+    one = again.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), rank)).alias("m")).select(F.col(f"m.{rank}").alias(gid))
+    again = again.join(one, F.col(rank) == F.col(gid), "left_semi").drop(rank)
     return left.join(twice, F.col("doc_id") == F.col(gid), "left_anti").unionByName(again)
 
 
