@@ -7,10 +7,13 @@ mark are its affixes) and a weighted lexicon entry (smoothed log share of each l
 among the word's uses, for words seen in several training documents). Transitions between
 neighbouring words are learned with them. Training maximises the conditional
 likelihood; training and prediction take their marginals from the forward-backward
-recursion, run on many chains at once. A chain is a run of up to ``CHAIN`` words.
+recursion, run on many chains at once. A chain is a run of up to ``CHAIN`` words; in prediction it is
+read with ``CONTEXT`` more words of its text on both sides, whose own marginals come from the neighbouring
+chains, so messages pass the cuts. In training, every ``SPLICE``-th chain goes on in one of another
+language, so that switches are seen and learned as the rare transitions they are.
 
-Training uses at most about ``docs_per_lang`` documents of each language, drawn by a hash of the id,
-and of each at most ``chains_per_doc`` evenly spread chains; lang, source and id are no
+Training uses at most about ``docs_per_lang`` documents of each language, drawn by a hash of id and
+text (equal rows give equal chains, which are taken once), and of each at most ``chains_per_doc`` evenly spread chains; lang, source and id are no
 inputs of a prediction. All words of all texts are labelled in prediction.
 
 Defined results: null text, or a text without a letter: ``und``, score 0; no labelled row:
@@ -20,12 +23,12 @@ language in alphabetical order; the languages are the non-null values in the tra
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from .common import free_name, id_bucket, table, text_slices, words_of
 
 DIMS = 1 << 16
 CHAIN = 64
+#: Words read beside a chain in prediction, and how many training chains there are to one that is spliced.
+CONTEXT, SPLICE = 8, 4
 DOCS_PER_LANG = 250
 CHAINS_PER_DOC = 12
 MIN_LEXICON_DOCS = 3
@@ -42,9 +47,9 @@ UNKNOWN = "und"
 
 
 def letters_of(uniq: list[str]) -> list[str]:
-    """Lower-cased letters of each word."""
+    """Lower-cased letters (general category L) of each word."""
     s = "\n".join(w.replace("\n", " ") for w in uniq).lower()
-    return re.sub(r"[^\w\n]|[\d_]", "", s).split("\n") if uniq else []
+    return regex.sub(r"[^\p{L}\n]", "", s).split("\n") if uniq else []
 
 
 def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +90,19 @@ def chains_of(rows: np.ndarray, length: int = CHAIN) -> tuple[np.ndarray, np.nda
     return start, np.diff(np.r_[start, len(rows)])
 
 
+def overlapped(rows: np.ndarray, length: int = CHAIN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, left, inner) for prediction: the chains of :func:`chains_of` with up to ``context``
+    words of the same text before (``left`` of them) and after their ``inner`` own words."""
+    start, n = chains_of(rows, length)
+    end = start + n
+    left = np.where((start > 0) & (rows[np.maximum(start - 1, 0)] == rows[start]), np.minimum(context, start), 0) if len(start) else start
+    right = np.where((end < len(rows)) & (rows[np.minimum(end, len(rows) - 1)] == rows[start]), context, 0) if len(start) else start
+    if len(start):  # no further than the text's end
+        last = np.searchsorted(rows, rows[start], side="right")
+        right = np.minimum(right, last - end)
+    return start - left, n + left + right, left, n
+
+
 @dataclass
 class Crf:
     langs: list
@@ -144,9 +162,12 @@ def forward_backward(em: np.ndarray, start: np.ndarray, length: np.ndarray, crf:
 
 
 def train(texts: pa.Array, labels: list[str], rounds: int = ROUNDS) -> Crf:
-    """Fit on chains (space-joined words) whose words all carry the chain's label."""
+    """Fit on chains (space-joined words) whose words all carry the chain's label. Chains are put in a fixed
+    random order; every ``SPLICE``-th one whose predecessor has another label goes on from it."""
     langs = sorted(set(labels))
     k = len(langs)
+    mixed = np.random.default_rng(7).permutation(len(labels))
+    texts, labels = texts.take(pa.array(mixed)), [labels[i] for i in mixed]
     rows, codes, uniq = words_of(texts)
     y_row = np.fromiter((langs.index(x) for x in labels), np.int64, len(labels))
     words = letters_of(uniq)
@@ -169,7 +190,11 @@ def train(texts: pa.Array, labels: list[str], rounds: int = ROUNDS) -> Crf:
         return crf
     at, dim = ngram_features(words)
     lex_row = np.fromiter((crf.lexicon.get(w, -1) for w in words), np.int64, n)
-    start, length = chains_of(rows)
+    start, _ = chains_of(rows)
+    here = rows[start]
+    spliced = np.r_[False, (y_row[here[1:]] != y_row[here[:-1]]) & (here[1:] != here[:-1]) & (here[1:] % SPLICE == 0)]
+    start = start[~spliced]
+    length = np.diff(np.r_[start, len(rows)])
     inner = np.ones(len(rows), bool)
     inner[start] = False
     seen_pairs = np.zeros((k, k))
@@ -209,7 +234,12 @@ def language_shares(crf: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         e, spoken = crf.emissions(uniq)
         count[lo:lo + len(part)] = np.bincount(rows[spoken[codes]], minlength=len(part))
         if k:
-            marg = forward_backward(e[codes], *chains_of(rows), crf)[0] * spoken[codes][:, None]
+            start, length, left, n = overlapped(rows)
+            # the words of all chains one after the other, contexts included
+            begin = np.cumsum(length) - length
+            word = np.repeat(start - begin, length) + np.arange(int(length.sum()))
+            own = np.repeat(begin + left - (np.cumsum(n) - n), n) + np.arange(len(rows))
+            marg = forward_backward(e[codes[word]], begin, length, crf)[0][own] * spoken[codes][:, None]
             share[lo:lo + len(part)] = _sum_rows(marg, rows, len(part))
     return share / np.maximum(count, 1)[:, None], count
 
@@ -227,7 +257,7 @@ def fit(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), docs_per_lang: i
     share = F.lit(0.0)
     for r in many:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["n"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.col("text").cast("string")), F.lit(1_000_000)) < share * 1_000_000
     picked = rows.where(draw).select("doc_id", "text", "lang")
 
     def spread(batches):
