@@ -4,14 +4,16 @@ Every document's ids (end id included) become pieces of at most ``capacity`` tok
 longer documents are cut, their first piece is the short one. A piece goes to the open
 sequence, or to a new one, for which the sum over residual gaps of (number of open
 sequences with that gap) squared becomes smallest; of equal ones the tightest. Pieces are
-dealt to shards of about ``shard_pieces`` by a hash of their id, and a shard places its
+dealt to shards of about ``shard_pieces`` by a hash of a row number taken at a checkpoint, and a shard places its
 pieces in falling length. Sequences a shard leaves with ``reopen`` or more tokens free
 are opened again and their pieces packed once more, in fewer shards, so that the loss does
 not grow with the number of shards.
 
 Whole texts meet the tokenizer in place; only (doc_id, piece, start, length, crc32) is
 shuffled. Defined results: null text is empty (one piece, the end id alone); rows with
-equal doc_id are packed as separate documents; offsets in a sequence are gapless.
+equal doc_id are packed as separate documents; offsets in a sequence are gapless; an empty table gives
+no row; a text of any length is encoded whole and cut into pieces; only ``doc_id`` and ``text`` are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -98,9 +100,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _pack_round(p: DataFrame, n: int, capacity: int, shard_pieces: int, seed: int) -> DataFrame:
-    """Adds (shard, seq, offset, gap) to the pieces, packed shard by shard."""
+    """Adds (shard, seq, offset, gap) to the pieces, packed shard by shard. Shards are dealt by the
+    pieces' numbers, so repeated rows spread as others do."""
     shards = max(1, math.ceil(n / shard_pieces))
-    dealt = p.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    dealt = p.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "no"), F.lit(shards)).cast("int"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,9 +117,10 @@ def _pack_round(p: DataFrame, n: int, capacity: int, shard_pieces: int, seed: in
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, rounds: int = ROUNDS,
          reopen: int = REOPEN, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    todo = pieces(docs, capacity, vocabulary).checkpoint()
+    todo = pieces(docs, capacity, vocabulary)
     out = None
     cols = todo.columns
+    todo = todo.withColumn("no", F.monotonically_increasing_id()).checkpoint()
     for r in range(rounds):
         packed = _pack_round(todo, todo.count(), capacity, shard_pieces, r)
         last = r == rounds - 1
@@ -127,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
                                     + F.col("seq")).alias("sequence_id"), "offset")
         out = named if out is None else out.unionByName(named)
         if not last:
-            todo = packed.where(F.col("gap") >= reopen).select(*cols)
+            todo = packed.where(F.col("gap") >= reopen).select(*cols, "no")
     return out
 
 

@@ -3,8 +3,9 @@
 The vocabulary's pre-tokenizer never joins characters across the cuts made here (before a
 space or line feed, and between a letter or digit and closing punctuation), so the ids of
 a text are those of its pieces, one after the other. Texts with white space for which that
-does not hold (runs of three, a run at the end, tabs, other Unicode spaces, control marks)
-are encoded whole.
+does not hold (runs of three, a run at the end, tabs, other Unicode spaces, control marks),
+and texts that contain the string of an added or special token, are encoded whole. Ids are those of a
+plain ``encode(text, add_special_tokens=False)``: such a string becomes its token's id.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # texts with the string of an added token go whole: the tokenizer finds it before it cuts
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([WHOLE, *added])
         self.alphabet = byte_alphabet()
         self._clear()
 
@@ -155,7 +158,7 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids): every text's ids and then the end id; null counts as empty."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._pieces(texts)
         part = self._pieces(texts.filter(pa.array(~whole)))
