@@ -2,10 +2,10 @@
 
 Texts become ids (end id 0 after each document) in ascending doc_id order, in shards of
 about ``SHARD_IDS`` ids of whole documents. A shard is compressed on its own: in each round
-all neighbouring pairs are counted, the most frequent ones (``MIN_COUNT`` or more) become
+all neighbouring pairs are counted, the ``ROUND_RULES`` most frequent ones become
 nonterminals, and their occurrences are replaced, the more frequent pair first where
-two overlap; rounds follow until no pair is frequent enough, ``ROUNDS`` are done or the
-16-bit symbol space is full. The end id is in no rule, so no rule crosses a document.
+two overlap; rounds follow until no pair occurs ``MIN_COUNT`` times (fewer would not pay for
+the rule) or the 16-bit symbol space is full. The end id is in no rule, so no rule crosses a document.
 
 File format: Parquet, a row per shard, sorted by (part, shard).
 
@@ -28,7 +28,8 @@ range of its ids, is decoded from its own symbols alone (``document_ids``, ``id_
 
 Defined results: null text counts as empty (the end id alone); equal doc_ids stand next to
 each other, ordered by text hash; null doc_ids come first; a document longer than a shard
-is a shard of its own.
+is a shard of its own; an empty table gives a file without rows; only ``doc_id`` and ``text`` are read, so
+further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ from .tokens import END_ID, encoded_slices, task_done, vocabulary_path
 SHARD_IDS = 1 << 20
 #: Nonterminals start above the vocabulary's 50,257 ids and end with 16 bits.
 FIRST_RULE, MAX_RULES = 50_257, 65_536 - 50_257
-ROUNDS, ROUND_RULES, MIN_COUNT = 6, 4096, 8
+#: Pairs replaced in a round, and the least occurrences: a rule takes 8 bytes, a replaced pair saves 2.
+ROUND_RULES, MIN_COUNT = 1024, 5
 _HASH_BITS = 20
 
 
@@ -57,49 +59,59 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint32(2654435761)) >> np.uint32(32 - _HASH_BITS)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules) of a shard: uint16 symbols and an (n, 2) array of rule pairs."""
+def _frequent(keys: np.ndarray, room: int, min_count: int) -> np.ndarray:
+    """The (up to ``room``) most frequent keys with ``min_count`` or more occurrences, falling."""
+    ordered = np.sort(keys)
+    at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[at, len(ordered)])
+    often = np.flatnonzero(count >= min_count)
+    if len(often) > room:
+        c = count[often]
+        often = often[c >= np.partition(c, len(c) - room)[len(c) - room]]
+    often = often[np.argsort(-count[often], kind="stable")][:room]
+    return ordered[at[often]]
+
+
+def compress(ids: np.ndarray, round_rules: int = ROUND_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules) of a shard: uint16 symbols and an (n, 2) array of rule pairs. Rounds go on until no
+    pair occurs ``min_count`` times or the symbols are used up."""
     s = ids.astype(np.uint16)
     rules = np.zeros(0, np.uint32)  # left << 16 | right
-    for _ in range(rounds):
-        room = min(round_rules, MAX_RULES - len(rules))
-        if len(s) < 2 or room <= 0:
-            break
+    while len(s) > 1 and len(rules) < MAX_RULES:
         key = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
         inner = (s[:-1] != END_ID) & (s[1:] != END_ID)
-        ordered = np.sort(key[inner])
-        if not len(ordered):
+        pairs = _frequent(key[inner], min(round_rules, MAX_RULES - len(rules)), min_count)
+        n = len(pairs)
+        if not n:
             break
-        at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[at, len(ordered)])
-        often = np.flatnonzero(count >= min_count)
-        often = often[np.argsort(-count[often], kind="stable")][:room]
-        pairs = ordered[at[often]]
-        if not len(pairs):
-            break
-        # rank of each position's pair through a hash table; of two pairs in a slot the more frequent stays
-        slot = np.full(1 << _HASH_BITS, len(pairs), np.int32)
-        slot[_slots(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1)
-        padded = np.r_[pairs, np.uint32(0)]
+        # rank of each position's pair through a hash table; of two pairs in a slot the more frequent goes first,
+        # the other one in a later round
+        slot = np.full(1 << _HASH_BITS, n, np.int32)
+        slot[_slots(pairs[::-1])] = np.arange(n - 1, -1, -1)
         rank = slot[_slots(key)]
-        rank[(padded[rank] != key) | ~inner] = len(pairs)
-        ahead, behind = np.r_[rank[1:], len(pairs)], np.r_[len(pairs), rank[:-1]]
-        take = np.flatnonzero((rank < len(pairs)) & (rank < behind) & (rank <= ahead))
-        if not len(take):
-            break
-        used, number = np.unique(rank[take], return_inverse=True)
-        known = np.searchsorted(np.sort(rules), pairs[used])
+        rank[(np.r_[pairs, np.uint32(0)][rank] != key) | ~inner] = n
+        at = np.flatnonzero(rank < n)
+        r = rank[at]
+        # in a run of one pair (a a a a) every second place counts
+        go_on = np.r_[False, (at[1:] == at[:-1] + 1) & (r[1:] == r[:-1])]
+        first = np.maximum.accumulate(np.where(go_on, 0, np.arange(len(at))))
+        even = (np.arange(len(at)) - first) % 2 == 0
+        at, r = at[even], r[even]
+        near = at[1:] == at[:-1] + 1
+        take = (r < np.r_[n, np.where(near, r[:-1], n)]) & (r <= np.r_[np.where(near, r[1:], n), n])
+        at, r = at[take], r[take]
+        used, number = np.unique(r, return_inverse=True)
         order = np.argsort(rules, kind="stable")
-        old = (known < len(rules)) & (np.sort(rules)[np.minimum(known, max(len(rules) - 1, 0))] == pairs[used]) if len(rules) else np.zeros(len(used), bool)
+        known = np.minimum(np.searchsorted(rules[order], pairs[used]), max(len(rules) - 1, 0))
+        old = rules[order][known] == pairs[used] if len(rules) else np.zeros(len(used), bool)
         name = np.empty(len(used), np.int64)
         if old.any():
             name[old] = order[known[old]]
         name[~old] = len(rules) + np.arange(int((~old).sum()))
         rules = np.r_[rules, pairs[used[~old]]]
-        s = s.copy()
-        s[take] = (FIRST_RULE + name[number]).astype(np.uint16)
+        s[at] = (FIRST_RULE + name[number]).astype(np.uint16)
         keep = np.ones(len(s), bool)
-        keep[take + 1] = False
+        keep[at + 1] = False
         s = s[keep]
     return s, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], axis=1).astype(np.uint16)
 
@@ -216,8 +228,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shard_i
         task_done(vocab)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    (d.repartitionByRange(n, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text").mapInArrow(
+    # the row number parts rows that are equal in id and text
+    d = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
+         .withColumns({"th": F.xxhash64("text"), "no": F.monotonically_increasing_id()}))
+    (d.repartitionByRange(n, "doc_id", "th", "no").sortWithinPartitions("doc_id", "th", "no").select("doc_id", "text").mapInArrow(
         shards, f"part int, shard int, before long, n_ids long, doc_ids array<{kind}>, symbol_at array<int>, "
                 "symbols binary, rules binary, lengths binary").write.parquet(path))
 

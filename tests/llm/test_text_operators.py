@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from statframe.llm import op1_url_reputation as op1
 from statframe.llm import op3_html_suffix_array as op3
@@ -101,6 +103,18 @@ def test_blocks_of_an_article():
     assert op3.read_blocks("") == [] and op3.main_text([]) is None
 
 
+def test_articles_beside_the_text_and_in_main():
+    read = lambda page: op3.main_text(op3.read_blocks(page))
+    assert read("<main><p>Long main prose goes here</p><article class='card'>Only card</article></main>") == "Long main prose goes here\n\nOnly card"
+    assert read("<main><div>Share</div><article><h1>Head</h1><p>Story of the page</p></article></main>") == "Head\n\nStory of the page"
+    page = "<article><p>Story</p><div class='related'><article>Teaser one</article></div></article><div class=related><article>Teaser two</article></div>"
+    assert read(page) == "Story"
+    assert read("<div class='page sidebar-left'><article>Story<p class=ad>Buy</p></article></div>") is not None
+    assert read("<div class=related><article>Teaser</article></div><main><p>Prose</p></main>") == "Prose"
+    deep = "<div>" * 3000 + "<article><p>" + "long " * 200_000 + "</p></article>" + "</div>" * 3000
+    assert read(deep) == ("long " * 200_000).strip()
+
+
 def test_repeated_runs_of_a_host_go_and_unique_text_stays(spark):
     foot = "All rights reserved by the example company of this site and its partners"
     rows = [(i, "http://a.example.com/x", f"<body><div>{foot}</div><div>Unique text number {i} with words w{i} v{i} u{i} and so on</div><div>Home</div>", "x")
@@ -148,7 +162,9 @@ def test_pieces_give_the_ids_of_whole_texts():
     texts = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(3000)] + [None, "", "x" * 500, LONG]
     t = tokens.PieceTokenizer(tokens.vocabulary_path())
     count, ids = t.encode(pa.array(texts, pa.string()))
-    want = [[*e.ids, 0] for e in t.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    fresh = Tokenizer.from_file(tokens.vocabulary_path())  # the contract's own call
+    want = [[*fresh.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    assert fresh.encode("a<|endoftext|>", add_special_tokens=False).ids == t.encode(pa.array(["a<|endoftext|>"]))[1].tolist()[:-1]
     assert count.tolist() == [len(x) for x in want]
     assert ids.tolist() == [i for x in want for i in x]
     t.rest(40)  # a trimmed memo gives the same ids, again after new pieces
@@ -169,13 +185,35 @@ def test_repair_round_trip_and_random_access():
             assert (op6.id_range(shard, a, b) == x[a:b]).all()
         assert not ((r == 0).any())  # the end id is in no rule
     x = np.tile(np.arange(1, 9, dtype=np.uint32), 5000)
-    s, _ = op6.compress(x)
-    assert len(s) < len(x) / 7
+    s, r = op6.compress(x)
+    assert len(s) < 20 and (op6.expand(s, r) == x).all()  # rounds go on: the tile is doubled up
+    s, r = op6.compress(np.full(100_000, 7, np.uint32))
+    assert len(s) < 40 and len(op6.expand(s, r)) == 100_000
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    x = rng.zipf(1.3, 60_000).clip(1, 5000).astype(np.uint32)
+    s, r = op6.compress(x)
+    pairs = s[:-1].astype(np.uint32) << 16 | s[1:]
+    assert len(r) == op6.MAX_RULES or op6._frequent(pairs, 10, op6.MIN_COUNT).size == 0
+    one_by_one, _ = op6.compress(x, round_rules=16)
+    assert len(s) < 1.02 * len(one_by_one)
+
+
+def test_repeated_rows_are_split_between_files(spark, tmp_path):
+    rows = [(3, "same text of a third of all rows")] * 200 + [(i, f"text {i}") for i in range(400)]
+    op6.write_ids(frame(spark, rows).repartition(4), str(tmp_path / "ids"), shard_ids=200)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    per_part = [r.n for r in files.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(per_part) == 4 and max(per_part) < 300
+    got = op6.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
 
 
 def expected_ids(rows):
-    t = tokens.tokenizer(tokens.vocabulary_path())
-    return [np.array([*x, 0], "<u4") for x in t.ids([r[1] or "" for r in rows])]
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    return [np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows]
 
 
 @pytest.mark.parametrize("shard_ids", [50, 1 << 20])
@@ -253,6 +291,24 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(pairs.sum(), n - 1 + 1) and np.allclose(first.sum(), 2)
 
 
+def test_chains_overlap_inside_their_text_only():
+    rows = np.repeat([0, 1, 2], [5, 64, 150])
+    start, length, left, n = op7.overlapped(rows, 64, 8)
+    assert list(zip(start, length, left, n)) == [(0, 5, 0, 5), (5, 64, 0, 64), (69, 72, 0, 64), (125, 80, 8, 64), (189, 30, 8, 22)]
+    # the overlap carries messages: marginals near a cut are those of the uncut chain
+    rng = np.random.default_rng(4)
+    crf = op7.Crf(["a", "b"], np.zeros((op7.DIMS, 2)), np.array([[2.0, -1.0], [-1.0, 2.0]]), np.zeros(2), {}, np.zeros((0, 2)), 0.0)
+    em = rng.normal(size=(150, 2))
+    whole = op7.forward_backward(em, np.array([0]), np.array([150]), crf)[0]
+    s, ln, lf, m = op7.overlapped(np.zeros(150, np.int64), 64, 8)
+    begin = np.cumsum(ln) - ln
+    word = np.repeat(s - begin, ln) + np.arange(ln.sum())
+    own = np.repeat(begin + lf - (np.cumsum(m) - m), m) + np.arange(150)
+    parts = op7.forward_backward(em[word], begin, ln, crf)[0][own]
+    cut = op7.forward_backward(em, *op7.chains_of(np.zeros(150, np.int64), 64), crf)[0]
+    assert np.abs(parts - whole).max() < 0.02 < np.abs(cut - whole).max()
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     crf = op7.fit(docs.select("doc_id", "text", "lang"))
@@ -264,6 +320,12 @@ def test_language(spark):
     texts = {lang: docs.where(f"lang = '{lang}'").first().text for lang in ("en", "de")}
     share = op7.language_shares(crf, pa.array([" ".join(texts["en"].split()[:40] + texts["de"].split()[:40])]))[0][0]
     assert 0.2 < share[crf.langs.index("en")] < 0.8 and 0.2 < share[crf.langs.index("de")] < 0.8  # code-switched
+    # letters are category L alone
+    assert [r.lang_pred for r in op7.detect(frame(spark, [(1, "\u00b2\u00b3 \u00bd \u2167 \u0661 _")]), crf).collect()] == ["und"]
+    assert op7.letters_of(["\u00bd", "a\u00b2b", "\u2167", "\u00c9t\u00e9", "\u6f22"]) == ["", "ab", "", "\u00e9t\u00e9", "\u6f22"]
+    assert op7.detect(frame(spark, []), crf).count() == 0
+    twice = op7.detect(frame(spark, [(1, texts["en"]), (1, texts["en"])]), crf).collect()
+    assert twice[0].score == twice[1].score and twice[0].lang_pred == "en"
     none = op7.fit(docs.limit(0).select("doc_id", "text", "lang"))
     assert op7.detect(frame(spark, [(1, "text")]), none).first().lang_pred == "und"
 
