@@ -925,12 +925,12 @@ WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, f AS (SELECT *, (s
 r AS (SELECT l_orderkey, l_linenumber, 1.0 / n + pow(l_quantity - xbar, 2) / sxx AS h,
       l_extendedprice - (b0 + b1 * l_quantity) AS e, s2 FROM lineitem, f),
 c AS (SELECT *, e * e / (s2 * (1 - h)) / 2.0 * h / (1 - h) AS d FROM r)
-SELECT l_orderkey, l_linenumber, {S('h')} AS leverage, {S('d')} AS cooks_d FROM c ORDER BY d DESC LIMIT 10""")
+SELECT l_orderkey, l_linenumber, {S('h')} AS leverage, {S('d')} AS cooks_d FROM c ORDER BY d DESC, l_orderkey, l_linenumber LIMIT 10""")
 def q_influence_top10(spark, sf):
     li = _li(spark, sf)
     fit = ols(li, "l_extendedprice", ["l_quantity"])
     inf = diag.influence(li, fit, keep=["l_orderkey", "l_linenumber"])
-    top = inf.orderBy(F.col("cooks_d").desc()).limit(10)
+    top = inf.orderBy(F.col("cooks_d").desc(), "l_orderkey", "l_linenumber").limit(10)
     return top.select("l_orderkey", "l_linenumber", sig_col("leverage").alias("leverage"),
                       sig_col("cooks_d").alias("cooks_d"))
 
@@ -2360,10 +2360,11 @@ def q_recalibration_platt(spark, sf):
 
 @register("forest_prediction_intervals")
 def q_forest_prediction_intervals(spark, sf):
-    li = _li(spark, sf).withColumn("_row", F.xxhash64(*[F.col(c) for c in LI_ORDER]))
     feats = ["l_quantity", "l_discount"]
+    li = _li(spark, sf).withColumns({f"_id{i}": F.col(c) for i, c in enumerate(LI_ORDER)})
+    keys = [f"_id{i}" for i in range(len(LI_ORDER))]
     m = trees.train_tree_model(li, "l_extendedprice", feats, "forest", numTrees=10, maxDepth=4)
-    iv = trees.forest_interval(m, li, li.select("_row", *feats), "l_extendedprice", feats, 0.1)
+    iv = trees.forest_interval(m, li, li.select(*keys, *feats), "l_extendedprice", feats, 0.1, keys)
     return iv.agg(F.count(F.lit(1)).alias("rows"), sig_col(F.avg(F.col("q")[2] - F.col("q")[0])).alias("mean_width"))
 
 

@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EV_ORDER, LI_ORDER, O, S, SAT_CELLS, _binary_li, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, register
+from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, norm_sf_sql, register
 from .functions.columns import sig, sig_col
 from .operators import diagnostics as diag
 from .operators import discrete as disc
-from .operators import dynpanel, series, trees, treeshap
+from .operators import dynpanel, score, series, trees, treeshap
+from .operators import evaluate as ev
 from .operators import interpret as interp
 from .operators import linear as lin
 from .operators.foldcv import cross_validate_discrete
 from .operators.isotonic import isotonic
 from .operators.zeroinfl import zero_inflated
 from .plans.selection import exact_quantiles
-from .sources.scan import load
+from .sources import registry as reg
+from .sources.scan import load, register_tables, scan
+from .streaming import stream
 
 # ------------------------------------------------------------------ M2, M3
 WIDE_LAGS = 2000
@@ -274,3 +277,202 @@ def q_assumption_report(spark, sf):
     li = _li(spark, sf)
     t = diag.validate_assumptions(spark, li, lin.ols(li, "l_extendedprice", ["l_quantity", "l_discount"]), normality=False)
     return t.where(F.col("test").isin("breusch_pagan", "reset")).select("test", "statistic", F.when(F.col("test") != "reset", F.col("flag")).alias("flag"))
+
+
+# ------------------------------------------ iterative fits with SQL Newton oracles
+def newton_sql(src: str, start: list[str], layers: list[dict[str, str]], score: list[str], info: dict[tuple[int, int], str], iters: int = 30) -> str:
+    """Recursive CTE ``it`` of Newton's method in SQL: parameters t0.. from the one-row table ``st``, rows of
+    ``src`` (column n: their count), ``layers`` of derived columns, per-row score and information. The last
+    iteration's row holds the parameters and the diagonal v0.. of the inverse information."""
+    k = len(start)
+    t = ", ".join(f"t{j}" for j in range(k))
+    inner = f"(SELECT it.*, r.* FROM it, {src} r WHERE i < {iters})"
+    for layer in layers:
+        inner = f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM {inner})"
+    sums = [f"sum(n * ({e})) AS s{j}" for j, e in enumerate(score)] + [f"sum(n * ({e})) AS h{i}{j}" for (i, j), e in info.items()]
+    inner = f"(SELECT i, {t}, {', '.join(sums)} FROM {inner} GROUP BY i, {t})"
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    if k == 2:
+        cof = {(0, 0): "h11", (0, 1): "-h01", (1, 1): "h00"}
+    else:
+        cof = {(i, j): f"({h((i + 1) % 3, (j + 1) % 3)} * {h((i + 2) % 3, (j + 2) % 3)} - {h((i + 1) % 3, (j + 2) % 3)} * {h((i + 2) % 3, (j + 1) % 3)})"
+               for i in range(3) for j in range(i, 3)}
+    inner = f"(SELECT *, {', '.join(f'{e} AS c{i}{j}' for (i, j), e in cof.items())} FROM {inner})"
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    det = " + ".join(f"h0{j} * {c(0, j)}" for j in range(k))
+    step = ", ".join(f"t{i} + ({' + '.join(f'{c(i, j)} * s{j}' for j in range(k))}) / ({det})" for i in range(k))
+    base = ", ".join(f"CAST({e} AS DOUBLE)" for e in start)
+    return (f"it(i, {t}, {', '.join(f'v{j}' for j in range(k))}) AS (SELECT 0, {base}, {', '.join(['CAST(0 AS DOUBLE)'] * k)} FROM st UNION ALL "
+            f"SELECT i + 1, {step}, {', '.join(f'c{j}{j} / ({det})' for j in range(k))} FROM {inner}),\n"
+            f"f AS (SELECT * FROM it WHERE i = {iters})")
+
+
+def _fit_sql(terms: list[str]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{name}' AS term, {S(f't{j}')} AS coefficient, {S(f'sqrt(v{j})')} AS se FROM f" for j, name in enumerate(terms))
+
+
+def _linear_sql(w: str, u: str, xs: list[str]) -> tuple[list[str], dict]:
+    """Score u x and information w x x' of a generalised linear model."""
+    return [f"{u} * {x}" for x in xs], {(i, j): f"{w} * {xs[i]} * {xs[j]}" for i in range(len(xs)) for j in range(i, len(xs))}
+
+
+BIN_CELLS = ("c AS (SELECT l_quantity / 10 AS x1, l_discount * 10 AS x2, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CAST(count(*) AS DOUBLE) AS n "
+             "FROM lineitem GROUP BY ALL), st AS (SELECT ln(sum(n * y) / sum(n * (1 - y))) AS a, sum(n * y) / sum(n) AS m FROM c)")
+
+
+def _binary_scaled(spark, sf):
+    return _li(spark, sf).select((F.col("l_returnflag") == "R").cast("double").alias("is_r"), (F.col("l_quantity") / 10).alias("tens"),
+                                 (F.col("l_discount") * 10).alias("discount"))
+
+
+@register("logit_two_features", f"WITH RECURSIVE {BIN_CELLS},\n" + newton_sql(
+    "c", ["a", "0", "0"], [{"p": "1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2)))"}], *_linear_sql("p * (1 - p)", "(y - p)", ["1.0", "x1", "x2"])) + "\n"
+    + _fit_sql(["const", "tens", "discount"]))
+def q_logit_two_features(spark, sf):
+    return disc.logit(_binary_scaled(spark, sf), "is_r", ["tens", "discount"]).coefficients(spark).select("term", "coefficient", "se")
+
+
+_PROBIT = [{"z": "t0 + t1 * x1"}, {"q": norm_sf_sql("z"), "d": "exp(-z * z / 2) / sqrt(2 * pi())"}, {"l": "CASE WHEN y = 1 THEN d / (1 - q) ELSE -d / q END"}]
+
+
+@register("probit_one_feature", f"WITH RECURSIVE {BIN_CELLS},\n" + newton_sql(
+    "c", ["0", "0"], _PROBIT, *_linear_sql("(l * (l + z))", "l", ["1.0", "x1"])) + "\n" + _fit_sql(["const", "tens"]))
+def q_probit_one_feature(spark, sf):
+    return disc.probit(_binary_scaled(spark, sf), "is_r", ["tens"]).coefficients(spark).select("term", "coefficient", "se")
+
+
+def _ordered_sql(cdf: str, pdf: str, slope: str) -> str:
+    """Three ordered levels by one feature: t0 slope, t1 and t2 cuts. ``cdf`` etc. are SQL of {z}."""
+    ends = {"a": "CASE y WHEN 1 THEN t1 - t0 * x WHEN 2 THEN t2 - t0 * x ELSE 36.0 END", "b": "CASE y WHEN 1 THEN -36.0 WHEN 2 THEN t1 - t0 * x ELSE t2 - t0 * x END"}
+    both = {"fa": cdf.format(z="a"), "fb": cdf.format(z="b")}
+    dens = {"da": f"CASE WHEN y = 3 THEN 0.0 ELSE {pdf.format(z='a', f='fa')} END", "db": f"CASE WHEN y = 1 THEN 0.0 ELSE {pdf.format(z='b', f='fb')} END",
+            "pr": "CASE y WHEN 1 THEN fa WHEN 3 THEN 1 - fb ELSE fa - fb END"}
+    turn = {"ga": slope.format(z="a", f="fa", d="da"), "gb": slope.format(z="b", f="fb", d="db")}
+    qa = ["-x", "(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END)", "(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END)"]
+    qb = ["-x", "(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END)", "(CASE WHEN y = 3 THEN 1.0 ELSE 0.0 END)"]
+    own = {f"u{j}": f"(da * {qa[j]} - db * {qb[j]}) / pr" for j in range(3)}
+    info = {(i, j): f"u{i} * u{j} - (ga * {qa[i]} * {qa[j]} - gb * {qb[i]} * {qb[j]}) / pr" for i in range(3) for j in range(i, 3)}
+    return newton_sql("c", ["0", "a1", "a2"], [ends, both, dens, turn, own], ["u0", "u1", "u2"], info)
+
+
+LEVEL_SQL = ("c AS (SELECT o_totalprice / 100000 AS x, CASE WHEN o_orderpriority < '3' THEN 1 WHEN o_orderpriority < '4' THEN 2 ELSE 3 END AS y, 1.0 AS n FROM orders), "
+             "m AS (SELECT avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) AS p1, avg(CASE WHEN y < 3 THEN 1.0 ELSE 0.0 END) AS p2 FROM c)")
+
+
+def _levels(spark, sf):
+    p = F.col("o_orderpriority")
+    return load(spark, sf, "orders").select((F.col("o_totalprice") / 100000).alias("price"),
+                                            F.when(p < "3", "1-high").when(p < "4", "2-mid").otherwise("3-low").alias("level"))
+
+
+@register("ordered_logit_one_feature", f"WITH RECURSIVE {LEVEL_SQL}, st AS (SELECT ln(p1 / (1 - p1)) AS a1, ln(p2 / (1 - p2)) AS a2 FROM m),\n"
+          + _ordered_sql("1 / (1 + exp(-{z}))", "{f} * (1 - {f})", "{d} * (1 - 2 * {f})") + "\n" + _fit_sql(["price", "cut_1-high|2-mid", "cut_2-mid|3-low"]))
+def q_ordered_logit_one_feature(spark, sf):
+    return disc.ordered(_levels(spark, sf), "level", ["price"]).coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("ordered_probit_one_feature", f"WITH RECURSIVE {LEVEL_SQL}, st AS (SELECT 0.6 * ln(p1 / (1 - p1)) AS a1, 0.6 * ln(p2 / (1 - p2)) AS a2 FROM m),\n"
+          + _ordered_sql("(1.0 - " + norm_sf_sql("{z}") + ")", "exp(-{z} * {z} / 2) / sqrt(2 * pi())", "-{z} * {d}") + "\n"
+          + _fit_sql(["price", "cut_1-high|2-mid", "cut_2-mid|3-low"]))
+def q_ordered_probit_one_feature(spark, sf):
+    return disc.ordered(_levels(spark, sf), "level", ["price"], "probit").coefficients(spark).select("term", "coefficient", "se")
+
+
+_TOBIT = [{"z": "(y - t0 - t1 * x) / exp(t2)", "s": "exp(t2)"}, {"q": norm_sf_sql("-z"), "d": "exp(-z * z / 2) / sqrt(2 * pi())"}, {"l": "d / q"}, {"g": "-l * (z + l)"},
+          {"u": "CASE WHEN y > 0 THEN z / s ELSE -l / s END", "v": "CASE WHEN y > 0 THEN z * z - 1 ELSE -l * z END",
+           "uu": "CASE WHEN y > 0 THEN 1 / (s * s) ELSE -g / (s * s) END", "uv": "CASE WHEN y > 0 THEN 2 * z / s ELSE -(l + g * z) / s END",
+           "vv": "CASE WHEN y > 0 THEN 2 * z * z ELSE -(l * z + g * z * z) END"}]
+
+
+@register("tobit_one_feature", "WITH RECURSIVE c AS (SELECT l_quantity / 10 AS x, l_discount * 10 AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), "
+          "st AS (SELECT avg(y) AS m, ln(stddev_pop(y)) AS ls FROM c),\n" + newton_sql(
+              "c", ["m", "0", "ls"], _TOBIT, ["u", "u * x", "v"],
+              {(0, 0): "uu", (0, 1): "uu * x", (0, 2): "uv", (1, 1): "uu * x * x", (1, 2): "uv * x", (2, 2): "vv"}) + "\n" + _fit_sql(["const", "tens", "log_sigma"]))
+def q_tobit_one_feature(spark, sf):
+    d = _li(spark, sf).select((F.col("l_discount") * 10).alias("discount"), (F.col("l_quantity") / 10).alias("tens"))
+    return disc.tobit(d, "discount", ["tens"], lower=0.0).coefficients(spark).select("term", "coefficient", "se")
+
+
+# -------------------------------------------------------------- D9, D18, S3, S10, E11, T9
+@register("inverse_gaussian_saturated", f"""
+WITH d AS (SELECT l_extendedprice / 1000 AS y, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS x FROM lineitem),
+g AS (SELECT x, avg(y) AS mu, CAST(count(*) AS DOUBLE) AS n, var_pop(y) * count(*) AS ss FROM d GROUP BY x),
+p AS (SELECT sum(ss / pow(mu, 3)) / (sum(n) - 2) AS phi FROM g),
+f AS (SELECT a.mu AS m0, b.mu AS m1, phi * a.mu / a.n AS v0, phi * b.mu / b.n AS v1 FROM g a, g b, p WHERE a.x = 0 AND b.x = 1)
+SELECT 'const' AS term, {S('ln(m0)')} AS coefficient, {S('sqrt(v0)')} AS se FROM f
+UNION ALL SELECT 'status_f', {S('ln(m1 / m0)')}, {S('sqrt(v0 + v1)')} FROM f""")
+def q_inverse_gaussian_saturated(spark, sf):
+    d = _binary_li(spark, sf).withColumn("price", F.col("l_extendedprice") / 1000)
+    return disc.glm(d, "price", ["status_f"], "inverse_gaussian", "log").coefficients(spark).select("term", "coefficient", "se")
+
+
+@register("poisson_offset_saturated", f"""
+WITH o AS (SELECT CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS e,
+           CASE WHEN max(l_quantity) > 40 THEN 1 ELSE 0 END AS x FROM lineitem GROUP BY l_orderkey),
+g AS (SELECT x, sum(y) AS s, sum(e) AS e FROM o GROUP BY x),
+f AS (SELECT a.s AS s0, b.s AS s1, ln(a.s / a.e) AS b0, ln(b.s / b.e) AS b1, ln((a.s + b.s) / (a.e + b.e)) AS bn FROM g a, g b WHERE a.x = 0 AND b.x = 1)
+SELECT 'const' AS term, {S('b0')} AS value, {S('1 / sqrt(s0)')} AS se FROM f
+UNION ALL SELECT 'big', {S('b1 - b0')}, {S('sqrt(1 / s0 + 1 / s1)')} FROM f
+UNION ALL SELECT 'lr_stat', {S('2 * (s0 * b0 + s1 * b1 - (s0 + s1) * bn)')}, NULL FROM f
+UNION ALL SELECT 'mean_prediction', (SELECT {S('sum(y) / count(*)')} FROM o), NULL""")
+def q_poisson_offset_saturated(spark, sf):
+    """Returned lines per order with the log of all lines as offset: rates by group; the offset is in the null
+    model and in the predictions."""
+    d = _li(spark, sf).groupBy("l_orderkey").agg(F.sum((F.col("l_returnflag") == "R").cast("double")).alias("returned"),
+                                                 F.log(F.count(F.lit(1)).cast("double")).alias("log_lines"),
+                                                 (F.max("l_quantity") > 40).cast("double").alias("big"))
+    fit = disc.poisson(d, "returned", ["big"], offset="log_lines")
+    mean = score.predict_discrete(fit, d).agg(F.avg("prediction")).first()[0]
+    rows = [(t, sig(b), sig(s)) for t, b, s in zip(fit.terms, fit.theta, fit.se)] + [("lr_stat", sig(fit.lr_test()[0]), None), ("mean_prediction", sig(mean), None)]
+    return spark.createDataFrame(rows, "term string, value double, se double")
+
+
+@register("table_source_ols", O["ols_coefficients"])
+def q_table_source_ols(spark, sf):
+    """The OLS table of ``ols_coefficients`` from a named table of the catalog."""
+    register_tables(spark, sf, ["lineitem"])
+    return _same_as(spark, sf, "ols_coefficients", scan(spark, "lineitem"))
+
+
+def _same_as(spark, sf, name, li):
+    fit = lin.ols(li, "l_extendedprice", ["l_quantity"])
+    want = [f.name for f in Q[name](spark, sf).schema]
+    return fit.coefficients(spark).select(*want)
+
+
+@register("prediction_sink", f"""
+WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, var_pop(l_quantity) * count(*) AS sxx, regr_slope(l_extendedprice, l_quantity) AS b1,
+  regr_intercept(l_extendedprice, l_quantity) AS b0, (regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity))
+  / (count(*) - 2) AS s2 FROM lineitem),
+p AS (SELECT b0 + b1 * l_quantity AS p, sqrt(s2 * (1.0 / n + pow(l_quantity - mx, 2) / sxx)) AS se,
+      l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS id FROM lineitem, s)
+SELECT count(*) AS n, count(DISTINCT id) AS row_ids, {S('avg(p)')} AS prediction, {S('avg(se)')} AS se,
+       'row_id,prediction,se,ci_lower,ci_upper,predicted_at,schema_version,model_id' AS columns FROM p""")
+def q_prediction_sink(spark, sf):
+    """Predictions with intervals written to the sink and read again: specified columns and row ids."""
+    li = _li(spark, sf)
+    keys = LI_ORDER[:4]
+    path = stream.scratch(spark, "predictions")
+    reg.write_predictions(score.predict_linear(lin.ols(li, "l_extendedprice", ["l_quantity"]), li, "mean", keep=keys), path, "price_ols_20240101_abc123", keys)
+    back = spark.read.parquet(path)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("row_ids"), sig_col(F.avg("prediction")).alias("prediction"),
+                    sig_col(F.avg("se")).alias("se"), F.first(F.lit(",".join(back.columns))).alias("columns"))
+
+
+@register("confidence_forms", """
+WITH c AS (SELECT count(*) AS n FROM lineitem), f AS (SELECT n, least(0.2, 0.05 * pow(n, 0.3)) AS size FROM c)
+SELECT 'interpretation' AS kind, round(0.6 + size, 4) AS confidence FROM f
+UNION ALL SELECT 'registry', round(0.5 + size + 0.15 * 0.4 + 0.4 * 0.25 + 0.1 * 2 / 3, 4) FROM f
+UNION ALL SELECT 'registry, rows only', round(0.5 + size, 4) FROM f""")
+def q_confidence_forms(spark, sf):
+    n = _li(spark, sf).count()
+    rows = [("interpretation", ev.confidence_interpretation(n)), ("registry", ev.confidence_registry(n, 0.4, 0.75, ["PASS", "WARN", "PASS"])),
+            ("registry, rows only", ev.confidence_registry(n))]
+    return spark.createDataFrame(rows, "kind string, confidence double")
+
+
+@register("bootstrap_effects_logit")
+def q_bootstrap_effects_logit(spark, sf):
+    d = _li(spark, sf).select(*LI_ORDER, (F.col("l_returnflag") == "R").cast("double").alias("is_r"), (F.col("l_quantity") / 10).alias("tens"))
+    b = interp.poisson_bootstrap_effects(d, disc.logit(d.drop("l_quantity"), "is_r", ["tens"]), LI_ORDER, B=100)
+    return b.select("term", *[sig_col(c).alias(c) for c in ("mean", "se", "ci_lower", "ci_upper")])

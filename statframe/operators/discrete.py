@@ -129,8 +129,11 @@ class DiscreteFit:
         return spark.createDataFrame(rows, schema)
 
     def linear_predictor(self) -> Column:
+        """x'b, plus the offset column the model was fitted with."""
         b = self.theta[:len(self.features) + 1]
-        return lit_dot(b, [F.lit(1.0)] + [F.col(c).cast("double") for c in self.features])
+        eta = lit_dot(b, [F.lit(1.0)] + [F.col(c).cast("double") for c in self.features])
+        offset = self.extra.get("offset")
+        return eta + F.col(offset).cast("double") if offset else eta
 
 
 # --------------------------------------------------------- helpers
@@ -295,6 +298,8 @@ def glm(df: DataFrame, y: str, features: list[str], family: str = "binomial", li
         fit = DiscreteFit(family if family != "binomial" else link, [CONST] + list(features), res.theta, cov,
                           res.llf, ll_null, res.n, 2 if family == "binomial" else 0, res.converged,
                           res.iterations, list(features), y, labels[:2], link=link)
+        if offset:
+            fit.extra["offset"] = offset
         if len(labels) > 2:
             fit.warnings.append(f"more than two classes: {labels[1]!r} is coded 1, every other label 0 (D12)")
         if family in ("gamma", "inverse_gaussian", "gaussian") or scale == "pearson":
@@ -317,9 +322,15 @@ def glm(df: DataFrame, y: str, features: list[str], family: str = "binomial", li
 
 def _null_llf(data, family, link, yc, wc, oc, start0, alpha) -> float:
     w = wc if wc is not None else F.lit(1.0)
-    eta = F.lit(float(start0)) + (oc if oc is not None else F.lit(0.0))
-    _, _, _, ll = _glm_parts(family, link, yc, eta, alpha)
-    return float(data.agg(F.sum(ll * w)).collect()[0][0])
+    if oc is None:
+        _, _, _, ll = _glm_parts(family, link, yc, F.lit(float(start0)), alpha)
+        return float(data.agg(F.sum(ll * w)).collect()[0][0])
+
+    def build(theta):  # with an offset the constant has no closed form
+        _, u, v, ll = _glm_parts(family, link, yc, F.col("_eta"), alpha)
+        return [{"_eta": F.lit(float(theta[0])) + oc}, {"_u": u * w, "_w": v * w, "_ll": ll * w}], F.col("_ll"), [F.col("_u")], [[-F.col("_w")]]
+
+    return newton(data, build, np.array([float(start0)])).llf
 
 
 def logit(df, y, features, **kw) -> DiscreteFit:

@@ -199,6 +199,32 @@ def confidence_binary(n: int, r2: float, auc_value: float) -> float:
     return round(min(1.0, max(0.0, c)), 4)
 
 
+def _size_part(n: int) -> float:
+    return min(0.20, 0.05 * n ** 0.3) if n > 0 else 0.0
+
+
+def _bounded(score: float) -> float:
+    return round(min(1.0, max(0.0, score)), 4)
+
+
+def confidence_interpretation(n: int) -> float:
+    """Confidence of an interpretation: by the number of rows alone."""
+    return _bounded(0.6 + _size_part(n))
+
+
+def confidence_registry(n: int, r2: float | None = None, auc_value: float | None = None, flags: list[str] | None = None) -> float:
+    """Confidence of a registered model: rows, fit, discrimination and the share of assumption checks
+    that pass (0.10 of it); parts that are not known add nothing."""
+    score = 0.5 + _size_part(n)
+    if r2 is not None and r2 > 0:
+        score += min(0.15, 0.15 * r2)
+    if auc_value is not None:
+        score += min(0.20, 0.4 * (auc_value - 0.5))
+    if flags:
+        score += 0.10 * flags.count("PASS") / len(flags)
+    return _bounded(score)
+
+
 # ----------------------------------------------------------- E12, E13
 def information_criteria(llf: float, k: int, n: int) -> dict:
     return {"aic": -2 * llf + 2 * k, "bic": -2 * llf + k * math.log(n),

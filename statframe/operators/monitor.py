@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.order import GlobalOrder
 from .evaluate import bin_column, exact_cuts, ks_two_sample
+from ..session import shared_folder
 
 __all__ = ["ks_two_sample", "psi", "auc_by_period", "auc_decay", "stale_models", "retrain_triggers"]
 
@@ -34,7 +34,9 @@ def auc_by_period(df: DataFrame, y, score, period: Column) -> DataFrame:
     g = (df.select(period.alias("period"), F.col(y).cast("double").alias("y") if isinstance(y, str) else y.alias("y"),
                    (F.col(score) if isinstance(score, str) else score).cast("double").alias("s")).dropna()
          .groupBy("period", "s").agg(F.sum("y").alias("pos"), F.sum(F.lit(1.0) - F.col("y")).alias("neg")))
-    g = g.persist(StorageLevel.MEMORY_AND_DISK)  # read by the cut, edge and window passes
+    path = shared_folder(g.sparkSession, "auc-by-period")  # read by the cut, edge and window passes
+    g.write.parquet(path)
+    g = g.sparkSession.read.parquet(path)
     c = GlobalOrder(g, ["period", "s"]).with_running_sums(["neg"])
     t = c.groupBy("period").agg(
         F.sum(F.col("pos") * (F.col("neg_cum") - F.lit(0.5) * F.col("neg"))).alias("u"), F.sum("pos").alias("p"),

@@ -57,7 +57,7 @@ def predict_discrete(fit: DiscreteFit, df: DataFrame, interval: bool = False, al
                      keep: list[str] | None = None) -> DataFrame:
     """Probability (binary), class-probability array (ordered / multinomial),
     delta-method CI on the link scale mapped through the inverse link."""
-    feats = fit.features
+    feats = [*fit.features, *([fit.extra["offset"]] if fit.extra.get("offset") else [])]
     d = df.dropna(subset=list(feats))
     cols = [F.col(c) for c in (keep or [])]
     if fit.family.startswith("ordered") or fit.family == "mnlogit":
@@ -68,8 +68,8 @@ def predict_discrete(fit: DiscreteFit, df: DataFrame, interval: bool = False, al
     out = d.select(*cols, *[F.col(c) for c in feats if c not in (keep or [])],
                    probability(fit).alias("prediction"), fit.linear_predictor().alias("_eta"))
     if interval:
-        k = len(feats) + 1
-        x = [F.lit(1.0)] + [F.col(c).cast("double") for c in feats]
+        k = len(fit.features) + 1
+        x = [F.lit(1.0)] + [F.col(c).cast("double") for c in fit.features]
         q = None
         for i in range(k):
             for j in range(i, k):

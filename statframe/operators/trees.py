@@ -87,11 +87,13 @@ def recalibrate(df: DataFrame, y: str, p: str, how: str = "platt"):
 
 
 def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: list[str],
-                    alpha: float = 0.1, key: str = "_row", points: int = 21) -> DataFrame:
+                    alpha: float = 0.1, key: str | list[str] = "_row", points: int = 21) -> DataFrame:
     """Quantile-forest style interval. Each (tree, leaf) keeps a fixed-size quantile
     summary of its training targets (``points`` values, size-weighted); a new row pools
     the summaries of its T leaves (T x points values, independent of the data size)
-    and takes the weighted quantiles. No new-row x training-row pairs are formed."""
+    and takes the weighted quantiles. No new-row x training-row pairs are formed. ``key`` names the columns that
+    identify a new row."""
+    key = [key] if isinstance(key, str) else list(key)
     rf = model.stages[-1]
     va = model.stages[0]
     rf.setLeafCol("_leaves")
@@ -99,9 +101,9 @@ def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: l
     tr = rf.transform(va.transform(train.select(y, *features).dropna())).select(y, "_leaves")
     leaf = (tr.select(y, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
             .groupBy("tree", "leaf").agg(F.percentile_approx(y, probs, 1000).alias("qs")))
-    nw = rf.transform(va.transform(new)).select(key, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
-    pooled = nw.join(leaf, ["tree", "leaf"]).select(key, F.explode("qs").alias("v"))
-    return pooled.groupBy(key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
+    nw = rf.transform(va.transform(new)).select(*key, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
+    pooled = nw.join(leaf, ["tree", "leaf"]).select(*key, F.explode("qs").alias("v"))
+    return pooled.groupBy(*key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
 
 
 def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], samples: int = 8, seed: int = 7) -> DataFrame:
