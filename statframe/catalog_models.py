@@ -12,7 +12,7 @@ from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _ev, _l
 from .functions.columns import sig, sig_col
 from .operators import diagnostics as diag
 from .operators import discrete as disc
-from .operators import dynpanel, score, series, trees, treeshap
+from .operators import dynpanel, panel, score, series, trees, treeshap
 from .operators import evaluate as ev
 from .operators import interpret as interp
 from .operators import linear as lin
@@ -476,3 +476,10 @@ def q_bootstrap_effects_logit(spark, sf):
     d = _li(spark, sf).select(*LI_ORDER, (F.col("l_returnflag") == "R").cast("double").alias("is_r"), (F.col("l_quantity") / 10).alias("tens"))
     b = interp.poisson_bootstrap_effects(d, disc.logit(d.drop("l_quantity"), "is_r", ["tens"]), LI_ORDER, B=100)
     return b.select("term", *[sig_col(c).alias(c) for c in ("mean", "se", "ci_lower", "ci_upper")])
+
+
+@register("panel_two_way_days")
+def q_panel_two_way_days(spark, sf):
+    """Effects of suppliers and of thousands of shipping days (more periods than a matrix on the driver takes)."""
+    fit = panel.within(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", "l_shipdate")
+    return fit.coefficients(spark).select("term", "coefficient", "se")

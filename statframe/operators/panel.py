@@ -22,6 +22,7 @@ from ..functions.columns import sig
 from ..functions.linalg import sym_inv
 from ..plans.gram import Moments, gram, group_shrunk_moments, grouped_gram
 from ..plans.order import series_lags
+from ..session import shared_folder
 from .linear import design
 
 
@@ -61,8 +62,10 @@ def _solve_raw(mom: Moments, y: str, xs: list[str]):
     return b, inv, max(float(yty - b @ xty), 0.0)
 
 
-#: Periods of a two-way model (their cross-products are a matrix on the driver).
+#: Periods of a two-way model whose cross-products are a matrix on the driver; with more, the period
+#: effects are partialled out by conjugate gradients over distributed vectors (the same result).
 MAX_PERIODS = 500
+CG_ROUNDS, CG_TOLERANCE = 500, 1e-11
 
 
 def within(df: DataFrame, y: str, features: list[str], entity: str, time: str | None = None) -> PanelFit:
@@ -86,7 +89,7 @@ def _two_way_moments(data: DataFrame, cols: list[str], entity: str, time: str) -
     cells per entity; tasks add up the cross-products and send one matrix each."""
     periods = [r[0] for r in data.select(time).distinct().orderBy(time).limit(MAX_PERIODS + 1).collect()]
     if len(periods) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods in {time!r}")
+        return _two_way_by_gradients(data, cols, entity, time)
     p, t = len(cols), len(periods)
     total = gram(data, cols)
     index = F.array_position(F.array(*[F.lit(x) for x in periods]), F.col(time)) - 1
@@ -122,6 +125,73 @@ def _two_way_moments(data: DataFrame, cols: list[str], entity: str, time: str) -
     return Moments(list(cols), total.n, total.sw, total.s, left), int(got[-1]), rank
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _two_way_by_gradients(data: DataFrame, cols: list[str], entity: str, time: str) -> tuple[Moments, int, int]:
+    """:func:`_two_way_moments` for any number of periods. With A = D_t - N' D_e^-1 N (periods x periods,
+    never built) and r the period sums after the entity effects, the moments are those within entities minus
+    r' A^+ r. A x = r is solved for all columns at once by conjugate gradients, preconditioned by the
+    period sizes: a product with A is a grouped sum per entity and one per period over the (entity, period)
+    cells. Vectors are tables with a row per period, written in every round; the driver sees their dot products."""
+    p = len(cols)
+    total = gram(data, cols)
+    sums = [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    cells = _written(data.groupBy(F.col(entity).alias("e"), F.col(time).alias("t")).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums), "two-way-cells")
+    ent = cells.groupBy("e").agg(F.sum("n").alias("m"), *[F.sum(f"s{i}").alias(f"m{i}") for i in range(p)])
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    got = ent.agg(F.count(F.lit(1)).alias("g"), *[F.sum(F.col(f"m{i}") * F.col(f"m{j}") / F.col("m")).alias(f"w{i}_{j}") for i, j in pairs]).first()
+    start = cells.join(ent, "e").groupBy("t").agg(F.sum("n").alias("d"), *[F.sum(F.col(f"s{i}") - F.col("n") * F.col(f"m{i}") / F.col("m")).alias(f"r{i}") for i in range(p)])
+    v = start.withColumns({f"x{i}": F.lit(0.0) for i in range(p)})
+    v = _written(v.withColumns({f"q{i}": F.col(f"r{i}") / F.col("d") for i in range(p)}).withColumns({f"b{i}": F.col(f"r{i}") for i in range(p)}), "two-way-vector")
+
+    def dots(df, exprs):
+        r = df.agg(*[F.sum(e).alias(f"a{i}") for i, e in enumerate(exprs)]).first()
+        return np.array([r[f"a{i}"] or 0.0 for i in range(len(exprs))])
+
+    rho = dots(v, [F.col(f"r{i}") * F.col(f"r{i}") / F.col("d") for i in range(p)])
+    first = np.maximum(rho, 1e-300)
+    for _ in range(CG_ROUNDS):
+        if np.all(rho <= CG_TOLERANCE ** 2 * first):
+            break
+        moved = cells.select("e", "t", "n").join(v.select("t", *[f"q{i}" for i in range(p)]), "t")
+        mean = moved.groupBy("e").agg(*[(F.sum(F.col("n") * F.col(f"q{i}")) / F.sum("n")).alias(f"h{i}") for i in range(p)])
+        aq = moved.join(mean, "e").groupBy("t").agg(*[F.sum(F.col("n") * (F.col(f"q{i}") - F.col(f"h{i}"))).alias(f"aq{i}") for i in range(p)])
+        step = _written(v.join(aq, "t"), "two-way-step")
+        curve = dots(step, [F.col(f"q{i}") * F.col(f"aq{i}") for i in range(p)])
+        alpha = np.where(curve > 0, rho / np.where(curve > 0, curve, 1.0), 0.0)
+        v = step.withColumns({**{f"x{i}": F.col(f"x{i}") + F.lit(float(alpha[i])) * F.col(f"q{i}") for i in range(p)},
+                              **{f"r{i}": F.col(f"r{i}") - F.lit(float(alpha[i])) * F.col(f"aq{i}") for i in range(p)}})
+        new = dots(v, [F.col(f"r{i}") * F.col(f"r{i}") / F.col("d") for i in range(p)])
+        beta = np.where(rho > 0, new / np.where(rho > 0, rho, 1.0), 0.0)
+        v = _written(v.withColumns({f"q{i}": F.col(f"r{i}") / F.col("d") + F.lit(float(beta[i])) * F.col(f"q{i}") for i in range(p)})
+                     .drop(*[f"aq{i}" for i in range(p)]), "two-way-vector")
+        rho = new
+    else:
+        raise RuntimeError(f"period effects not settled after {CG_ROUNDS} rounds")
+    part = dots(v, [(F.col(f"b{i}") * F.col(f"x{j}") + F.col(f"b{j}") * F.col(f"x{i}")) / 2 for i, j in pairs])
+    left = total.m.copy()
+    for (i, j), a in zip(pairs, part):
+        left[i, j] = left[j, i] = total.m[i, j] - got[f"w{i}_{j}"] - a
+    return Moments(list(cols), total.n, total.sw, total.s, left), int(got["g"]), v.count() - _components(cells)
+
+
+def _components(cells: DataFrame) -> int:
+    """Connected components of the (entity, period) graph: the least period label spreads until it stands still."""
+    lab = cells.select("t").distinct().withColumn("l", F.col("t"))
+    before = None
+    while True:
+        by_e = cells.select("e", "t").join(lab, "t").groupBy("e").agg(F.min("l").alias("k"))
+        lab = _written(cells.select("e", "t").join(by_e, "e").groupBy("t").agg(F.min("k").alias("l")), "two-way-labels")
+        now = lab.agg(F.count_distinct("l"), F.sum(F.xxhash64("l", "t").cast("decimal(38,0)"))).first()
+        if now == before:
+            return int(now[0])
+        before = now
+
+
 def between(df: DataFrame, y: str, features: list[str], entity: str) -> PanelFit:
     """OLS on entity means."""
     from .linear import ols

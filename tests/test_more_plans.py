@@ -124,3 +124,21 @@ def test_strata_without_sample_and_one_class_auc(spark):
     got = {r["s"]: (r["n_sample"], r["n_pop"], r["weight"]) for r in X.strata_weights(spark.createDataFrame([("a",), ("d",)], "s string"), pop, "s").collect()}
     assert got == {"a": (1, 2, 2.0), "b": (0, 1, None), "c": (0, 1, None), "d": (1, 0, None)}
     assert np.isnan(auc(spark.createDataFrame([(1.0, .2), (1.0, .4)], "y double, p double"), "y", "p"))
+
+
+def test_two_way_effects_of_many_periods(spark, monkeypatch):
+    """Conjugate gradients over period vectors give what the period matrix gives, unconnected blocks included."""
+    from statframe.operators import panel as P
+    rng = np.random.default_rng(3)
+    rows = []
+    for e in range(40):
+        for t in rng.choice(12, rng.integers(2, 8), replace=False):
+            x = rng.normal() + .1 * t
+            rows.append((e, int(t) + (100 if e >= 30 else 0), float(x), float(1.5 * x + e * .2 + t * .3 + rng.normal())))
+    df = spark.createDataFrame(rows, "e int, t int, x double, y double")
+    want = P.within(df, "y", ["x"], "e", "t")
+    monkeypatch.setattr(P, "MAX_PERIODS", 3)
+    got = P.within(df, "y", ["x"], "e", "t")
+    np.testing.assert_allclose(got.beta, want.beta, rtol=1e-8)
+    np.testing.assert_allclose(got.cov, want.cov, rtol=1e-7)
+    assert got.df_resid == want.df_resid and got.groups == want.groups
