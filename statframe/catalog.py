@@ -37,6 +37,7 @@ from .operators import panel
 from .operators import series
 from .operators import linear as lin
 from .operators.linear import ols, segmented_ols
+from .operators.zeroinfl import zero_inflated
 from .sources.scan import load
 from .streaming import stream
 
@@ -1786,9 +1787,8 @@ def q_gologit_priority(spark, sf):
 @register("zip_discount_points")
 def q_zip_discount_points(spark, sf):
     d = _li(spark, sf).withColumn("disc_points", F.round(F.col("l_discount") * 100))
-    r = disc.zip_poisson(d, "disc_points", ["l_quantity"], ["l_tax"])
-    rows = [("count:" + t, sig(b)) for t, b in zip(r["count_terms"], r["count_coef"])] + \
-           [("inflate:" + t, sig(b)) for t, b in zip(r["inflate_terms"], r["inflate_coef"])] + [("llf", sig(r["llf"]))]
+    fit = zero_inflated(d, "disc_points", ["l_quantity"], ["l_tax"])
+    rows = [(t, sig(b)) for t, b in zip(fit.terms, fit.theta)] + [("llf", sig(fit.llf))]
     return spark.createDataFrame(rows, "term string, value double")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, norm_sf_sql, register
+from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _coef_sql, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, flag_sql, norm_sf_sql, register
 from .functions.columns import sig, sig_col
 from .operators import diagnostics as diag
 from .operators import discrete as disc
@@ -280,35 +280,34 @@ def q_assumption_report(spark, sf):
 
 
 # ------------------------------------------ iterative fits with SQL Newton oracles
-def newton_sql(src: str, start: list[str], layers: list[dict[str, str]], score: list[str], info: dict[tuple[int, int], str], iters: int = 30) -> str:
+def newton_sql(src: str, start: list[str], layers: list[dict[str, str]], score: list[str], info: dict[tuple[int, int], str], iters: int = 25, tag: str = "") -> str:
     """Recursive CTE ``it`` of Newton's method in SQL: parameters t0.. from the one-row table ``st``, rows of
-    ``src`` (column n: their count), ``layers`` of derived columns, per-row score and information. The last
-    iteration's row holds the parameters and the diagonal v0.. of the inverse information."""
+    ``src`` (column n: their count), ``layers`` of derived columns, per-row score and information. ``f`` is the last
+    iteration's row: the parameters and the inverse information v00, v01, ... (``tag`` is added to the names)."""
     k = len(start)
     t = ", ".join(f"t{j}" for j in range(k))
-    inner = f"(SELECT it.*, r.* FROM it, {src} r WHERE i < {iters})"
+    inner = f"(SELECT it{tag}.*, r.* FROM it{tag}, {src} r WHERE i < {iters})"
     for layer in layers:
         inner = f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM {inner})"
     sums = [f"sum(n * ({e})) AS s{j}" for j, e in enumerate(score)] + [f"sum(n * ({e})) AS h{i}{j}" for (i, j), e in info.items()]
     inner = f"(SELECT i, {t}, {', '.join(sums)} FROM {inner} GROUP BY i, {t})"
-    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
-    if k == 2:
-        cof = {(0, 0): "h11", (0, 1): "-h01", (1, 1): "h00"}
-    else:
-        cof = {(i, j): f"({h((i + 1) % 3, (j + 1) % 3)} * {h((i + 2) % 3, (j + 2) % 3)} - {h((i + 1) % 3, (j + 2) % 3)} * {h((i + 2) % 3, (j + 1) % 3)})"
-               for i in range(3) for j in range(i, 3)}
-    inner = f"(SELECT *, {', '.join(f'{e} AS c{i}{j}' for (i, j), e in cof.items())} FROM {inner})"
-    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
-    det = " + ".join(f"h0{j} * {c(0, j)}" for j in range(k))
-    step = ", ".join(f"t{i} + ({' + '.join(f'{c(i, j)} * s{j}' for j in range(k))}) / ({det})" for i in range(k))
+    # [H | I] by Gauss-Jordan steps without pivoting (H is positive definite near the optimum)
+    m = {(i, j): f"h{min(i, j)}{max(i, j)}" if j < k else ("1.0" if j - k == i else "0.0") for i in range(k) for j in range(2 * k)}
+    keep = f"i, {t}, {', '.join(f's{j}' for j in range(k))}"
+    for p in range(k):
+        nxt = {(i, j): f"({m[p, j]}) / ({m[p, p]})" if i == p else f"({m[i, j]}) - ({m[i, p]}) * ({m[p, j]}) / ({m[p, p]})" for i in range(k) for j in range(2 * k)}
+        inner = f"(SELECT {keep}, {', '.join(f'{e} AS m{p}_{i}_{j}' for (i, j), e in nxt.items())} FROM {inner})"
+        m = {(i, j): f"m{p}_{i}_{j}" for i, j in nxt}
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    step = ", ".join(f"t{i} + {' + '.join(f'{m[i, k + j]} * s{j}' for j in range(k))}" for i in range(k))
     base = ", ".join(f"CAST({e} AS DOUBLE)" for e in start)
-    return (f"it(i, {t}, {', '.join(f'v{j}' for j in range(k))}) AS (SELECT 0, {base}, {', '.join(['CAST(0 AS DOUBLE)'] * k)} FROM st UNION ALL "
-            f"SELECT i + 1, {step}, {', '.join(f'c{j}{j} / ({det})' for j in range(k))} FROM {inner}),\n"
-            f"f AS (SELECT * FROM it WHERE i = {iters})")
+    return (f"it{tag}(i, {t}, {', '.join(f'v{i}{j}' for i, j in pairs)}) AS (SELECT 0, {base}, {', '.join(['CAST(0 AS DOUBLE)'] * len(pairs))} FROM st{tag} UNION ALL "
+            f"SELECT i + 1, {step}, {', '.join(m[i, k + j] for i, j in pairs)} FROM {inner}),\n"
+            f"f{tag} AS (SELECT * FROM it{tag} WHERE i = {iters})")
 
 
 def _fit_sql(terms: list[str]) -> str:
-    return "\nUNION ALL\n".join(f"SELECT '{name}' AS term, {S(f't{j}')} AS coefficient, {S(f'sqrt(v{j})')} AS se FROM f" for j, name in enumerate(terms))
+    return "\nUNION ALL\n".join(f"SELECT '{name}' AS term, {S(f't{j}')} AS coefficient, {S(f'sqrt(v{j}{j})')} AS se FROM f" for j, name in enumerate(terms))
 
 
 def _linear_sql(w: str, u: str, xs: list[str]) -> tuple[list[str], dict]:
@@ -341,18 +340,24 @@ def q_probit_one_feature(spark, sf):
     return disc.probit(_binary_scaled(spark, sf), "is_r", ["tens"]).coefficients(spark).select("term", "coefficient", "se")
 
 
-def _ordered_sql(cdf: str, pdf: str, slope: str) -> str:
-    """Three ordered levels by one feature: t0 slope, t1 and t2 cuts. ``cdf`` etc. are SQL of {z}."""
-    ends = {"a": "CASE y WHEN 1 THEN t1 - t0 * x WHEN 2 THEN t2 - t0 * x ELSE 36.0 END", "b": "CASE y WHEN 1 THEN -36.0 WHEN 2 THEN t1 - t0 * x ELSE t2 - t0 * x END"}
+def _ordered_sql(levels: int, cdf: str, pdf: str, slope: str) -> str:
+    """Ordered levels 1.. by one feature: t0 slope, t1.. cuts. ``cdf``, ``pdf`` and ``slope`` are SQL of {z}, {f}, {d}."""
+    case = lambda back: "CASE y " + " ".join(f"WHEN {v} THEN t{v - back} - t0 * x" for v in range(1 + back, levels + back)) + " ELSE {} END"
+    ends = {"a": case(0).format("36.0"), "b": case(1).format("-36.0")}
     both = {"fa": cdf.format(z="a"), "fb": cdf.format(z="b")}
-    dens = {"da": f"CASE WHEN y = 3 THEN 0.0 ELSE {pdf.format(z='a', f='fa')} END", "db": f"CASE WHEN y = 1 THEN 0.0 ELSE {pdf.format(z='b', f='fb')} END",
-            "pr": "CASE y WHEN 1 THEN fa WHEN 3 THEN 1 - fb ELSE fa - fb END"}
+    dens = {"da": f"CASE WHEN y = {levels} THEN 0.0 ELSE {pdf.format(z='a', f='fa')} END", "db": f"CASE WHEN y = 1 THEN 0.0 ELSE {pdf.format(z='b', f='fb')} END",
+            "pr": f"CASE y WHEN 1 THEN fa WHEN {levels} THEN 1 - fb ELSE fa - fb END"}
     turn = {"ga": slope.format(z="a", f="fa", d="da"), "gb": slope.format(z="b", f="fb", d="db")}
-    qa = ["-x", "(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END)", "(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END)"]
-    qb = ["-x", "(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END)", "(CASE WHEN y = 3 THEN 1.0 ELSE 0.0 END)"]
-    own = {f"u{j}": f"(da * {qa[j]} - db * {qb[j]}) / pr" for j in range(3)}
-    info = {(i, j): f"u{i} * u{j} - (ga * {qa[i]} * {qa[j]} - gb * {qb[i]} * {qb[j]}) / pr" for i in range(3) for j in range(i, 3)}
-    return newton_sql("c", ["0", "a1", "a2"], [ends, both, dens, turn, own], ["u0", "u1", "u2"], info)
+    one = lambda v: f"(CASE WHEN y = {v} THEN 1.0 ELSE 0.0 END)"
+    qa = ["-x"] + [one(v) for v in range(1, levels)]
+    qb = ["-x"] + [one(v) for v in range(2, levels + 1)]
+    own = {f"u{j}": f"(da * {qa[j]} - db * {qb[j]}) / pr" for j in range(levels)}
+    info = {(i, j): f"u{i} * u{j} - (ga * {qa[i]} * {qa[j]} - gb * {qb[i]} * {qb[j]}) / pr" for i in range(levels) for j in range(i, levels)}
+    return newton_sql("c", ["0"] + [f"a{j}" for j in range(1, levels)], [ends, both, dens, turn, own], [f"u{j}" for j in range(levels)], info)
+
+
+_LOGISTIC = ("1 / (1 + exp(-{z}))", "{f} * (1 - {f})", "{d} * (1 - 2 * {f})")
+_NORMAL = ("(1.0 - " + norm_sf_sql("{z}") + ")", "exp(-{z} * {z} / 2) / sqrt(2 * pi())", "-{z} * {d}")
 
 
 LEVEL_SQL = ("c AS (SELECT o_totalprice / 100000 AS x, CASE WHEN o_orderpriority < '3' THEN 1 WHEN o_orderpriority < '4' THEN 2 ELSE 3 END AS y, 1.0 AS n FROM orders), "
@@ -366,13 +371,13 @@ def _levels(spark, sf):
 
 
 @register("ordered_logit_one_feature", f"WITH RECURSIVE {LEVEL_SQL}, st AS (SELECT ln(p1 / (1 - p1)) AS a1, ln(p2 / (1 - p2)) AS a2 FROM m),\n"
-          + _ordered_sql("1 / (1 + exp(-{z}))", "{f} * (1 - {f})", "{d} * (1 - 2 * {f})") + "\n" + _fit_sql(["price", "cut_1-high|2-mid", "cut_2-mid|3-low"]))
+          + _ordered_sql(3, *_LOGISTIC) + "\n" + _fit_sql(["price", "cut_1-high|2-mid", "cut_2-mid|3-low"]))
 def q_ordered_logit_one_feature(spark, sf):
     return disc.ordered(_levels(spark, sf), "level", ["price"]).coefficients(spark).select("term", "coefficient", "se")
 
 
 @register("ordered_probit_one_feature", f"WITH RECURSIVE {LEVEL_SQL}, st AS (SELECT 0.6 * ln(p1 / (1 - p1)) AS a1, 0.6 * ln(p2 / (1 - p2)) AS a2 FROM m),\n"
-          + _ordered_sql("(1.0 - " + norm_sf_sql("{z}") + ")", "exp(-{z} * {z} / 2) / sqrt(2 * pi())", "-{z} * {d}") + "\n"
+          + _ordered_sql(3, *_NORMAL) + "\n"
           + _fit_sql(["price", "cut_1-high|2-mid", "cut_2-mid|3-low"]))
 def q_ordered_probit_one_feature(spark, sf):
     return disc.ordered(_levels(spark, sf), "level", ["price"], "probit").coefficients(spark).select("term", "coefficient", "se")
@@ -483,3 +488,103 @@ def q_panel_two_way_days(spark, sf):
     """Effects of suppliers and of thousands of shipping days (more periods than a matrix on the driver takes)."""
     fit = panel.within(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", "l_shipdate")
     return fit.coefficients(spark).select("term", "coefficient", "se")
+
+
+# ---------------------------------------- oracles of fits registered in ``catalog``
+RAW_CELLS = ("c AS (SELECT l_quantity AS x1, l_discount AS x2, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS x3, "
+             "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), "
+             "st AS (SELECT ln(sum(n * y) / sum(n * (1 - y))) AS a FROM c)")
+
+
+def _logit_newton(xs: list[str], src: str = "c", tag: str = "") -> str:
+    eta = " + ".join(f"t{j} * {x}" for j, x in enumerate(xs))
+    return newton_sql(src, ["a"] + ["0"] * (len(xs) - 1), [{"p": f"1 / (1 + exp(-({eta})))"}], *_linear_sql("p * (1 - p)", "(y - p)", xs), tag=tag)
+
+
+def _probit_newton(xs: list[str], tag: str = "") -> str:
+    layers = [{"z": " + ".join(f"t{j} * {x}" for j, x in enumerate(xs))}, *_PROBIT[1:]]
+    return newton_sql("c", ["0"] * len(xs), layers, *_linear_sql("(l * (l + z))", "l", xs), tag=tag)
+
+
+_X12 = ["1.0", "x1", "x2"]
+O["probit_fit"] = f"WITH RECURSIVE {RAW_CELLS},\n{_probit_newton(_X12)}\n" + _coef_sql(
+    [("const", "t0", "sqrt(v00)"), ("l_quantity", "t1", "sqrt(v11)"), ("l_discount", "t2", "sqrt(v22)")])
+O["tobit_discount"] = ("WITH RECURSIVE c AS (SELECT l_quantity AS x, l_discount AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), "
+                       "st AS (SELECT avg(y) AS m, ln(stddev_pop(y)) AS ls FROM c),\n" + newton_sql(
+                           "c", ["m", "0", "ls"], _TOBIT, ["u", "u * x", "v"],
+                           {(0, 0): "uu", (0, 1): "uu * x", (0, 2): "uv", (1, 1): "uu * x * x", (1, 2): "uv * x", (2, 2): "vv"}) + "\n"
+                       + _coef_sql([("const", "t0", "sqrt(v00)"), ("l_quantity", "t1", "sqrt(v11)"), ("log_sigma", "t2", "sqrt(v22)")]))
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_PRIORITY_CELLS = ("c AS (SELECT o_totalprice AS x, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS y, 1.0 AS n FROM orders), "
+                   "m AS (SELECT " + ", ".join(f"avg(CASE WHEN y <= {j} THEN 1.0 ELSE 0.0 END) AS p{j}" for j in range(1, 5)) + " FROM c), "
+                   "st AS (SELECT " + ", ".join("{0}ln(p%d / (1 - p%d)) AS a%d" % (j, j, j) for j in range(1, 5)) + " FROM m)")
+_CUT_TERMS = ["o_totalprice"] + [f"cut_{a}|{b}" for a, b in zip(_PRIORITIES, _PRIORITIES[1:])]
+O["ordered_probit_priority"] = (f"WITH RECURSIVE {_PRIORITY_CELLS.format('0.6 * ')},\n" + _ordered_sql(5, *_NORMAL) + "\n"
+                                + _coef_sql([(t, f"t{j}", f"sqrt(v{j}{j})") for j, t in enumerate(_CUT_TERMS)]))
+_LEVEL_PARTS = [f"(f{j} * (1 - f{j}))" for j in range(1, 5)]
+O["effects_by_level_ordered"] = (
+    f"WITH RECURSIVE {_PRIORITY_CELLS.format('')},\n" + _ordered_sql(5, *_LOGISTIC) + ",\n"
+    + "z AS (SELECT t0, " + ", ".join(f"1 / (1 + exp(-(t{j} - t0 * x))) AS f{j}" for j in range(1, 5)) + " FROM c, f),\n"
+    + "d AS (SELECT any_value(t0) AS b, " + ", ".join(f"avg({e}) AS d{j}" for j, e in enumerate(_LEVEL_PARTS, start=1)) + ", 0.0 AS d0, 0.0 AS d5 FROM z)\n"
+    + "\nUNION ALL\n".join(f"SELECT 'o_totalprice' AS term, '{lv}' AS level, {S(f'-b * (d{j} - d{j - 1})')} AS effect FROM d" for j, lv in enumerate(_PRIORITIES, start=1)))
+_SHARES = ["f1", "f2 - f1", "f3 - f2", "f4 - f3", "1 - f4"]
+@register("probability_curves_long", f"WITH RECURSIVE {_PRIORITY_CELLS.format('')},\n" + _ordered_sql(5, *_LOGISTIC) + ",\n"
+          "g AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 9 AS x FROM (SELECT min(x) AS lo, max(x) AS hi FROM c), (SELECT unnest(range(10)) AS i)),\n"
+          "z AS (SELECT g.i AS grid_index, g.x, " + ", ".join(f"1 / (1 + exp(-(t{j} - t0 * g.x))) AS f{j}" for j in range(1, 5)) + " FROM g, f)\n"
+          + "\nUNION ALL\n".join(f"SELECT grid_index, {S('x')} AS grid_value, '{lv}' AS level, {S(e)} AS probability FROM z" for lv, e in zip(_PRIORITIES, _SHARES)))
+def q_probability_curves_long(spark, sf):
+    """The curves of ``probability_curves_ordered``, a row per grid point and level."""
+    o = load(spark, sf, "orders")
+    fit = disc.ordered(o, "o_orderpriority", ["o_totalprice"])
+    pc = interp.probability_curves(o, fit, "o_totalprice", 10)
+    names = F.array(*[F.lit(c) for c in fit.classes])
+    return (pc.select("grid_index", sig_col("grid_value").alias("grid_value"), F.posexplode("probabilities").alias("k", "p"))
+            .select("grid_index", "grid_value", F.get(names, F.col("k")).alias("level"), sig_col("p").alias("probability")))
+
+
+O["importance_rank_ame"] = (
+    f"WITH RECURSIVE {RAW_CELLS},\n{_logit_newton([*_X12, 'x3'])},\n"
+    "a AS (SELECT sum(n * p * (1 - p)) / sum(n) AS w FROM (SELECT n, 1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2 + t3 * x3))) AS p FROM c, f)),\n"
+    "e AS (SELECT 'l_quantity' AS term, t1 * w AS effect FROM f, a UNION ALL SELECT 'l_discount', t2 * w FROM f, a UNION ALL SELECT 'status_f', t3 * w FROM f, a)\n"
+    f"SELECT CAST(row_number() OVER (ORDER BY abs(effect) DESC) AS INTEGER) AS rank, term, {S('effect')} AS effect FROM e")
+O["effects_at_median"] = (
+    f"WITH RECURSIVE {RAW_CELLS},\n{_logit_newton(_X12)},\n"
+    "m AS (SELECT median(l_quantity) AS x1, median(l_discount) AS x2 FROM lineitem),\n"
+    "p AS (SELECT *, 1 / (1 + exp(-(t0 + t1 * x1 + t2 * x2))) AS p FROM f, m), w AS (SELECT *, p * (1 - p) AS w, p * (1 - p) * (1 - 2 * p) AS d FROM p),\n"
+    "j AS (SELECT 'l_quantity' AS term, t1 * w AS e, t1 * d AS j0, w + t1 * d * x1 AS j1, t1 * d * x2 AS j2, * FROM w\n"
+    "UNION ALL SELECT 'l_discount', t2 * w, t2 * d, t2 * d * x1, w + t2 * d * x2, * FROM w),\n"
+    "s AS (SELECT term, e, sqrt(j0 * j0 * v00 + j1 * j1 * v11 + j2 * j2 * v22 + 2 * (j0 * j1 * v01 + j0 * j2 * v02 + j1 * j2 * v12)) AS se FROM j)\n"
+    f"SELECT term, {S('e')} AS effect, {S('se')} AS se, {S('e / se')} AS z_stat, {S('2 * ' + norm_sf_sql('abs(e / se)'))} AS p_value FROM s")
+O["linktest_logit"] = (
+    f"WITH RECURSIVE {RAW_CELLS},\n{_logit_newton(_X12)},\n"
+    "h AS (SELECT y, n, t0 + t1 * x1 + t2 * x2 AS e FROM c, f), hm AS (SELECT sum(n * e) / sum(n) AS m FROM h), hs AS (SELECT m, sqrt(sum(n * pow(e - m, 2)) / sum(n)) AS sd FROM h, hm GROUP BY m),\n"
+    "c2 AS (SELECT y, n, (e - m) / sd AS x1, pow((e - m) / sd, 2) AS x2 FROM h, hs), stb AS (SELECT a FROM st),\n"
+    f"{_logit_newton(_X12, 'c2', 'b')}, z AS (SELECT t2 / sqrt(v22) AS z FROM fb)\n"
+    f"SELECT 'linktest' AS test, {S('z')} AS statistic, CAST(1.0 AS DOUBLE) AS df, {S('2 * ' + norm_sf_sql('abs(z)'))} AS p_value, {flag_sql('2 * ' + norm_sf_sql('abs(z)'))} AS flag FROM z")
+O["vuong_logit_probit"] = (
+    f"WITH RECURSIVE {RAW_CELLS}, sta AS (SELECT a FROM st), stb AS (SELECT a FROM st),\n{_logit_newton(_X12, 'c', 'a')},\n{_probit_newton(_X12, 'b')},\n"
+    "p AS (SELECT n, y, 1 / (1 + exp(-(fa.t0 + fa.t1 * x1 + fa.t2 * x2))) AS p, fb.t0 + fb.t1 * x1 + fb.t2 * x2 AS z FROM c, fa, fb),\n"
+    f"q AS (SELECT n, y, p, 1.0 - {norm_sf_sql('z')} AS q FROM p), d AS (SELECT n, y * ln(p / q) + (1 - y) * ln((1 - p) / (1 - q)) AS d FROM q),\n"
+    "m AS (SELECT sum(n) AS n, sum(n * d) / sum(n) AS m FROM d), s AS (SELECT any_value(m.n) AS n, any_value(m) AS m, sqrt(sum(d.n * pow(d - m, 2)) / sum(d.n)) AS s FROM d, m),\n"
+    "z AS (SELECT sqrt(n) * m / s AS z FROM s)\n"
+    f"SELECT 'vuong' AS test, {S('z')} AS statistic, CAST(NULL AS DOUBLE) AS df, {S('2 * ' + norm_sf_sql('abs(z)'))} AS p_value, "
+    "CASE WHEN z > 1.96 THEN 'MODEL1' WHEN z < -1.96 THEN 'MODEL2' ELSE 'TIE' END AS flag FROM z")
+O["sample_size_and_cutpoints"] = """
+WITH c AS (SELECT o_orderpriority, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS n, min(n) AS least, 50.0 + 8 * count(*) AS need FROM c)
+SELECT 'n_ge_50_plus_8k' AS rule, n AS value, CAST(need AS DOUBLE) AS threshold, CASE WHEN n >= need THEN 'PASS' ELSE 'WARN' END AS flag FROM t
+UNION ALL SELECT 'min_class_count', least, 50.0, CASE WHEN least >= 100 THEN 'PASS' WHEN least >= 50 THEN 'WARN' ELSE 'FAIL' END FROM t
+UNION ALL SELECT 'cutpoints_monotone', 1.0, 1.0, 'PASS'"""
+_ZIP_LAYERS = [{"mu": "exp(t2 + t3 * x)", "p": "1 / (1 + exp(-(t0 + t1 * z)))"}, {"l0": "p + (1 - p) * exp(-mu)"},
+               {"d": "CASE WHEN y = 0 THEN p / l0 ELSE 0.0 END", "sb": "y - mu"}, {"v": "d * (1 - d)"},
+               {"ga": "d - p", "gb": "(1 - d) * sb", "ia": "p * (1 - p) - v", "ic": "v * sb", "ib": "(1 - d) * mu - v * sb * sb"}]
+O["zip_discount_points"] = (
+    "WITH RECURSIVE c AS (SELECT l_quantity AS x, l_tax AS z, round(l_discount * 100) AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), "
+    "st AS (SELECT ln(sum(CASE WHEN y = 0 THEN n END) / sum(CASE WHEN y > 0 THEN n END)) AS a, ln(sum(n * y) / sum(CASE WHEN y > 0 THEN n END)) AS b FROM c),\n"
+    + newton_sql("c", ["a", "0", "b", "0"], _ZIP_LAYERS, ["ga", "ga * z", "gb", "gb * x"],
+                 {(0, 0): "ia", (0, 1): "ia * z", (0, 2): "ic", (0, 3): "ic * x", (1, 1): "ia * z * z", (1, 2): "ic * z", (1, 3): "ic * x * z",
+                  (2, 2): "ib", (2, 3): "ib * x", (3, 3): "ib * x * x"})
+    + ",\nq AS (SELECT y, n, exp(t2 + t3 * x) AS mu, 1 / (1 + exp(-(t0 + t1 * z))) AS p FROM c, f),\n"
+      "l AS (SELECT sum(n * CASE WHEN y = 0 THEN ln(p + (1 - p) * exp(-mu)) ELSE ln(1 - p) + y * ln(mu) - mu - lgamma(y + 1) END) AS llf FROM q)\n"
+    + "\nUNION ALL\n".join(f"SELECT '{t}' AS term, {S(f't{j}')} AS value FROM f"
+                           for j, t in enumerate(["inflate:const", "inflate:l_tax", "count:const", "count:l_quantity"]))
+    + f"\nUNION ALL\nSELECT 'llf', {S('llf')} FROM l")
