@@ -9,8 +9,9 @@ the product z_j of its cover shares where it is not. The Shapley value of such a
     phi_i = value (o_i - z_i) * integral over y in [0, 1] of prod_{j != i} (o_j y + z_j (1 - y)),
 
 a polynomial of degree d - 1, which Gauss-Legendre with ceil(d / 2) nodes integrates exactly. So a
-row costs leaves x depth x nodes multiplications, whatever the number of feature subsets, and is
-attributed where it is: no row is repeated, joined or shuffled.
+row costs leaves x depth x nodes multiplications, whatever the number of feature subsets; as x enters by the
+pattern of passed features only, short paths are tabled by pattern and a row looks its values up. Rows are
+attributed where they are: none is repeated, joined or shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows x path features of one vectorised step.
-CELLS = 2_000_000
+#: Rows x features of one vectorised step, and the most features of a path whose values are tabled by pattern.
+CELLS, TABLE_DEPTH = 2_000_000, 10
 
 
 @dataclass
@@ -146,29 +147,55 @@ def leaf_paths(weight: float, leaves: list[Leaf], covers: np.ndarray) -> list[Pa
     return out
 
 
-def shapley_values(paths: list[Path], x: np.ndarray) -> np.ndarray:
-    """(rows, features) Shapley values of the summed paths."""
-    phi = np.zeros(x.shape)
-    for path in paths:
-        d = len(path.features)
-        if not d or path.value == 0:
+def _path_values(path: Path, passed: np.ndarray) -> np.ndarray:
+    """Shapley values of one path's features for rows of ``passed`` (rows, features): 1 where x passes."""
+    n, d = passed.shape
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    total = np.zeros((n, d))
+    for node, w in zip((nodes + 1) / 2, weights / 2):
+        factor = passed * node + path.shares * (1 - node)
+        before, behind = np.ones((n, d)), np.ones((n, d))
+        for j in range(1, d):
+            before[:, j] = before[:, j - 1] * factor[:, j - 1]
+            behind[:, d - 1 - j] = behind[:, d - j] * factor[:, d - j]
+        total += w * before * behind
+    return total * path.value * (passed - path.shares)
+
+
+def path_tables(paths: list[Path], depth: int = TABLE_DEPTH) -> list[np.ndarray | None]:
+    """Values of every pattern of passed features (bit j: feature j passes) of the paths with at most ``depth``
+    features; None for longer ones, which are worked out row by row."""
+    return [_path_values(p, (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)) if 0 < (d := len(p.features)) <= depth else None
+            for p in paths]
+
+
+def shapley_values(paths: list[Path], x: np.ndarray, tables: list | None = None) -> np.ndarray:
+    """(rows, features) Shapley values of the summed paths. Each distinct split is compared once."""
+    phi = np.zeros((x.shape[1], len(x)))
+    left: dict = {}
+    for path, table in zip(paths, path_tables(paths) if tables is None else tables):
+        if not path.features or path.value == 0:
             continue
-        passed = np.ones((len(x), d))
-        for j, steps in enumerate(path.steps):
-            for s, left in steps:
-                passed[:, j] *= _goes_left(s, x) == left
-        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-        total = np.zeros((len(x), d))
-        for node, w in zip((nodes + 1) / 2, weights / 2):
-            factor = passed * node + path.shares * (1 - node)
-            before, behind = np.ones((len(x), d)), np.ones((len(x), d))
-            for j in range(1, d):
-                before[:, j] = before[:, j - 1] * factor[:, j - 1]
-                behind[:, d - 1 - j] = behind[:, d - j] * factor[:, d - j]
-            total += w * before * behind
-        total *= path.value * (passed - path.shares)
-        phi[:, path.features] += total
-    return phi
+        passed = []
+        for steps in path.steps:
+            ok = None
+            for s, went_left in steps:
+                key = (s.feature, s.threshold, s.left_values)
+                if key not in left:
+                    left[key] = _goes_left(s, x)
+                side = left[key] if went_left else ~left[key]
+                ok = side if ok is None else ok & side
+            passed.append(ok)
+        if table is None:
+            values = _path_values(path, np.column_stack(passed).astype(float)).T
+        else:
+            pattern = np.zeros(len(x), np.int64)
+            for j, ok in enumerate(passed):
+                pattern |= ok.astype(np.int64) << j
+            values = (table[:, j].take(pattern) for j in range(len(passed)))
+        for f, v in zip(path.features, values):
+            phi[f] += v
+    return phi.T
 
 
 class TreeExplainer:
@@ -186,7 +213,7 @@ class TreeExplainer:
         """``keep`` (default: all columns) and ``phi``, an array of values in the order of the features; rows
         with a null feature get a null."""
         keep = list(df.columns) if keep is None else list(keep)
-        paths, k = self.paths, len(self.features)
+        paths, tables, k = self.paths, path_tables(self.paths), len(self.features)
 
         @F.arrow_udf("array<double>")
         def phi(*columns: pa.Array) -> pa.Array:
@@ -195,7 +222,7 @@ class TreeExplainer:
             out = np.zeros(x.shape)
             step = max(1, CELLS // max(k, 1))
             for lo in range(0, len(x), step):
-                out[lo:lo + step] = shapley_values(paths, x[lo:lo + step])
+                out[lo:lo + step] = shapley_values(paths, x[lo:lo + step], tables)
             offsets = pa.array(np.arange(0, x.size + 1, k), pa.int32())
             return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(null))
 

@@ -74,6 +74,13 @@ def test_equals_subset_enumeration(spark, data, kind, task):
         assert phi.sum() + ex.expected == pytest.approx(out, abs=1e-9)
 
 
+def test_tables_by_pattern_equal_the_row_by_row_values(spark, data):
+    m = trees.train_tree_model(data, "y", FEATS, "forest", numTrees=3, maxDepth=5)
+    paths = T.TreeExplainer(m, data, FEATS).paths
+    x = np.array([[r[f] for f in FEATS] for r in data.limit(100).collect()])
+    np.testing.assert_allclose(T.shapley_values(paths, x), T.shapley_values(paths, x, T.path_tables(paths, 1)), atol=1e-12)
+
+
 def test_nulls_empty_cover_and_summary(spark, data):
     m = trees.train_tree_model(data, "y", FEATS, "forest", numTrees=3, maxDepth=5)
     ex = T.TreeExplainer(m, data, FEATS)
