@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _coef_sql, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, flag_sql, norm_sf_sql, register
+from .catalog import EV_ORDER, LI_ORDER, O, Q, S, SAT_CELLS, _binary_li, _coef_sql, _ev, _li, _nc2_select, _nc2_sql, _phi2, _ppf_step, flag_sql, norm_sf_sql, ols1_cte, register
 from .functions.columns import sig, sig_col
+from .operators import causal
 from .operators import diagnostics as diag
 from .operators import discrete as disc
 from .operators import dynpanel, panel, score, series, trees, treeshap
 from .operators import evaluate as ev
 from .operators import interpret as interp
 from .operators import linear as lin
+from .operators import report as rep
 from .operators.foldcv import cross_validate_discrete
 from .operators.isotonic import isotonic
 from .operators.zeroinfl import zero_inflated
@@ -588,3 +590,48 @@ O["zip_discount_points"] = (
     + "\nUNION ALL\n".join(f"SELECT '{t}' AS term, {S(f't{j}')} AS value FROM f"
                            for j, t in enumerate(["inflate:const", "inflate:l_tax", "count:const", "count:l_quantity"]))
     + f"\nUNION ALL\nSELECT 'llf', {S('llf')} FROM l")
+
+
+# ------------------------------------------------------------- A17, V5, C2
+@register("student_resid_summary", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')}, f AS (SELECT *, (syy - b1 * sxy) / (n - 2) AS s2 FROM s),
+r AS (SELECT (l_extendedprice - (b0 + b1 * l_quantity)) / sqrt(s2 * (1 - (1.0 / n + pow(l_quantity - xbar, 2) / sxx))) AS t, n,
+      1.0 / n + pow(l_quantity - xbar, 2) / sxx AS h FROM lineitem, f)
+SELECT {S('max(t)')} AS largest, {S('min(t)')} AS smallest, {S('avg(abs(t))')} AS mean_abs, count(*) FILTER (WHERE abs(t) > 2) AS beyond_two,
+       count(*) FILTER (WHERE h > 4.0 / n) AS high_leverage FROM r""")
+def q_student_resid_summary(spark, sf):
+    li = _li(spark, sf)
+    inf = diag.influence(li, lin.ols(li, "l_extendedprice", ["l_quantity"]))
+    t = F.col("student_resid")
+    return inf.agg(sig_col(F.max(t)).alias("largest"), sig_col(F.min(t)).alias("smallest"), sig_col(F.avg(F.abs(t))).alias("mean_abs"),
+                   F.sum((F.abs(t) > 2).cast("long")).alias("beyond_two"), F.sum(F.col("high_leverage").cast("long")).alias("high_leverage"))
+
+
+@register("resid_histogram_density", f"""
+WITH {ols1_cte('lineitem', 'l_extendedprice', 'l_quantity')},
+r AS (SELECT l_extendedprice - (b0 + b1 * l_quantity) AS e FROM lineitem, s),
+m AS (SELECT min(e) AS lo, max(e) AS hi, avg(e) AS mu, stddev_pop(e) AS sd, count(*) AS n FROM r),
+b AS (SELECT DISTINCT CAST(least(floor((e - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin FROM r, m),
+c AS (SELECT bin, lo + (bin + 0.5) * ((hi - lo) / 30) AS c, m.* FROM b, m)
+SELECT bin, {S('c')} AS center, {S('exp(-pow((c - mu) / sd, 2) / 2) / (sqrt(2 * pi()) * sd) * n * ((hi - lo) / 30)')} AS normal_count FROM c""")
+def q_resid_histogram_density(spark, sf):
+    li = _li(spark, sf)
+    h = rep.resid_histogram(li, lin.ols(li, "l_extendedprice", ["l_quantity"]), 30)
+    return h.select("bin", sig_col("center").alias("center"), sig_col("normal_count").alias("normal_count"))
+
+
+_DID = ("c AS (SELECT l_extendedprice AS y, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS a, "
+        "CASE WHEN l_shipdate >= TIMESTAMP '1998-01-01' THEN 1.0 ELSE 0.0 END AS b, l_quantity AS q, l_discount AS d, 1.0 AS n FROM lineitem), st AS (SELECT 0 AS a)")
+_DID_X = ["1.0", "a", "b", "(a * b)", "q", "d"]
+
+
+@register("did_with_controls", f"WITH RECURSIVE {_DID},\n" + newton_sql(
+    "c", ["0"] * 6, [{"e": "y - (" + " + ".join(f"t{j} * {x}" for j, x in enumerate(_DID_X)) + ")"}], *_linear_sql("1.0", "e", _DID_X), iters=3)
+    + ",\ng AS (SELECT sum(pow(y - (" + " + ".join(f"t{j} * {x}" for j, x in enumerate(_DID_X)) + "), 2)) / (count(*) - 6) AS s2 FROM c, f)\n"
+    + f"SELECT {S('t3')} AS did, {S('sqrt(s2 * v33)')} AS se FROM f, g")
+def q_did_with_controls(spark, sf):
+    d = _li(spark, sf).select("l_extendedprice", "l_quantity", "l_discount", (F.col("l_returnflag") == "R").cast("double").alias("treat"),
+                              (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).cast("double").alias("post"))
+    r = causal.did(d, "l_extendedprice", "treat", "post", ["l_quantity", "l_discount"])
+    return spark.createDataFrame([(sig(r["did"]), sig(r["se"]))], "did double, se double")
+

@@ -21,6 +21,7 @@ from ..functions.columns import logistic, sig
 from ..functions.linalg import pivoted_dependents, sym_inv
 from ..plans.gram import Moments, gram
 from ..plans.order import GlobalOrder, bucket_reduce, check_unique
+from ..session import shared_folder
 from .linear import LinearFit, design, solve_moments
 
 TEST_SCHEMA = T.StructType([
@@ -474,7 +475,11 @@ def shapiro_wilk(df: DataFrame, col: str, by: list[str] | str) -> DataFrame:
     by = [by] if isinstance(by, str) else list(by)
     d = df.select(*by, F.col(col).cast("double").alias("_x")).dropna()
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = GlobalOrder(d.withColumn("_sh", F.xxhash64(*by)).dropna(subset=by), ["_sh", *by, "_x"]).with_running_sums([])
+    # the ranks are read three times: written once, so that the rows are ordered once
+    path = shared_folder(df.sparkSession, "shapiro-ranks")
+    GlobalOrder(d.withColumn("_sh", F.xxhash64(*by)).dropna(subset=by), ["_sh", *by, "_x"]).with_running_sums([]).select(
+        *by, "_x", "_idx").write.parquet(path)
+    ranked = df.sparkSession.read.parquet(path)
     seg = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_lo")).where(F.col("_n") >= 4)
     small = ranked.select(*by, "_x", "_idx").join(seg, by).withColumn("_i", F.col("_idx") - F.col("_lo") + 1)
     p = (F.col("_i") - F.lit(0.375)) / (F.col("_n") + F.lit(0.25))
