@@ -65,7 +65,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: Fitted models, fingerprints and tokenizers have no SQL form; see tests/llm/test_pipeline.py.
+#: Fitted models, fingerprints and tokenizers have no SQL form; see tests/llm/test_corpus_operators.py.
 ORACLE_SQL = None
 
 
