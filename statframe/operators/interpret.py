@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.columns import logistic, norm_pdf, sig
+from ..functions.columns import logistic, norm_cdf, norm_pdf, sig
 from ..plans.gram import moments_from_row, poisson_grams
 from ..plans.newton import lit_dot
 from ..plans.selection import exact_quantiles
-from .discrete import DiscreteFit, class_probabilities, probability
+from .discrete import DiscreteFit, class_probabilities, inverse_link, probability
 from .linear import LinearFit, design, solve_moments
 
 EFFECT_SCHEMA = T.StructType([
@@ -121,32 +121,46 @@ def elasticities(fit: LinearFit) -> list[tuple]:
     return [(c, sig(b * mom.mean([c])[0] / ybar)) for c, b in zip(fit.features, fit.beta[1:])]
 
 
+def _grid(df: DataFrame, feature: str, points: int) -> list[float]:
+    """Even points from the smallest to the largest value of a feature."""
+    r = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).first()
+    lo, hi = float(r["lo"]), float(r["hi"])
+    return [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+
+
 def partial_dependence(df: DataFrame, fit, feature: str, grid: int = 20, score=None) -> DataFrame:
     """Average prediction with ``feature`` set to each of ``grid`` points min..max.
 
-    The grid (a fixed number of literals) is exploded per row, scored as a column
-    expression and averaged by grid point: partial aggregation, no cross join.
+    A fit with an index enters by its index without the feature, once per row; every grid point is
+    one more average in the same aggregate, so rows are not multiplied. With a ``score`` of one's own
+    (a function of the fit) the grid is exploded per row and averaged by partial aggregation.
     """
     feats = fit.features
-    r = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).collect()[0]
-    lo, hi = float(r["lo"]), float(r["hi"])
-    pts = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
-    d = df.dropna(subset=list(feats)).select(*feats)
-    d = d.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"))
-                                               for i, v in enumerate(pts)])))
+    pts = _grid(df, feature, grid)
+    d = df.dropna(subset=list(feats))
+    if score is None:
+        slope = float(fit.theta[feats.index(feature) + 1] if isinstance(fit, DiscreteFit) else fit.beta[feats.index(feature) + 1])
+        mean = inverse_link(fit) if isinstance(fit, DiscreteFit) else (lambda e: e)
+        rest = d.select((fit.linear_predictor() - F.lit(slope) * F.col(feature).cast("double")).alias("_rest"))
+        one = rest.agg(*[F.avg(mean(F.col("_rest") + F.lit(slope * v))).alias(f"_a{i}") for i, v in enumerate(pts)])
+        rows = [F.struct(F.lit(i).alias("grid_index"), F.lit(v).alias("grid_value"), F.col(f"_a{i}").alias("partial_dependence")) for i, v in enumerate(pts)]
+        return one.select(F.explode(F.array(*rows)).alias("_g")).select("_g.*")
+    d = d.select(*feats).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(pts)])))
     d = d.withColumn(feature, F.col("_g.v")).withColumn("grid_index", F.col("_g.i"))
-    s = score(fit) if score else _default_score(fit)
-    return (d.withColumn("_s", s).groupBy("grid_index")
+    return (d.withColumn("_s", score(fit)).groupBy("grid_index")
             .agg(F.first(feature).alias("grid_value"), F.avg("_s").alias("partial_dependence")))
 
 
-def ice(df: DataFrame, fit, feature: str, id_col: str, grid: int = 20) -> DataFrame:
-    """Per-row curves (the PDP before averaging) for every row of ``df``."""
+def ice(df: DataFrame, fit, feature: str, id_col: str, grid: int = 20, ids: DataFrame | list | None = None) -> DataFrame:
+    """Per-row curves (the PDP before averaging) on the grid of all rows, for the rows whose ``id_col`` is in
+    ``ids`` (values, or a table with that column); all rows where it is None."""
     feats = fit.features
-    r = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).collect()[0]
-    lo, hi = float(r["lo"]), float(r["hi"])
-    pts = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
+    pts = _grid(df, feature, grid)
     d = df.dropna(subset=list(feats)).select(id_col, *feats)
+    if isinstance(ids, DataFrame):
+        d = d.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    elif ids is not None:
+        d = d.where(F.col(id_col).isin(list(ids)))
     d = d.withColumn(feature, F.explode(F.array(*[F.lit(v) for v in pts])))
     return d.select(id_col, F.col(feature).alias("grid_value"), _default_score(fit).alias("prediction"))
 
@@ -183,14 +197,24 @@ def effects_by_level(df: DataFrame, fit: DiscreteFit) -> list[tuple]:
 
 
 def probability_curves(df: DataFrame, fit: DiscreteFit, feature: str, grid: int = 20) -> DataFrame:
-    """Average P(Y = k) along a grid of ``feature`` (a PDP per class, one partial aggregate)."""
+    """Average P(Y = k) along a grid of ``feature`` (a PDP per class). Ordered fits average the cumulative
+    shares of all grid points in one aggregate over the index without the feature; others explode the grid."""
     feats = fit.features
-    r = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).collect()[0]
-    lo, hi = float(r["lo"]), float(r["hi"])
-    pts = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
-    d = df.dropna(subset=list(feats)).select(*feats)
-    d = d.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"))
-                                               for i, v in enumerate(pts)])))
+    pts = _grid(df, feature, grid)
+    d = df.dropna(subset=list(feats))
+    if fit.family.startswith("ordered"):
+        kx = len(feats)
+        slope, cuts = float(fit.theta[feats.index(feature)]), [float(t) for t in fit.theta[kx:]]
+        cdf = logistic if fit.family.endswith("logit") else norm_cdf
+        rest = d.select((lit_dot(fit.theta[:kx], [F.col(c).cast("double") for c in feats]) - F.lit(slope) * F.col(feature).cast("double")).alias("_rest"))
+        one = rest.agg(*[F.avg(cdf(F.lit(t - slope * v) - F.col("_rest"))).alias(f"_a{i}_{j}") for i, v in enumerate(pts) for j, t in enumerate(cuts)])
+        rows = []
+        for i, v in enumerate(pts):
+            upto = [F.lit(0.0)] + [F.col(f"_a{i}_{j}") for j in range(len(cuts))] + [F.lit(1.0)]
+            shares = F.array(*[b - a for a, b in zip(upto, upto[1:])])
+            rows.append(F.struct(F.lit(i).alias("grid_index"), F.lit(v).alias("grid_value"), shares.alias("probabilities")))
+        return one.select(F.explode(F.array(*rows)).alias("_g")).select("_g.*")
+    d = d.select(*feats).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(pts)])))
     d = d.withColumn(feature, F.col("_g.v")).withColumn("grid_index", F.col("_g.i"))
     d = d.withColumn("_p", class_probabilities(fit))
     K = fit.n_classes

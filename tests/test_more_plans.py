@@ -142,3 +142,32 @@ def test_two_way_effects_of_many_periods(spark, monkeypatch):
     np.testing.assert_allclose(got.beta, want.beta, rtol=1e-8)
     np.testing.assert_allclose(got.cov, want.cov, rtol=1e-7)
     assert got.df_resid == want.df_resid and got.groups == want.groups
+
+
+def test_curves_without_row_multiplication(spark):
+    """Partial dependence and ordered curves from one aggregate equal scoring every row at every point."""
+    from statframe.operators import interpret as I
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    z = x @ [.8, -.5] + rng.logistic(size=300)
+    rows = [(float(a), float(b), float(v > 0), int(np.digitize(v, [-1, 1])), float(t)) for (a, b), v, t in zip(x, z, rng.random(300))]
+    df = spark.createDataFrame(rows + [(None, 1.0, 0.0, 0, 0.0)], "a double, b double, y double, o int, off double")
+    for fit in (D.logit(df, "y", ["a", "b"]), D.poisson(df, "o", ["a", "b"], offset="off"), L.ols(df, "y", ["a", "b"])):
+        got = {r["grid_index"]: r for r in I.partial_dependence(df, fit, "b", 7).collect()}
+        clean = df.dropna(subset=["a"])
+        for i, r in got.items():
+            want = clean.withColumn("b", F.lit(r["grid_value"])).agg(F.avg(I._default_score(fit))).first()[0]
+            assert r["partial_dependence"] == pytest.approx(want, rel=1e-10)
+        assert len(got) == 7
+    for link in ("logit", "probit"):
+        fit = D.ordered(df, "o", ["a", "b"], link)
+        for r in I.probability_curves(df, fit, "a", 4).collect():
+            p = clean.withColumn("a", F.lit(r["grid_value"])).withColumn("p", D.class_probabilities(fit))
+            want = p.agg(*[F.avg(F.col("p")[k]) for k in range(3)]).first()
+            np.testing.assert_allclose(r["probabilities"], list(want), atol=1e-12)
+    fit = L.ols(df, "y", ["a", "b"])
+    keyed = df.withColumn("k", F.monotonically_increasing_id())
+    some = keyed.limit(5)
+    assert I.ice(keyed, fit, "a", "k", 3, ids=some).count() == 15
+    one = some.first()["k"]
+    assert {r["k"] for r in I.ice(keyed, fit, "a", "k", 3, ids=[one]).collect()} == {one}
