@@ -140,9 +140,12 @@ def partial_dependence(df: DataFrame, fit, feature: str, grid: int = 20, score=N
     d = df.dropna(subset=list(feats))
     if score is None:
         slope = float(fit.theta[feats.index(feature) + 1] if isinstance(fit, DiscreteFit) else fit.beta[feats.index(feature) + 1])
-        mean = inverse_link(fit) if isinstance(fit, DiscreteFit) else (lambda e: e)
+        mean = inverse_link(fit) if isinstance(fit, DiscreteFit) else None
         rest = d.select((fit.linear_predictor() - F.lit(slope) * F.col(feature).cast("double")).alias("_rest"))
-        one = rest.agg(*[F.avg(mean(F.col("_rest") + F.lit(slope * v))).alias(f"_a{i}") for i, v in enumerate(pts)])
+        if isinstance(fit, DiscreteFit):
+            one = rest.agg(*[F.avg(mean(F.col("_rest") + F.lit(slope * v))).alias(f"_a{i}") for i, v in enumerate(pts)])
+        else:  # the mean goes through
+            one = rest.agg(F.avg("_rest").alias("_m")).select(*[(F.col("_m") + F.lit(slope * v)).alias(f"_a{i}") for i, v in enumerate(pts)])
         rows = [F.struct(F.lit(i).alias("grid_index"), F.lit(v).alias("grid_value"), F.col(f"_a{i}").alias("partial_dependence")) for i, v in enumerate(pts)]
         return one.select(F.explode(F.array(*rows)).alias("_g")).select("_g.*")
     d = d.select(*feats).withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(pts)])))
