@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -23,6 +25,10 @@ _KINDS = {
 }
 
 
+#: Leaves aggregated in one pass: below 128 groups Spark's object aggregate keeps them in memory.
+PASS_LEAVES = 100
+
+
 def train_tree_model(df: DataFrame, y: str, features: list[str], kind: str = "forest", task: str = "regression",
                      seed: int = 42, validation_col: str | None = None, **params):
     """X1 (X6: ``validation_col`` enables GBT early stopping)."""
@@ -86,24 +92,86 @@ def recalibrate(df: DataFrame, y: str, p: str, how: str = "platt"):
     raise ValueError(f"unknown recalibration {how!r}")
 
 
+def _leaf_quantiles(rf, train: DataFrame, y: str, probs: list[float]) -> list[np.ndarray]:
+    """Per tree a (leaves, points) array of the quantiles of ``y`` in each leaf (NaN: no training row). The trees
+    are taken in passes of at most ``PASS_LEAVES`` leaves, so that each pass aggregates in memory and sorts no row."""
+    leaves = [(t.numNodes + 1) // 2 for t in rf.trees]
+    passes, room = [], 0
+    for k, n in enumerate(leaves):
+        if not passes or n > room:
+            passes, room = [*passes, []], PASS_LEAVES
+        passes[-1].append(k)
+        room -= n
+    table = [np.full((n, len(probs)), np.nan) for n in leaves]
+    for ks in passes:
+        got = (train.select(y, F.posexplode(F.slice(vector_to_array("_leaves"), ks[0] + 1, len(ks))).alias("tree", "leaf"))
+               .groupBy("tree", "leaf").agg(F.percentile_approx(y, probs, 1000).alias("qs")))
+        for r in got.collect():  # a row per leaf of the model
+            table[ks[0] + r["tree"]][int(r["leaf"])] = [float(v) for v in r["qs"]]
+    return table
+
+
+def _pooled_udf(spark, table: list[np.ndarray], at: list[float]):
+    """Arrow function: the leaf vectors of a key with their row counts -> the quantiles ``at`` of all their leaves' values."""
+    flat = np.concatenate(table)
+    first = np.cumsum([0, *map(len, table)])[:-1]
+    shared = spark.sparkContext.broadcast((flat, first))
+
+    def pick(values: np.ndarray) -> np.ndarray:
+        n = np.sum(~np.isnan(values), axis=1)
+        values = np.sort(values, axis=1)  # NaN last
+        return np.stack([values[np.arange(len(values)), np.maximum(np.ceil(q * n).astype(np.int64) - 1, 0)] for q in at], axis=1)
+
+    @F.arrow_udf("array<double>")
+    def pooled(groups: pa.Array) -> pa.Array:
+        flat, first = shared.value
+        parts = groups.flatten()
+        leaf = parts.field("_at").flatten().to_numpy(zero_copy_only=False).reshape(len(parts), len(first))
+        weight = parts.field("_w").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(groups.value_lengths().to_numpy(zero_copy_only=False))
+        out = np.empty((len(groups), len(at)))
+        step = max(1, 4_000_000 // (len(first) * flat.shape[1]))
+        size = np.diff(np.r_[0, ends])
+        one = np.flatnonzero(size == 1)
+        for lo in range(0, len(one), step):
+            rows = one[lo:lo + step]
+            out[rows] = pick(flat[leaf[ends[rows] - 1] + first].reshape(len(rows), -1))
+        for i in np.flatnonzero(size > 1):
+            mine = slice(ends[i] - size[i], ends[i])
+            v = flat[leaf[mine] + first].reshape(size[i], -1)
+            w = np.repeat(weight[mine], v.shape[1])
+            v = v.ravel()
+            order = np.argsort(v)
+            order = order[~np.isnan(v[order])]
+            cum = np.cumsum(w[order])
+            out[i] = [v[order[min(np.searchsorted(cum, np.ceil(q * cum[-1])), len(order) - 1)]] if len(order) else np.nan for q in at]
+        known = ~np.isnan(out).any(axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(at), pa.int32()), pa.array(out.ravel()),
+                                        mask=pa.array(~known)) if len(out) else pa.array([], pa.list_(pa.float64()))
+
+    return pooled
+
+
 def forest_interval(model, train: DataFrame, new: DataFrame, y: str, features: list[str],
                     alpha: float = 0.1, key: str | list[str] = "_row", points: int = 21) -> DataFrame:
     """Quantile-forest style interval. Each (tree, leaf) keeps a fixed-size quantile
     summary of its training targets (``points`` values, size-weighted); a new row pools
     the summaries of its T leaves (T x points values, independent of the data size)
-    and takes the weighted quantiles. No new-row x training-row pairs are formed. ``key`` names the columns that
-    identify a new row."""
+    and takes the quantiles of these inside its task: rows are not multiplied, and what is shuffled is one leaf
+    vector per row. ``key`` names the columns that identify a new row; rows equal in it are pooled."""
     key = [key] if isinstance(key, str) else list(key)
     rf = model.stages[-1]
     va = model.stages[0]
     rf.setLeafCol("_leaves")
     probs = [i / (points - 1) for i in range(points)]
-    tr = rf.transform(va.transform(train.select(y, *features).dropna())).select(y, "_leaves")
-    leaf = (tr.select(y, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
-            .groupBy("tree", "leaf").agg(F.percentile_approx(y, probs, 1000).alias("qs")))
-    nw = rf.transform(va.transform(new)).select(*key, F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
-    pooled = nw.join(leaf, ["tree", "leaf"]).select(*key, F.explode("qs").alias("v"))
-    return pooled.groupBy(*key).agg(F.percentile_approx("v", [alpha / 2, 0.5, 1 - alpha / 2], 10000).alias("q"))
+    table = _leaf_quantiles(rf, rf.transform(va.transform(train.select(y, *features).dropna())), y, probs)
+    pooled = _pooled_udf(new.sparkSession, table, [alpha / 2, 0.5, 1 - alpha / 2])
+    nw = rf.transform(va.transform(new)).select(*key, vector_to_array("_leaves").cast("array<int>").alias("_at"))
+    # one shuffle: the rows of a key meet, equal leaf vectors are counted, and the vectors of a key are listed
+    vectors = nw.repartition(*key).groupBy(*key, "_at").agg(F.count(F.lit(1)).alias("_w"))
+    kind = train.schema[y].dataType.simpleString()
+    return (vectors.groupBy(*key).agg(F.collect_list(F.struct("_at", "_w")).alias("_v"))
+            .select(*key, pooled("_v").cast(f"array<{kind}>").alias("q")).where("q is not null"))
 
 
 def sampled_shapley(model, df: DataFrame, features: list[str], key_cols: list[str], samples: int = 8, seed: int = 7) -> DataFrame:
