@@ -27,6 +27,16 @@ _KINDS = {
 
 #: Leaves aggregated in one pass: below 128 groups Spark's object aggregate keeps them in memory.
 PASS_LEAVES = 100
+#: Rows of a training partition at most (cached and read as a whole in each round of the fit).
+TRAIN_ROWS = 500_000
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` itself, or dealt out anew by row number if a partition holds more than ``TRAIN_ROWS`` rows."""
+    size = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (size[0] or 0) <= TRAIN_ROWS:
+        return df
+    return df.withColumn("_no", F.monotonically_increasing_id()).repartition(2 * size[1] // TRAIN_ROWS + 1, "_no").drop("_no")
 
 
 def train_tree_model(df: DataFrame, y: str, features: list[str], kind: str = "forest", task: str = "regression",
@@ -41,7 +51,7 @@ def train_tree_model(df: DataFrame, y: str, features: list[str], kind: str = "fo
     est = est_cls(**kw)
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     cols = [y] + list(features) + ([validation_col] if validation_col else [])
-    return Pipeline(stages=[va, est]).fit(df.select(*cols).dropna())
+    return Pipeline(stages=[va, est]).fit(_dealt(df.select(*cols).dropna()))
 
 
 def importance(model, features: list[str]) -> list[tuple]:
@@ -72,7 +82,7 @@ def grid_search(df: DataFrame, y: str, features: list[str], kind: str, task: str
     ev = (RegressionEvaluator(labelCol=y, metricName="rmse") if task == "regression"
           else BinaryClassificationEvaluator(labelCol=y))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=pg.build(), evaluator=ev, numFolds=folds, seed=seed)
-    m = cv.fit(df.select(y, *features).dropna())
+    m = cv.fit(_dealt(df.select(y, *features).dropna()))
     best = m.bestModel.stages[-1]
     return {"metric": ev.getMetricName(), "scores": list(m.avgMetrics), "grid": grid,
             "chosen": {k: best.getOrDefault(getattr(best, k)) for k in grid}}
