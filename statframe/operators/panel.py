@@ -255,22 +255,26 @@ def fe_f_test(df: DataFrame, y: str, features: list[str], entity: str) -> dict:
 
 def wooldridge_ac(df: DataFrame, y: str, features: list[str], entity: str, time) -> dict:
     """Regress FD residuals on their own lag; H0 coefficient = -0.5 (clustered by entity).
-    Differences and lags come from the entity-led global order (no single-task entity)."""
+    Two lags of each column come from one entity-led global order (no single-task entity): a row then holds its
+    own difference and the one before. The order is read twice, for the slopes and for the sums of each entity."""
     tcols = [time] if isinstance(time, str) else list(time)
-    fd = first_difference(df, y, features, entity, tcols)
-    data = design(df, y, features, extra=[entity] + tcols)
     cols = [y] + list(features)
-    l1 = series_lags(data, [entity], tcols, cols, 1)
-    d = l1.select(entity, *tcols, *[(F.col(c).cast("double") - F.col(f"{c}_lag1")).alias(f"_d_{c}") for c in cols]
-                  ).dropna(subset=[f"_d_{c}" for c in cols])
-    e = F.col(f"_d_{y}") - sum((F.lit(float(b)) * F.col(f"_d_{c}") for b, c in zip(fd.beta, features)), F.lit(0.0))
-    d = series_lags(d.withColumn("_e", e), [entity], tcols, ["_e"], 1).withColumnRenamed("_e_lag1", "_el").dropna(
-        subset=["_el"])
-    r = d.agg(F.sum(F.col("_e") * F.col("_el")).alias("xy"), F.sum(F.col("_el") ** 2).alias("xx"),
-              F.count(F.lit(1)).alias("n")).collect()[0]
+    # positions, so that a column may be entity, time and target at once
+    data = design(df, y, features, extra=[entity] + tcols).withColumns({f"_v{j}": F.col(c).cast("double") for j, c in enumerate(cols)})
+    lagged = series_lags(data, [entity], tcols, [f"_v{j}" for j in range(len(cols))], 2)
+    d = lagged.select(entity, *[(F.col(f"_v{j}") - F.col(f"_v{j}_lag1")).alias(f"_d{j}") for j in range(len(cols))],
+                      *[(F.col(f"_v{j}_lag1") - F.col(f"_v{j}_lag2")).alias(f"_l{j}") for j in range(len(cols))]
+                      ).dropna(subset=[f"_d{j}" for j in range(len(cols))])
+    slopes = [f"_d{j}" for j in range(1, len(cols))]
+    beta, _, _ = _solve_raw(gram(d.select("_d0", *slopes), ["_d0", *slopes]), "_d0", slopes)
+    e, el = (F.col(f"{k}0") - sum((F.lit(float(b)) * F.col(f"{k}{j}") for j, b in enumerate(beta, start=1)), F.lit(0.0)) for k in ("_d", "_l"))
+    sums = (d.select(entity, e.alias("_e"), el.alias("_el")).dropna(subset=["_el"]).groupBy(entity)
+            .agg(F.sum(F.col("_e") * F.col("_el")).alias("xy"), F.sum(F.col("_el") ** 2).alias("xx")))
+    sums = _written(sums, "wooldridge-sums")
+    r = sums.agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx")).first()
     rho = r["xy"] / r["xx"]
-    u = d.groupBy(entity).agg(F.sum(F.col("_el") * (F.col("_e") - F.lit(rho) * F.col("_el"))).alias("_u"))
-    meat = u.agg(F.sum(F.col("_u") ** 2), F.count(F.lit(1))).collect()[0]
+    # sum of el (e - rho el) of each entity
+    meat = sums.agg(F.sum((F.col("xy") - F.lit(rho) * F.col("xx")) ** 2), F.count(F.lit(1))).first()
     se = math.sqrt(meat[0]) / r["xx"]
     f = ((rho + 0.5) / se) ** 2
     return {"rho": rho, "f_stat": f, "p_value": dist.f_sf(f, 1, meat[1] - 1)}

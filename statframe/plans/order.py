@@ -15,9 +15,9 @@ global order here is two-level:
 
 The number of buckets follows from the row count alone (:func:`bucket_count`). Up to
 ``ONE_LEVEL`` buckets the cut tuples are literals of the plan. Beyond that the cuts inside each
-of ``ONE_LEVEL`` coarse buckets are found on the executors from the written sample, and
-all cuts are one broadcast table (a tuple per bucket) that an Arrow function searches, so the plan does not
-grow with the cuts. The driver holds the cuts and the per-bucket summary, bounded by buckets x lags,
+of ``ONE_LEVEL`` coarse buckets are found on the executors from the written sample, and are
+a broadcast table (a row per coarse bucket) that each row searches after its coarse bucket, so the plan does not
+grow with the cuts and no row leaves the JVM. The driver holds the cuts and the per-bucket summary, bounded by buckets x lags,
 never the rows or the sample.
 """
 
@@ -26,8 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,15 +126,14 @@ def _search(df: DataFrame, name: str, img: list[str], arrays: list[Column], n_cu
     return out
 
 
-def _fine_cuts(sample: DataFrame, img: list[str], types: list, fine: int) -> DataFrame:
+def _fine_cuts(sample: DataFrame, img: list[str], fine: int) -> DataFrame:
     """The cut tuples inside each coarse bucket of the sample (its share of ``SAMPLE_PER_BUCKET``
-    keys per bucket)."""
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((tuple(r) for r in pdf[[*img, "_n"]].itertuples(index=False, name=None)), key=_sortable)
-        return pd.DataFrame(_cut_points(rows, fine), columns=img)
-
-    schema = ", ".join(f"{k} {t.simpleString()}" for k, t in zip(img, types))
-    return sample.select("_b", *img, "_n").groupBy("_b").applyInPandas(cut, schema)
+    keys per bucket), as :func:`_cut_points` places them."""
+    rows = Window.partitionBy("_b").orderBy(*img).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = sample.select("_b", *img, "_n", (F.sum("_n").over(rows) - F.col("_n")).alias("_seen"), F.sum("_n").over(Window.partitionBy("_b")).alias("_all"))
+    step = F.floor(F.col("_seen") * F.lit(fine) / F.col("_all"))
+    first = F.lag(step, 1, 0).over(Window.partitionBy("_b").orderBy(*img))
+    return seen.withColumn("_cut", step > first).where("_cut").select(*img)
 
 
 def _places(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -150,7 +147,7 @@ def _places(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class CutTable:
-    """Cut tuples for vectorised search: column by column, a row's place among the cuts' distinct
+    """Cut tuples for vectorised search of NumPy columns (:func:`_two_levels` searches table rows): column by column, a row's place among the cuts' distinct
     prefixes. A row that equals no prefix keeps its even place whatever follows."""
 
     def __init__(self, cuts: list[tuple]):
@@ -181,17 +178,19 @@ def _as_array(values) -> np.ndarray:
     return np.array(values, dtype=kind)
 
 
-def _bucket_udf(spark, cuts: list[tuple]):
-    """Arrow function: order images -> bucket; the cut table is broadcast (one tuple per bucket)."""
-    shared = spark.sparkContext.broadcast(CutTable(cuts))
-
-    @F.arrow_udf("int")
-    def bucket(*columns: pa.Array) -> pa.Array:
-        cols = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) or pa.types.is_floating(c.type)
-                else np.array(c.to_pylist(), dtype=object) for c in columns]
-        return pa.array(shared.value.buckets(cols).astype(np.int32))
-
-    return bucket
+def _two_levels(df: DataFrame, img: list[str], types: list, coarse: list[tuple], cuts: list[tuple]) -> DataFrame:
+    """Adds ``_b``: how many of ``cuts`` (ascending, the ``coarse`` ones among them) are not above the row's key.
+    The row's coarse bucket names the row of a broadcast table that holds the cuts inside that bucket."""
+    arrays = [_cut_array([c[j] for c in coarse], dt) for j, dt in enumerate(types)]
+    marks = set(coarse)
+    starts = [0, *(i for i, c in enumerate(cuts) if c in marks), len(cuts)]
+    table = [(k, lo, *[[c[j] for c in cuts[lo:hi]] for j in range(len(types))]) for k, (lo, hi) in enumerate(zip(starts, starts[1:]))]
+    schema = T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("_lo", T.IntegerType())]
+                          + [T.StructField(f"_cut{j}", T.ArrayType(dt)) for j, dt in enumerate(types)])
+    inner = [f"_cut{j}" for j in range(len(types))]
+    out = _search(df, "_c", img, arrays, len(coarse)).join(F.broadcast(df.sparkSession.createDataFrame(table, schema)), "_c")
+    out = _search(out, "_in", img, [F.col(c) for c in inner], max(hi - lo for lo, hi in zip(starts, starts[1:])))
+    return out.withColumn("_b", F.col("_lo") + F.col("_in")).drop("_c", "_lo", "_in", *inner)
 
 
 class GlobalOrder:
@@ -233,9 +232,10 @@ class GlobalOrder:
             if want <= ONE_LEVEL:
                 out = _search(out, "_b", img, arrays, len(cuts))
             else:
-                inner = _fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, types, math.ceil(want / coarse))
-                cuts = sorted({*cuts, *(tuple(r) for r in inner.collect())}, key=lambda c: _sortable((*c, 1)))
-                out = out.withColumn("_b", _bucket_udf(df.sparkSession, cuts)(*img))
+                inner = _fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, math.ceil(want / coarse))
+                upper = cuts
+                cuts = sorted({*upper, *(tuple(r) for r in inner.collect())}, key=lambda c: _sortable((*c, 1)))
+                out = _two_levels(out.drop("_b"), img, types, upper, cuts)
             self.n_buckets = len(cuts) + 1
             out = out.drop(*img)
         self.bucketed = out
@@ -259,10 +259,10 @@ class GlobalOrder:
             raise ValueError("edge table too large; lower n_buckets or lags")
         wdesc = Window.partitionBy("_b").orderBy(*[F.col(c).desc() for c in self.order_by])
         last = F.struct("_rd", *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
-        summ = (bd.withColumn("_rd", F.row_number().over(wdesc)).groupBy("_b")
-                .agg(F.count(F.lit(1)).alias("cnt"), F.collect_list(F.when(F.col("_rd") <= L, last)).alias("tail")).collect())
-        tails = {r["_b"]: [list(t[1:]) for t in sorted(tuple(x) for x in r["tail"])] for r in summ}
-        counts = sorted((r["_b"], r["cnt"]) for r in summ)
+        # a limit by row number keeps each task's last rows of a bucket before the shuffle
+        ends = bd.withColumn("_rd", F.row_number().over(wdesc)).where(F.col("_rd") <= L).groupBy("_b").agg(F.collect_list(last).alias("tail"))
+        tails = {r["_b"]: [list(t[1:]) for t in sorted(r["tail"], key=lambda t: t["_rd"])] for r in ends.collect()}
+        counts = sorted((r["_b"], r["count"]) for r in bd.groupBy("_b").count().collect())
         edges = []
         off = 0
         history: list[list] = []  # most recent first, at most L entries
