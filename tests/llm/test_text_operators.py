@@ -156,6 +156,22 @@ def test_copies_of_a_page_keep_their_text(spark):
                        **{20 + i: f"Article {i}" for i in range(3)}, 30: body}
 
 
+def test_repeated_articles_beside_the_longest_go(spark):
+    card = "Read the ten stories that all our readers liked best in this year"
+    story = lambda i: f"Story number {i} with the words w{i} v{i} u{i} told in full and to its very end today"
+    rows = [(i, "http://a.example.com/x", f"<article><p>{story(i)}</p></article><article><p>{card}</p></article>") for i in range(4)]
+    rows += [(10, "http://a.example.com/x", f"<article><p>{card}</p></article>"),  # the only part stays
+             (11, "http://a.example.com/x", f"<main><p>{story(11)}</p><article>{card} and more</article></main>"),  # own words: stays whole
+             (12, "http://a.example.com/x", f"<article><p>{card}</p></article>" * 2),  # half of the text: stays
+             (20, "http://b.example.com/x", f"<article><p>{story(20)}</p></article><article><p>{card}</p></article>")]  # once on its host
+    rows += [(30 + i, "http://c.example.com/x", f"<nav>n{i}</nav><article><p>{story(0)}</p></article><article><p>Own {i}</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (20, 100_000):
+        got = {r.page_id: r.text for r in op3.extract(pages, chunk_tokens=chunk).collect()}
+        assert got == {**{i: story(i) for i in range(4)}, 10: card, 11: f"{story(11)}\n\n{card} and more", 12: f"{card}\n\n{card}",
+                       20: f"{story(20)}\n\n{card}", **{30 + i: f"{story(0)}\n\nOwn {i}" for i in range(4)}}
+
+
 def test_suffix_groups_match_brute_force():
     rng = np.random.default_rng(3)
     for depth in (2, 3, 5, 8):
