@@ -38,6 +38,7 @@ from .operators import series
 from .operators import linear as lin
 from .operators.linear import ols, segmented_ols
 from .operators.zeroinfl import zero_inflated
+from .session import local_table
 from .sources.scan import load
 from .streaming import stream
 
@@ -1703,7 +1704,7 @@ SELECT {S('rho')} AS rho, {S('pow((rho + 0.5) / se, 2)')} AS f_stat FROM f"""
 @register("wooldridge_serial_panel", WOOLDRIDGE_SQL)
 def q_wooldridge_serial_panel(spark, sf):
     r = panel.wooldridge_ac(_li(spark, sf), "l_extendedprice", ["l_quantity"], "l_suppkey", LI_ORDER)
-    return spark.createDataFrame([(sig(r["rho"]), sig(r["f_stat"]))], "rho double, f_stat double")
+    return local_table(spark, [(sig(r["rho"]), sig(r["f_stat"]))], "rho double, f_stat double")
 
 
 @register("vuong_logit_probit")
@@ -2040,7 +2041,7 @@ def q_importance_rank_ame(spark, sf):
 def q_permutation_importance(spark, sf):
     li = _li(spark, sf).withColumn("row_key", F.xxhash64(*[F.col(c) for c in LI_ORDER]))
     fit = ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
-    return spark.createDataFrame(interp.permutation_importance(li, fit, "row_key"), "term string, mse_increase double")
+    return local_table(spark, interp.permutation_importance(li, fit, "row_key"), "term string, mse_increase double")
 
 
 @register("bootstrap_coefficients")

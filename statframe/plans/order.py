@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import local_table, shared_folder
 
 MAX_EDGE_CELLS = 50_000_000
 MIN_BUCKETS = 8
@@ -188,7 +188,7 @@ def _two_levels(df: DataFrame, img: list[str], types: list, coarse: list[tuple],
     schema = T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("_lo", T.IntegerType())]
                           + [T.StructField(f"_cut{j}", T.ArrayType(dt)) for j, dt in enumerate(types)])
     inner = [f"_cut{j}" for j in range(len(types))]
-    out = _search(df, "_c", img, arrays, len(coarse)).join(F.broadcast(df.sparkSession.createDataFrame(table, schema)), "_c")
+    out = _search(df, "_c", img, arrays, len(coarse)).join(F.broadcast(local_table(df.sparkSession, table, schema)), "_c")
     out = _search(out, "_in", img, [F.col(c) for c in inner], max(hi - lo for lo, hi in zip(starts, starts[1:])))
     return out.withColumn("_b", F.col("_lo") + F.col("_in")).drop("_c", "_lo", "_in", *inner)
 
@@ -273,7 +273,7 @@ class GlobalOrder:
             history = (tails.get(bkt, []) + history)[:L]
         schema = T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_off", T.LongType())]
                               + [T.StructField(f"_prev_{j}", T.ArrayType(T.DoubleType())) for j in range(len(cols))])
-        edf = bd.sparkSession.createDataFrame(edges, schema)
+        edf = local_table(bd.sparkSession, edges, schema)
         out = bd.join(F.broadcast(edf), "_b").withColumn("_rn", F.row_number().over(self.window))
         out = out.withColumn("_idx", F.col("_off") + F.col("_rn")).withColumn("_tie", self._tie())
         for j, c in enumerate(cols):
@@ -299,7 +299,7 @@ class GlobalOrder:
             acc = [a + float(r[f"s{j}"] or 0.0) for j, a in enumerate(acc)]
         schema = T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_off", T.LongType())]
                               + [T.StructField(f"_o{j}", T.DoubleType()) for j in range(len(cols))])
-        edf = bd.sparkSession.createDataFrame(edges, schema)
+        edf = local_table(bd.sparkSession, edges, schema)
         run = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = bd.join(F.broadcast(edf), "_b")
         out = out.withColumn("_idx", F.col("_off") + F.row_number().over(self.window))
@@ -338,7 +338,7 @@ class GlobalOrder:
         schema = T.StructType([T.StructField("_b", T.IntegerType())]
                               + [T.StructField(f"_pe{j}", T.DoubleType()) for j in range(m)]
                               + [T.StructField(f"_ne{j}", T.DoubleType()) for j in range(m)])
-        edf = bd.sparkSession.createDataFrame(rows, schema)
+        edf = local_table(bd.sparkSession, rows, schema)
         back = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         # "next" = growing frame over the reversed order: a shrinking suffix frame
         # (currentRow..unboundedFollowing) is re-aggregated per row (quadratic per bucket)

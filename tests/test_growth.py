@@ -2,7 +2,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from statframe.operators import trees
+from statframe.operators import interpret, trees
+from statframe.operators.linear import ols
+from statframe.plans.order import GlobalOrder
 
 
 def _rows(spark, n=600):
@@ -43,3 +45,17 @@ def test_training_partitions_are_bounded(spark, monkeypatch):
     assert size <= 100 and dealt.exceptAll(d).count() == d.exceptAll(dealt).count() == 0
     few = d.limit(90)
     assert trees._dealt(few) is few
+
+
+def test_edge_tables_start_no_python_workers(spark):
+    d = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("v"), F.when(F.col("id") % 3 == 0, F.col("id") * 1.5).alias("w"))
+    go = GlobalOrder(d, "id", n_buckets=4)
+    many = GlobalOrder(d, ["v", "id"], n_buckets=100)  # two levels of cuts
+    for out in (go.with_running_sums(["v"]), go.with_lags(["v", "w"], 2), go.with_neighbors(["v", "w"]), many.bucketed):
+        plan = out._jdf.queryExecution().toString()
+        assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    got = {r["id"]: (r["v_cum"], r["_idx"]) for r in go.with_running_sums(["v"]).collect()}
+    assert got == {i: (float(sum(k % 7 for k in range(i + 1))), i + 1) for i in range(300)}
+    assert GlobalOrder(d.limit(0), "id").with_running_sums(["v"]).count() == 0
+    with_y = d.withColumn("y", F.col("v") * 2 + F.col("id") % 5)
+    assert [t for t, _ in interpret.permutation_importance(with_y, ols(with_y, "y", ["v"]), "id")] == ["v"]
