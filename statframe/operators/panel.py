@@ -256,7 +256,8 @@ def fe_f_test(df: DataFrame, y: str, features: list[str], entity: str) -> dict:
 def wooldridge_ac(df: DataFrame, y: str, features: list[str], entity: str, time) -> dict:
     """Regress FD residuals on their own lag; H0 coefficient = -0.5 (clustered by entity).
     Two lags of each column come from one entity-led global order (no single-task entity): a row then holds its
-    own difference and the one before. The order is read twice, for the slopes and for the sums of each entity."""
+    own difference and the one before. The differences are written, so that the rows are sorted once for the slopes and
+    for the sums of each entity."""
     tcols = [time] if isinstance(time, str) else list(time)
     cols = [y] + list(features)
     # positions, so that a column may be entity, time and target at once
@@ -265,6 +266,7 @@ def wooldridge_ac(df: DataFrame, y: str, features: list[str], entity: str, time)
     d = lagged.select(entity, *[(F.col(f"_v{j}") - F.col(f"_v{j}_lag1")).alias(f"_d{j}") for j in range(len(cols))],
                       *[(F.col(f"_v{j}_lag1") - F.col(f"_v{j}_lag2")).alias(f"_l{j}") for j in range(len(cols))]
                       ).dropna(subset=[f"_d{j}" for j in range(len(cols))])
+    d = _written(d, "wooldridge-differences")
     slopes = [f"_d{j}" for j in range(1, len(cols))]
     beta, _, _ = _solve_raw(gram(d.select("_d0", *slopes), ["_d0", *slopes]), "_d0", slopes)
     e, el = (F.col(f"{k}0") - sum((F.lit(float(b)) * F.col(f"{k}{j}") for j, b in enumerate(beta, start=1)), F.lit(0.0)) for k in ("_d", "_l"))

@@ -251,8 +251,10 @@ class GlobalOrder:
         return F.coalesce(tie.cast("int"), F.lit(0))
 
     # ------------------------------------------------------------ lags
-    def with_lags(self, cols: list[str], lags: int = 1) -> DataFrame:
-        """Adds ``_idx`` (1..n, global) and ``{c}_lag{l}`` for l = 1..lags."""
+    def with_lags(self, cols: list[str], lags: int = 1, inside_of: str | None = None) -> DataFrame:
+        """Adds ``_idx`` (1..n, global) and ``{c}_lag{l}`` for l = 1..lags. With ``inside_of``, the first order
+        column (a long), lags that leave a row's value of it are undefined: of each bucket only the rows with its last value are
+        then sorted for the next one's edge."""
         L = int(lags)
         bd = self.bucketed
         if self.n_buckets * L * max(1, len(cols)) > MAX_EDGE_CELLS:
@@ -260,9 +262,14 @@ class GlobalOrder:
         wdesc = Window.partitionBy("_b").orderBy(*[F.col(c).desc() for c in self.order_by])
         last = F.struct("_rd", *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
         # a limit by row number keeps each task's last rows of a bucket before the shuffle
-        ends = bd.withColumn("_rd", F.row_number().over(wdesc)).where(F.col("_rd") <= L).groupBy("_b").agg(F.collect_list(last).alias("tail"))
+        sizes = bd.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), *([F.max(inside_of).alias("_last")] if inside_of else [])).collect()
+        late = bd
+        if inside_of:
+            last_value = local_table(bd.sparkSession, [(r["_b"], r["_last"]) for r in sizes], "_b int, _last bigint")
+            late = bd.join(F.broadcast(last_value), "_b").where(F.col(inside_of) == F.col("_last"))
+        ends = late.withColumn("_rd", F.row_number().over(wdesc)).where(F.col("_rd") <= L).groupBy("_b").agg(F.collect_list(last).alias("tail"))
         tails = {r["_b"]: [list(t[1:]) for t in sorted(r["tail"], key=lambda t: t["_rd"])] for r in ends.collect()}
-        counts = sorted((r["_b"], r["count"]) for r in bd.groupBy("_b").count().collect())
+        counts = sorted((r["_b"], r["n"]) for r in sizes)
         edges = []
         off = 0
         history: list[list] = []  # most recent first, at most L entries
@@ -274,14 +281,14 @@ class GlobalOrder:
         schema = T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_off", T.LongType())]
                               + [T.StructField(f"_prev_{j}", T.ArrayType(T.DoubleType())) for j in range(len(cols))])
         edf = local_table(bd.sparkSession, edges, schema)
-        out = bd.join(F.broadcast(edf), "_b").withColumn("_rn", F.row_number().over(self.window))
-        out = out.withColumn("_idx", F.col("_off") + F.col("_rn")).withColumn("_tie", self._tie())
-        for j, c in enumerate(cols):
-            for lag in range(1, L + 1):
-                inside = F.lag(F.col(c).cast("double"), lag).over(self.window)
-                edge = F.try_element_at(F.col(f"_prev_{j}"), F.lit(lag) - F.col("_rn") + F.lit(1))
-                out = out.withColumn(f"{c}_lag{lag}", F.when(F.col("_rn") > lag, inside).otherwise(edge))
-        return out.drop("_off", "_rn", *[f"_prev_{j}" for j in range(len(cols))])
+        # one window pass over narrow rows; the edge arrays join its result and are not sorted
+        pairs = [(j, c, lag) for j, c in enumerate(cols) for lag in range(1, L + 1)]
+        inside = {f"_in{j}_{lag}": F.lag(F.col(c).cast("double"), lag).over(self.window) for j, c, lag in pairs}
+        out = bd.withColumns({"_rn": F.row_number().over(self.window), "_same": self._tie(), **inside}).join(F.broadcast(edf), "_b")
+        out = out.withColumns({"_idx": F.col("_off") + F.col("_rn"), "_tie": F.col("_same"), **{
+            f"{c}_lag{lag}": F.when(F.col("_rn") > lag, F.col(f"_in{j}_{lag}"))
+            .otherwise(F.try_element_at(F.col(f"_prev_{j}"), F.lit(lag) - F.col("_rn") + F.lit(1))) for j, c, lag in pairs}})
+        return out.drop("_off", "_rn", "_same", *inside, *[f"_prev_{j}" for j in range(len(cols))])
 
     # --------------------------------------------------- running sums
     def with_running_sums(self, cols: list[str]) -> DataFrame:
@@ -366,7 +373,7 @@ def series_lags(df: DataFrame, series: list[str] | str, order_by: list[str] | st
     keys = [F.col(c) for c in series]
     d = df.withColumn("_sh", F.xxhash64(*keys)).withColumn("_sh2", F.xxhash64(F.lit(7), *keys).cast("double"))
     go = GlobalOrder(d, ["_sh"] + series + ob, n_buckets)
-    out = go.with_lags(list(cols) + ["_sh2"], lags)
+    out = go.with_lags(list(cols) + ["_sh2"], lags, inside_of="_sh")
     for lag in range(1, lags + 1):
         same = F.col(f"_sh2_lag{lag}") == F.col("_sh2")
         for c in cols:

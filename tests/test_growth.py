@@ -2,9 +2,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from statframe.operators import interpret, trees
+from statframe.operators import interpret, panel, trees
 from statframe.operators.linear import ols
-from statframe.plans.order import GlobalOrder
+from statframe.plans.order import GlobalOrder, series_lags
 
 
 def _rows(spark, n=600):
@@ -59,3 +59,35 @@ def test_edge_tables_start_no_python_workers(spark):
     assert GlobalOrder(d.limit(0), "id").with_running_sums(["v"]).count() == 0
     with_y = d.withColumn("y", F.col("v") * 2 + F.col("id") % 5)
     assert [t for t, _ in interpret.permutation_importance(with_y, ols(with_y, "y", ["v"]), "id")] == ["v"]
+
+
+def test_series_lags_over_bucket_edges(spark):
+    # series of 1 to 40 rows and one of 300, in more buckets than most series have rows
+    rows = [(s, t, float(s * 1000 + t)) for s in range(30) for t in range(300 if s == 4 else 1 + s * 7 % 40)]
+    d = spark.createDataFrame(rows, "s long, t long, v double")
+    for buckets in (1, 9, 40):
+        out = series_lags(d, "s", "t", ["v"], 3, n_buckets=buckets)
+        got = {(r["s"], r["t"]): (r["v_lag1"], r["v_lag2"], r["v_lag3"]) for r in out.collect()}
+        assert got == {(s, t): tuple(float(s * 1000 + t - k) if t >= k else None for k in (1, 2, 3)) for s, t, _ in rows}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # all lags in one pass, edges joined after it
+
+
+def test_wooldridge_sorts_its_rows_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(panel, "_written", lambda df, name, w=panel._written: calls.append((name, df)) or w(df, name))
+    d = spark.createDataFrame([(i % 7, i, float((i * 37) % 11), float((i * 13) % 17 + (i * 37) % 11)) for i in range(300)], "g long, t long, x double, y double")
+    r = panel.wooldridge_ac(d, "y", ["x"], "g", "t")
+    assert [n for n, _ in calls] == ["wooldridge-differences", "wooldridge-sums"]
+    assert "Window" not in calls[1][1]._jdf.queryExecution().optimizedPlan().toString()
+    e, lag = [], []
+    rows = sorted((x["g"], x["t"], x["y"], x["x"]) for x in d.collect())
+    diffs = {g: np.diff(np.array([q[2:] for q in rows if q[0] == g]), axis=0) for g in range(7)}
+    b = sum((v[:, 0] * v[:, 1]).sum() for v in diffs.values()) / sum((v[:, 1] ** 2).sum() for v in diffs.values())
+    for v in diffs.values():
+        u = v[:, 0] - b * v[:, 1]
+        e.append(u[1:])
+        lag.append(u[:-1])
+    rho = sum((x * y).sum() for x, y in zip(e, lag)) / sum((y * y).sum() for y in lag)
+    se = np.sqrt(sum(((y * (x - rho * y)).sum()) ** 2 for x, y in zip(e, lag))) / sum((y * y).sum() for y in lag)
+    np.testing.assert_allclose([r["rho"], r["f_stat"]], [rho, ((rho + 0.5) / se) ** 2], rtol=1e-9)
