@@ -52,67 +52,99 @@ SHARD_IDS = 1 << 20
 FIRST_RULE, MAX_RULES = 50_257, 65_536 - 50_257
 #: Pairs replaced in a round, and the least occurrences: a rule takes 8 bytes, a replaced pair saves 2.
 ROUND_RULES, MIN_COUNT = 1024, 5
-_HASH_BITS = 20
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, and the number of each key among them)."""
+    enc = pa.array(keys).dictionary_encode()
+    return enc.dictionary.to_numpy(), enc.indices.to_numpy().astype(np.intp)
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(2654435761)) >> np.uint32(32 - _HASH_BITS)
 
-
-def _frequent(keys: np.ndarray, room: int, min_count: int) -> np.ndarray:
-    """The (up to ``room``) most frequent keys with ``min_count`` or more occurrences, falling."""
-    ordered = np.sort(keys)
-    at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[at, len(ordered)])
+def _top(keys: np.ndarray, count: np.ndarray, room: int, min_count: int) -> np.ndarray:
+    """Where the (up to ``room``) keys of largest count stand, ``min_count`` at least, falling; of equal counts the smaller key first."""
     often = np.flatnonzero(count >= min_count)
     if len(often) > room:
         c = count[often]
         often = often[c >= np.partition(c, len(c) - room)[len(c) - room]]
-    often = often[np.argsort(-count[often], kind="stable")][:room]
-    return ordered[at[often]]
+    return often[np.lexsort((keys[often], -count[often]))][:room]
+
+
+def _frequent(keys: np.ndarray, room: int, min_count: int) -> np.ndarray:
+    """The (up to ``room``) most frequent keys with ``min_count`` or more occurrences, falling."""
+    pairs, count = np.unique(keys, return_counts=True)
+    return pairs[_top(pairs, count, room, min_count)]
+
+
+def _keys(s: np.ndarray, at: np.ndarray | slice, after: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left << 16 | right) at some places, and which of them may become a rule."""
+    left, right = s[at], s[after]
+    return left.astype(np.uint32) << np.uint32(16) | right, (left != END_ID) & (right != END_ID)
+
+
+def _often(key: np.ndarray, inner: np.ndarray, min_count: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur ``min_count`` times among ``key`` where ``inner``, their counts, the number of the pair at each
+    place): numbers from ``first`` on, and 0 for the other places."""
+    keys, number = _numbered(key[inner])
+    count = np.bincount(number, minlength=len(keys))
+    often = count >= min_count
+    number_of = np.where(often, first - 1 + np.cumsum(often), 0)
+    out = np.zeros(len(key), np.intp)
+    out[inner] = number_of[number]
+    return keys[often], count[often], out
+
+
+def _apart(at: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` (ascending, with ranks ``r``) are replaced if the lowest rank goes first, from left to right
+    within a rank, and a place goes only if none beside it went. A place waits for the neighbours that come before it, so
+    in a chain of rising ranks every second one goes, counted from the lowest, as in a falling chain from its end."""
+    i = np.arange(len(at))
+    near = at[1:] == at[:-1] + 1
+    left = near & (r[:-1] <= r[1:])  # the left one of two neighbours comes first
+    rising = i - np.maximum.accumulate(np.where(np.r_[False, left], 0, i))
+    falling = np.minimum.accumulate(np.where(np.r_[near & ~left, False], len(at), i)[::-1])[::-1] - i
+    return (rising | falling) & 1 == 0
+
+
+def _beside(at: np.ndarray, n: int, after: int) -> np.ndarray:
+    """The places ``at`` (ascending, no two neighbours if ``after``), those before them and the ``after`` places behind them, below ``n``, each once."""
+    near = (at[:, None] + np.arange(-1, after + 1)).ravel()
+    return near[np.r_[True, near[1:] != near[:-1]] & (near >= 0) & (near < n)]
 
 
 def compress(ids: np.ndarray, round_rules: int = ROUND_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a shard: uint16 symbols and an (n, 2) array of rule pairs. Rounds go on until no
-    pair occurs ``min_count`` times or the symbols are used up."""
+    pair occurs ``min_count`` times or the symbols are used up.
+
+    Every place holds the number of its pair, every number its count; a round looks up and counts anew only the pairs
+    beside replaced places. A pair replaced in a round is gone after it (``_apart``), and new places of a pair come only in the
+    round that makes the later one of its symbols. So a pair has one rule, and one that is rare then stays rare and needs no number."""
     s = ids.astype(np.uint16)
     rules = np.zeros(0, np.uint32)  # left << 16 | right
+    keys, count, pair = _often(*_keys(s, slice(0, -1), slice(1, None)), min_count, 1)
+    keys, count = np.r_[np.uint32(0), keys], np.r_[0, count]  # number 0: no rule, rare or with the end id
     while len(s) > 1 and len(rules) < MAX_RULES:
-        key = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
-        inner = (s[:-1] != END_ID) & (s[1:] != END_ID)
-        pairs = _frequent(key[inner], min(round_rules, MAX_RULES - len(rules)), min_count)
-        n = len(pairs)
+        top = _top(keys, count, min(round_rules, MAX_RULES - len(rules)), min_count)
+        n = len(top)
         if not n:
             break
-        # rank of each position's pair through a hash table; of two pairs in a slot the more frequent goes first,
-        # the other one in a later round
-        slot = np.full(1 << _HASH_BITS, n, np.int32)
-        slot[_slots(pairs[::-1])] = np.arange(n - 1, -1, -1)
-        rank = slot[_slots(key)]
-        rank[(np.r_[pairs, np.uint32(0)][rank] != key) | ~inner] = n
-        at = np.flatnonzero(rank < n)
-        r = rank[at]
-        # in a run of one pair (a a a a) every second place counts
-        go_on = np.r_[False, (at[1:] == at[:-1] + 1) & (r[1:] == r[:-1])]
-        first = np.maximum.accumulate(np.where(go_on, 0, np.arange(len(at))))
-        even = (np.arange(len(at)) - first) % 2 == 0
-        at, r = at[even], r[even]
-        near = at[1:] == at[:-1] + 1
-        take = (r < np.r_[n, np.where(near, r[:-1], n)]) & (r <= np.r_[np.where(near, r[1:], n), n])
+        rank_of = np.full(len(keys), n, np.int32)
+        rank_of[top] = np.arange(n)
+        at = np.flatnonzero((rank_of < n).take(pair))
+        r = rank_of[pair[at]]
+        take = _apart(at, r)
         at, r = at[take], r[take]
-        used, number = np.unique(r, return_inverse=True)
-        order = np.argsort(rules, kind="stable")
-        known = np.minimum(np.searchsorted(rules[order], pairs[used]), max(len(rules) - 1, 0))
-        old = rules[order][known] == pairs[used] if len(rules) else np.zeros(len(used), bool)
-        name = np.empty(len(used), np.int64)
-        if old.any():
-            name[old] = order[known[old]]
-        name[~old] = len(rules) + np.arange(int((~old).sum()))
-        rules = np.r_[rules, pairs[used[~old]]]
-        s[at] = (FIRST_RULE + name[number]).astype(np.uint16)
+        made = np.bincount(r, minlength=n) > 0
+        s[at] = (FIRST_RULE + len(rules) - 1 + np.cumsum(made))[r].astype(np.uint16)
+        rules = np.r_[rules, keys[top[made]]]
+        count -= np.bincount(pair[_beside(at, len(pair), 1)], minlength=len(keys))
+        count[0] = 0
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        pair = pair[keep[:-1]][:len(s) - 1]
+        # the pairs that a new symbol begins or ends
+        at = _beside(at - np.arange(len(at)), len(pair), 0)
+        new, new_count, pair[at] = _often(*_keys(s, at, at + 1), min_count, len(keys))
+        keys, count = np.r_[keys, new], np.r_[count, new_count]
     return s, np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], axis=1).astype(np.uint16)
 
 

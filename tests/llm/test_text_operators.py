@@ -200,6 +200,56 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert t.encode(pa.array(texts, pa.string()))[1].tolist() == ids.tolist()
 
 
+def test_odd_characters_beside_cuts_give_the_ids_of_whole_texts():
+    rng = np.random.default_rng(7)
+    parts = ["a", "The", "'s", "'", " ", "\n", " \n", ".", ",", "?", "42", "é", "É", "ñ", "×", "÷", "Ω", "漢字", "。", "🙂", "１", "٣", "ɏ", "ɐ", "e\u0301",
+             "\u00ad", "$$$", "&&", "_", "-", "\x7f", "\u200b", "’s", "ß!", "\U0001d400", "\U0001d7d8", "AKIA6X"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(6000)]
+    t = tokens.PieceTokenizer(tokens.vocabulary_path())
+    fresh = Tokenizer.from_file(tokens.vocabulary_path())
+    want = [[*fresh.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        count, ids = t.encode(pa.array(["not this one", *texts], kind).slice(1))
+        assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    for texts in ([], [""], ["", "a", ""]):
+        count, ids = t.encode(pa.array(texts, pa.string()))
+        assert count.tolist() == [1 + len(x) for x in texts] and len(ids) == count.sum()
+
+
+def test_words_marks_and_line_starts_go_straight_to_the_merges(monkeypatch):
+    t = tokens.PieceTokenizer(tokens.vocabulary_path())
+    long_way, ids = [], t.ids
+    monkeypatch.setattr(t, "ids", lambda texts: long_way.extend(texts) or ids(texts))
+    text = "One two$$$ three.42@mail1, four\nFive éàö%% AKIA6X6 7.5 (six)\nseven"
+    assert t.encode(pa.array([text]))[1].tolist() == [*Tokenizer.from_file(tokens.vocabulary_path()).encode(text, add_special_tokens=False).ids, 0]
+    assert [x for x in long_way if x.strip()] == []
+
+
+def test_repair_looks_up_pairs_beside_replaced_places_only(monkeypatch):
+    x = np.random.default_rng(8).zipf(1.3, 60_000).clip(1, 5000).astype(np.uint32)
+    looked, numbered = [], op6._numbered
+    monkeypatch.setattr(op6, "_numbered", lambda keys: looked.append(len(keys)) or numbered(keys))
+    s, r = op6.compress(x, round_rules=16)
+    assert len(looked) > 30 and (op6.expand(s, r) == x).all()
+    assert sum(looked) < 3 * len(x)  # not the whole shard again in every round
+
+
+def test_repair_of_overlapping_pairs_is_the_greedy_one():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        at = np.flatnonzero(rng.random(60) < 0.8)
+        r = rng.integers(0, rng.integers(1, 8), len(at))
+        gone, want = set(), set()
+        for _, p in sorted(zip(r.tolist(), at.tolist())):
+            if not {p, p + 1} & gone:
+                want.add(p)
+                gone |= {p, p + 1}
+        assert set(at[op6._apart(at, r)].tolist()) == want
+    x = rng.integers(0, 12, 20_000).astype(np.uint32)
+    _, rules = op6.compress(x, round_rules=32)
+    assert len(np.unique(rules, axis=0)) == len(rules)  # a pair has one rule
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for _ in range(100):
