@@ -110,20 +110,38 @@ def _cut_points(sample: list[tuple], want: int) -> list[tuple]:
     return cuts
 
 
-def _search(df: DataFrame, name: str, img: list[str], arrays: list[Column], n_cuts: int) -> DataFrame:
-    """Adds ``name``: how many of the cut tuples in ``arrays`` (ascending, at most ``n_cuts``) are not
-    above the row's key, by binary search."""
-    out = df.withColumn(name, F.lit(0))
-    step = 1 << (n_cuts.bit_length() - 1) if n_cuts else 0
-    while step:
-        at = F.col(name) + F.lit(step - 1)
-        ge = None
-        for k, a in reversed(list(zip(img, arrays))):
-            cut = F.get(a, at)
-            ge = (F.col(k) >= cut) if ge is None else (F.col(k) > cut) | ((F.col(k) == cut) & ge)
-        out = out.withColumn(name, F.when(ge, F.col(name) + F.lit(step)).otherwise(F.col(name)))
-        step >>= 1
-    return out
+def _search(key: list[Column], lead: Column, rest: Column | None, n_cuts: int) -> Column:
+    """How many of the cut tuples (ascending, at most ``n_cuts``) are not above the row's key, by binary search.
+    ``lead`` holds the cuts' first values, ``rest`` their others as structs, read on a tie only. One expression
+    whose size does not grow with the cuts: a column a step would name the one before it several times, and the optimizer, which writes them
+    out in each other, would need memory exponential in the steps."""
+    if not n_cuts:
+        return F.lit(0)
+    steps = [1 << i for i in range(n_cuts.bit_length() - 1, -1, -1)]
+
+    def halve(at: Column, step: Column) -> Column:
+        i = at + step - F.lit(1)
+        cut = F.get(lead, i)
+        if rest is None:
+            return F.when(cut <= key[0], at + step).otherwise(at)
+        return F.when((cut < key[0]) | ((cut == key[0]) & (F.get(rest, i) <= F.struct(*key[1:]))), at + step).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), halve)
+
+
+def _literal_search(key: list[Column], img: list[str], types: list, cuts: list[tuple]) -> Column:
+    """:func:`_search` among cuts that are literals of the plan."""
+    if not cuts:
+        return F.lit(0)
+    arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)]
+    return _search(key, arrays[0], _tuples(arrays[1:], img[1:]), len(cuts))
+
+
+def _tuples(arrays: list[Column], names: list[str]) -> Column | None:
+    """Arrays of equal length as one array of structs."""
+    if not arrays:
+        return None
+    return F.transform(arrays[0], lambda v, i: F.struct(v.alias(names[0]), *[F.get(a, i).alias(k) for a, k in zip(arrays[1:], names[1:])]))
 
 
 def _fine_cuts(sample: DataFrame, img: list[str], fine: int) -> DataFrame:
@@ -178,19 +196,21 @@ def _as_array(values) -> np.ndarray:
     return np.array(values, dtype=kind)
 
 
-def _two_levels(df: DataFrame, img: list[str], types: list, coarse: list[tuple], cuts: list[tuple]) -> DataFrame:
+def _two_levels(df: DataFrame, key: list[Column], img: list[str], types: list, coarse: list[tuple], cuts: list[tuple]) -> DataFrame:
     """Adds ``_b``: how many of ``cuts`` (ascending, the ``coarse`` ones among them) are not above the row's key.
     The row's coarse bucket names the row of a broadcast table that holds the cuts inside that bucket."""
-    arrays = [_cut_array([c[j] for c in coarse], dt) for j, dt in enumerate(types)]
     marks = set(coarse)
     starts = [0, *(i for i, c in enumerate(cuts) if c in marks), len(cuts)]
     table = [(k, lo, *[[c[j] for c in cuts[lo:hi]] for j in range(len(types))]) for k, (lo, hi) in enumerate(zip(starts, starts[1:]))]
-    schema = T.StructType([T.StructField("_c", T.IntegerType()), T.StructField("_lo", T.IntegerType())]
-                          + [T.StructField(f"_cut{j}", T.ArrayType(dt)) for j, dt in enumerate(types)])
-    inner = [f"_cut{j}" for j in range(len(types))]
-    out = _search(df, "_c", img, arrays, len(coarse)).join(F.broadcast(local_table(df.sparkSession, table, schema)), "_c")
-    out = _search(out, "_in", img, [F.col(c) for c in inner], max(hi - lo for lo, hi in zip(starts, starts[1:])))
-    return out.withColumn("_b", F.col("_lo") + F.col("_in")).drop("_c", "_lo", "_in", *inner)
+    at, low, lead, rest, *inner = "_c", "_lo", "_lead", "_rest", *[f"_cut{j}" for j in range(len(types))]
+    schema = T.StructType([T.StructField(at, T.IntegerType()), T.StructField(low, T.IntegerType())]
+                          + [T.StructField(c, T.ArrayType(dt)) for c, dt in zip(inner, types)])
+    others = _tuples([F.col(c) for c in inner[1:]], img[1:])
+    edges = local_table(df.sparkSession, table, schema).select(at, low, F.col(inner[0]).alias(lead), *([] if others is None else [others.alias(rest)]))
+    out = df.withColumn(at, _literal_search(key, img, types, coarse)).join(F.broadcast(edges), at)
+    found = _search(key, F.col(lead), None if others is None else F.col(rest), max(hi - lo for lo, hi in zip(starts, starts[1:])))
+    # not null for the optimizer, which would else put a filter with this search before the next join
+    return out.withColumn("_b", F.coalesce(F.col(low) + found, F.lit(0))).drop(at, low, lead, *([] if others is None else [rest]))
 
 
 class GlobalOrder:
@@ -227,17 +247,15 @@ class GlobalOrder:
             sample = sorted((tuple(r) for r in first.groupBy(*img).agg(F.sum("_n").alias("_n")).collect()), key=_sortable)
             cuts = _cut_points(sample, coarse)
             types = [keys.schema[k].dataType for k in img]
-            arrays = [_cut_array([c[j] for c in cuts], dt) for j, dt in enumerate(types)] if cuts else []
-            out = df.withColumns({k: order_image(df, c) for c, k in zip(self.order_by, img)})
+            key = [order_image(df, c) for c in self.order_by]
             if want <= ONE_LEVEL:
-                out = _search(out, "_b", img, arrays, len(cuts))
+                out = df.withColumn("_b", F.coalesce(_literal_search(key, img, types, cuts), F.lit(0)))
             else:
-                inner = _fine_cuts(_search(drawn, "_b", img, arrays, len(cuts)), img, math.ceil(want / coarse))
+                inner = _fine_cuts(drawn.withColumn("_b", _literal_search([F.col(k) for k in img], img, types, cuts)), img, math.ceil(want / coarse))
                 upper = cuts
                 cuts = sorted({*upper, *(tuple(r) for r in inner.collect())}, key=lambda c: _sortable((*c, 1)))
-                out = _two_levels(out.drop("_b"), img, types, upper, cuts)
+                out = _two_levels(df, key, img, types, upper, cuts)
             self.n_buckets = len(cuts) + 1
-            out = out.drop(*img)
         self.bucketed = out
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 
