@@ -202,7 +202,8 @@ def _two_levels(df: DataFrame, key: list[Column], img: list[str], types: list, c
     marks = set(coarse)
     starts = [0, *(i for i, c in enumerate(cuts) if c in marks), len(cuts)]
     table = [(k, lo, *[[c[j] for c in cuts[lo:hi]] for j in range(len(types))]) for k, (lo, hi) in enumerate(zip(starts, starts[1:]))]
-    at, low, lead, rest, *inner = "_c", "_lo", "_lead", "_rest", *[f"_cut{j}" for j in range(len(types))]
+    # names that no column of the rows has
+    at, low, lead, rest, *inner = _unused(df, "_at", "_low", "_lead", "_rest", *[f"_cut{j}" for j in range(len(types))])
     schema = T.StructType([T.StructField(at, T.IntegerType()), T.StructField(low, T.IntegerType())]
                           + [T.StructField(c, T.ArrayType(dt)) for c, dt in zip(inner, types)])
     others = _tuples([F.col(c) for c in inner[1:]], img[1:])
@@ -213,6 +214,18 @@ def _two_levels(df: DataFrame, key: list[Column], img: list[str], types: list, c
     return out.withColumn("_b", F.coalesce(F.col(low) + found, F.lit(0))).drop(at, low, lead, *([] if others is None else [rest]))
 
 
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns (in any case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 class GlobalOrder:
     """Bucketed global order over ``order_by``. For lags the list must be unique (rows equal
     in all of it share a bucket, so a tie is seen there); null order keys are an error."""

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 import statframe.plans.order as order
-from statframe.operators import panel
+from statframe.operators import linear, panel
 
 KEYS = ["a", "b", "c", "d", "e", "f"]
 
@@ -42,3 +42,16 @@ def test_first_difference(df, rows, monkeypatch, buckets):
     fit = panel.first_difference(df, "y", ["x"], "g", KEYS)
     dx, dy = (np.concatenate([np.diff(s[j]) for s in _series(rows).values()]) for j in (0, 1))
     assert fit.n == len(dx) and fit.beta[0] == pytest.approx(dx @ dy / (dx @ dx), rel=1e-10)
+
+
+@pytest.mark.parametrize("buckets", [64, 80])
+def test_block_ar_whatever_the_columns_are_called(df, rows, monkeypatch, buckets):
+    """Names of the order plan's own columns stand in the rows: gls_block_ar calls its constant ``_c``."""
+    _buckets(monkeypatch, buckets)
+    fit = linear.gls_block_ar(df.withColumnsRenamed({"x": "_at", "y": "_low"}), "_low", ["_at"], "g", KEYS, [0.3])
+    z = []
+    for s in _series(rows).values():
+        v = np.vstack([np.ones(s.shape[1]), s])
+        z.append(np.hstack([np.sqrt(1 - 0.09) * v[:, :1], v[:, 1:] - 0.3 * v[:, :-1]]))
+    c, x, y = np.hstack(z)
+    np.testing.assert_allclose(fit.beta, np.linalg.lstsq(np.column_stack([c, x]), y, rcond=None)[0], rtol=1e-9)
