@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 import statframe.plans.order as order
-from statframe.operators import linear, panel
+from statframe.operators import causal, linear, panel
 
 KEYS = ["a", "b", "c", "d", "e", "f"]
 
@@ -55,3 +55,24 @@ def test_block_ar_whatever_the_columns_are_called(df, rows, monkeypatch, buckets
         z.append(np.hstack([np.sqrt(1 - 0.09) * v[:, :1], v[:, 1:] - 0.3 * v[:, :-1]]))
     c, x, y = np.hstack(z)
     np.testing.assert_allclose(fit.beta, np.linalg.lstsq(np.column_stack([c, x]), y, rcond=None)[0], rtol=1e-9)
+
+
+def test_matching_on_the_score(df, rows, monkeypatch):
+    _buckets(monkeypatch, 80)
+    scored = df.selectExpr("*", "cast(g % 3 = 0 as double) as t", "round(x, 1) as score")
+    got = causal.psm_att(scored, "t", "y", [], KEYS, caliper=0.05, ps_col="score")
+    key = lambda r: (round(r[7], 1), int(r[0] % 3 == 0), *r[1:7])
+    found, last, back = {}, None, {}
+    ordered = sorted(rows, key=key)
+    for r in ordered:
+        last = r if r[0] % 3 else last
+        back[key(r)] = last
+    last = None
+    for r in reversed(ordered):
+        last = r if r[0] % 3 else last
+        if r[0] % 3 == 0:
+            near = sorted((abs(key(c)[0] - key(r)[0]), i, c[8]) for i, c in enumerate((back[key(r)], last)) if c)
+            found[key(r)] = (near[0][0], r[8] - near[0][2])
+    gain = [g for d, g in found.values() if d <= 0.05]
+    assert (got["matched"], got["unmatched"]) == (len(gain), len(found) - len(gain))
+    assert got["att"] == pytest.approx(np.mean(gain), rel=1e-9) and got["se"] == pytest.approx(np.std(gain, ddof=1) / len(gain) ** .5, rel=1e-9)
