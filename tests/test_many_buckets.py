@@ -57,6 +57,18 @@ def test_block_ar_whatever_the_columns_are_called(df, rows, monkeypatch, buckets
     np.testing.assert_allclose(fit.beta, np.linalg.lstsq(np.column_stack([c, x]), y, rcond=None)[0], rtol=1e-9)
 
 
+def test_wooldridge(df, rows, monkeypatch):
+    _buckets(monkeypatch, 80)
+    got = panel.wooldridge_ac(df, "y", ["x"], "g", KEYS)
+    d = {g: np.diff(s) for g, s in _series(rows).items()}
+    dx, dy = np.hstack(list(d.values()))
+    e = [v[1] - dx @ dy / (dx @ dx) * v[0] for v in d.values()]
+    xy, xx = np.array([v[1:] @ v[:-1] for v in e]), np.array([v[:-1] @ v[:-1] for v in e])
+    rho = xy.sum() / xx.sum()
+    assert got["rho"] == pytest.approx(rho, rel=1e-9)
+    assert got["f_stat"] == pytest.approx(((rho + .5) * xx.sum()) ** 2 / ((xy - rho * xx) ** 2).sum(), rel=1e-9)
+
+
 def test_matching_on_the_score(df, rows, monkeypatch):
     _buckets(monkeypatch, 80)
     scored = df.selectExpr("*", "cast(g % 3 = 0 as double) as t", "round(x, 1) as score")
