@@ -69,6 +69,17 @@ def test_wooldridge(df, rows, monkeypatch):
     assert got["f_stat"] == pytest.approx(((rho + .5) * xx.sum()) ** 2 / ((xy - rho * xx) ** 2).sum(), rel=1e-9)
 
 
+def test_difference_gmm(df, rows, monkeypatch):
+    _buckets(monkeypatch, 80)
+    got = panel.difference_gmm(df, "y", ["x"], "g", KEYS)
+    s = list(_series(rows).values())
+    dy, dx, dly, l2y = (np.concatenate(v) for v in ([np.diff(y)[1:] for _, y in s], [np.diff(x)[1:] for x, _ in s], [np.diff(y)[:-1] for _, y in s], [y[:-2] for _, y in s]))
+    one = np.ones(len(dy))
+    want = np.linalg.solve(np.array([one, dx, l2y]) @ np.array([one, dx, dly]).T, np.array([one, dx, l2y]) @ dy)
+    assert got["n_obs"] == len(dy)
+    np.testing.assert_allclose(got["beta"], want, rtol=1e-8)
+
+
 def test_matching_on_the_score(df, rows, monkeypatch):
     _buckets(monkeypatch, 80)
     scored = df.selectExpr("*", "cast(g % 3 = 0 as double) as t", "round(x, 1) as score")
