@@ -172,6 +172,44 @@ def test_repeated_articles_beside_the_longest_go(spark):
                        20: f"{story(20)}\n\n{card}", **{30 + i: f"{story(0)}\n\nOwn {i}" for i in range(4)}}
 
 
+def test_notices_inside_the_article_of_most_pages_go(spark):
+    notice = "Follow our letter of the week and never miss a story from us again"
+    law = "This text may be copied under the terms of the licence by all of you"
+    story = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    page = lambda *blocks, more="": "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</article>{more}"
+    url = lambda h: f"http://{h}.example.com/x"
+    rows = [(i, url("a"), page("Head", story(i), notice)) for i in range(14)]
+    rows += [(50 + i, url("a"), rows[0][2]) for i in range(3)]
+    rows += [(20 + i, url("a"), page(f"Head {i}", story(20 + i), law)) for i in range(10)]  # ten pages, but not most of them
+    rows += [(30, url("a"), page(story(30), notice + " said v30")), (31, url("a"), page("Short", notice))]  # own words; half of the text
+    rows += [(100 + i, url("b"), page(story(100 + i), notice)) for i in range(9)]  # too few pages
+    rows += [(110 + i, url("c"), page(story(110), f"own {i} u{i} v{i}")) for i in range(12)]  # the same article
+    rows += [(130 + i, url("d"), page(story(130 + i), more=f"<footer>{notice}</footer>")) for i in range(12)] + [(142, url("d"), page(story(142), notice))]
+    rows += [(150 + i, url("e"), page(story(0), more="<div>Menu</div>")) for i in range(20)]  # copies are one page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Head\n\n{story(i)}" for i in range(14)} | {50 + i: f"Head\n\n{story(0)}" for i in range(3)}
+    want |= {20 + i: f"Head {i}\n\n{story(20 + i)}\n\n{law}" for i in range(10)}
+    want |= {30: f"{story(30)}\n\n{notice} said v30", 31: f"Short\n\n{notice}"} | {100 + i: f"{story(100 + i)}\n\n{notice}" for i in range(9)}
+    want |= {110 + i: f"{story(110)}\n\nown {i} u{i} v{i}" for i in range(12)} | {130 + i: story(130 + i) for i in range(13)} | {150 + i: story(0) for i in range(20)}
+    for chunk in (60, 700, 100_000):
+        got = {r.page_id: r.text for r in op3.extract(pages, chunk_tokens=chunk).collect()}
+        assert got == want
+
+
+def test_chunk_runs_match_brute_force():
+    rng = np.random.default_rng(5)
+    block = lambda: " ".join(rng.choice(["a", "b"], rng.integers(1, 9)))
+    pages = [([block() for _ in range(rng.integers(0, 4))], [block() for _ in range(rng.integers(0, 4))]) for _ in range(30)]
+    for depth in (1, 3, 5):
+        runs = [[{int(k) for b in blocks for k in op3.run_keys(op3.token_hashes(b), depth)} for blocks in page] for page in pages]
+        whole = [[{int(k) for b in blocks if len(b.split()) >= depth for k in op3.run_keys(op3.token_hashes(b), depth)} for blocks in page] for page in pages]
+        beside, every = collections.Counter(k for x, _ in runs for k in x), collections.Counter(k for x, y in whole for k in x | y)
+        (k, n), (k2, n2, main) = op3.chunk_runs(pages, depth)
+        assert dict(zip(k.tolist(), n.tolist())) == beside and len(k) == len(beside)
+        assert dict(zip(k2.tolist(), n2.tolist())) == every and len(k2) == len(every)
+        assert set(k2[main].tolist()) == {x for _, y in whole for x in y}
+
+
 def test_suffix_groups_match_brute_force():
     rng = np.random.default_rng(3)
     for depth in (2, 3, 5, 8):
