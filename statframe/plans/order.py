@@ -114,7 +114,8 @@ def _search(key: list[Column], lead: Column, rest: Column | None, n_cuts: int) -
     """How many of the cut tuples (ascending, at most ``n_cuts``) are not above the row's key, by binary search.
     ``lead`` holds the cuts' first values, ``rest`` their others as structs, read on a tie only. One expression
     whose size does not grow with the cuts: a column a step would name the one before it several times, and the optimizer, which writes them
-    out in each other, would need memory exponential in the steps."""
+    out in each other, would need memory exponential in the steps. Few cuts are compared one by one in generated code, which is
+faster where no first value ties."""
     if not n_cuts:
         return F.lit(0)
     steps = [1 << i for i in range(n_cuts.bit_length() - 1, -1, -1)]
@@ -126,7 +127,11 @@ def _search(key: list[Column], lead: Column, rest: Column | None, n_cuts: int) -
             return F.when(cut <= key[0], at + step).otherwise(at)
         return F.when((cut < key[0]) | ((cut == key[0]) & (F.get(rest, i) <= F.struct(*key[1:]))), at + step).otherwise(at)
 
-    return F.aggregate(F.lit(steps), F.lit(0), halve)
+    found = F.aggregate(F.lit(steps), F.lit(0), halve)
+    if n_cuts > ONE_LEVEL:
+        return found
+    below = sum((F.when(F.get(lead, F.lit(i)) < key[0], 1).otherwise(0) for i in range(n_cuts)), F.lit(0))
+    return F.when(F.array_contains(lead, key[0]), found).otherwise(below)
 
 
 def _literal_search(key: list[Column], img: list[str], types: list, cuts: list[tuple]) -> Column:
@@ -260,15 +265,19 @@ class GlobalOrder:
             sample = sorted((tuple(r) for r in first.groupBy(*img).agg(F.sum("_n").alias("_n")).collect()), key=_sortable)
             cuts = _cut_points(sample, coarse)
             types = [keys.schema[k].dataType for k in img]
-            key = [order_image(df, c) for c in self.order_by]
+            # the first key is read for every cut: a column of its own
+            first, = _unused(df, "_first")
+            out = df.withColumn(first, order_image(df, self.order_by[0]))
+            key = [F.col(first), *[order_image(df, c) for c in self.order_by[1:]]]
             if want <= ONE_LEVEL:
-                out = df.withColumn("_b", F.coalesce(_literal_search(key, img, types, cuts), F.lit(0)))
+                out = out.withColumn("_b", F.coalesce(_literal_search(key, img, types, cuts), F.lit(0)))
             else:
                 inner = _fine_cuts(drawn.withColumn("_b", _literal_search([F.col(k) for k in img], img, types, cuts)), img, math.ceil(want / coarse))
                 upper = cuts
                 cuts = sorted({*upper, *(tuple(r) for r in inner.collect())}, key=lambda c: _sortable((*c, 1)))
-                out = _two_levels(df, key, img, types, upper, cuts)
+                out = _two_levels(out, key, img, types, upper, cuts)
             self.n_buckets = len(cuts) + 1
+            out = out.drop(first)
         self.bucketed = out
         self.window = Window.partitionBy("_b").orderBy(*[F.col(c).asc() for c in self.order_by])
 

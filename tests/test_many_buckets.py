@@ -2,6 +2,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 import statframe.plans.order as order
 from statframe.operators import causal, linear, panel
 
@@ -99,3 +102,17 @@ def test_matching_on_the_score(df, rows, monkeypatch):
     gain = [g for d, g in found.values() if d <= 0.05]
     assert (got["matched"], got["unmatched"]) == (len(gain), len(found) - len(gain))
     assert got["att"] == pytest.approx(np.mean(gain), rel=1e-9) and got["se"] == pytest.approx(np.std(gain, ddof=1) / len(gain) ** .5, rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [5, 40, 90])
+def test_search_equals_tuple_comparison(spark, n):
+    """Ties, NaN, infinities and signed zeros in the first key; few cuts and more than are compared one by one."""
+    rng = np.random.default_rng(n)
+    draw = lambda m: list(zip(rng.choice([0.0, -0.0, 1.5, -2.0, np.inf, -np.inf, np.nan], m).tolist(), rng.choice(["", "a", "é", "zz"], m).tolist(), rng.integers(0, 9, m).tolist()))
+    key = lambda t: (np.isnan(t[0]), 0.0 if np.isnan(t[0]) else t[0], t[1], t[2])
+    cuts = sorted({key(t): t for t in draw(400)}.values(), key=key)[:n]
+    assert len(cuts) == n
+    rows = draw(600)
+    df = spark.createDataFrame(rows, "k double, s string, t long").select("*", order._literal_search(
+        [F.col("k"), F.col("s"), F.col("t")], ["k", "s", "t"], [T.DoubleType(), T.StringType(), T.LongType()], cuts).alias("b"))
+    assert [r["b"] for r in df.collect()] == [sum(key(c) <= key(r) for c in cuts) for r in rows]
